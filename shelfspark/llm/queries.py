@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .kd_shards import op2_kd_shards
+from .simhash_bk import op4_simhash_bk
 
 
 def queries():
-    return {"op2_kd_shards": op2_kd_shards}
+    return {"op2_kd_shards": op2_kd_shards, "op4_simhash_bk": op4_simhash_bk}
 
 
 def oracle_sql():
