@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,21 @@ def crc_of_id(col: str = "doc_id"):
 def plain_names(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Only the wanted columns, so that extra columns can't clash with those an operator adds."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
+
+
+def sliced(batches, text_at: int, most_bytes: int = 4 << 20):
+    """Record batches cut so that the binary column at text_at holds about most_bytes (one longer text alone): bounds what a Python worker holds."""
+    for batch in batches:
+        col = batch.column(text_at)
+        size = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in col), dtype=np.int64, count=len(col))
+        bucket = np.cumsum(size) // most_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(col)]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                yield batch.slice(s, e - s)
+
+
+def blobs(column):
+    """The values of a binary column as bytes; null is empty."""
+    for t in column:
+        yield t.as_buffer().to_pybytes() if t.is_valid else b""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .kd_shards import op2_kd_shards
+from .line_dedup import op3_line_dedup
 from .simhash_bk import op4_simhash_bk
 
 
 def queries():
-    return {"op2_kd_shards": op2_kd_shards, "op4_simhash_bk": op4_simhash_bk}
+    return {"op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk}
 
 
 def oracle_sql():
