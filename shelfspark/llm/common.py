@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import zstandard
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +64,73 @@ def blobs(column):
     """The values of a binary column as bytes; null is empty."""
     for t in column:
         yield t.as_buffer().to_pybytes() if t.is_valid else b""
+
+
+class IdFilter:
+    """A Bloom filter of fixed size (_BITS bits, two probes) over bigint ids: says of an id "perhaps" or "not there".
+
+    It only thins what is shuffled before an exact join; when very many ids fill it, it lets all through.
+    """
+
+    _BITS = 1 << 24
+    _SLICES = 8
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    @classmethod
+    def of(cls, df: DataFrame, col: str) -> IdFilter:
+        width, slices = cls._BITS // 8, cls._SLICES
+
+        def mark(batches):
+            bits = np.zeros(cls._BITS, dtype=bool)
+            for batch in batches:
+                for probe in _probes(batch.column(0).drop_null().to_numpy(zero_copy_only=False)):
+                    bits[probe] = True
+            yield _packed_slices(np.packbits(bits), slices)
+
+        def either(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    part = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+                    sums[k] = sums[k] | part if k in sums else part
+            for k, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1)], pa.binary())], names=["slice", "bits"])
+
+        kind = "slice int, bits binary"
+        rows = df.select(F.col(col).cast("bigint")).mapInArrow(mark, kind).repartition(slices, "slice").mapInArrow(either, kind).collect()
+        bits = np.zeros(width, dtype=np.uint8)
+        for r in rows:
+            bits[r["slice"] * (width // slices) : (r["slice"] + 1) * (width // slices)] = np.frombuffer(zstandard.decompress(bytes(r["bits"])), dtype=np.uint8)
+        return cls(df.sparkSession.sparkContext.broadcast(bits))
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        bits, out = self.shared.value, np.ones(len(ids), dtype=bool)
+        for probe in _probes(ids):
+            out &= (bits[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _probes(ids: np.ndarray):
+    x = ids.astype(np.int64).view(np.uint64)
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        h = (x ^ (x >> np.uint64(31))) * np.uint64(salt)
+        yield ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64)
+
+
+def _packed_slices(total: np.ndarray, slices: int) -> pa.RecordBatch:
+    parts = total.reshape(slices, -1)
+    return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "bits"])
+
+
+def maybe_in(df: DataFrame, ids: IdFilter, col: str, there: bool = True) -> DataFrame:
+    """Rows of df whose id may be in the filter; there=False: the others, which are surely not in it (null ids too)."""
+
+    @F.pandas_udf("boolean")
+    def held(x: pd.Series) -> pd.Series:
+        return pd.Series(ids.holds(x.to_numpy(dtype=np.int64)))
+
+    value = F.col(f"`{col}`").cast("bigint")
+    test = held(F.coalesce(value, F.lit(0).cast("bigint"))) & value.isNotNull()
+    return df.where(test if there else ~test)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,14 +11,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpointed, plain_names, shuffle_width, sliced, table
+from .common import IdFilter, blobs, checkpointed, maybe_in, plain_names, shuffle_width, sliced, table
 
 #: Words are counted in so many hashed buckets: a table of fixed size that gives every word a place in the order by rarity.
 BUCKETS = 1 << 18
 _SLICES = 16
-#: Postings of words in more lines than this are dealt out as pairs of blocks.
+#: Postings of words that occur more often than this are dealt out as pairs of blocks.
 _BLOCK_LINES = 1 << 16
 _PAIRS = 1 << 20
+#: Sets above this size have a bitmap of 256 bits.
+_SMALL_SET = 32
+#: So many lines that are still open after a round go to the tasks of the next by broadcast.
+_OPEN_LINES = 50_000
 _SEED = 7
 
 
@@ -25,23 +31,28 @@ def line_words(line: bytes) -> list[bytes]:
     return sorted(set(line.lower().split()))
 
 
-def set_id(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
+class _Cache(dict):
+    def __missing__(self, word):
+        self[word] = h = xxhash.xxh3_64_intdigest(word, _SEED)
+        return h
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w, _SEED) for w in words), dtype=np.uint64, count=len(words))
+    known = _Cache()
+    return np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Lines that hold a word of each bucket, over all lines; the sums of all tasks meet in slices, not in one task."""
+    """Occurrences of the words of each bucket, over all texts; the sums of all tasks meet in slices, not in one task."""
 
     def count(batches):
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in sliced(batches, 0):
-            words = [w for text in blobs(batch.column(0)) for line in text.split(b"\n") for w in set(line.lower().split())]
-            total += np.bincount((_hashes(words) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            seen = Counter()
+            for text in blobs(batch.column(0)):
+                seen.update(text.lower().split())
+            at = (_hashes(list(seen)) % np.uint64(BUCKETS)).astype(np.int64)
+            total += np.bincount(at, weights=np.fromiter(seen.values(), dtype=np.float64, count=len(seen)), minlength=BUCKETS).astype(np.int64)
         yield _sliced(total)
 
     def add(batches):
@@ -66,19 +77,30 @@ def _sliced(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "counts"])
 
 
-_POSTING = np.dtype([("token", "<u8"), ("id", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")])
+_POSTING = np.dtype([("token", "<u8"), ("id", "<u8"), ("bits", "<u8"), ("bits1", "<u8"), ("bits2", "<u8"), ("bits3", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")])
+
+
+_LANES = ("bits", "bits1", "bits2", "bits3")
+
+
+def _distance(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of the bitmaps, never more than the words in which the sets differ."""
+    apart = [rows[n][i] ^ rows[n][j] for n in _LANES]
+    wide = sum(np.bitwise_count(x).astype(np.int64) for x in apart)
+    narrow = np.bitwise_count(apart[0] ^ apart[1] ^ apart[2] ^ apart[3]).astype(np.int64)
+    return np.where((rows["size"][i] > _SMALL_SET) & (rows["size"][j] > _SMALL_SET), wide, narrow)
 
 
 def _pack(rows: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in _POSTING.names), 1)
+    return zstandard.compress(b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names), 1)
 
 
-def _unpack(blob: bytes) -> np.ndarray:
+def _unpack(blob: bytes, form: np.dtype) -> np.ndarray:
     data = zstandard.decompress(blob)
-    n = len(data) // _POSTING.itemsize
-    rows, at = np.empty(n, dtype=_POSTING), 0
-    for name in _POSTING.names:
-        kind = _POSTING[name]
+    n = len(data) // form.itemsize
+    rows, at = np.empty(n, dtype=form), 0
+    for name in form.names:
+        kind = form[name]
         rows[name] = np.frombuffer(data, dtype=kind, count=n, offset=at)
         at += n * kind.itemsize
     return rows
@@ -89,23 +111,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def prefix_postings(sets: list[list[bytes]], ids: np.ndarray, docs: np.ndarray, lines: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The postings of the prefixes of so many word sets: the rarest n - ceil(t n) + 1 words of a set of n, at t = num / den."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    words = _hashes([w for s in sets for w in s])
-    owner = np.repeat(np.arange(len(sets)), size)
-    bits = np.zeros(len(sets), dtype=np.uint64)
-    np.bitwise_xor.at(bits, owner, np.uint64(1) << (_mix(words) >> np.uint64(58)))
+def _in_sets(key: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """The order by (owner, key)."""
+    if sets > 1 << 16:
+        return np.lexsort((key, owner))
+    order = np.argsort(key)
+    return order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+
+
+def set_ids(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits for each set, from two sums over its words' hashes: equal for equal sets, in any order of the words."""
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    ids = np.empty((len(size), 2), dtype=np.uint64)
+    ids[:, 0] = np.add.reduceat(_mix(words + np.uint64(0x632BE59BD9B4E019)), first)
+    ids[:, 1] = np.add.reduceat(_mix(_mix(words) ^ np.uint64(0x8CB92BA72F3D8DD7)), first)
+    return ids
+
+
+def prefix_postings(words: np.ndarray, size: np.ndarray, ids: np.ndarray, docs: np.ndarray, lines: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The postings of the prefixes of so many sets of word hashes: the rarest n - ceil(t n) + 1 words of a set of n, at t = num / den."""
+    sets = len(size)
+    owner = np.repeat(np.arange(sets), size)
+    # A bitmap of 64 bits, or of 4 x 64 for large sets; the xor of the four is the one of 64 bits.
+    mixed = _mix(words)
+    bits = np.zeros((sets, 4), dtype=np.uint64)
+    lane = np.where(size[owner] > _SMALL_SET, (mixed >> np.uint64(56)) & np.uint64(3), np.uint64(0)).astype(np.int64)
+    np.bitwise_xor.at(bits, (owner, lane), np.uint64(1) << (mixed >> np.uint64(58)))
     often = counts[(words % np.uint64(BUCKETS)).astype(np.int64)]
-    order = np.lexsort((words, often, owner))
-    first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(sets) else size
+    order = _in_sets((np.minimum(often, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (mixed >> np.uint64(24)), owner, sets)
+    first = np.cumsum(size) - size
     place = np.arange(len(words)) - np.repeat(first, size)
     prefix = size - -(-size * num // den) + 1
     take = order[place < np.repeat(prefix, size)]
     place = place[place < np.repeat(prefix, size)]
     own = owner[take]
     rows = np.empty(len(take), dtype=_POSTING)
-    rows["token"], rows["id"], rows["bits"] = words[take], ids[own], bits[own]
+    rows["token"], rows["id"] = words[take], ids[own]
+    for k, name in enumerate(_LANES):
+        rows[name] = bits[own, k]
     rows["doc"], rows["line"], rows["size"], rows["place"] = docs[own], lines[own], size[own], place
     blocks = 1 + often[take] // _BLOCK_LINES
     if (blocks > 1).any():  # a line of block b meets block x under the pair (b, x), for each x
@@ -122,10 +165,11 @@ def prefix_postings(sets: list[list[bytes]], ids: np.ndarray, docs: np.ndarray,
     return rows
 
 
-def best_candidates(rows: np.ndarray, num: int, den: int, most: int) -> tuple[np.ndarray, ...]:
+def best_candidates(rows: np.ndarray, num: int, den: int, most: int, only: set | None = None) -> tuple[np.ndarray, ...]:
     """(later doc, later line, earlier doc, earlier line, more) of the pairs of sets that share a token and pass the filters.
 
-    Of each later set the `most` pairs nearest by bitmap come; more says that there were others.
+    Of each later set the `most` pairs nearest by bitmap come; more says that there were others. only: the (doc, line)
+    of the later sets that count.
     """
     rows = rows[np.lexsort((rows["line"], rows["doc"], rows["id"], rows["token"]))]
     if len(rows):  # a set is known by its first line
@@ -139,7 +183,7 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int) -> tuple[np
         return z, z, z, z, z.astype(bool)
     rows = rows[np.lexsort((rows["size"], rows["token"]))]
     group = np.concatenate(([0], np.cumsum(rows["token"][1:] != rows["token"][:-1])))
-    size, place, bits = rows["size"].astype(np.int64), rows["place"].astype(np.int64), rows["bits"]
+    size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
     key = (group << 32) + size
     upto = np.searchsorted(key, (group << 32) + size * den // num, "right")
     span = upto - np.arange(len(rows)) - 1
@@ -154,17 +198,22 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int) -> tuple[np
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         both = size[i] + size[j]
         need = -(-both * num // (num + den))
-        far = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
-        ok = (far <= both - 2 * need) & (1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= need)
+        ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+        i, j, slack = i[ok], j[ok], (both - 2 * need)[ok]
+        far = _distance(rows, i, j)
+        ok = far <= slack
         if ok.any():
-            i, j, far = i[ok], j[ok], far[ok]
+            i, j, far, slack = i[ok], j[ok], far[ok], slack[ok]
             swap = (rows["doc"][i] > rows["doc"][j]) | ((rows["doc"][i] == rows["doc"][j]) & (rows["line"][i] > rows["line"][j]))
             early, late = np.where(swap, j, i), np.where(swap, i, j)
-            kept.append(np.stack([rows["doc"][late], rows["line"][late], far, rows["doc"][early], rows["line"][early], np.zeros(len(early), np.int64)]))
+            if only is not None:
+                asked = np.fromiter(((d, k) in only for d, k in zip(rows["doc"][late].tolist(), rows["line"][late].tolist())), dtype=bool, count=len(late))
+                early, late, far, slack = early[asked], late[asked], far[asked], slack[asked]
+            kept.append(np.stack([rows["doc"][late], rows["line"][late], far, rows["doc"][early], rows["line"][early], np.zeros(len(early), np.int64), slack]))
             if sum(k.shape[1] for k in kept) > 4 * _PAIRS:
                 kept = [_nearest(np.concatenate(kept, axis=1), most)]
         start = stop
-    if not kept:
+    if not sum(k.shape[1] for k in kept):
         z = np.zeros(0, dtype=np.int64)
         return z, z, z, z, z.astype(bool)
     got = _nearest(np.concatenate(kept, axis=1), most)
@@ -172,150 +221,189 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int) -> tuple[np
 
 
 def _nearest(pairs: np.ndarray, most: int) -> np.ndarray:
-    pairs = pairs[:, np.lexsort((pairs[5], pairs[4], pairs[3], pairs[2], pairs[1], pairs[0]))]
+    """Of each later line the `most` nearest pairs, or 2 where the nearest is sure enough to hold."""
+    pairs = pairs[:, np.lexsort((pairs[4], pairs[3], pairs[2], pairs[1], pairs[0]))]
     same = (pairs[[0, 1, 3, 4], 1:] == pairs[[0, 1, 3, 4], :-1]).all(axis=0)
     pairs = pairs[:, np.concatenate(([True], ~same))]
     new = np.concatenate(([True], (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])))
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate((first, [pairs.shape[1]])))
     place = np.arange(pairs.shape[1]) - np.repeat(first, n)
-    more = np.repeat(np.maximum.reduceat(pairs[5], first) | (n > most), n)
-    pairs[5] = more
-    return pairs[:, place < most]
+    take = np.where(pairs[2, first] * 5 // 4 + 2 <= pairs[6, first], min(2, most), most)
+    pairs[5] = np.repeat(np.maximum.reduceat(pairs[5], first) | (n > take), n)
+    return pairs[:, place < np.repeat(take, n)]
+
+
+_PLACE = np.dtype([("id", "<u8"), ("id1", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 
 
 def _postings(docs: DataFrame, counts, parts: int, num: int, den: int) -> DataFrame:
+    """(part, rows): for parts below `parts` packed postings; for the next so many the first line of each set in a slice of the input; for the last the other lines of those sets, which are removed whatever the rest holds."""
     counts = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in sliced(batches, 1):
-            sets, ids, owners, lines, seen = [], [], [], [], {}
+            words, size, owners, lines = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
                 if doc is None:
                     continue
-                for k, line in enumerate(text.split(b"\n")):
-                    words = line_words(line)
-                    if words:
-                        h = set_id(words)
-                        at = seen.setdefault(h, len(sets))
-                        if at == len(sets):
-                            sets.append(words)
-                            ids.append(h[:8])
-                            owners.append(doc)
-                            lines.append(k)
-                        elif (doc, k) < (owners[at], lines[at]):
-                            owners[at], lines[at] = doc, k
-            if not sets:
+                for k, line in enumerate(text.lower().split(b"\n")):
+                    own = set(line.split())
+                    if own:
+                        words += own
+                        size.append(len(own))
+                        owners.append(doc)
+                        lines.append(k)
+            if not size:
                 continue
-            rows = prefix_postings(sets, np.frombuffer(b"".join(ids), dtype="<u8"), np.array(owners, dtype=np.int64), np.array(lines, dtype=np.int64), counts.value, num, den)
-            part = (_mix(rows["token"]) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            got = [(p, _pack(rows[order[cuts[p] : cuts[p + 1]]])) for p in range(parts) if cuts[p] < cuts[p + 1]]
+            words, size = _hashes(words), np.array(size)
+            ids = set_ids(words, size)
+            place = np.empty(len(size), dtype=_PLACE)
+            place["id"], place["id1"], place["doc"], place["line"] = ids[:, 0], ids[:, 1], owners, lines
+            order = np.lexsort((place["line"], place["doc"], place["id1"], place["id"]))
+            sorted_ = place[order]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (sorted_["id"][1:] != sorted_["id"][:-1]) | (sorted_["id1"][1:] != sorted_["id1"][:-1])
+            firsts = np.zeros(len(order), dtype=bool)
+            firsts[order[new]] = True
+            words = words[np.repeat(firsts, size)]
+            rows = prefix_postings(words, size[firsts], place["id"][firsts], place["doc"][firsts], place["line"][firsts], counts.value, num, den)
+            got = _dealt(rows, _mix(rows["token"]), parts, 0) + _dealt(place[firsts], place["id1"][firsts], parts, parts)
+            if not firsts.all():
+                gone = place[~firsts]
+                got.append((2 * parts + int(gone["id"][0] % np.uint64(parts)), _pack(gone)))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, rows binary")
 
 
-def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int) -> DataFrame:
+def _dealt(rows: np.ndarray, key: np.ndarray, parts: int, first: int) -> list[tuple[int, bytes]]:
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(first + p, _pack(rows[order[s:e]])) for p, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
+
+
+def later_places(rows: np.ndarray) -> np.ndarray:
+    """The rows whose set has an earlier line."""
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["id1"], rows["id"]))]
+    later = np.zeros(len(rows), dtype=bool)
+    later[1:] = (rows["id"][1:] == rows["id"][:-1]) & (rows["id1"][1:] == rows["id1"][:-1])
+    return rows[later]
+
+
+def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int, only=None) -> DataFrame:
+    """Pairs to verify; lines that are removed as copies come with a null early_doc."""
+
     def run(batches):
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.setdefault(p, []).append(_unpack(blob.as_buffer().to_pybytes()))
+                held.setdefault(p, []).append(_unpack(blob.as_buffer().to_pybytes(), _POSTING if p < parts else _PLACE))
         for p in list(held):
-            got = best_candidates(np.concatenate(held.pop(p)), num, den, most)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (got[0], got[1].astype(np.int32), got[2], got[3].astype(np.int32), got[4])], names=["doc", "line", "early_doc", "early_line", "more"])
+            rows = np.concatenate(held.pop(p))
+            if p < parts:
+                got = best_candidates(rows, num, den, most, only and only.value)
+            elif only is None:
+                rows = later_places(rows) if p < 2 * parts else rows
+                nothing = pa.nulls(len(rows), pa.int64())
+                got = (rows["doc"], rows["line"], nothing, nothing.cast(pa.int32()), np.zeros(len(rows), dtype=bool))
+            else:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1].astype(np.int32)), pa.array(got[2]), pa.array(got[3]).cast(pa.int32()), pa.array(got[4])], names=["doc", "line", "early_doc", "early_line", "more"])
 
     return postings.repartition(parts, "part").mapInArrow(run, "doc bigint, line int, early_doc bigint, early_line int, more boolean")
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, line, words) of the wanted lines (doc, line)."""
-    by_doc = wanted.distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    rows = docs.join(by_doc, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "lines")
+    """(doc, line, words) of the wanted lines (doc, line); words are joined by spaces."""
+    by_doc = wanted.where("doc IS NOT NULL").distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    texts = maybe_in(docs, IdFilter.of(by_doc, "doc_id"), "doc_id")
+    rows = texts.join(by_doc, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "lines")
 
     def run(batches):
         for batch in sliced(batches, 1):
             out = []
             for doc, text, lines in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), batch.column(2).to_pylist()):
                 split = text.split(b"\n")
-                out += [(doc, k, line_words(split[k])) for k in lines if k < len(split)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.binary()))], names=["doc", "line", "words"])
+                out += [(doc, k, b" ".join(line_words(split[k]))) for k in lines if k < len(split)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["doc", "line", "words"])
 
-    return rows.mapInArrow(run, "doc bigint, line int, words array<binary>")
+    return rows.mapInArrow(run, "doc bigint, line int, words binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs with a column `alike`: Jaccard of the word sets is num / den or more."""
+    """(doc, line, more, alike): alike says that the Jaccard of the pair's word sets is num / den or more."""
     both = pairs.select("doc", "line").union(pairs.select(F.col("early_doc").alias("doc"), F.col("early_line").alias("line")))
     words = _words_of(docs, both)
     late = pairs.join(words.withColumnRenamed("words", "w"), ["doc", "line"])
     early = words.select(F.col("doc").alias("early_doc"), F.col("line").alias("early_line"), F.col("words").alias("v"))
-    common = F.size(F.array_intersect("w", "v"))
-    return late.join(early, ["early_doc", "early_line"]).select("doc", "line", "more", (common * den >= (F.size("w") + F.size("v") - common) * num).alias("alike"))
+    rows = late.join(early, ["early_doc", "early_line"]).select("doc", "line", "more", "w", "v")
+
+    def run(batches):
+        for batch in sliced(batches, 3):
+            alike = []
+            for w, v in zip(blobs(batch.column(3)), blobs(batch.column(4))):
+                x, y = set(w.split()), set(v.split())
+                common = len(x & y)
+                alike.append(common * den >= (len(x) + len(y) - common) * num)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(alike, pa.bool_())], names=["doc", "line", "more", "alike"])
 
+    return rows.mapInArrow(run, "doc bigint, line int, more boolean, alike boolean")
 
-def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 8) -> DataFrame:
+
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32) -> DataFrame:
     """(doc_id, line) of every line with an earlier line (smaller doc_id, or the same and a smaller number) whose word set has Jaccard num / den or more with its own.
 
     Lines without a word are never removed. Lines of equal sets are found by their set's id (128 bits) alone; between
-    different sets each later one brings its `most` nearest candidates of each prefix word. Where none of those holds
-    but there were more, the search is run again with eight times as many, until no line is left open.
+    different sets each later one brings its `most` nearest candidates of each task (2, if the nearest is far within
+    the bound). Lines for which none of those holds though there were more search again, for all candidates if they are
+    few (their places are broadcast, at most _OPEN_LINES), else for eight times as many, until no line is open. So no
+    candidate is lost.
     """
     spark = docs.sparkSession
     parts = shuffle_width(spark)
-
-    def lines(batches):
-        for batch in sliced(batches, 1):
-            out = [(doc, k, set_id(words)) for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))) if doc is not None for k, line in enumerate(text.split(b"\n")) if (words := line_words(line))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "line", "id"])
-
-    all_lines = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lines, "doc_id bigint, line int, id binary")
-    firsts = all_lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    copies = all_lines.join(firsts, "id").where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
-
-    counts = word_counts(docs)
-    postings = _postings(docs, counts, parts, num, den)
-    found = None
+    postings = _postings(docs, word_counts(docs), parts, num, den)
+    found, only = None, None
     while True:
-        pairs = checkpointed(_candidates(postings, parts, num, den, most).groupBy("doc", "line", "early_doc", "early_line").agg(F.max("more").alias("more")))
-        state = _verified(docs, pairs, num, den).groupBy("doc", "line").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
-        state = checkpointed(state)
-        found = state.where("alike")
-        if state.where("more AND NOT alike").isEmpty():
+        pairs = checkpointed(_candidates(postings, parts, num, den, most, only).groupBy("doc", "line", "early_doc", "early_line").agg(F.max("more").alias("more")))
+        open_ = pairs.where("early_doc IS NOT NULL")
+        state = checkpointed(_verified(docs, open_, num, den).groupBy("doc", "line").agg(F.max("alike").alias("alike"), F.max("more").alias("more")))
+        now = pairs.where("early_doc IS NULL").select("doc", "line").union(state.where("alike").select("doc", "line"))
+        found = now if found is None else found.union(now)
+        left = state.where("more AND NOT alike").select("doc", "line").limit(_OPEN_LINES + 1).collect()
+        if not left:
             break
-        most *= 8
-    return copies.union(found.select(F.col("doc").alias("doc_id"), "line"))
+        # Few open lines ask for all their candidates; else every line brings more of them.
+        few = len(left) <= _OPEN_LINES
+        only = spark.sparkContext.broadcast({(r["doc"], r["line"]) for r in left}) if few else None
+        most = 1 << 30 if few else most * 8
+    return found.distinct().withColumnRenamed("doc", "doc_id")
 
 
 def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, n_lines, n_removed, text): each text without the lines that removed_lines names, judged on the input.
+    """docs with each text cut to the lines that removed_lines leaves, judged on the input, and n_lines, n_removed.
 
     A null text is one empty line and comes back empty; a document can lose all its lines (text ""). Rows with a null
     doc_id can't be placed before or after others and come back whole. Rows that repeat a doc_id must repeat the text;
-    their lines count once.
+    their lines count once. Other columns come back as they are; n_lines and n_removed replace columns of that name.
+    No rows give no rows.
     """
-    docs = plain_names(docs, ["doc_id", "text"])
-    gone = removed_lines(docs, num, den).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-
-    def run(batches):
-        for batch in sliced(batches, 1):
-            n, cut, kept = [], [], []
-            for text, gone in zip(blobs(batch.column(1)), batch.column(2).to_pylist()):
-                lines = text.split(b"\n")
-                drop = set(gone or ())
-                n.append(len(lines))
-                cut.append(len(drop))
-                kept.append(b"\n".join([x for k, x in enumerate(lines) if k not in drop]) if drop else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_lines", "n_removed", "text"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.join(gone, "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "gone")
-    return rows.mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, text binary").withColumn("text", F.col("text").cast("string"))
+    gone = checkpointed(removed_lines(plain_names(docs, ["doc_id", "text"]), num, den).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    docs = docs.drop("n_lines", "n_removed")
+    hit = IdFilter.of(gone, "doc_id")
+    # Only texts that may have lost lines are shuffled.
+    apart = gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("gone", "__gone")
+    touched = maybe_in(docs, hit, "doc_id").join(apart, F.col("doc_id") == F.col("__id"), "left")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
+    text = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    touched = touched.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    rest = maybe_in(docs, hit, "doc_id", False).withColumn("text", F.coalesce("text", F.lit("")))
+    return touched.union(rest.select(*[F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Line dedup of all documents at Jaccard 0.8 of the word sets of lines."""
-    kept = line_dedup(table(spark, sf_dir, "documents"))
+    kept = line_dedup(plain_names(table(spark, sf_dir, "documents"), ["doc_id", "text"]))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
