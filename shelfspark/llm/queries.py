@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from .ecoc_lang import op5_ecoc_lang
 from .kd_shards import op2_kd_shards
 from .line_dedup import op3_line_dedup
 from .simhash_bk import op4_simhash_bk
 
 
 def queries():
-    return {"op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk}
+    return {"op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk, "op5_ecoc_lang": op5_ecoc_lang}
 
 
 def oracle_sql():
