@@ -6,10 +6,11 @@ from .ecoc_lang import op5_ecoc_lang
 from .kd_shards import op2_kd_shards
 from .line_dedup import op3_line_dedup
 from .simhash_bk import op4_simhash_bk
+from .vector_packing import op8_vector_packing
 
 
 def queries():
-    return {"op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk, "op5_ecoc_lang": op5_ecoc_lang}
+    return {"op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk, "op5_ecoc_lang": op5_ecoc_lang, "op8_vector_packing": op8_vector_packing}
 
 
 def oracle_sql():
