@@ -23,6 +23,7 @@ _PAIRS = 1 << 20
 _SMALL_SET = 32
 #: So many lines that are still open after a round go to the tasks of the next by broadcast.
 _OPEN_LINES = 50_000
+_ALL = 1 << 30
 _SEED = 7
 
 
@@ -221,7 +222,7 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int, only: set |
 
 
 def _nearest(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Of each later line the `most` nearest pairs, or 2 where the nearest is sure enough to hold."""
+    """Of each later line the `most` nearest pairs, or 2 where the nearest is sure enough to hold (never if all are asked for)."""
     pairs = pairs[:, np.lexsort((pairs[4], pairs[3], pairs[2], pairs[1], pairs[0]))]
     same = (pairs[[0, 1, 3, 4], 1:] == pairs[[0, 1, 3, 4], :-1]).all(axis=0)
     pairs = pairs[:, np.concatenate(([True], ~same))]
@@ -229,7 +230,7 @@ def _nearest(pairs: np.ndarray, most: int) -> np.ndarray:
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate((first, [pairs.shape[1]])))
     place = np.arange(pairs.shape[1]) - np.repeat(first, n)
-    take = np.where(pairs[2, first] * 5 // 4 + 2 <= pairs[6, first], min(2, most), most)
+    take = np.where((pairs[2, first] * 5 // 4 + 2 <= pairs[6, first]) & (most < _ALL), min(2, most), most)
     pairs[5] = np.repeat(np.maximum.reduceat(pairs[5], first) | (n > take), n)
     return pairs[:, place < np.repeat(take, n)]
 
@@ -377,7 +378,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32) -
         # Few open lines ask for all their candidates; else every line brings more of them.
         few = len(left) <= _OPEN_LINES
         only = spark.sparkContext.broadcast({(r["doc"], r["line"]) for r in left}) if few else None
-        most = 1 << 30 if few else most * 8
+        most = _ALL if few else most * 8
     return found.distinct().withColumnRenamed("doc", "doc_id")
 
 
