@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import blobs, crc_of_id, plain_names, sliced, table
 
 #: Hashed n-gram features of each length.
-DIM = 1 << 13
-#: Labelled rows taken for each language at most, the first by a hash of their id; bounds the memory of the fit.
-ROWS_PER_LANG = 2_000
+DIM = 1 << 12
+#: Labelled rows for the fit at most, as many of each language, the first by a hash of their id; bounds the driver's memory (rows x 3 x DIM floats).
+TRAIN_ROWS = 4_000
 #: Bytes of one training text that are used at most.
 TRAIN_BYTES = 2_000
 #: Texts whose best and second best languages are nearer than this are flagged as ambiguous.
@@ -97,7 +97,9 @@ def fit(texts: list[bytes], langs: list[str], rounds: int = 120) -> Ecoc:
     """Logistic regressions, one for each bit, by full-batch gradient steps with momentum; deterministic."""
     names = sorted(set(langs))
     words = codewords(len(names))
-    x = np.stack([profile(t) for t in texts]) if texts else np.zeros((0, 3 * DIM), np.float32)
+    x = np.zeros((len(texts), 3 * DIM), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = profile(t)
     y = words[[names.index(v) for v in langs]].astype(np.float32) if names else np.zeros((0, 1), np.float32)
     # Each language weighs the same.
     share = np.array([1 / langs.count(v) for v in names])
@@ -113,8 +115,8 @@ def fit(texts: list[bytes], langs: list[str], rounds: int = 120) -> Ecoc:
     return Ecoc(names, words, w, b)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Ecoc:
-    """Fit on the labelled rows of docs, rows_per_lang of each language at most: those of least hash of (id, language)."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Ecoc:
+    """Fit on train_rows labelled rows of docs at most, as many of each language: those of least hash of (id, language)."""
     from pyspark.sql.window import Window
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
@@ -123,6 +125,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
     if not sizes:
         return fit([], [])
+    rows_per_lang = max(1, train_rows // len(sizes))
     pairs = [x for v, n in sizes.items() for x in (F.lit(v), F.lit(min(1.0, 4 * rows_per_lang / n)))]
     share = F.create_map(*pairs)[F.col(lang_col)]
     thin = rows.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).withColumn("__k", key)
