@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bitmap_bpe import op10_bitmap_bpe
+from .collision_projections import op9_collision_projections
 from .ecoc_lang import op5_ecoc_lang
 from .kd_shards import op2_kd_shards
 from .line_dedup import op3_line_dedup
@@ -11,7 +12,7 @@ from .vector_packing import op8_vector_packing
 
 
 def queries():
-    return {"op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk, "op5_ecoc_lang": op5_ecoc_lang, "op8_vector_packing": op8_vector_packing, "op10_bitmap_bpe": op10_bitmap_bpe}
+    return {"op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk, "op5_ecoc_lang": op5_ecoc_lang, "op8_vector_packing": op8_vector_packing, "op9_collision_projections": op9_collision_projections, "op10_bitmap_bpe": op10_bitmap_bpe}
 
 
 def oracle_sql():
