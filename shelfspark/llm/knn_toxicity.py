@@ -22,30 +22,55 @@ EXAMPLE_BYTES = 1 << 16
 NEIGHBOURS = 15
 EVIDENCE = 3
 _BLOCK = 32
+_STEMS = (5, 7)
+_SAME = 64
+#: Weights of the term that stands for all words without a known term; the one of least leave-one-out loss is taken.
+BACKGROUND = (0.1, 0.2, 0.4, 0.8)
+_TUNED = 1_000
 _WORD = re.compile(r"\w+")
 
 
-def words_of(data: bytes) -> list[str]:
-    return _WORD.findall(data.decode("utf-8", "replace").lower())
+def words_of(data: bytes) -> Counter:
+    """The lower-case words of a text and how often each comes."""
+    return Counter(_WORD.findall(data.decode("utf-8", "replace").lower()))
+
+
+def terms_of(word: str) -> list[str]:
+    """A word and its beginnings of 5 and 7 letters, so that forms of one stem share a term."""
+    return [word, *[word[:n] + "*" for n in _STEMS if len(word) > n]]
 
 
 def chosen_terms(texts: list[bytes], labels: list[int]) -> list[str]:
-    """Terms that go with a label: chi-square of 2 ln(number of terms) or more; if there are none, terms of two texts or more."""
-    seen = {0: Counter(), 1: Counter()}
+    """Terms that go with a label: chi-square of 2 ln(number of terms) or more over texts of different beginnings; if there are none, terms of two texts or more."""
+    seen, met, size = {0: Counter(), 1: Counter()}, set(), {0: 0, 1: 0}
     for t, y in zip(texts, labels):
-        seen[y].update(set(words_of(t)))
-    n1, n0 = sum(labels), len(labels) - sum(labels)
-    every = set(seen[0]) | set(seen[1])
-    bound, out = 2 * math.log(len(every) + 2), []
+        if (y, t[:_SAME]) not in met:  # near copies would give chance words weight
+            met.add((y, t[:_SAME]))
+            size[y] += 1
+            seen[y].update({x for w in words_of(t) for x in terms_of(w)})
+    n1, n0 = size[1], size[0]
+    every = [w for w in set(seen[0]) | set(seen[1]) if seen[0][w] + seen[1][w] > 1]
+    bound, out = 2 * math.log(len(seen[0]) + len(seen[1]) + 2), []
     for w in every:
         a, c = seen[1][w], seen[0][w]
-        if a + c < 2:
-            continue
         b, d = n1 - a, n0 - c
         under = (a + b) * (c + d) * (a + c) * (b + d)
         if under and (a + b + c + d) * (a * d - b * c) ** 2 / under >= bound:
             out.append(w)
-    return sorted(out) or sorted(w for w in every if seen[0][w] + seen[1][w] >= 2)
+    return sorted(out) or sorted(every)
+
+
+class _Terms(dict):
+    """Numbers of a word's known terms, remembered for so many words."""
+
+    def __init__(self, known: dict[str, int]):
+        self.numbers = known
+
+    def __missing__(self, word):
+        got = tuple(self.numbers[t] for t in terms_of(word) if t in self.numbers)
+        if len(self) < 1 << 18:
+            self[word] = got
+        return got
 
 
 def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -54,11 +79,11 @@ def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -
     n = len(terms) + 1
 
     def count(batches):
-        known, total = shared.value, np.zeros(n, dtype=np.int64)
+        known, total = _Terms(shared.value), np.zeros(n, dtype=np.int64)
         for batch in sliced(batches, 0):
             for text in blobs(batch.column(0)):
                 if text:
-                    total[[known[w] for w in known.keys() & set(words_of(text))]] += 1
+                    total[list({i for w in words_of(text) for i in known[w]})] += 1
                     total[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["k", "n"])
 
@@ -137,20 +162,32 @@ class ToxicModel:
     """Terms with their inverse document frequencies, the index of examples, and the calibration of the vote."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, texts: list[bytes], labels: list[int], ids: list, share: float):
-        self.known = {w: i for i, w in enumerate(terms)}
-        self.idf, self.labels, self.ids = idf, np.array(labels, dtype=np.int64), ids
-        vectors = [self.vector(t) for t in texts]
-        self.index = BlockMaxIndex(vectors, len(terms))
-        votes = np.array([self.vote(self.index.search(*v, NEIGHBOURS, skip=i)) for i, v in enumerate(vectors)])
-        self.slope, self.offset = _logistic(votes, self.labels)
+        self.known = _Terms({w: i for i, w in enumerate(terms)})
+        self.labels, self.ids = np.array(labels, dtype=np.int64), ids
+        best = None
+        for weight in BACKGROUND:
+            self.idf = np.append(idf, weight)
+            vectors = [self.vector(t) for t in texts]
+            self.index = BlockMaxIndex(vectors, len(self.idf))
+            tried = range(0, len(texts), max(1, len(texts) // _TUNED))
+            votes = np.array([self.vote(self.index.search(*vectors[i], NEIGHBOURS, skip=i)) for i in tried])
+            fit = _logistic(votes, self.labels[list(tried)])
+            z = (fit[0] * votes + fit[1]) * (2 * self.labels[list(tried)] - 1)
+            loss = float(np.logaddexp(0, -z).mean()) if len(z) else 0.0
+            if best is None or loss < best[0]:
+                best = (loss, self.idf, self.index, fit)
+        _, self.idf, self.index, (self.slope, self.offset) = best
         if 0 < self.labels.sum() < len(labels) and 0 < share < 1:  # from the sample's share of toxic rows to that of all labelled rows
             own = self.labels.mean()
             self.offset += math.log(share / (1 - share)) - math.log(own / (1 - own))
 
     def vector(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights (1 + ln tf) idf, of length 1; empty without a known term."""
-        known = self.known
-        counts = Counter([known[w] for w in words_of(data) if w in known])
+        """Term numbers and weights (1 + ln tf) idf, of length 1; words without a known term count as one term; empty without a word."""
+        counts: Counter = Counter()
+        last, known = len(self.idf) - 1, self.known
+        for w, n in words_of(data).items():
+            for i in known[w] or (last,):
+                counts[i] += n
         if not counts:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         terms = np.array(sorted(counts), dtype=np.int64)
@@ -159,11 +196,11 @@ class ToxicModel:
         return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
 
     def vote(self, found: list[tuple[float, int]]) -> float:
-        """Share of toxic among the neighbours, each weighted by 1 / (distance + 0.1); a clean vote of distance 1 is always there."""
+        """Share of toxic among the neighbours, each weighted by 1 / (distance + 0.1)."""
         if not found:
             return 0.0
         weight = np.array([1 / (1.1 - min(1.0, s)) for s, _ in found])
-        return float((weight * self.labels[[i for _, i in found]]).sum() / (weight.sum() + 1 / 1.1))
+        return float((weight * self.labels[[i for _, i in found]]).sum() / weight.sum())
 
     def score(self, found: list[tuple[float, int]]) -> float:
         z = self.slope * self.vote(found) + self.offset
@@ -203,14 +240,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts, ys = [bytes(r["t"]) for r in got], [r["__y"] for r in got]
     terms = chosen_terms(texts, ys)
     df, n = doc_frequencies(docs, terms, text_col)
-    idf = np.log((1 + n) / (1 + df)) + 0.1
+    idf = np.log((1 + n) / (1 + df)) + 0.01
     return ToxicModel(terms, idf, texts, ys, [r["__id"] for r in got], sizes.get(1, 0) / max(1, sum(sizes.values())))
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted, evidence, evidence_cosine) of every row, from its whole text alone.
 
-    A null or empty text, or one without a known term, has no neighbour: its score is that of no vote. Ties between
+    A null or empty text, or one without a word, has no neighbour: its score is that of no vote. Ties between
     examples go to the lower example number; repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
