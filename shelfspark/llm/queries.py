@@ -11,10 +11,11 @@ from .line_dedup import op3_line_dedup
 from .simhash_bk import op4_simhash_bk
 from .suffix_dedup import op7_suffix_dedup
 from .vector_packing import op8_vector_packing
+from .webp_lossless import op1_webp_lossless
 
 
 def queries():
-    return {"op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk, "op5_ecoc_lang": op5_ecoc_lang, "op6_knn_toxicity": op6_knn_toxicity, "op7_suffix_dedup": op7_suffix_dedup, "op8_vector_packing": op8_vector_packing, "op9_collision_projections": op9_collision_projections, "op10_bitmap_bpe": op10_bitmap_bpe}
+    return {"op1_webp_lossless": op1_webp_lossless, "op2_kd_shards": op2_kd_shards, "op3_line_dedup": op3_line_dedup, "op4_simhash_bk": op4_simhash_bk, "op5_ecoc_lang": op5_ecoc_lang, "op6_knn_toxicity": op6_knn_toxicity, "op7_suffix_dedup": op7_suffix_dedup, "op8_vector_packing": op8_vector_packing, "op9_collision_projections": op9_collision_projections, "op10_bitmap_bpe": op10_bitmap_bpe}
 
 
 def oracle_sql():
