@@ -293,12 +293,13 @@ def merged_spans(runs: DataFrame) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' (id, n_bytes, n_removed, spans, kept): every byte of a text that a string of `length` bytes covers which also starts earlier is removed.
+    """docs' (id, n_bytes, n_removed, spans, kept, text): every byte of a text that a string of `length` bytes covers which also starts earlier is removed.
 
     Earlier: in a row of smaller id, or in the same row further left; strings are judged on the input. Equal texts are
     one class: only the row of least id is searched, the others lose all their bytes if they have `length` or more. A
     null text is empty. Rows that repeat an id must repeat the text and come back alike. A row with a null id can't be
-    placed, so it comes back whole and removes nothing. No rows give no rows. kept holds the remaining bytes.
+    placed, so it comes back whole and removes nothing. No rows give no rows. kept holds the remaining
+    bytes; text is the same without the pieces of characters that a removed run cuts through.
     """
     parts = shuffle_width(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -334,7 +335,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "
 
     def cut(batches):
         for batch in sliced(batches, 1):
-            size, gone, kept = [], [], []
+            size, gone, kept, whole = [], [], [], []
             for text, s in zip(blobs(batch.column(1)), batch.column(2).to_pylist()):
                 s, at, out = s or [], 0, []
                 for a, b in s:
@@ -344,14 +345,15 @@ def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "
                 size.append(len(text))
                 gone.append(sum(b - a for a, b in s))
                 kept.append(b"".join(out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), batch.column(2), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"])
+                whole.append(kept[-1].decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), batch.column(2), pa.array(kept, pa.binary()), pa.array(whole, pa.string())], names=["id", "n_bytes", "n_removed", "spans", "kept", "text"])
 
     hit = IdFilter.of(spans, "owner")
-    touched = maybe_in(base, hit, "id").join(spans.withColumnRenamed("owner", "id"), "id", "left").select("id", "data", "spans").mapInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary")
+    touched = maybe_in(base, hit, "id").join(spans.withColumnRenamed("owner", "id"), "id", "left").select("id", "data", "spans").mapInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary, text string")
     none = F.array().cast("array<array<bigint>>")
-    rest = maybe_in(base, hit, "id", False).select("id", F.length("data").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), none.alias("spans"), F.col("data").alias("kept"))
+    rest = maybe_in(base, hit, "id", False).select("id", F.length("data").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), none.alias("spans"), F.col("data").alias("kept"), F.col("data").cast("string").alias("text"))
     out = touched.withColumn("spans", F.coalesce("spans", none)).union(rest)
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "spans", "kept")
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "spans", "kept", "text")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
