@@ -21,9 +21,8 @@ _BLOCK_LINES = 1 << 16
 _PAIRS = 1 << 20
 #: Sets above this size have a bitmap of 256 bits.
 _SMALL_SET = 32
-#: So many lines that are still open after a round go to the tasks of the next by broadcast.
+#: So many lines that are still open after a round are compared with all others by broadcast.
 _OPEN_LINES = 50_000
-_ALL = 1 << 30
 _SEED = 7
 
 
@@ -166,11 +165,10 @@ def prefix_postings(words: np.ndarray, size: np.ndarray, ids: np.ndarray, docs:
     return rows
 
 
-def best_candidates(rows: np.ndarray, num: int, den: int, most: int, only: set | None = None) -> tuple[np.ndarray, ...]:
+def best_candidates(rows: np.ndarray, num: int, den: int, most: int) -> tuple[np.ndarray, ...]:
     """(later doc, later line, earlier doc, earlier line, more) of the pairs of sets that share a token and pass the filters.
 
-    Of each later set the `most` pairs nearest by bitmap come; more says that there were others. only: the (doc, line)
-    of the later sets that count.
+    Of each later set the `most` pairs nearest by bitmap come; more says that there were others.
     """
     rows = rows[np.lexsort((rows["line"], rows["doc"], rows["id"], rows["token"]))]
     if len(rows):  # a set is known by its first line
@@ -207,9 +205,6 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int, only: set |
             i, j, far, slack = i[ok], j[ok], far[ok], slack[ok]
             swap = (rows["doc"][i] > rows["doc"][j]) | ((rows["doc"][i] == rows["doc"][j]) & (rows["line"][i] > rows["line"][j]))
             early, late = np.where(swap, j, i), np.where(swap, i, j)
-            if only is not None:
-                asked = np.fromiter(((d, k) in only for d, k in zip(rows["doc"][late].tolist(), rows["line"][late].tolist())), dtype=bool, count=len(late))
-                early, late, far, slack = early[asked], late[asked], far[asked], slack[asked]
             kept.append(np.stack([rows["doc"][late], rows["line"][late], far, rows["doc"][early], rows["line"][early], np.zeros(len(early), np.int64), slack]))
             if sum(k.shape[1] for k in kept) > 4 * _PAIRS:
                 kept = [_nearest(np.concatenate(kept, axis=1), most)]
@@ -222,7 +217,7 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int, only: set |
 
 
 def _nearest(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Of each later line the `most` nearest pairs, or 2 where the nearest is sure enough to hold (never if all are asked for)."""
+    """Of each later line the `most` nearest pairs, or 2 where the nearest is sure enough to hold """
     pairs = pairs[:, np.lexsort((pairs[4], pairs[3], pairs[2], pairs[1], pairs[0]))]
     same = (pairs[[0, 1, 3, 4], 1:] == pairs[[0, 1, 3, 4], :-1]).all(axis=0)
     pairs = pairs[:, np.concatenate(([True], ~same))]
@@ -230,7 +225,7 @@ def _nearest(pairs: np.ndarray, most: int) -> np.ndarray:
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate((first, [pairs.shape[1]])))
     place = np.arange(pairs.shape[1]) - np.repeat(first, n)
-    take = np.where((pairs[2, first] * 5 // 4 + 2 <= pairs[6, first]) & (most < _ALL), min(2, most), most)
+    take = np.where(pairs[2, first] * 5 // 4 + 2 <= pairs[6, first], min(2, most), most)
     pairs[5] = np.repeat(np.maximum.reduceat(pairs[5], first) | (n > take), n)
     return pairs[:, place < np.repeat(take, n)]
 
@@ -293,7 +288,7 @@ def later_places(rows: np.ndarray) -> np.ndarray:
     return rows[later]
 
 
-def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int, only=None) -> DataFrame:
+def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int) -> DataFrame:
     """Pairs to verify; lines that are removed as copies come with a null early_doc."""
 
     def run(batches):
@@ -304,13 +299,11 @@ def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int,
         for p in list(held):
             rows = np.concatenate(held.pop(p))
             if p < parts:
-                got = best_candidates(rows, num, den, most, only and only.value)
-            elif only is None:
+                got = best_candidates(rows, num, den, most)
+            else:
                 rows = later_places(rows) if p < 2 * parts else rows
                 nothing = pa.nulls(len(rows), pa.int64())
                 got = (rows["doc"], rows["line"], nothing, nothing.cast(pa.int32()), np.zeros(len(rows), dtype=bool))
-            else:
-                continue
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1].astype(np.int32)), pa.array(got[2]), pa.array(got[3]).cast(pa.int32()), pa.array(got[4])], names=["doc", "line", "early_doc", "early_line", "more"])
 
     return postings.repartition(parts, "part").mapInArrow(run, "doc bigint, line int, early_doc bigint, early_line int, more boolean")
@@ -353,32 +346,66 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     return rows.mapInArrow(run, "doc bigint, line int, more boolean, alike boolean")
 
 
+def _search_open(docs: DataFrame, open_: list[tuple[int, int, bytes]], counts: np.ndarray, num: int, den: int) -> DataFrame:
+    """(doc, line) of the open lines (doc, line, words) with an earlier line of Jaccard num / den or more: every line that holds a word of an open line's prefix is compared with it in full."""
+    sets = [frozenset(w.split()) for _, _, w in open_]
+    by_word: dict[bytes, list[int]] = {}
+    for i, words in enumerate(sets):
+        often = counts[(_hashes(own := sorted(words)) % np.uint64(BUCKETS)).astype(np.int64)].tolist()
+        for _, w in sorted(zip(often, own))[: len(own) - -(-len(own) * num // den) + 1]:
+            by_word.setdefault(w, []).append(i)
+    shared = docs.sparkSession.sparkContext.broadcast((by_word, sets, [(d, k) for d, k, _ in open_]))
+
+    def run(batches):
+        by_word, sets, places = shared.value
+        rare = by_word.keys()
+        done: set[int] = set()
+        for batch in sliced(batches, 1):
+            for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
+                if doc is None:
+                    continue
+                text = text.lower()
+                if rare.isdisjoint(text.split()):
+                    continue
+                for k, line in enumerate(text.split(b"\n")):
+                    own = set(line.split())
+                    for i in {i for w in rare & own for i in by_word[w]} - done:
+                        common = len(own & sets[i])
+                        if (doc, k) < places[i] and common * den >= (len(own) + len(sets[i]) - common) * num:
+                            done.add(i)
+        got = sorted(places[i] for i in done)
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int32())], names=["doc", "line"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc bigint, line int")
+
+
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32) -> DataFrame:
     """(doc_id, line) of every line with an earlier line (smaller doc_id, or the same and a smaller number) whose word set has Jaccard num / den or more with its own.
 
     Lines without a word are never removed. Lines of equal sets are found by their set's id (128 bits) alone; between
     different sets each later one brings its `most` nearest candidates of each task (2, if the nearest is far within
-    the bound). Lines for which none of those holds though there were more search again, for all candidates if they are
-    few (their places are broadcast, at most _OPEN_LINES), else for eight times as many, until no line is open. So no
-    candidate is lost.
+    the bound). Lines for which none of those holds though there were more stay open: up to _OPEN_LINES of them are
+    broadcast and compared with all lines that hold a word of their prefix; if there are more, all is searched again
+    with eight times as many candidates. So no candidate is lost.
     """
-    spark = docs.sparkSession
-    parts = shuffle_width(spark)
-    postings = _postings(docs, word_counts(docs), parts, num, den)
-    found, only = None, None
+    parts = shuffle_width(docs.sparkSession)
+    counts = word_counts(docs)
+    postings = _postings(docs, counts, parts, num, den)
+    found = None
     while True:
-        pairs = checkpointed(_candidates(postings, parts, num, den, most, only).groupBy("doc", "line", "early_doc", "early_line").agg(F.max("more").alias("more")))
-        open_ = pairs.where("early_doc IS NOT NULL")
-        state = checkpointed(_verified(docs, open_, num, den).groupBy("doc", "line").agg(F.max("alike").alias("alike"), F.max("more").alias("more")))
+        pairs = checkpointed(_candidates(postings, parts, num, den, most).groupBy("doc", "line", "early_doc", "early_line").agg(F.max("more").alias("more")))
+        near = pairs.where("early_doc IS NOT NULL")
+        state = checkpointed(_verified(docs, near, num, den).groupBy("doc", "line").agg(F.max("alike").alias("alike"), F.max("more").alias("more")))
         now = pairs.where("early_doc IS NULL").select("doc", "line").union(state.where("alike").select("doc", "line"))
         found = now if found is None else found.union(now)
-        left = state.where("more AND NOT alike").select("doc", "line").limit(_OPEN_LINES + 1).collect()
-        if not left:
+        open_ = state.where("more AND NOT alike").select("doc", "line").limit(_OPEN_LINES + 1)
+        n = open_.count()
+        if 0 < n <= _OPEN_LINES:
+            left = [(r["doc"], r["line"], bytes(r["words"])) for r in _words_of(docs, open_).collect()]
+            found = found.union(_search_open(docs, left, counts, num, den))
+        if n <= _OPEN_LINES:
             break
-        # Few open lines ask for all their candidates; else every line brings more of them.
-        few = len(left) <= _OPEN_LINES
-        only = spark.sparkContext.broadcast({(r["doc"], r["line"]) for r in left}) if few else None
-        most = _ALL if few else most * 8
+        most *= 8
     return found.distinct().withColumnRenamed("doc", "doc_id")
 
 
