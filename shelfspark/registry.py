@@ -1,15 +1,482 @@
-"""Names of the queries over the engine's own operators."""
+"""The queries over the engine's own operators and their DuckDB SQL, on the stand-in collection of plans.standin."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def entry(spark):
-    return queries()["table_rows"](spark, "/root/testdata/sf0.001")
+from .functions import names, text
+from .operators import audit, completion, ingest, paging, ranking, reading, similarity, tagging
+from .operators.vocabulary import Vocabulary
+from .plans import standin
+from .plans.catalog import in_scope
+from .sources.sinks import export_rows
+
+RULES = Vocabulary.of(
+    aliases={"poisonous": "toxic", "good": "quality:good", "deutsch": "folder:de"},
+    implications={"toxic": ["flagged"], "flagged": ["review"], "review": ["flagged"], "folder:en": ["lang:english"], "quality:good": ["keep"]},
+    suggestions={"quality:good": ["feature"], "folder:en": ["quality:poor", "english text"], "toxic": ["not:keep", "hide"]},
+    categories={"subject": ["quality:good", "quality:poor"], "commentary": ["toxic"]},
+)
+WITHIN = 18
+
+# ---------------------------------------------------------------- SQL of the stand-in collection
+
+_PATH = "'main/' || d.lang || '/' || d.source || '/' || lpad(CAST(d.doc_id AS VARCHAR), 7, '0') || '.txt'"
+_BASE = f"""
+files AS (
+  SELECT d.doc_id, substr(sha256(d.text), 1, 16) AS id, {_PATH} AS path, d.lang AS format,
+    CASE WHEN d.doc_id % 10 = 0 THEN 'video' WHEN d.doc_id % 10 = 1 THEN 'other' ELSE 'image' END AS kind,
+    CAST(CASE WHEN d.doc_id % 10 > 1 THEN d.n_chars % 3000 + 1 ELSE 0 END AS BIGINT) AS width,
+    CAST(CASE WHEN d.doc_id % 10 > 1 THEN d.n_chars % 2000 + 1 ELSE 0 END AS BIGINT) AS height,
+    d.n_chars AS size, CAST(1546300800 + d.doc_id * 86400 AS DOUBLE) AS created_at, CAST(1546300800 + d.doc_id * 86400 AS DOUBLE) AS mtime,
+    CASE WHEN l.doc_id IS NOT NULL THEN CAST(1546300800 + d.doc_id * 86400 + 3600 AS DOUBLE) ELSE 0 END AS tagged_at,
+    CAST(coalesce(1 + l.toxic, 0) AS BIGINT) AS xmp_tag_count, CAST(1546300800 + d.doc_id * 86400 AS DOUBLE) AS indexed_at
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+),
+tags AS (
+  SELECT {_PATH} AS path, CASE WHEN l.quality = 1 THEN 'quality:good' ELSE 'quality:poor' END AS tag, 'xmp' AS source FROM documents d JOIN labels l USING (doc_id)
+  UNION ALL SELECT {_PATH}, 'toxic', 'xmp' FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1
+  UNION ALL SELECT {_PATH}, 'folder:' || d.lang, 'folder' FROM documents d
+  UNION ALL SELECT {_PATH}, 'folder:' || d.source, 'folder' FROM documents d
+  UNION ALL SELECT {_PATH}, t.t, 'implied' FROM documents d JOIN labels l USING (doc_id) CROSS JOIN (VALUES ('flagged'), ('review')) t(t) WHERE l.toxic = 1
+  UNION ALL SELECT {_PATH}, 'lang:english', 'implied' FROM documents d WHERE d.lang = 'en'
+),
+texts AS (
+  SELECT {_PATH} AS path, d.doc_id,
+    CASE WHEN d.doc_id % 50 = 0 THEN '' WHEN d.doc_id % 50 = 25 THEN 'REVIEWED ' || d.text WHEN d.doc_id % 37 = 0 THEN '' ELSE d.text END AS text
+  FROM documents d
+),
+text_meta AS (
+  SELECT {_PATH} AS path, 'e' || CAST(d.doc_id % 3 AS VARCHAR) AS engine, CAST(1700000000 + d.doc_id AS DOUBLE) AS read_at, (d.n_chars % 100) / 10.0 AS secs
+  FROM documents d WHERE d.doc_id % 4 <> 0
+)"""
+_VECTORS = """
+vecs AS (SELECT vec_id, label, 'main/v/' || lpad(CAST(vec_id AS VARCHAR), 7, '0') AS path, embedding FROM embeddings),
+hashes AS (
+  SELECT e.vec_id, 'main/v/' || lpad(CAST(e.vec_id AS VARCHAR), 7, '0') AS path,
+    CAST(sum(CASE WHEN e.embedding[CAST(i.i AS INTEGER) + 1] > 0 THEN (CAST(1 AS BIGINT) << i.i) ELSE 0 END) AS BIGINT) AS h0
+  FROM embeddings e CROSS JOIN range(63) i(i) GROUP BY e.vec_id
+)"""
+
+
+def _sql(body: str, base: str = _BASE) -> str:
+    return f"WITH {base}\n{body}"
+
+
+def _search(where: str) -> str:
+    return _sql(f"SELECT path, id, format, kind FROM files f WHERE {where}")
+
+
+def _has(tag: str) -> str:
+    return f"EXISTS (SELECT 1 FROM tags t WHERE t.path = f.path AND t.tag = '{tag}')"
+
+
+def _texts(test: str) -> str:
+    return f"EXISTS (SELECT 1 FROM texts t WHERE t.path = f.path AND {test})"
+
+
+#: Searches: the query and the condition that it stands for.
+SEARCHES = {
+    "search_flagship": ("text.word:the, -format:de, size.gt:1k", _texts(r"regexp_matches(lower(t.text), '(^|[^\p{L}\p{N}])the($|[^\p{L}\p{N}])')") + " AND format <> 'de' AND size > 1000"),
+    "search_tag": ("toxic", _has("toxic")),
+    "search_alias": ("poisonous", _has("toxic")),
+    "search_tag_glob": ("qual*:?ood", _has("quality:good")),
+    "search_exact_tag": ('"quality:poor"', _has("quality:poor")),
+    "search_folder_tag": ("folder:de", _has("folder:de")),
+    "search_bool_precedence": ("toxic || quality:good AND NOT folder:en", f"({_has('toxic')} OR ({_has('quality:good')} AND NOT {_has('folder:en')}))"),
+    "search_grouping": ("(toxic OR quality:good), !folder:en", f"({_has('toxic')} OR {_has('quality:good')}) AND NOT {_has('folder:en')}"),
+    "search_all": ("", "TRUE"),
+    "search_format_alias": ("format:DE || format:jpg", "format IN ('de', 'jpg', 'jpeg')"),
+    "search_kind": ("kind:Video", "kind = 'video'"),
+    "search_id_prefix": ("id:a", "starts_with(id, 'a')"),
+    "search_source": ("source:MAIN", "starts_with(path, 'main/')"),
+    "search_path_glob": ("path:en/*src1?/", r"regexp_matches(lower(path), '^.*en/.*src1./.*$')"),
+    "search_text_contains": ("text:then the", _texts("contains(lower(replace(t.text, chr(10), ' ')), 'then the')")),
+    "search_text_glob": ("t:the*on the*", _texts("regexp_matches(lower(replace(t.text, chr(10), ' ')), '^the.*on the.*$')")),
+    "search_word": ("text.word:and", _texts(r"regexp_matches(lower(t.text), '(^|[^\p{L}\p{N}])and($|[^\p{L}\p{N}])')")),
+    "search_word_phrase": ("text.w:of the", _texts(r"regexp_matches(lower(t.text), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the($|[^\p{L}\p{N}])')")),
+    "search_word_glob": ("text.word:th?n*", _texts(r"regexp_matches(lower(t.text), '(^|[^\p{L}\p{N}])th[\p{L}\p{N}]n[\p{L}\p{N}]*($|[^\p{L}\p{N}])')")),
+    "search_width_unknown": ("width.lt:500 || width:0", "(width > 0 AND width < 500) OR width = 0"),
+    "search_height": ("height.gte:1.5k", "height >= 1500"),
+    "search_size_suffix": ("size.gt:1.5kb", "size > 1500"),
+    "search_tag_count": ("tag_count.gte:2", "xmp_tag_count >= 2"),
+    "search_untagged": ("tag_count:0", "xmp_tag_count = 0"),
+    "search_created_year": ("created_at:2019", "created_at >= 1546300800 AND created_at < 1577836800"),
+    "search_created_month_lt": ("created_at.lt:2019-07", "created_at < 1561939200"),
+    "search_tagged_day": ("tagged_at.gte:2019-03-10", "tagged_at >= 1552176000"),
+    "search_not_missing": ("-width.lt:500", "NOT (width > 0 AND width < 500)"),
+    "search_bad_number": ("-size.gt:lots", "TRUE"),
+    "search_tier": ("(folder:en), tag_count.gt:0, tag_count.lt:3", f"{_has('folder:en')} AND xmp_tag_count > 0 AND xmp_tag_count < 3"),
+}
+
+
+def _searcher(query: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return standin.catalog(spark, sf_dir).search(query, RULES.canon, columns=["path", "id", "format", "kind"])
+
+    return run
+
+
+# ---------------------------------------------------------------- other queries
+
+
+def _cat(spark, sf_dir):
+    return standin.catalog(spark, sf_dir)
+
+
+def all_rows(spark, sf_dir):
+    v = _cat(spark, sf_dir).all()
+    return v.select("path", F.array_join("tags", "|").alias("tags"), F.length("text").cast("bigint").alias("text_len"))
+
+
+def point_lookup(spark, sf_dir):
+    return _cat(spark, sf_dir).view(("tags",)).where(F.col("path").endswith("/0000007.txt")).select("path", "id", F.array_join("tags", "|").alias("tags"))
+
+
+def path_by_id(spark, sf_dir):
+    return _cat(spark, sf_dir).path_by_id("A")
+
+
+def search_scope(spark, sf_dir):
+    rel = F.expr("substring(path, 6)")
+    return _cat(spark, sf_dir).files().where(in_scope(rel, ["en", "de/src1"], ["en/src0"])).select("path")
+
+
+def search_similar(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    found = c.hash_of("main/v/0000003")
+    from .functions.hashes import distance
+
+    return c.table("hashes").where(distance(found) <= 22).select("path", distance(found).cast("bigint").alias("distance"))
+
+
+def page_newest(spark, sf_dir):
+    rows, _, _ = paging.page(_cat(spark, sf_dir).search("folder:en", columns=["path"]), 2, 60)
+    return rows
+
+
+def selection_shared(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return tagging.selection_counts(c.table("tags"), c.files().where("doc_id % 97 < 3").select("path"))
+
+
+def implied_closure(spark, sf_dir):
+    return RULES.to_frames(spark)["closure"]
+
+
+def implied_rows(spark, sf_dir):
+    return tagging.implied_tags(_cat(spark, sf_dir).table("tags"), RULES)
+
+
+def reimply_changed(spark, sf_dir):
+    out = tagging.reimply(_cat(spark, sf_dir).table("tags"), RULES)
+    return out.select("path", F.array_join("tags", "|").alias("tags"))
+
+
+def suggestions_offered(spark, sf_dir):
+    return tagging.offered(_cat(spark, sf_dir).table("tags"), RULES)
+
+
+def tag_edit(spark, sf_dir):
+    rows = _cat(spark, sf_dir).tag_sets()
+    out = tagging.batch_edit(rows, ["checked"], ["poisonous"], RULES)
+    return out.select("path", F.array_join("new_tags", "|").alias("new_tags"), "changed")
+
+
+def folder_tags_query(spark, sf_dir):
+    return _cat(spark, sf_dir).files().select("path", F.array_join(tagging.folder_tags(), "|").alias("folder_tags"))
+
+
+def canon_tags(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(F.col("event_type") == "click", " Good ").when(F.col("event_type") == "view", "POISONOUS").otherwise(F.col("event_type")).alias("raw"))
+    return rows.select("event_id", tagging.canon_column(F.col("raw"), RULES).alias("tag"))
+
+
+def tag_history_counts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("tag")).agg(F.count("*").alias("uses"))
+
+
+def completion_load(spark, sf_dir):
+    return completion.completion_values(_cat(spark, sf_dir).table("tags"), tag_history_counts(spark, sf_dir), RULES)
+
+
+def completion_rank(spark, sf_dir):
+    return completion.matches(completion_load(spark, sf_dir), "i")
+
+
+def hamming_pairs(spark, sf_dir):
+    pairs = similarity.close_pairs(_cat(spark, sf_dir).table("hashes"), WITHIN, bits=64)
+    return pairs.select("a", "b", F.col("distance").cast("bigint").alias("distance"))
+
+
+def hamming_topk(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    out = similarity.nearest(c.table("hashes"), c.hash_of("main/v/0000000"), within=20, limit=25)
+    return out.select("path", F.col("distance").cast("bigint").alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def duplicate_groups(spark, sf_dir):
+    return similarity.duplicate_groups(_cat(spark, sf_dir).table("hashes"), WITHIN, bits=64)
+
+
+def shared_ids(spark, sf_dir):
+    out = similarity.shared_ids(_cat(spark, sf_dir).files())
+    return out.select("id", "n", F.array_join("paths", "|").alias("paths"))
+
+
+def _label_rows(spark, sf_dir):
+    v = standin.vectors(spark, sf_dir)
+    return v, v.where("label = 3").select("path"), v.where("label = 4 AND vec_id % 5 = 0").select("path")
+
+
+def centroid_rank(spark, sf_dir):
+    v, pos, _ = _label_rows(spark, sf_dir)
+    return ranking.propose(v, pos, top=1 << 30, vectors=v, mode="image")
+
+
+def centroid_rank_rejects(spark, sf_dir):
+    v, pos, neg = _label_rows(spark, sf_dir)
+    return ranking.propose(v, pos, top=50, vectors=v, rejects=neg, mode="image")
+
+
+def _rank_texts(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return c.texts(), c.table("tags").where("tag = 'toxic'").select("path").distinct()
+
+
+def tfidf_rank(spark, sf_dir):
+    t, pos = _rank_texts(spark, sf_dir)
+    return ranking.propose(t, pos, top=1 << 30, texts=t, mode="text")
+
+
+def holdout_measure(spark, sf_dir):
+    v, pos, _ = _label_rows(spark, sf_dir)
+    hidden = pos.where(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(3)) == 0)
+    shown = pos.join(hidden, "path", "left_anti")
+    ranked = ranking.propose(v, shown, top=1 << 30, vectors=v, mode="image")
+    return ranking.holdout(ranked, hidden)
+
+
+def _listing(spark, sf_dir):
+    f = _cat(spark, sf_dir).files()
+    local = f.where("doc_id % 7 <> 0").select("path", "size", "mtime", "id")
+    listed = f.where("doc_id % 11 <> 0").select("path", F.when(F.col("doc_id") % 13 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", "id")
+    return local, listed
+
+
+def listing_diff(spark, sf_dir):
+    return ingest.listing_diff(*_listing(spark, sf_dir))
+
+
+def rename_carry(spark, sf_dir):
+    f = _cat(spark, sf_dir).files().select("path", "id", "doc_id")
+    gone = f.where("doc_id % 5 = 0").select("path", "id")
+    fresh = f.where("doc_id % 5 IN (0, 1)").select(F.concat(F.lit("main/moved/"), F.col("doc_id").cast("string")).alias("path"), "id")
+    return ingest.renames(gone, fresh)
+
+
+def forget_rows(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    paths = c.files().where("doc_id % 3 = 0").select("path")
+    left = ingest.forget({k: c.table(k) for k in ("files", "tags", "text", "text_meta")}, paths)
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in left.items()]
+    out = counts[0]
+    for c_ in counts[1:]:
+        out = out.union(c_)
+    return out
+
+
+def merge_result(spark, sf_dir):
+    """A listing's new and changed files merged over the local ones."""
+    local, listed = _listing(spark, sf_dir)
+    change = ingest.listing_diff(local, listed)
+    fresh = listed.join(change.where("change <> 'gone'").select("path"), "path")
+    out = ingest.upsert(local, fresh).join(change.where("change = 'gone'").select("path"), "path", "left_anti")
+    return out.select("path", "size", "id")
+
+
+def cache_invalidation(spark, sf_dir):
+    f = _cat(spark, sf_dir).files().select("path", "id", "doc_id")
+    new = f.select("path", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("b"), "id")).when(F.col("doc_id") % 3 == 1, F.reverse("id")).otherwise(F.col("id")).alias("id"))
+    return ingest.stale(f, new)
+
+
+def ocr_status(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return reading.engine_stats(c.files(), c.table("text_meta"))
+
+
+def ocr_unread(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return reading.unread(c.files(), c.table("text_meta"), c.table("manual_text"), "e1")
+
+
+def ocr_queue(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return reading.queue(c.files(), c.table("text_meta"), c.table("manual_text"), "e2")
+
+
+def ocr_done_union(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return reading.done_paths(c.table("text_meta"), c.table("manual_text"), c.files())
+
+
+def ocr_embed_pending(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return reading.totals(c.files(), c.table("text"))
+
+
+def clean_strip_tags(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", text.strip_tags(F.col("html")).alias("text"))
+
+
+def clean_scanned(spark, sf_dir):
+    return standin.docs(spark, sf_dir).select("doc_id", F.md5(text.clean_scanned_text(F.col("text"), 1 << 30).cast("binary")).alias("cleaned"))
+
+
+def clean_model(spark, sf_dir):
+    return standin.docs(spark, sf_dir).select("doc_id", text.clean_model_text(F.col("text")).alias("cleaned"))
+
+
+def page_names(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", names.basename(F.col("url")).alias("base"), names.html_escape(F.col("url")).alias("escaped"))
+
+
+def file_ids(spark, sf_dir):
+    d = standin.docs(spark, sf_dir)
+    body = F.col("text").cast("binary")
+    return d.select("doc_id", names.content_id(body, "b").alias("byte_id"), names.revision(body).alias("revision"), names.utc_minute(F.lit(1546300800.0) + F.col("doc_id") * 3661).alias("at_minute"))
+
+
+def export(spark, sf_dir):
+    rows = export_rows(_cat(spark, sf_dir))
+    return rows.select("path", *[F.array_join(c, "|").alias(c) for c in ("tags", "folder_tags", "implied_tags")], F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def verify_index(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    own = c.table("tags").where("source = 'xmp'").groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("xmp_tags"))
+    index = c.files().join(own, "path", "left").withColumn("xmp_tags", F.coalesce("xmp_tags", F.array().cast("array<string>")))
+    scan = index.where("doc_id % 9 <> 0").select(
+        "path", (F.col("doc_id") % 8 != 0).alias("readable"), (F.col("doc_id") % 10 != 3).alias("sound"), F.when(F.col("doc_id") % 6 == 0, F.reverse("id")).otherwise(F.col("id")).alias("id"),
+        (F.col("mtime") + F.when(F.col("doc_id") % 12 == 5, 2.0).otherwise(0.25)).alias("original_mtime"), F.when(F.col("doc_id") % 14 == 1, F.array(F.lit("x"))).otherwise(F.col("xmp_tags")).alias("tags"),
+    )
+    return audit.verify(index, scan)
+
+
+def next_thin(spark, sf_dir):
+    return paging.next_thin(_cat(spark, sf_dir).files(), 40, 1).select("path")
+
+
+QUERIES = {
+    **{k: _searcher(q) for k, (q, _) in SEARCHES.items()},
+    "all_rows": all_rows, "point_lookup": point_lookup, "path_by_id": path_by_id, "search_scope": search_scope, "search_similar": search_similar, "page_newest": page_newest, "next_thin": next_thin,
+    "tag_counts": lambda s, d: tagging.tag_counts(_cat(s, d).table("tags")), "hand_tag_counts": lambda s, d: tagging.hand_tag_counts(_cat(s, d).table("tags")), "shared_tags": selection_shared,
+    "rule_counts": lambda s, d: tagging.rule_counts(_cat(s, d).table("tags"), RULES), "category_counts": lambda s, d: tagging.category_counts(_cat(s, d).table("tags"), RULES),
+    "tier_counts": lambda s, d: paging.tier_counts(_cat(s, d).files(), 2), "implied_closure": implied_closure, "implied_rows": implied_rows, "reimply_changed": reimply_changed,
+    "suggestions_offered": suggestions_offered, "tag_edit": tag_edit, "canon_tags": canon_tags, "folder_tags": folder_tags_query, "tag_history": tag_history_counts, "completion_load": completion_load, "completion_rank": completion_rank,
+    "hamming_topk": hamming_topk, "hamming_pairs": hamming_pairs, "duplicate_groups": duplicate_groups, "shared_ids": shared_ids, "centroid_rank": centroid_rank, "centroid_rank_rejects": centroid_rank_rejects,
+    "tfidf_rank": tfidf_rank, "holdout_measure": holdout_measure, "listing_diff": listing_diff, "rename_carry": rename_carry, "merge_result": merge_result, "forget_rows": forget_rows, "cache_invalidation": cache_invalidation,
+    "ocr_status": ocr_status, "ocr_unread": ocr_unread, "ocr_queue": ocr_queue, "ocr_done_union": ocr_done_union, "ocr_embed_pending": ocr_embed_pending,
+    "clean_strip_tags": clean_strip_tags, "clean_scanned": clean_scanned, "clean_model": clean_model, "page_names": page_names, "file_ids": file_ids, "export_rows": export, "verify_index": verify_index,
+}
+
+_CLOSURE = "closure(tag, implied) AS (VALUES ('toxic', 'flagged'), ('toxic', 'review'), ('flagged', 'review'), ('review', 'flagged'), ('folder:en', 'lang:english'), ('quality:good', 'keep'))"
+_IMPLIED = f"""{_BASE}, {_CLOSURE},
+own AS (SELECT DISTINCT path, tag FROM tags WHERE source <> 'implied'),
+implied AS (SELECT DISTINCT o.path, c.implied AS tag FROM own o JOIN closure c USING (tag) WHERE NOT EXISTS (SELECT 1 FROM own p WHERE p.path = o.path AND p.tag = c.implied))"""
+_VALUES = f"""{_BASE}, seen AS (
+  SELECT tag, count(DISTINCT path) AS n FROM tags WHERE NOT starts_with(tag, 'folder:') GROUP BY tag
+  UNION ALL SELECT event_type, count(*) FROM events GROUP BY event_type
+  UNION ALL SELECT t, 0 FROM (VALUES ('poisonous'), ('toxic'), ('good'), ('quality:good'), ('deutsch'), ('folder:de'), ('flagged'), ('review'), ('folder:en'), ('lang:english'), ('keep')) v(t)
+), vals AS (SELECT tag, CAST(sum(n) AS BIGINT) AS "count", TRUE AS own FROM seen GROUP BY tag)"""
+
+
+def _centroid_sql(rejects: bool, members: str, excluded: str, limit: str) -> str:
+    cos = "(SELECT sum(CAST(v.embedding[CAST(p.pos AS INTEGER)] AS DOUBLE) * p.x) FROM {c} p) / sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN v.embedding]))"
+    part = "{c}0 AS (SELECT i.i AS pos, sum(CAST(m.embedding[CAST(i.i AS INTEGER)] AS DOUBLE)) AS x FROM vecs m CROSS JOIN range(1, 65) i(i) WHERE {w} GROUP BY i.i), {c} AS (SELECT pos, x / (SELECT sqrt(sum(x * x)) FROM {c}0) AS x FROM {c}0)"
+    ctes = part.format(c="pos_c", w=members) + (", " + part.format(c="neg_c", w="label = 4 AND vec_id % 5 = 0") if rejects else "")
+    score = cos.format(c="pos_c") + (" - 0.5 * " + cos.format(c="neg_c") if rejects else "")
+    return f"WITH {_VECTORS}, {ctes}, ranked AS (SELECT v.path, round({score}, 6) AS score FROM vecs v WHERE NOT ({excluded}))\nSELECT path, score FROM ranked ORDER BY score DESC, path {limit}"
+
+
+_TOKENS = r"[t FOR t IN string_split_regex(lower(text), '[^\p{L}\p{N}]+') IF length(t) >= 2]"
+_TFIDF = f"""WITH {_BASE},
+filled AS (SELECT path, text FROM texts WHERE trim(text, ' ') <> ''),
+total AS (SELECT count(*) AS n FROM filled),
+tok AS (SELECT path, unnest({_TOKENS}) AS term FROM filled),
+tf AS (SELECT path, term, count(*) AS tf FROM tok GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT path, term, (1 + ln(tf)) * ln(n / df) AS w FROM tf JOIN df USING (term) CROSS JOIN total),
+norm AS (SELECT path, sqrt(sum(w * w)) AS norm FROM raw GROUP BY path),
+space AS (SELECT path, term, CASE WHEN norm > 0 THEN w / norm ELSE 0 END AS weight FROM raw JOIN norm USING (path)),
+pos AS (SELECT DISTINCT path FROM tags WHERE tag = 'toxic'),
+proto0 AS (SELECT term, sum(weight) AS w FROM space SEMI JOIN pos USING (path) GROUP BY term),
+proto AS (SELECT term, w / (SELECT sqrt(sum(w * w)) FROM proto0) AS p FROM proto0),
+like_ AS (SELECT path, sum(weight * p) AS s FROM space JOIN proto USING (term) GROUP BY path)
+SELECT f.path, round(coalesce(s, 0), 6) AS score FROM filled f LEFT JOIN like_ USING (path) ANTI JOIN pos USING (path)"""
+_LISTS = "local AS (SELECT * FROM files WHERE doc_id % 7 <> 0), listed AS (SELECT path, id, mtime, CASE WHEN doc_id % 13 = 0 THEN size + 1 ELSE size END AS size FROM files WHERE doc_id % 11 <> 0)"
+
+ORACLES = {
+    **{k: _search(w) for k, (_, w) in SEARCHES.items()},
+    "all_rows": _sql("SELECT f.path, (SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path) AS tags, length(x.text) AS text_len FROM files f JOIN texts x USING (path)"),
+    "point_lookup": _sql("SELECT f.path, f.id, (SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path) AS tags FROM files f WHERE doc_id = 7"),
+    "path_by_id": _sql("SELECT path FROM files WHERE starts_with(id, 'a') ORDER BY path LIMIT 1"),
+    "search_scope": _sql("SELECT path FROM files WHERE (starts_with(path, 'main/en/') AND NOT starts_with(path, 'main/en/src0/')) OR starts_with(path, 'main/de/src1/')"),
+    "search_similar": _sql("SELECT path, CAST(bit_count(xor(h0, (SELECT h0 FROM hashes WHERE vec_id = 3))) AS BIGINT) AS distance FROM hashes WHERE bit_count(xor(h0, (SELECT h0 FROM hashes WHERE vec_id = 3))) <= 22", _VECTORS),
+    "page_newest": _sql(f"SELECT path FROM files f WHERE {_has('folder:en')} ORDER BY created_at DESC, path LIMIT 60 OFFSET 60"),
+    "next_thin": _sql("SELECT path FROM (SELECT path, xmp_tag_count, row_number() OVER (ORDER BY created_at DESC, path) - 1 AS pos FROM files) WHERE xmp_tag_count < 1 ORDER BY pos <= 40, pos LIMIT 1"),
+    "tag_counts": _sql("SELECT tag, count(DISTINCT path) AS n FROM tags GROUP BY tag"),
+    "hand_tag_counts": _sql("SELECT tag, count(DISTINCT path) AS n FROM tags WHERE source = 'xmp' GROUP BY tag"),
+    "shared_tags": _sql("SELECT tag, count(DISTINCT t.path) AS n, count(DISTINCT t.path) = (SELECT count(*) FROM files WHERE doc_id % 97 < 3) AS shared FROM tags t JOIN files f USING (path) WHERE doc_id % 97 < 3 GROUP BY tag"),
+    "rule_counts": _sql("SELECT r.tag, count(DISTINCT t.path) AS n FROM (VALUES ('toxic'), ('flagged'), ('review'), ('folder:en'), ('lang:english'), ('quality:good'), ('keep')) r(tag) LEFT JOIN tags t USING (tag) GROUP BY r.tag"),
+    "category_counts": _sql("SELECT c.category, CAST(sum(CASE WHEN k.tag IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n FROM (VALUES ('character'), ('series'), ('artist'), ('subject'), ('commentary'), ('theme'), ('format'), ('action'), ('other')) c(category) LEFT JOIN (SELECT DISTINCT tag, CASE WHEN tag IN ('quality:good', 'quality:poor') THEN 'subject' WHEN tag = 'toxic' THEN 'commentary' ELSE 'other' END AS category FROM tags) k USING (category) GROUP BY c.category"),
+    "tier_counts": _sql("SELECT count(*) FILTER (xmp_tag_count = 0) AS untagged, count(*) FILTER (xmp_tag_count = 1) AS thin, count(*) FILTER (xmp_tag_count >= 2) AS tagged FROM files"),
+    "implied_closure": "WITH RECURSIVE rules(tag, too) AS (VALUES ('toxic', 'flagged'), ('flagged', 'review'), ('review', 'flagged'), ('folder:en', 'lang:english'), ('quality:good', 'keep')), walk(tag, implied) AS (SELECT tag, too FROM rules UNION SELECT w.tag, r.too FROM walk w JOIN rules r ON r.tag = w.implied) SELECT tag, implied FROM walk WHERE tag <> implied",
+    "implied_rows": _sql("SELECT path, tag FROM implied", _IMPLIED),
+    "reimply_changed": _sql("SELECT path, (SELECT string_agg(tag, '|' ORDER BY tag) FROM (SELECT tag FROM own o WHERE o.path = p.path UNION SELECT tag FROM implied i WHERE i.path = p.path)) AS tags FROM (SELECT DISTINCT path FROM own) p WHERE coalesce((SELECT string_agg(tag, '|' ORDER BY tag) FROM implied i WHERE i.path = p.path), '') <> coalesce((SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = p.path AND t.source = 'implied'), '')", _IMPLIED),
+    "suggestions_offered": _sql("SELECT DISTINCT t.path, s.s AS tag FROM tags t JOIN (VALUES ('quality:good', 'feature'), ('folder:en', 'quality:poor'), ('folder:en', 'english text'), ('toxic', 'hide')) s(t, s) ON s.t = t.tag WHERE NOT EXISTS (SELECT 1 FROM tags h WHERE h.path = t.path AND h.tag IN (s.s, 'not:' || s.s))"),
+    "tag_edit": _sql("SELECT path, (SELECT string_agg(tag, '|' ORDER BY tag) FROM (SELECT tag FROM tags t WHERE t.path = p.path AND tag <> 'toxic' UNION SELECT 'checked')) AS new_tags, TRUE AS changed FROM (SELECT DISTINCT path FROM tags) p"),
+    "canon_tags": "SELECT event_id, CASE event_type WHEN 'click' THEN 'quality:good' WHEN 'view' THEN 'toxic' ELSE event_type END AS tag FROM events",
+    "folder_tags": _sql(f"SELECT {_PATH} AS path, 'folder:' || lang || '|folder:' || source AS folder_tags FROM documents d"),
+    "tag_history": "SELECT event_type AS tag, count(*) AS uses FROM events GROUP BY event_type",
+    "completion_load": _sql("SELECT * FROM vals", _VALUES),
+    "completion_rank": _sql("SELECT tag FROM vals WHERE contains(lower(tag), 'i') ORDER BY own DESC, starts_with(lower(tag), 'i') DESC, \"count\" DESC, tag LIMIT 8", _VALUES),
+    "hamming_topk": _sql("SELECT path, CAST(distance AS BIGINT) AS distance, rank FROM (SELECT path, distance, row_number() OVER (ORDER BY distance, path) AS rank, count(*) FILTER (distance <= 20) OVER () AS near FROM (SELECT path, bit_count(xor(h0, (SELECT h0 FROM hashes WHERE vec_id = 0))) AS distance FROM hashes)) WHERE rank <= least(greatest(near, 1), 25)", _VECTORS),
+    "hamming_pairs": _sql(f"SELECT a.path AS a, b.path AS b, CAST(bit_count(xor(a.h0, b.h0)) AS BIGINT) AS distance FROM hashes a JOIN hashes b ON a.path < b.path WHERE bit_count(xor(a.h0, b.h0)) <= {WITHIN}", _VECTORS),
+    "shared_ids": _sql("SELECT id, count(*) AS n, string_agg(path, '|' ORDER BY path) AS paths FROM files GROUP BY id HAVING count(*) > 1"),
+    "centroid_rank": _centroid_sql(False, "label = 3", "coalesce(label = 3, FALSE)", ""),
+    "centroid_rank_rejects": _centroid_sql(True, "label = 3", "coalesce(label = 3 OR (label = 4 AND vec_id % 5 = 0), FALSE)", "LIMIT 50"),
+    "tfidf_rank": _TFIDF,
+    "listing_diff": _sql("SELECT path, CASE WHEN l.path IS NULL THEN 'new' WHEN r.path IS NULL THEN 'gone' ELSE 'changed' END AS change FROM local l FULL JOIN listed r USING (path) WHERE l.path IS NULL OR r.path IS NULL OR l.size <> r.size OR l.mtime <> r.mtime", f"{_BASE}, {_LISTS}"),
+    "rename_carry": _sql("SELECT g.p AS old_path, f.p AS new_path FROM (SELECT id, min(path) AS p FROM files WHERE doc_id % 5 = 0 GROUP BY id HAVING count(*) = 1) g JOIN (SELECT id, min('main/moved/' || CAST(doc_id AS VARCHAR)) AS p FROM files WHERE doc_id % 5 IN (0, 1) GROUP BY id HAVING count(*) = 1) f USING (id)"),
+    "merge_result": _sql("SELECT path, size, id FROM listed", f"{_BASE}, {_LISTS}"),
+    "forget_rows": _sql("SELECT 'files' AS name, count(*) AS n FROM files WHERE doc_id % 3 <> 0 UNION ALL SELECT 'tags', count(*) FROM tags JOIN files USING (path) WHERE doc_id % 3 <> 0 UNION ALL SELECT 'text', count(*) FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'text_meta', count(*) FROM text_meta JOIN files USING (path) WHERE doc_id % 3 <> 0"),
+    "cache_invalidation": _sql("SELECT path FROM files WHERE doc_id % 3 = 1 AND reverse(id) <> id"),
+    "ocr_status": _sql("SELECT engine, count(*) AS n, round(avg(secs), 2) AS avg_secs, max(read_at) AS last_read, (SELECT count(*) FROM files WHERE kind = 'image') - count(*) AS remaining FROM text_meta JOIN files USING (path) WHERE kind = 'image' GROUP BY engine"),
+    "ocr_unread": _sql("SELECT count(*) AS unread, count(*) FILTER (indexed_at > (SELECT coalesce(max(read_at), 0) FROM text_meta WHERE engine = 'e1')) AS newer FROM files f WHERE kind = 'image' AND doc_id % 50 NOT IN (0, 25) AND NOT EXISTS (SELECT 1 FROM text_meta m WHERE m.path = f.path AND engine = 'e1')"),
+    "ocr_queue": _sql("SELECT path FROM files f WHERE kind = 'image' AND doc_id % 50 NOT IN (0, 25) AND NOT EXISTS (SELECT 1 FROM text_meta m WHERE m.path = f.path AND engine = 'e2')"),
+    "ocr_done_union": _sql("SELECT path FROM files WHERE doc_id % 4 <> 0 OR doc_id % 50 IN (0, 25)"),
+    "ocr_embed_pending": _sql("SELECT count(*) AS images, count(*) FILTER (d.text <> '' AND f.doc_id % 37 <> 0) AS with_text, count(*) FILTER (d.text <> '' AND f.doc_id % 37 <> 0) AS embed_pending FROM files f JOIN documents d USING (doc_id) WHERE kind = 'image'"),
+    "clean_strip_tags": "SELECT page_id, regexp_replace(html, '<[A-Za-z/!][^>]*>', ' ', 'g') AS text FROM pages",
+    "clean_scanned": r"SELECT doc_id, md5(array_to_string([y FOR y IN [trim(regexp_replace(x, '[ \t\n\v\f\r]+', ' ', 'g'), ' ') FOR x IN string_split(text, chr(10))] IF length(regexp_replace(y, '[^\p{L}\p{N}]', '', 'g')) >= 2 AND length(regexp_replace(y, '[^\p{L}\p{N}]', '', 'g')) * 2 >= length(y)], chr(10))) AS cleaned FROM documents",
+    "page_names": "SELECT page_id, string_split(url, '/')[-1] AS base, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages",
+    "file_ids": "SELECT doc_id, 'b' || substr(sha256(text), 1, 16) AS byte_id, sha256(text) AS revision, strftime(make_timestamp(CAST((1546300800 + doc_id * 3661) * 1000000 AS BIGINT)), '%Y-%m-%d %H:%MZ') AS at_minute FROM documents",
+    "export_rows": _sql("SELECT f.path, coalesce((SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path AND source = 'xmp'), '') AS tags, coalesce((SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path AND source = 'folder'), '') AS folder_tags, coalesce((SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path AND source = 'implied'), '') AS implied_tags, md5(x.text) AS text_md5 FROM files f JOIN texts x USING (path)"),
+    "verify_index": _sql("SELECT count(*) AS files, count(*) FILTER (doc_id % 9 = 0) AS missing, count(*) FILTER (doc_id % 9 <> 0 AND doc_id % 8 = 0) AS unreadable, count(*) FILTER (ok AND doc_id % 10 = 3) AS bad_metadata, count(*) FILTER (ok AND doc_id % 10 <> 3 AND doc_id % 6 = 0 AND reverse(id) <> id) AS id_drift, count(*) FILTER (ok AND doc_id % 10 <> 3 AND doc_id % 12 = 5) AS mtime_moved, count(*) FILTER (ok AND doc_id % 10 <> 3 AND doc_id % 14 = 1) AS tag_drift FROM (SELECT *, doc_id % 9 <> 0 AND doc_id % 8 <> 0 AS ok FROM files)"),
+}
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    return QUERIES["search_flagship"](spark, "/root/testdata/sf0.001")
 
 
 def queries():
-    return {"table_rows": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")}
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {"table_rows": "SELECT doc_id FROM documents"}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
