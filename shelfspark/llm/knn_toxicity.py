@@ -177,6 +177,7 @@ class ToxicModel:
             if best is None or loss < best[0]:
                 best = (loss, self.idf, self.index, fit)
         _, self.idf, self.index, (self.slope, self.offset) = best
+        self.of_one: dict[int, list[tuple[float, int]]] = {}
         if 0 < self.labels.sum() < len(labels) and 0 < share < 1:  # from the sample's share of toxic rows to that of all labelled rows
             own = self.labels.mean()
             self.offset += math.log(share / (1 - share)) - math.log(own / (1 - own))
@@ -195,6 +196,16 @@ class ToxicModel:
         norm = np.sqrt((weights * weights).sum())
         return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
 
+    def nearest(self, data: bytes) -> list[tuple[float, int]]:
+        """The neighbours of a text; those of vectors with one term, always the same, are remembered."""
+        terms, weights = self.vector(data)
+        if len(terms) != 1:
+            return self.index.search(terms, weights, NEIGHBOURS)
+        one = int(terms[0])
+        if one not in self.of_one:
+            self.of_one[one] = self.index.search(terms, weights, NEIGHBOURS)
+        return self.of_one[one]
+
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Share of toxic among the neighbours, each weighted by 1 / (distance + 0.1)."""
         if not found:
@@ -256,7 +267,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     def run(batches):
         m = shared.value
         for batch in sliced(batches, 1):
-            found = [m.index.search(*m.vector(t), NEIGHBOURS) for t in blobs(batch.column(1))]
+            found = [m.nearest(t) for t in blobs(batch.column(1))]
             s = np.array([m.score(f) for f in found], dtype=np.float64)
             yield pa.RecordBatch.from_arrays(
                 [
