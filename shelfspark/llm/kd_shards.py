@@ -29,7 +29,7 @@ def dimension(df: DataFrame, name: str):
     return F.coalesce(value, F.lit(-_LIMIT))
 
 
-def _pick(values: list[int], node: str = "node"):
+def _pick(values: list[int], node: str = "__node"):
     """values[node] as a column; one entry for each open node of the level."""
     return F.element_at(F.array(*[F.lit(int(v)).cast("bigint") for v in values]), F.col(node) + 1)
 
@@ -44,13 +44,13 @@ def _crossing(df: DataFrame, key, targets: list[float], base: list[int], lo: lis
         width = [max(1, -(-(h - l + 1) // bins)) for l, h in zip(lo, hi)]
         found = (
             df.where(key.between(_pick(lo), _pick(hi)))
-            .groupBy("node", ((key - _pick(lo)) / _pick(width)).cast("bigint").alias("bin"))
-            .agg(F.sum("weight").alias("w"))
+            .groupBy("__node", ((key - _pick(lo)) / _pick(width)).cast("bigint").alias("bin"))
+            .agg(F.sum("__w").alias("w"))
             .collect()
         )
         by: list[dict[int, int]] = [{} for _ in range(n)]
         for r in found:
-            by[r["node"]][r["bin"]] = r["w"]
+            by[r["__node"]][r["bin"]] = r["w"]
         for i in range(n):
             if not todo[i]:
                 continue
@@ -74,23 +74,24 @@ def kd_shards(df: DataFrame, dims: list[str], id_col: str = "doc_id", weight_col
     shards, or the total weight over target_bytes, gives the number of leaves. A node with k leaves is split at the
     weighted quantile k//2 / k of its widest dimension (spread over the whole table's spread, first named wins ties);
     rows of equal value are split by id, so weights come out near equal whatever the ties. Null metadata counts as
-    lowest, null ids as lowest; repeated rows with one id stay together; an empty table gives an empty result.
+    lowest, null ids as lowest; repeated rows with one id stay together; an empty table gives an empty result. Other
+    columns come back as they are, and `shard` replaces a column of that name; names that start with __ are kept free.
     df is read once; the passes run over the checkpointed projection (id, weight, dimensions).
     """
     names = [f"__d{i}" for i in range(len(dims))]
     slim = df.select("*", *[dimension(df, c).alias(n) for c, n in zip(dims, names)], dimension(df, id_col).alias("__tie"), F.coalesce(F.col(f"`{weight_col}`"), F.lit(0)).cast("bigint").alias("__w"))
     slim = checkpointed(slim)
-    work = slim.withColumnsRenamed({"__w": "weight"}) if weight_col not in df.columns else slim.drop(weight_col).withColumnRenamed("__w", "weight")
-    total = work.agg(F.sum("weight").alias("w"), *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)]).first()
+    work = slim
+    total = work.agg(F.sum("__w").alias("w"), *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)]).first()
     if total["w"] is None:
         return slim.drop(*names, "__tie", "__w").withColumn("shard", F.lit(0))
     leaves = shards or max(1, -(-int(total["w"]) // int(target_bytes or total["w"] or 1)))
     spread = [max(1, total[f"max{n}"] - total[f"min{n}"]) for n in names]
     # Open nodes of a level in order, each with its first leaf and number of leaves; closed ones keep one leaf.
     nodes = [(0, leaves)]
-    work = work.withColumn("node", F.lit(0))
+    work = work.withColumn("__node", F.lit(0))
     while any(k > 1 for _, k in nodes):
-        stats = {r["node"]: r for r in work.groupBy("node").agg(F.sum("weight").alias("w"), F.min("__tie").alias("lot"), F.max("__tie").alias("hit"), *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)]).collect()}
+        stats = {r["__node"]: r for r in work.groupBy("__node").agg(F.sum("__w").alias("w"), F.min("__tie").alias("lot"), F.max("__tie").alias("hit"), *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)]).collect()}
         n = len(nodes)
         widest, lo, hi, targets, lot, hit = [], [], [], [], [], []
         for i, (_, k) in enumerate(nodes):
@@ -118,9 +119,9 @@ def kd_shards(df: DataFrame, dims: list[str], id_col: str = "doc_id", weight_col
             first_child.append(len(nxt))
             halves.append(int(k > 1))
             nxt += [(first, k // 2), (first + k // 2, k - k // 2)] if k > 1 else [(first, 1)]
-        work = keyed.withColumn("node", (_pick(first_child) + F.when(left, 0).otherwise(_pick(halves))).cast("int")).drop("__key")
+        work = keyed.withColumn("__node", (_pick(first_child) + F.when(left, 0).otherwise(_pick(halves))).cast("int")).drop("__key")
         nodes = nxt
-    return work.withColumn("shard", _pick([f for f, _ in nodes]).cast("int")).drop(*names, "__tie", "node")
+    return work.withColumn("shard", _pick([f for f, _ in nodes]).cast("int")).drop(*names, "__tie", "__node", "__w")
 
 
 def with_slots(df: DataFrame, shard_col: str = "shard", order_col: str = "doc_id") -> DataFrame:

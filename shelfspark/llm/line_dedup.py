@@ -260,13 +260,14 @@ def _postings(docs: DataFrame, counts, parts: int, num: int, den: int) -> DataFr
             sorted_ = place[order]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (sorted_["id"][1:] != sorted_["id"][:-1]) | (sorted_["id1"][1:] != sorted_["id1"][:-1])
-            firsts = np.zeros(len(order), dtype=bool)
+            firsts, again = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
             firsts[order[new]] = True
+            again[order[1:]] = ~new[1:] & (sorted_["doc"][1:] == sorted_["doc"][:-1]) & (sorted_["line"][1:] == sorted_["line"][:-1])  # a repeated row
             words = words[np.repeat(firsts, size)]
             rows = prefix_postings(words, size[firsts], place["id"][firsts], place["doc"][firsts], place["line"][firsts], counts.value, num, den)
             got = _dealt(rows, _mix(rows["token"]), parts, 0) + _dealt(place[firsts], place["id1"][firsts], parts, parts)
-            if not firsts.all():
-                gone = place[~firsts]
+            gone = place[~firsts & ~again]
+            if len(gone):
                 got.append((2 * parts + int(gone["id"][0] % np.uint64(parts)), _pack(gone)))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
 
@@ -282,7 +283,7 @@ def _dealt(rows: np.ndarray, key: np.ndarray, parts: int, first: int) -> list[tu
 
 def later_places(rows: np.ndarray) -> np.ndarray:
     """The rows whose set has an earlier line."""
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["id1"], rows["id"]))]
+    rows = np.unique(rows)  # in order of id, document and line, repeated rows once
     later = np.zeros(len(rows), dtype=bool)
     later[1:] = (rows["id"][1:] == rows["id"][:-1]) & (rows["id1"][1:] == rows["id1"][:-1])
     return rows[later]
