@@ -122,9 +122,26 @@ def repeated_grams(docs: DataFrame, length: int, k: int, parts: int) -> DataFram
         again[:-1] |= same
         again &= own != _NOBODY
         own, at = np.concatenate((own[again], *(x[1] for x in done))), np.concatenate((at[again], *(x[2] for x in done)))
+        part = ((own.view(np.uint64) * _BASE) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        own, at, part = own[order], at[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        got = [(p, zstandard.compress(own[s:e].tobytes() + at[s:e].tobytes(), 1)) for p, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "spots"])
+
+    def gather(batches):
+        held = []
+        for batch in batches:
+            for blob in batch.column(1):
+                data = zstandard.decompress(blob.as_buffer().to_pybytes())
+                held.append(np.frombuffer(data, np.int64).reshape(2, -1))
+        if not held:
+            return
+        own, at = np.concatenate(held, axis=1)
+        del held
         order = np.lexsort((at, own))
         own, at = own[order], at[order]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         for s in range(0, len(first), 4096):
             f = first[s : s + 4096]
             stop = first[s + 4096] if s + 4096 < len(first) else len(own)
@@ -132,7 +149,8 @@ def repeated_grams(docs: DataFrame, length: int, k: int, parts: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(own[f]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at[f[0] : stop]))], names=["owner", "spots"])
 
     sent = docs.select("owner", "data").mapInArrow(send, "part int, grams binary").repartition(parts, "part")
-    return sent.mapInArrow(answer, "owner bigint, spots array<bigint>")
+    answers = sent.mapInArrow(answer, "part int, spots binary").repartition(parts, "part")
+    return answers.mapInArrow(gather, "owner bigint, spots array<bigint>")
 
 
 def _squeeze(h: np.ndarray, own: np.ndarray, at: np.ndarray) -> bytes:
@@ -184,10 +202,11 @@ def equal_windows(group: np.ndarray, words: np.ndarray) -> np.ndarray:
     return label
 
 
-def _context(data: bytes, at: int, length: int, k: int) -> bytes:
-    """The bytes that windows around an anchor can hold, filled with zeros beyond the text's ends."""
+def _contexts(data: bytes, at: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Of each anchor the bytes that windows around it can hold, with zeros beyond the text's ends."""
     left, right = length - k, length
-    return data[max(0, at - left) : at].rjust(left, b"\0") + data[at : at + right].ljust(right, b"\0")
+    a = np.frombuffer(b"\0" * left + data + b"\0" * right, dtype=np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(a, left + right)[at]
 
 
 def repeated_windows(rows: DataFrame, length: int, k: int, parts: int) -> DataFrame:
@@ -312,22 +331,29 @@ def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "
     filter_ = IdFilter.of(copy_ids, "id")
     sound = base.where("id IS NOT NULL")
     single = maybe_in(sound, filter_, "id", False).union(maybe_in(sound, filter_, "id").join(copy_ids, "id", "left_anti").dropDuplicates(["id"])).withColumnRenamed("id", "owner")
-    spots = repeated_grams(single, length, k, parts).groupBy("owner").agg(F.sort_array(F.flatten(F.collect_list("spots"))).alias("spots"))
-    spots = checkpointed(spots)
+    spots = checkpointed(repeated_grams(single, length, k, parts))
     texts = maybe_in(single, IdFilter.of(spots, "owner"), "owner").join(spots, "owner").select("owner", "data", "spots")
 
     def around(batches):
         for batch in sliced(batches, 1):
-            cols: list[list] = [[], [], [], [], [], []]
+            held: list[tuple] = []
             for owner, text, want in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), batch.column(2)):
                 h, at, first, n = anchors(text, length, k)
-                for i in np.flatnonzero(np.isin(at, want.values.to_numpy())).tolist():
-                    for c, v in zip(cols, (int(h[i].view(np.int64)), owner, int(at[i]), int(first[i]), int(n[i]), _context(text, int(at[i]), length, k))):
-                        c.append(v)
-                if len(cols[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()))], names=["gram", "owner", "at", "first", "n", "around"])
-                    cols = [[], [], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()))], names=["gram", "owner", "at", "first", "n", "around"])
+                take = np.flatnonzero(np.isin(at, want.values.to_numpy()))
+                for s in range(0, len(take), 1 << 14):
+                    t = take[s : s + (1 << 14)]
+                    held.append((h[t].view(np.int64), np.full(len(t), owner, np.int64), at[t], first[t], n[t], _contexts(text, at[t], length, k)))
+                    if sum(len(x[0]) for x in held) > 1 << 14:
+                        yield packed(held)
+                        held = []
+            if held:
+                yield packed(held)
+
+    def packed(held):
+        *cols, wide = (np.concatenate(x) for x in zip(*held))
+        offsets = np.arange(len(wide) + 1, dtype=np.int32) * wide.shape[1]
+        body = pa.Array.from_buffers(pa.binary(), len(wide), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(wide).tobytes())])
+        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], body], names=["gram", "owner", "at", "first", "n", "around"])
 
     rows = texts.mapInArrow(around, "gram bigint, owner bigint, at bigint, first bigint, n bigint, around binary")
     whole = copies.where(F.col("n") >= length).select(F.col("id").alias("owner"), F.lit(0).cast("bigint").alias("start"), F.col("n").cast("bigint").alias("stop"))
