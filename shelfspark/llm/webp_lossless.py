@@ -50,7 +50,7 @@ class WebpError(ValueError):
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Huffman code lengths of the symbols that occur, none above `most` (counts are flattened until they fit); one symbol has length 1."""
     counts = np.asarray(counts, dtype=np.int64)
-    used = np.flatnonzero(counts).tolist()
+    used = counts.nonzero()[0].tolist()
     out = np.zeros(len(counts), dtype=np.int64)
     if len(used) < 2:
         out[used] = 1
@@ -74,16 +74,26 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
         weight = [(w >> 2) + 1 for w in weight]
 
 
+#: Numbers of 16 bits with their bits in reverse order.
+_REVERSED = sum(((np.arange(1 << 16) >> b) & 1) << (15 - b) for b in range(16))
+
+
+def _in_order(lengths: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The used symbols by code, and their lengths."""
+    size = lengths[used]
+    order = np.argsort(size, kind="stable")
+    return used[order], size[order]
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes of the lengths, first bit lowest, as they lie in the stream."""
-    used = np.flatnonzero(lengths)
-    codes, code, last = np.zeros(len(lengths), dtype=np.int64), 0, 0
-    for s in used[np.lexsort((used, lengths[used]))].tolist():
-        n = int(lengths[s])
-        code <<= n - last
-        last = n
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+    codes = np.zeros(len(lengths), dtype=np.int64)
+    used = lengths.nonzero()[0]
+    if len(used):
+        used, size = _in_order(lengths, used)
+        room = 1 << (15 - size)
+        code = (np.cumsum(room) - room) >> (15 - size)
+        codes[used] = _REVERSED[code] >> (16 - size)
     return codes
 
 
@@ -91,27 +101,31 @@ class Prefix:
     """A prefix code for reading: symbol and length by the next `bits` bits."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
+        self.lists = None
         if len(used) <= 1:
             self.bits, self.only = 0, int(used[0]) if len(used) else 0
             self.symbol, self.length = np.array([self.only]), np.array([0])
             return
-        if sum(1 << (15 - int(n)) for n in lengths[used]) != 1 << 15:
+        used, size = _in_order(lengths, used)
+        if int((1 << (15 - size)).sum()) != 1 << 15:
             raise WebpError("a prefix code is not complete")
-        self.only, self.bits = None, int(lengths.max())
-        self.symbol = np.zeros(1 << self.bits, dtype=np.int32)
-        self.length = np.zeros(1 << self.bits, dtype=np.int32)
-        codes = canonical(lengths)
-        for s in used.tolist():
-            self.symbol[codes[s] :: 1 << lengths[s]] = s
-            self.length[codes[s] :: 1 << lengths[s]] = lengths[s]
+        self.only, self.bits = None, int(size[-1])
+        # By code with the first bit highest a symbol's places follow each other.
+        turn = _REVERSED[: 1 << self.bits] >> (16 - self.bits)
+        each = 1 << (self.bits - size)
+        self.symbol = np.repeat(used, each)[turn].astype(np.int32)
+        self.length = np.repeat(size, each)[turn].astype(np.int32)
 
     def read(self, bits: Reader) -> int:
         if not self.bits:
             return self.only
-        v = bits.peek(self.bits)
-        bits.at += int(self.length[v])
-        return int(self.symbol[v])
+        if self.lists is None:
+            self.lists = self.symbol.tolist(), self.length.tolist()
+        k = bits.at >> 3
+        v = int.from_bytes(bits.data[k : k + 4], "little") >> (bits.at & 7) & ((1 << self.bits) - 1)
+        bits.at += self.lists[1][v]
+        return self.lists[0][v]
 
 
 class Reader:
@@ -223,11 +237,20 @@ class Writer:
         self._close()
         return pack_bits(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
+    def fixed(self, symbol: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Writes the code of one symbol, which takes no bits."""
+        self.values += (1, 0, int(symbol > 1), symbol)
+        self.sizes += (1, 1, 1, 8 if symbol > 1 else 1)
+        none = np.zeros(size, dtype=np.int64)
+        return none, none
+
     def code(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Writes the code for the counts; (codes, lengths), of length 0 where only one symbol is used."""
-        used = np.flatnonzero(counts).tolist()
+        used = counts.nonzero()[0].tolist()
         if len(used) <= 2 and (not used or max(used) < 256):
             used = used or [0]
+            if len(used) == 1:
+                return self.fixed(used[0], len(counts))
             self.bits(1, 1)
             self.bits(len(used) - 1, 1)
             self.bits(int(used[0] > 1), 1)
@@ -306,12 +329,11 @@ def _one_symbol_pixels(bits: Reader, codes: list[Prefix], width: int, total: int
         if begin >= bits.end:
             raise WebpError("the stream ends early")
         n = min(_CHUNK, bits.end - begin)
-        byte = flat[begin >> 3 : (begin + n + 64 >> 3) + 16].astype(np.uint64)
-        wide = byte[:-7].copy()  # 64 bits from every byte
-        for k in range(1, 8):
-            wide |= byte[k : len(byte) - 7 + k] << np.uint64(8 * k)
+        byte = np.ascontiguousarray(flat[begin >> 3 : (begin + n + 64 >> 3) + 16])
+        # The 64 bits from every byte on.
+        wide = np.ascontiguousarray(np.lib.stride_tricks.as_strided(byte, (len(byte) - 7, 8), (1, 1))).view("<u8").ravel()
         first = begin & 7
-        window = ((wide[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64((1 << green.bits) - 1)).ravel()[first : first + n].astype(np.int32)
+        window = ((wide.astype(np.uint32)[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).ravel()[first : first + n].view(np.int32)
         symbol = green.symbol[window]
         step = np.arange(n, dtype=np.int32) + green.length[window]
         runs = goal = None
@@ -620,7 +642,7 @@ def _write_pixels(w: Writer, p: np.ndarray, width: int, height: int, main: bool,
         w.bits(cache_bits, 4)
     across = (width + (1 << meta_bits) - 1) >> meta_bits if meta_bits else 1
     groups = 1
-    group_at = np.zeros(len(p), dtype=np.int64)
+    group_at = None
     if main:
         w.bits(int(meta_bits > 0), 1)
         if meta_bits:
@@ -634,10 +656,12 @@ def _write_pixels(w: Writer, p: np.ndarray, width: int, height: int, main: bool,
     copies = _matches(p)
     place = np.array([c[0] for c in copies], dtype=np.int64)
     length = np.array([c[2] for c in copies], dtype=np.int64)
-    covered = np.zeros(len(p) + 1, dtype=np.int64)
-    np.add.at(covered, place, 1)
-    np.add.at(covered, place + length, -1)
-    literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    literal = np.arange(len(p))
+    if copies:
+        covered = np.zeros(len(p) + 1, dtype=np.int64)
+        np.add.at(covered, place, 1)
+        np.add.at(covered, place + length, -1)
+        literal = (np.cumsum(covered[:-1]) == 0).nonzero()[0]
     c = p.view(np.uint8).reshape(-1, 4)
     green = c[:, 1].astype(np.int64)
     cached = np.zeros(len(p), dtype=bool)
@@ -647,18 +671,22 @@ def _write_pixels(w: Writer, p: np.ndarray, width: int, height: int, main: bool,
             cached[i] = held.get(slots[i], 0) == v
             held[slots[i]] = v
         green = np.where(cached, 280 + np.array(slots, dtype=np.int64), green)
-    len_prefix, len_extra, len_value = prefix_of(length)
-    dist_prefix, dist_extra, dist_value = prefix_of(np.array([x[1] for x in copies], dtype=np.int64) + 120)
+    len_prefix, len_extra, len_value = prefix_of(length) if copies else [length] * 3
+    dist_prefix, dist_extra, dist_value = prefix_of(np.array([x[1] for x in copies], dtype=np.int64) + 120) if copies else [length] * 3
     size = 280 + (1 << cache_bits if cache_bits else 0)
-    plain = literal[~cached[literal]]
+    plain = literal[~cached[literal]] if cache_bits else literal
     fields = []
     for g in range(groups):
-        lit, pl, cp = literal[group_at[literal] == g], plain[group_at[plain] == g], np.flatnonzero(group_at[place] == g) if len(place) else np.zeros(0, np.int64)
-        codes = [
-            w.code(np.bincount(green[lit], minlength=size) + np.bincount(256 + len_prefix[cp], minlength=size)),
-            *[w.code(np.bincount(c[pl, k], minlength=256)) for k in (2, 0, 3)],
-            w.code(np.bincount(dist_prefix[cp], minlength=40)),
-        ]
+        lit, pl, cp = literal, plain, np.arange(len(place))
+        if groups > 1:
+            lit, pl, cp = lit[group_at[lit] == g], pl[group_at[pl] == g], (group_at[place] == g).nonzero()[0]
+        counts = np.bincount(green[lit], minlength=size)
+        codes = [w.code(counts + np.bincount(256 + len_prefix[cp], minlength=size) if len(cp) else counts)]
+        for k in (2, 0, 3):
+            own = c[pl, k]
+            same = not len(own) or int(own.min()) == int(own.max())
+            codes.append(w.fixed(int(own[0]) if len(own) else 0, 256) if same else w.code(np.bincount(own, minlength=256)))
+        codes.append(w.code(np.bincount(dist_prefix[cp], minlength=40)) if len(cp) else w.fixed(0, 40))
         # Each field with its place in the image and its turn there.
         fields.append((lit, 0, codes[0][0][green[lit]], codes[0][1][green[lit]]))
         for turn, k in ((1, 2), (2, 0), (3, 3)):
