@@ -47,11 +47,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 100 bytes that also start earlier; a document that loses all its bytes goes.
 
-    Characters cut through by a removed run are dropped with it, so texts stay UTF-8.
+    Characters cut through by a removed run are dropped with it, so texts stay UTF-8. Rows that share an id (or have
+    none) share one row's lang and source.
     """
     kept = suffix_dedup.suffix_dedup(docs).where("n_removed < n_bytes OR n_bytes = 0").select("doc_id", "text")
-    rest = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    return _counted(kept.join(rest, "doc_id"))
+    rest = docs.select(F.col("doc_id").alias("id"), "lang", "source").dropDuplicates(["id"])
+    return _counted(kept.join(rest, F.col("doc_id").eqNullSafe(F.col("id"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -423,13 +423,27 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     hit = IdFilter.of(gone, "doc_id")
     # Only texts that may have lost lines are shuffled.
     apart = gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("gone", "__gone")
-    touched = maybe_in(docs, hit, "doc_id").join(apart, F.col("doc_id") == F.col("__id"), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    touched = touched.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    touched = maybe_in(docs, hit, "doc_id").join(apart, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    place, names = docs.columns.index("text"), [*docs.columns, "n_lines", "n_removed"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def cut(batches):
+        for batch in sliced(batches, place):
+            kept, n, dropped = [], [], []
+            for text, gone in zip(blobs(batch.column(place)), batch.column(batch.num_columns - 1).to_pylist()):
+                lines, gone = text.split(b"\n"), set(gone or ())
+                n.append(len(lines))
+                dropped.append(len(gone))
+                kept.append(b"\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text)
+            cols = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(dropped, pa.int64())]
+            cols[place] = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    touched = touched.withColumn("text", F.col("text").cast("binary")).select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
+    touched = touched.mapInArrow(cut, f"{kinds}, n_lines bigint, n_removed bigint")
     rest = maybe_in(docs, hit, "doc_id", False).withColumn("text", F.coalesce("text", F.lit("")))
-    return touched.union(rest.select(*[F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
+    lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("bigint")
+    return touched.union(rest.select(*[F.col(f"`{c}`") for c in docs.columns], lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -46,3 +46,11 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for _, stage in p.STAGES:
         assert stage(spark, none, "/none").count() == 0
+
+
+def test_rows_without_an_id_stay(spark):
+    rows = [(None, "first words here", "en", "s", 1), (None, "other words there", "en", "s", 1), (5, "first words here", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, "/none").checkpoint()
+    assert docs.count() == 3
