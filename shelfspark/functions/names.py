@@ -63,3 +63,10 @@ def sniff(content):
         F.when(at(0, b"\xff\xd8\xff"), "jpeg").when(at(0, b"\x89PNG\r\n\x1a\n"), "png").when(at(0, b"RIFF") & at(8, b"WEBP"), "webp").when(at(0, b"GIF8"), "gif")
         .when(at(4, b"ftyp") & (at(8, b"avif") | at(8, b"avis")), "avif").when(at(4, b"ftyp"), "mp4").when(at(0, b"\x1a\x45\xdf\xa3"), "mkv").otherwise("other")
     )
+
+
+def animated_png(content):
+    """Whether a PNG's animation chunk comes before its first image data; the hex form is read at byte boundaries only by its even offsets."""
+    digits = F.hex(content)
+    control, data = F.instr(digits, b"acTL".hex().upper()), F.instr(digits, b"IDAT".hex().upper())
+    return (sniff(content) == "png") & (control > 0) & (control % 2 == 1) & ((data == 0) | (control < data))

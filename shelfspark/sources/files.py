@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import content_id, sniff
+from ..functions.names import animated_png, content_id, sniff
 from ..operators.tagging import folder_tags
 from ..operators.vocabulary import Vocabulary
 
@@ -32,7 +32,7 @@ def scan(spark: SparkSession, root: str, source: str = "main") -> DataFrame:
     path = F.concat(F.lit(source + "/"), _relative(root))
     made = F.unix_micros("modificationTime") / 1e6
     kind = F.col("format")
-    rows = raw.select(path.alias("path"), made.alias("mtime"), F.col("length").alias("size"), sniff(F.col("content")).alias("format"), content_id(F.col("content"), "b").alias("id"))
+    rows = raw.select(path.alias("path"), made.alias("mtime"), F.col("length").alias("size"), F.when(animated_png(F.col("content")), "apng").otherwise(sniff(F.col("content"))).alias("format"), content_id(F.col("content"), "b").alias("id"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)\z", 1))
     rows = rows.withColumn("format", F.when((kind == "other") & (ext != ""), ext).otherwise(kind))
     what = F.when(F.col("format").isin("jpeg", "png", "webp", "gif", "avif", "apng"), "image").when(F.col("format").isin("mp4", "mkv"), "video").otherwise("other")

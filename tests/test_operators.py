@@ -199,10 +199,14 @@ def test_files_and_store(spark, tmp_path):
     (root / "Cats").mkdir(parents=True)
     (root / "Cats" / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n....")
     (root / "b.txt").write_bytes(b"hello")
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + b"\0" * 17
+    for name, chunks in (("moving", b"acTL....IDAT"), ("still", b"IDAT....acTL")):
+        (root / "Cats" / f"{name}.png").write_bytes(png + chunks)
     got = {r["path"]: r for r in file_source.scan(spark, str(root)).collect()}
+    assert got.pop("main/Cats/moving.png")["format"] == "apng" and got.pop("main/Cats/still.png")["format"] == "png"
     assert set(got) == {"main/Cats/a.png", "main/b.txt"} and got["main/Cats/a.png"]["format"] == "png" and got["main/b.txt"]["format"] == "txt"
     assert got["main/Cats/a.png"]["folder_tags"] == ["folder:cats"] and got["main/b.txt"]["id"] == "b2cf24dba5fb0a30e" and got["main/b.txt"]["size"] == 5
-    assert {r["path"]: r["size"] for r in file_source.listing(spark, str(root)).collect()} == {"main/Cats/a.png": 12, "main/b.txt": 5}
+    assert {r["path"]: r["size"] for r in file_source.listing(spark, str(root)).collect() if "ing.png" not in r["path"] and "still" not in r["path"]} == {"main/Cats/a.png": 12, "main/b.txt": 5}
     import struct
 
     blob = spark.createDataFrame([("p", bytearray(struct.pack("<3f", 1.5, -2.25, 0.0))), ("q", bytearray(b"xx"))], "path string, blob binary")
