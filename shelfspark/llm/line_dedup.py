@@ -39,7 +39,7 @@ class _Cache(dict):
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     known = _Cache()
-    return np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -283,7 +283,10 @@ def _dealt(rows: np.ndarray, key: np.ndarray, parts: int, first: int) -> list[tu
 
 def later_places(rows: np.ndarray) -> np.ndarray:
     """The rows whose set has an earlier line."""
-    rows = np.unique(rows)  # in order of id, document and line, repeated rows once
+    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["id1"], rows["id"]))]
+    new = np.ones(len(rows), dtype=bool)  # repeated rows count once
+    new[1:] = (rows["id"][1:] != rows["id"][:-1]) | (rows["doc"][1:] != rows["doc"][:-1]) | (rows["line"][1:] != rows["line"][:-1])
+    rows = rows[new]
     later = np.zeros(len(rows), dtype=bool)
     later[1:] = (rows["id"][1:] == rows["id"][:-1]) & (rows["id1"][1:] == rows["id1"][:-1])
     return rows[later]
