@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,10 +23,16 @@ EXAMPLE_BYTES = 1 << 16
 NEIGHBOURS = 15
 EVIDENCE = 3
 _BLOCK = 32
+_COMMON = 16
+_AT_ONCE = 64
 _STEMS = (5, 7)
 _SAME = 64
-#: Weights of the term that stands for all words without a known term; the one of least leave-one-out loss is taken.
+#: Weights of the words that don't go with a label, against 1 for the terms that do; the one of least leave-one-out loss is taken.
 BACKGROUND = (0.1, 0.2, 0.4, 0.8)
+#: Hashed counts for the documents that hold a word of no example; such words only add to a text's length.
+SLOTS = 1 << 20
+#: Cosines this near to 1 are those of the same vector.
+_EQUAL = 1 - 1e-9
 _TUNED = 1_000
 _WORD = re.compile(r"\w+")
 
@@ -40,8 +47,8 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in _STEMS if len(word) > n]]
 
 
-def chosen_terms(texts: list[bytes], labels: list[int]) -> list[str]:
-    """Terms that go with a label: chi-square of 2 ln(number of terms) or more over texts of different beginnings; if there are none, terms of two texts or more."""
+def chosen_terms(texts: list[bytes], labels: list[int]) -> set[str]:
+    """Terms that go with a label: chi-square of 2 ln(number of terms) or more over texts of different beginnings."""
     seen, met, size = {0: Counter(), 1: Counter()}, set(), {0: 0, 1: 0}
     for t, y in zip(texts, labels):
         if (y, t[:_SAME]) not in met:  # near copies would give chance words weight
@@ -49,34 +56,35 @@ def chosen_terms(texts: list[bytes], labels: list[int]) -> list[str]:
             size[y] += 1
             seen[y].update({x for w in words_of(t) for x in terms_of(w)})
     n1, n0 = size[1], size[0]
-    every = [w for w in set(seen[0]) | set(seen[1]) if seen[0][w] + seen[1][w] > 1]
-    bound, out = 2 * math.log(len(seen[0]) + len(seen[1]) + 2), []
-    for w in every:
+    bound, out = 2 * math.log(len(seen[0]) + len(seen[1]) + 2), set()
+    for w in set(seen[0]) | set(seen[1]):
         a, c = seen[1][w], seen[0][w]
         b, d = n1 - a, n0 - c
         under = (a + b) * (c + d) * (a + c) * (b + d)
-        if under and (a + b + c + d) * (a * d - b * c) ** 2 / under >= bound:
-            out.append(w)
-    return sorted(out) or sorted(every)
+        if a + c > 1 and under and (a + b + c + d) * (a * d - b * c) ** 2 / under >= bound:
+            out.add(w)
+    return out
 
 
 class _Terms(dict):
-    """Numbers of a word's known terms, remembered for so many words."""
+    """Numbers of a word's terms, remembered for so many words: the word's own or, without one, its slot after them all, and its known beginnings."""
 
     def __init__(self, known: dict[str, int]):
         self.numbers = known
 
     def __missing__(self, word):
-        got = tuple(self.numbers[t] for t in terms_of(word) if t in self.numbers)
+        own, *stems = terms_of(word)
+        at = self.numbers.get(own)
+        got = (len(self.numbers) + zlib.crc32(own.encode()) % SLOTS if at is None else at, *[self.numbers[t] for t in stems if t in self.numbers])
         if len(self) < 1 << 18:
             self[word] = got
         return got
 
 
 def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Documents that hold each term, and documents with a text, over the whole table; a task sends one array of the terms' length."""
+    """Documents that hold each term, then those that hold the words of each slot, and documents with a text, over the whole table; a task sends one array of that length."""
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
-    n = len(terms) + 1
+    n = len(terms) + SLOTS + 1
 
     def count(batches):
         known, total = _Terms(shared.value), np.zeros(n, dtype=np.int64)
@@ -102,14 +110,16 @@ def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, cut into blocks of examples; of each term and block the greatest weight is kept.
+    """Postings of unit vectors by term, cut into blocks of examples; of each term and block that meet the greatest weight is kept.
 
-    search() bounds every block by the query's weights times those maxima, scores the most promising blocks in full and
-    then only those whose bound reaches the k-th best score, so its answer is that of a full scan.
+    Terms of a _COMMON-th of the examples or more stand in a matrix instead and are multiplied for many queries at once.
+    search() bounds every block by its best common part plus the query's weights times the maxima of its other terms,
+    scores the most promising blocks in full and then only those whose bound reaches the k-th best score, so its answer
+    is that of a full scan. Cosines are rounded to 12 digits, so that equal examples tie.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = _BLOCK):
-        self.n, self.block = len(vectors), block
+        self.n, self.terms, self.block = len(vectors), terms, block
         # Examples with the same heaviest term stand together, which makes the bounds of a block tight.
         heavy = np.array([t[w.argmax()] if len(t) else terms for t, w in vectors], dtype=np.int64)
         self.order = np.argsort(heavy, kind="stable")
@@ -119,35 +129,57 @@ class BlockMaxIndex:
         place = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
         by = np.lexsort((place, term))
         self.place, self.weight, term = place[by], weight[by], term[by]
-        self.most = np.zeros((terms, self.blocks))
-        np.maximum.at(self.most, (term, self.place // block), self.weight)
-        self.first = np.searchsorted(term * self.blocks + self.place // block, np.arange(terms * self.blocks + 1))
-
-    def _score(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, scores: np.ndarray) -> None:
-        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-        start, stop = self.first[cell], self.first[cell + 1]
-        n = stop - start
-        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-        np.add.at(scores, self.place[at], self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), n))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example) of the k best with a cosine above 0, best first, the lower number on ties."""
+        held = np.bincount(term, minlength=terms)
+        self.row = np.where(held * _COMMON >= max(1, self.n), np.cumsum(held * _COMMON >= max(1, self.n)) - 1, -1)
+        common = self.row[term] >= 0 if len(term) else np.zeros(0, dtype=bool)
+        self.matrix = np.zeros((int(self.row.max(initial=-1)) + 1, self.blocks * block))
+        self.matrix[self.row[term[common]], self.place[common]] = self.weight[common]
+        self.place, self.weight, term = self.place[~common], self.weight[~common], term[~common]
+        # A cell is a term and a block that meet; its postings stand together, as do the cells of a term.
+        cells, start = np.unique(term * max(1, self.blocks) + self.place // block, return_index=True)
+        self.start = np.append(start, len(term))
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.in_block = cells % max(1, self.blocks)
+        self.first = np.searchsorted(cells // max(1, self.blocks), np.arange(terms + 1))
+
+    def _score(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        n = self.start[cells + 1] - self.start[cells]
+        at = _runs(self.start[cells], n)
+        return np.bincount(self.place[at], self.weight[at] * np.repeat(weights, n), self.n)
+
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to the cosine of each vector and place."""
+        asked = np.zeros((len(vectors), len(self.matrix)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms[terms < self.terms]]
+            asked[i, row[row >= 0]] = weights[: len(row)][row >= 0]
+        return asked @ self.matrix
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None, common: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """(cosine, example) of the k best with a cosine above 0, best first, the lower number on ties; terms, in order, beyond the index's own meet no example."""
         if not len(terms) or not self.n:
             return []
-        bound = weights @ self.most[terms]
+        base = self.common([(terms, weights)])[0] if common is None else common
+        there = terms < self.terms
+        terms, weights = terms[there], weights[there]
+        n = self.first[terms + 1] - self.first[terms]
+        cells, weights = _runs(self.first[terms], n), np.repeat(weights, n)
+        block = self.in_block[cells]
+        bound = np.bincount(block, weights * self.most[cells], self.blocks) + base.reshape(self.blocks, self.block).max(axis=1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        scores, lead = np.zeros(self.n), max(1, -(-2 * k // self.block))
-        head, rest = order[:lead], order[lead:]
+        lead = max(1, -(-2 * k // self.block))
         own = None if skip is None else int(np.flatnonzero(self.order == skip)[0])
-        self._score(terms, weights, head, scores)
-        if own is not None:
-            scores[own] = 0.0
-        if len(rest):
+        scores = np.zeros(self.n)
+        for turn in (order[:lead], order[lead:]):
             kth = np.partition(scores, -k)[-k] if self.n >= k else 0.0
-            rest = rest[bound[rest] >= kth - 1e-12]
-            if len(rest):
-                self._score(terms, weights, rest, scores)
+            turn = turn[bound[turn] >= kth - 1e-9]
+            if len(turn):
+                chosen = np.zeros(self.blocks, dtype=bool)
+                chosen[turn] = True
+                held = chosen[block]
+                got = self._score(cells[held], weights[held]) + base[: self.n]
+                scores = np.where(np.repeat(chosen, self.block)[: self.n], got.round(12), scores)
                 if own is not None:
                     scores[own] = 0.0
         at = np.flatnonzero(scores > 0)
@@ -158,17 +190,23 @@ class BlockMaxIndex:
         return [(-s, i) for s, i in best]
 
 
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, n of each, one run after the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class ToxicModel:
     """Terms with their inverse document frequencies, the index of examples, and the calibration of the vote."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, texts: list[bytes], labels: list[int], ids: list, share: float):
+    def __init__(self, terms: list[str], idf: np.ndarray, chosen: set[str], texts: list[bytes], labels: list[int], ids: list, share: float):
         self.known = _Terms({w: i for i, w in enumerate(terms)})
         self.labels, self.ids = np.array(labels, dtype=np.int64), ids
+        marked = np.append(np.array([w in chosen for w in terms], dtype=bool), np.zeros(SLOTS, dtype=bool))
         best = None
         for weight in BACKGROUND:
-            self.idf = np.append(idf, weight)
+            self.idf = np.where(marked, idf, idf * weight)
             vectors = [self.vector(t) for t in texts]
-            self.index = BlockMaxIndex(vectors, len(self.idf))
+            self.index = BlockMaxIndex(vectors, len(terms))
             tried = range(0, len(texts), max(1, len(texts) // _TUNED))
             votes = np.array([self.vote(self.index.search(*vectors[i], NEIGHBOURS, skip=i)) for i in tried])
             fit = _logistic(votes, self.labels[list(tried)])
@@ -177,17 +215,16 @@ class ToxicModel:
             if best is None or loss < best[0]:
                 best = (loss, self.idf, self.index, fit)
         _, self.idf, self.index, (self.slope, self.offset) = best
-        self.of_one: dict[int, list[tuple[float, int]]] = {}
         if 0 < self.labels.sum() < len(labels) and 0 < share < 1:  # from the sample's share of toxic rows to that of all labelled rows
             own = self.labels.mean()
             self.offset += math.log(share / (1 - share)) - math.log(own / (1 - own))
 
     def vector(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights (1 + ln tf) idf, of length 1; words without a known term count as one term; empty without a word."""
+        """Term numbers and weights (1 + ln tf) idf, of length 1; empty without a word."""
         counts: Counter = Counter()
-        last, known = len(self.idf) - 1, self.known
+        known = self.known
         for w, n in words_of(data).items():
-            for i in known[w] or (last,):
+            for i in known[w]:
                 counts[i] += n
         if not counts:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -196,20 +233,20 @@ class ToxicModel:
         norm = np.sqrt((weights * weights).sum())
         return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
 
-    def nearest(self, data: bytes) -> list[tuple[float, int]]:
-        """The neighbours of a text; those of vectors with one term, always the same, are remembered."""
-        terms, weights = self.vector(data)
-        if len(terms) != 1:
-            return self.index.search(terms, weights, NEIGHBOURS)
-        one = int(terms[0])
-        if one not in self.of_one:
-            self.of_one[one] = self.index.search(terms, weights, NEIGHBOURS)
-        return self.of_one[one]
+    def nearest(self, texts: list[bytes]) -> list[list[tuple[float, int]]]:
+        """The neighbours of each text."""
+        out = []
+        for k in range(0, len(texts), _AT_ONCE):
+            vectors = [self.vector(t) for t in texts[k : k + _AT_ONCE]]
+            out += [self.index.search(*v, NEIGHBOURS, common=c) for v, c in zip(vectors, self.index.common(vectors))]
+        return out
 
     def vote(self, found: list[tuple[float, int]]) -> float:
-        """Share of toxic among the neighbours, each weighted by 1 / (distance + 0.1)."""
+        """Share of toxic among the neighbours, each weighted by 1 / (distance + 0.1); examples of the same vector, if any, vote alone."""
         if not found:
             return 0.0
+        if found[0][0] >= _EQUAL:
+            found = [(s, i) for s, i in found if s >= _EQUAL]
         weight = np.array([1 / (1.1 - min(1.0, s)) for s, _ in found])
         return float((weight * self.labels[[i for _, i in found]]).sum() / weight.sum())
 
@@ -249,16 +286,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(few), F.col(id_col) == F.col("__id"))
     got = rows.select("__id", "__y", F.substring(F.col(text_col).cast("binary"), 1, EXAMPLE_BYTES).alias("t")).dropDuplicates(["__id"]).orderBy("__id").collect()
     texts, ys = [bytes(r["t"]) for r in got], [r["__y"] for r in got]
-    terms = chosen_terms(texts, ys)
+    chosen = chosen_terms(texts, ys)
+    terms = sorted({w for t in texts for w in words_of(t)} | chosen)
     df, n = doc_frequencies(docs, terms, text_col)
     idf = np.log((1 + n) / (1 + df)) + 0.01
-    return ToxicModel(terms, idf, texts, ys, [r["__id"] for r in got], sizes.get(1, 0) / max(1, sum(sizes.values())))
+    return ToxicModel(terms, idf, chosen, texts, ys, [r["__id"] for r in got], sizes.get(1, 0) / max(1, sum(sizes.values())))
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted, evidence, evidence_cosine) of every row, from its whole text alone.
 
-    A null or empty text, or one without a word, has no neighbour: its score is that of no vote. Ties between
+    A null or empty text, or one without a word of an example, has no neighbour: its score is that of no vote. Ties between
     examples go to the lower example number; repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -267,7 +305,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     def run(batches):
         m = shared.value
         for batch in sliced(batches, 1):
-            found = [m.nearest(t) for t in blobs(batch.column(1))]
+            found = m.nearest(list(blobs(batch.column(1))))
             s = np.array([m.score(f) for f in found], dtype=np.float64)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -250,6 +250,18 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in knn_toxicity.score(docs_, empty).collect()} <= {0, 1}
 
 
+def test_toxicity_of_copies(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(30))) for k in range(300)]  # no word goes with a label
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id bigint, toxic int")
+    asked = spark.createDataFrame([(1000 + k, t) for k, t in rows] + [(2000, "none of these")], "doc_id bigint, text string")
+    model = knn_toxicity.train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    got = {r["doc_id"] - 1000: r for r in knn_toxicity.score(asked, model).collect()}
+    assert all(got[k]["evidence"][0] == k and got[k]["evidence_cosine"][0] == pytest.approx(1) and got[k]["evidence_cosine"][1] < 0.9 for k in range(300))
+    assert len({got[k]["score"] for k in range(0, 300, 3)}) == 1 and got[0]["score"] > got[1]["score"]
+    assert got[1000]["evidence"] == []
+
+
 # ---- 7
 
 
