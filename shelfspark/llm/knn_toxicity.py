@@ -26,7 +26,8 @@ _BLOCK = 32
 _COMMON = 16
 _AT_ONCE = 64
 _STEMS = (5, 7)
-_SAME = 64
+#: Word sets with a Jaccard of this much, in hundredths, are near copies.
+_SAME = 80
 #: Weights of the words that don't go with a label, against 1 for the terms that do; the one of least leave-one-out loss is taken.
 BACKGROUND = (0.1, 0.2, 0.4, 0.8)
 #: Hashed counts for the documents that hold a word of no example; such words only add to a text's length.
@@ -47,14 +48,28 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in _STEMS if len(word) > n]]
 
 
+def distinct(words: list[set[str]], labels: list[int]) -> list[int]:
+    """Numbers of the word sets that aren't near copies of an earlier one of these with the same label.
+
+    Sets as near as _SAME share a word among their rarest (100 - _SAME) hundredths, so only those meet.
+    """
+    held, out, by = Counter(w for s in words for w in s), [], {}
+    for i, (s, y) in enumerate(zip(words, labels)):
+        rare = sorted(s, key=lambda w: (held[w], w))[: len(s) * (100 - _SAME) // 100 + 1] or [""]
+        met = {j for w in rare for j in by.get((y, w), ()) if 100 * min(len(s), len(words[j])) >= _SAME * max(len(s), len(words[j]))}
+        if not any((100 + _SAME) * len(s & words[j]) >= _SAME * (len(s) + len(words[j])) for j in met):
+            out.append(i)
+            for w in rare:
+                by.setdefault((y, w), []).append(i)
+    return out
+
+
 def chosen_terms(texts: list[bytes], labels: list[int]) -> set[str]:
-    """Terms that go with a label: chi-square of 2 ln(number of terms) or more over texts of different beginnings."""
-    seen, met, size = {0: Counter(), 1: Counter()}, set(), {0: 0, 1: 0}
-    for t, y in zip(texts, labels):
-        if (y, t[:_SAME]) not in met:  # near copies would give chance words weight
-            met.add((y, t[:_SAME]))
-            size[y] += 1
-            seen[y].update({x for w in words_of(t) for x in terms_of(w)})
+    """Terms that go with a label: chi-square of 2 ln(number of terms) or more over texts that aren't near copies."""
+    seen, size, words = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}, [set(words_of(t)) for t in texts]
+    for i in distinct(words, labels):  # near copies would give chance words weight
+        size[labels[i]] += 1
+        seen[labels[i]].update({x for w in words[i] for x in terms_of(w)})
     n1, n0 = size[1], size[0]
     bound, out = 2 * math.log(len(seen[0]) + len(seen[1]) + 2), set()
     for w in set(seen[0]) | set(seen[1]):

@@ -262,6 +262,22 @@ def test_toxicity_of_copies(spark):
     assert got[1000]["evidence"] == []
 
 
+def test_toxic_terms_behind_a_header():
+    rng = random.Random(9)
+    header = "Licensed to the readers of this collection under the terms that are printed on its back. "
+    texts = [header + " ".join(rng.choice(["vile", "awful"]) if k < 40 and n == 9 else f"w{rng.randrange(900)}" for n in range(40)) for k in range(120)]
+    labels = [int(k < 40) for k in range(120)]
+    copies = [texts[50] + f" x{k}" for k in range(60)]  # near copies count once
+    chosen = knn_toxicity.chosen_terms([t.encode() for t in texts + copies], labels + [0] * 60)
+    assert {"vile", "awful"} <= chosen and not any(w in chosen for w in texts[50].split()[16:])
+    words = [set(rng.choices(texts[k % 9].split(), k=rng.randint(0, 40))) for k in range(400)]
+    kept = []
+    for i, s in enumerate(words):
+        if not any(labels[i % 120] == labels[j % 120] and 5 * len(s & words[j]) >= 4 * len(s | words[j]) for j in kept):
+            kept.append(i)
+    assert knn_toxicity.distinct(words, [labels[i % 120] for i in range(400)]) == kept
+
+
 # ---- 7
 
 
