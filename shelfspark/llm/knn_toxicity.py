@@ -16,15 +16,14 @@ from pyspark.sql.window import Window
 
 from .common import blobs, crc_of_id, plain_names, sliced, table
 
-#: Labelled examples of each class at most, the first by a hash of their id, and bytes of one that are used.
+#: Labelled examples of each class at most, the first by a hash of their id.
 EXAMPLES = {1: 2_048, 0: 4_096}
-EXAMPLE_BYTES = 1 << 16
 #: Neighbours that vote, and how many of them are named as evidence.
 NEIGHBOURS = 15
 EVIDENCE = 3
 _BLOCK = 32
-_COMMON = 16
-_AT_ONCE = 64
+_COMMON = 32
+_AT_ONCE = 128
 _STEMS = (5, 7)
 #: Word sets with a Jaccard of this much, in hundredths, are near copies.
 _SAME = 80
@@ -34,6 +33,7 @@ BACKGROUND = (0.1, 0.2, 0.4, 0.8)
 SLOTS = 1 << 20
 #: Cosines this near to 1 are those of the same vector.
 _EQUAL = 1 - 1e-9
+#: Background weight and calibration are fitted on every (n / _TUNED)-th example, in the order of ids.
 _TUNED = 1_000
 _WORD = re.compile(r"\w+")
 
@@ -48,8 +48,8 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in _STEMS if len(word) > n]]
 
 
-def distinct(words: list[set[str]], labels: list[int]) -> list[int]:
-    """Numbers of the word sets that aren't near copies of an earlier one of these with the same label.
+def distinct(words: list, labels: list[int]) -> list[int]:
+    """Numbers of the word sets (or views of keys) that aren't near copies of an earlier one of these with the same label.
 
     Sets as near as _SAME share a word among their rarest (100 - _SAME) hundredths, so only those meet.
     """
@@ -64,9 +64,9 @@ def distinct(words: list[set[str]], labels: list[int]) -> list[int]:
     return out
 
 
-def chosen_terms(texts: list[bytes], labels: list[int]) -> set[str]:
+def chosen_terms(counts: list[Counter], labels: list[int]) -> set[str]:
     """Terms that go with a label: chi-square of 2 ln(number of terms) or more over texts that aren't near copies."""
-    seen, size, words = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}, [set(words_of(t)) for t in texts]
+    seen, size, words = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}, [c.keys() for c in counts]
     for i in distinct(words, labels):  # near copies would give chance words weight
         size[labels[i]] += 1
         seen[labels[i]].update({x for w in words[i] for x in terms_of(w)})
@@ -82,18 +82,36 @@ def chosen_terms(texts: list[bytes], labels: list[int]) -> set[str]:
 
 
 class _Terms(dict):
-    """Numbers of a word's terms, remembered for so many words: the word's own or, without one, its slot after them all, and its known beginnings."""
+    """A word's number, remembered for so many words: the word's own or, without one, its slot after them all; -1 - k if it also has known beginnings, at several[k]."""
 
     def __init__(self, known: dict[str, int]):
-        self.numbers = known
+        self.numbers, self.several = known, []
 
     def __missing__(self, word):
-        own, *stems = terms_of(word)
-        at = self.numbers.get(own)
-        got = (len(self.numbers) + zlib.crc32(own.encode()) % SLOTS if at is None else at, *[self.numbers[t] for t in stems if t in self.numbers])
-        if len(self) < 1 << 18:
-            self[word] = got
-        return got
+        at = self.numbers.get(word)
+        if at is None:
+            at = len(self.numbers) + zlib.crc32(word.encode()) % SLOTS
+        if stems := [self.numbers[t] for t in terms_of(word)[1:] if t in self.numbers]:
+            self.several.append([at, *stems])
+            at = -len(self.several)
+        self[word] = at
+        return at
+
+    def of(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a text's terms, in order, and how often each comes."""
+        if len(self) > 1 << 18:
+            self.clear()
+            self.several.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        n = np.fromiter(words.values(), np.int64, len(words))
+        if len(many := np.flatnonzero(at < 0)):
+            more = [self.several[-1 - k] for k in at[many].tolist()]
+            at = np.concatenate([np.delete(at, many), *more])
+            n = np.concatenate([np.delete(n, many), np.repeat(n[many], [len(x) for x in more])])
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        return at[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -106,7 +124,7 @@ def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -
         for batch in sliced(batches, 0):
             for text in blobs(batch.column(0)):
                 if text:
-                    total[list({i for w in words_of(text) for i in known[w]})] += 1
+                    total[known.of(words_of(text))[0]] += 1
                     total[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["k", "n"])
 
@@ -147,15 +165,28 @@ class BlockMaxIndex:
         held = np.bincount(term, minlength=terms)
         self.row = np.where(held * _COMMON >= max(1, self.n), np.cumsum(held * _COMMON >= max(1, self.n)) - 1, -1)
         common = self.row[term] >= 0 if len(term) else np.zeros(0, dtype=bool)
-        self.matrix = np.zeros((int(self.row.max(initial=-1)) + 1, self.blocks * block))
-        self.matrix[self.row[term[common]], self.place[common]] = self.weight[common]
-        self.place, self.weight, term = self.place[~common], self.weight[~common], term[~common]
+        self.filled = self.row[term[common]].astype(np.int32), self.place[common].astype(np.int32), self.weight[common]
+        self.place, self.weight, term = self.place[~common].astype(np.int32), self.weight[~common], term[~common]
         # A cell is a term and a block that meet; its postings stand together, as do the cells of a term.
         cells, start = np.unique(term * max(1, self.blocks) + self.place // block, return_index=True)
-        self.start = np.append(start, len(term))
+        self.start = np.append(start, len(term)).astype(np.int32)
+        self.first = np.searchsorted(cells // max(1, self.blocks), np.arange(terms + 1)).astype(np.int32)
+        self._derived()
+
+    def _derived(self) -> None:
+        """What follows from the postings and doesn't travel with them: the matrix, and each cell's block and greatest weight."""
+        start, (row, place, weight) = self.start[:-1], self.filled
+        self.matrix = np.zeros((int(self.row.max(initial=-1)) + 1, self.blocks * self.block))
+        self.matrix[row, place] = weight
         self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.in_block = cells % max(1, self.blocks)
-        self.first = np.searchsorted(cells // max(1, self.blocks), np.arange(terms + 1))
+        self.in_block = self.place[start] // np.int32(self.block)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("matrix", "most", "in_block")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._derived()
 
     def _score(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
         n = self.start[cells + 1] - self.start[cells]
@@ -210,19 +241,38 @@ def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """(__id, __y, words, n) of (__id, __y, t): the words of each whole text, parted by spaces, and how often each comes, compressed."""
+    kind = rows.schema["__id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in sliced(batches, 2):
+            found = [words_of(t) for t in blobs(batch.column(2))]
+            words = [zstandard.compress(" ".join(c).encode(), 1) for c in found]
+            numbers = [zstandard.compress(np.array([*c.values()], dtype=np.int64).tobytes(), 1) for c in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(numbers, pa.binary())], names=["__id", "__y", "words", "n"])
+
+    return rows.mapInArrow(run, f"__id {kind}, __y int, words binary, n binary")
+
+
+def _unpacked(words: bytes, n: bytes):
+    return zip(zstandard.decompress(bytes(words)).decode().split(), np.frombuffer(zstandard.decompress(bytes(n)), dtype=np.int64).tolist())
+
+
 class ToxicModel:
     """Terms with their inverse document frequencies, the index of examples, and the calibration of the vote."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, chosen: set[str], texts: list[bytes], labels: list[int], ids: list, share: float):
-        self.known = _Terms({w: i for i, w in enumerate(terms)})
+    def __init__(self, known: _Terms, idf: np.ndarray, chosen: set[str], counts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list, share: float):
+        self.known = known
         self.labels, self.ids = np.array(labels, dtype=np.int64), ids
-        marked = np.append(np.array([w in chosen for w in terms], dtype=bool), np.zeros(SLOTS, dtype=bool))
+        marked, terms = np.zeros(len(idf), dtype=bool), known.numbers
+        marked[[terms[w] for w in chosen]] = True
         best = None
         for weight in BACKGROUND:
             self.idf = np.where(marked, idf, idf * weight)
-            vectors = [self.vector(t) for t in texts]
+            vectors = [self.weighted(*c) for c in counts]
             self.index = BlockMaxIndex(vectors, len(terms))
-            tried = range(0, len(texts), max(1, len(texts) // _TUNED))
+            tried = range(0, len(counts), max(1, len(counts) // _TUNED))
             votes = np.array([self.vote(self.index.search(*vectors[i], NEIGHBOURS, skip=i)) for i in tried])
             fit = _logistic(votes, self.labels[list(tried)])
             z = (fit[0] * votes + fit[1]) * (2 * self.labels[list(tried)] - 1)
@@ -234,25 +284,27 @@ class ToxicModel:
             own = self.labels.mean()
             self.offset += math.log(share / (1 - share)) - math.log(own / (1 - own))
 
-    def vector(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def __getstate__(self):
+        return self.__dict__ | {"known": None, "names": list(self.known.numbers)}
+
+    def __setstate__(self, state):
+        names = state.pop("names")
+        self.__dict__ |= state | {"known": _Terms({w: i for i, w in enumerate(names)})}
+
+    def weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights (1 + ln tf) idf, of length 1; empty without a word."""
-        counts: Counter = Counter()
-        known = self.known
-        for w, n in words_of(data).items():
-            for i in known[w]:
-                counts[i] += n
-        if not counts:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        terms = np.array(sorted(counts), dtype=np.int64)
-        weights = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms]
+        weights = (1 + np.log(counts)) * self.idf[terms]
         norm = np.sqrt((weights * weights).sum())
         return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
 
+    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        return self.weighted(*self.known.of(words))
+
     def nearest(self, texts: list[bytes]) -> list[list[tuple[float, int]]]:
         """The neighbours of each text."""
         out = []
         for k in range(0, len(texts), _AT_ONCE):
-            vectors = [self.vector(t) for t in texts[k : k + _AT_ONCE]]
+            vectors = [self.vector(words_of(t)) for t in texts[k : k + _AT_ONCE]]
             out += [self.index.search(*v, NEIGHBOURS, common=c) for v, c in zip(vectors, self.index.common(vectors))]
         return out
 
@@ -299,13 +351,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = thin.withColumn("__r", F.row_number().over(Window.partitionBy("__y").orderBy("__k", "__id"))).where(F.col("__r") <= most)
     # The chosen ids are at most EXAMPLES in number, so they can be broadcast.
     rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(few), F.col(id_col) == F.col("__id"))
-    got = rows.select("__id", "__y", F.substring(F.col(text_col).cast("binary"), 1, EXAMPLE_BYTES).alias("t")).dropDuplicates(["__id"]).orderBy("__id").collect()
-    texts, ys = [bytes(r["t"]) for r in got], [r["__y"] for r in got]
-    chosen = chosen_terms(texts, ys)
-    terms = sorted({w for t in texts for w in words_of(t)} | chosen)
+    got = counted(rows.select("__id", "__y", F.col(f"`{text_col}`").cast("binary").alias("t")).dropDuplicates(["__id"])).orderBy("__id").collect()
+    ys, ids = [r["__y"] for r in got], [r["__id"] for r in got]
+    counts, names = [], {}
+    while got:  # each word is held once
+        r = got.pop()
+        counts.append(Counter({names.setdefault(w, w): n for w, n in _unpacked(r["words"], r["n"])}))
+    counts.reverse()
+    chosen = chosen_terms(counts, ys)
+    terms = sorted(names.keys() | chosen)
+    known = _Terms({w: i for i, w in enumerate(terms)})
+    while counts:
+        got.append(known.of(counts.pop()))
+    got.reverse()
     df, n = doc_frequencies(docs, terms, text_col)
     idf = np.log((1 + n) / (1 + df)) + 0.01
-    return ToxicModel(terms, idf, chosen, texts, ys, [r["__id"] for r in got], sizes.get(1, 0) / max(1, sum(sizes.values())))
+    return ToxicModel(known, idf, chosen, got, ys, ids, sizes.get(1, 0) / max(1, sum(sizes.values())))
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

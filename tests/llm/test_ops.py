@@ -268,7 +268,7 @@ def test_toxic_terms_behind_a_header():
     texts = [header + " ".join(rng.choice(["vile", "awful"]) if k < 40 and n == 9 else f"w{rng.randrange(900)}" for n in range(40)) for k in range(120)]
     labels = [int(k < 40) for k in range(120)]
     copies = [texts[50] + f" x{k}" for k in range(60)]  # near copies count once
-    chosen = knn_toxicity.chosen_terms([t.encode() for t in texts + copies], labels + [0] * 60)
+    chosen = knn_toxicity.chosen_terms([knn_toxicity.words_of(t.encode()) for t in texts + copies], labels + [0] * 60)
     assert {"vile", "awful"} <= chosen and not any(w in chosen for w in texts[50].split()[16:])
     words = [set(rng.choices(texts[k % 9].split(), k=rng.randint(0, 40))) for k in range(400)]
     kept = []
@@ -278,6 +278,18 @@ def test_toxic_terms_behind_a_header():
     assert knn_toxicity.distinct(words, [labels[i % 120] for i in range(400)]) == kept
 
 
+def test_toxic_passage_far_on(spark):
+    rng = random.Random(10)
+    rows = [(k, " ".join(f"w{rng.randrange(2000)}" for _ in range(20 if k % 2 else 14_000)) + (" vile" if k % 4 < 2 else "")) for k in range(24)]
+    assert all(t.find("vile") > 1 << 16 for k, t in rows if k % 4 == 0)
+    docs_ = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = knn_toxicity.train(docs_, spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(24)], "doc_id bigint, toxic int"))
+    vile = model.known.numbers["vile"]
+    assert sum(vile in model.vector(knn_toxicity.words_of(t.encode()))[0] for _, t in rows) == 12
+    held = [i for _, i in model.index.search(np.array([vile]), np.ones(1), 24)]
+    assert sorted(model.ids[i] for i in held) == [k for k in range(24) if k % 4 < 2]
+
+
 # ---- 7
 
 
