@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,6 @@ from .common import blobs, crc_of_id, plain_names, sliced, table
 DIM = 1 << 12
 #: Labelled rows for the fit at most, as many of each language, the first by a hash of their id; bounds the driver's memory (rows x 3 x DIM floats).
 TRAIN_ROWS = 4_000
-#: Bytes of one training text that are used at most.
-TRAIN_BYTES = 2_000
 #: Texts whose best and second best languages are nearer than this are flagged as ambiguous.
 MARGIN = 0.1
 #: Bytes of a text whose n-grams are held at once.
@@ -56,10 +55,15 @@ def grams(data: bytes) -> np.ndarray:
     return np.concatenate([((x * m) >> shift) + np.uint32(i * DIM) for i, (x, m) in enumerate(zip(out, mul))])
 
 
-def profile(data: bytes) -> np.ndarray:
-    """The text's n-grams as square roots of relative counts, of length 1."""
-    counts = np.bincount(grams(data), minlength=3 * DIM).astype(np.float32)
-    return np.sqrt(counts / counts.sum())
+def counted(data: bytes) -> np.ndarray:
+    """How often each n-gram comes in a text, counted piece by piece."""
+    return sum(np.bincount(grams(data[k : k + _PIECE]), minlength=3 * DIM) for k in range(0, len(data) or 1, _PIECE))
+
+
+def _profiles(batches):
+    for batch in sliced(batches, 0):
+        counts = [zstandard.compress(counted(t).astype(np.int64).tobytes(), 1) for t in blobs(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), *batch.columns[1:]], names=["n", "l", "__k"])
 
 
 class Ecoc:
@@ -86,20 +90,21 @@ class Ecoc:
     def margins(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), self.weights.shape[1]))
         for i, t in enumerate(texts):
-            g = sum(np.bincount(grams(t[k : k + _PIECE]), minlength=self.weights.shape[0]) for k in range(0, len(t) or 1, _PIECE))
+            g = counted(t)
             at = np.flatnonzero(g)
             x = np.sqrt(g[at] / g.sum()).astype(np.float32)
             out[i] = x @ self.weights[at]
         return out + self.bias
 
 
-def fit(texts: list[bytes], langs: list[str], rounds: int = 120) -> Ecoc:
-    """Logistic regressions, one for each bit, by full-batch gradient steps with momentum; deterministic."""
+def fit(counts: list[bytes], langs: list[str], rounds: int = 120) -> Ecoc:
+    """Logistic regressions over the square roots of relative counts (compressed, of each text), one for each bit, by full-batch gradient steps with momentum; deterministic."""
     names = sorted(set(langs))
     words = codewords(len(names))
-    x = np.zeros((len(texts), 3 * DIM), np.float32)
-    for i, t in enumerate(texts):
-        x[i] = profile(t)
+    x = np.zeros((len(counts), 3 * DIM), np.float32)
+    for i, c in enumerate(counts):
+        n = np.frombuffer(zstandard.decompress(c), dtype=np.int64)
+        x[i] = np.sqrt(n / n.sum())
     y = words[[names.index(v) for v in langs]].astype(np.float32) if names else np.zeros((0, 1), np.float32)
     # Each language weighs the same.
     share = np.array([1 / langs.count(v) for v in names])
@@ -116,7 +121,10 @@ def fit(texts: list[bytes], langs: list[str], rounds: int = 120) -> Ecoc:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Ecoc:
-    """Fit on train_rows labelled rows of docs at most, as many of each language: those of least hash of (id, language)."""
+    """Fit on train_rows labelled rows of docs at most, as many of each language: those of least hash of (id, language).
+
+    Executors count the n-grams of these rows' whole texts; the driver gets one profile of fixed size for each.
+    """
     from pyspark.sql.window import Window
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
@@ -130,8 +138,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.create_map(*pairs)[F.col(lang_col)]
     thin = rows.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).withColumn("__k", key)
     few = thin.withColumn("__r", F.row_number().over(Window.partitionBy(lang_col).orderBy("__k", id_col, text_col))).where(F.col("__r") <= rows_per_lang)
-    got = few.select(F.substring(F.col(text_col).cast("binary"), 1, TRAIN_BYTES).alias("t"), F.col(lang_col).alias("l"), "__k").orderBy("l", "__k").collect()
-    return fit([bytes(r["t"]) for r in got], [r["l"] for r in got])
+    texts = few.select(F.col(text_col).cast("binary").alias("t"), F.col(lang_col).alias("l"), "__k")
+    got = sorted(texts.mapInArrow(_profiles, "n binary, l string, __k bigint").collect(), key=lambda r: (r["l"], r["__k"], bytes(r["n"])))
+    return fit([bytes(r["n"]) for r in got], [r["l"] for r in got])
 
 
 def predict(docs: DataFrame, model: Ecoc, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:

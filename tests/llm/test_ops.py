@@ -203,6 +203,19 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows) > 300
 
 
+def test_language_behind_boilerplate(spark):
+    rng = random.Random(2)
+    stems = {"fr": ["eau", "çle", "les", "ré"], "ru": ["ова", "ить", "при"]}
+    body = lambda lang: " ".join("".join(rng.choice(stems[lang]) for _ in range(3)) for _ in range(400))
+    header = "the king and the nation sing " * 80
+    rows = [(k, header + body(["fr", "ru"][k % 2]), ["fr", "ru"][k % 2]) for k in range(80)]
+    model = ecoc_lang.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    asked = spark.createDataFrame([(k, body(["fr", "ru"][k % 2])) for k in range(40)], "doc_id bigint, text string")
+    got = ecoc_lang.predict(asked, model).collect()
+    right = sum(r["lang_pred"] == ["fr", "ru"][r["doc_id"] % 2] for r in got)
+    assert right == 40, right
+
+
 # ---- 6
 
 
