@@ -18,6 +18,8 @@ from .common import blobs, crc_of_id, plain_names, sliced, table
 DIM = 1 << 12
 #: Labelled rows for the fit at most, as many of each language, the first by a hash of their id; bounds the driver's memory (rows x 3 x DIM floats).
 TRAIN_ROWS = 4_000
+#: Languages learned at most, the most frequent, by name on ties; rarer ones give no training row and are never predicted. Bounds the driver's memory and the codewords.
+LANGS = 1_000
 #: Texts whose best and second best languages are nearer than this are flagged as ambiguous.
 MARGIN = 0.1
 #: Bytes of a text whose n-grams are held at once.
@@ -120,9 +122,10 @@ def fit(counts: list[bytes], langs: list[str], rounds: int = 120) -> Ecoc:
     return Ecoc(names, words, w, b)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Ecoc:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, langs: int = LANGS) -> Ecoc:
     """Fit on train_rows labelled rows of docs at most, as many of each language: those of least hash of (id, language).
 
+    Of more than langs languages the rarer ones are left out: their texts get the likest of the others.
     Executors count the n-grams of these rows' whole texts; the driver gets one profile of fixed size for each.
     """
     from pyspark.sql.window import Window
@@ -130,7 +133,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     key = F.xxhash64(F.col(id_col), F.col(lang_col))
     # A hash bound first thins large tables to a few times the wanted rows; the window then sees only those.
-    sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
+    sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(langs).collect()}
     if not sizes:
         return fit([], [])
     rows_per_lang = max(1, train_rows // len(sizes))

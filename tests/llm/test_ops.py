@@ -216,6 +216,12 @@ def test_language_behind_boilerplate(spark):
     assert right == 40, right
 
 
+def test_most_languages_learned(spark):
+    rows = [(k, "ab cd ef", lang) for k, lang in enumerate(["x"] * 3 + ["y"] * 2 + ["z"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert ecoc_lang.train(df, langs=2).langs == ["x", "y"] and ecoc_lang.train(df).langs == ["x", "y", "z"]
+
+
 # ---- 6
 
 
