@@ -99,7 +99,35 @@ def test_kd(spark, docs, none):
     assert sorted(counts.values()) == [125] * 8
     assert kd_shards.kd_shards(none.withColumn("b", F.lit(1)), ["source"], weight_col="b", shards=4).count() == 0
     same = spark.range(10).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(2).alias("b"))
-    assert kd_shards.kd_shards(same, ["doc_id"], weight_col="b", shards=4).count() == 10
+    counts = {r["shard"]: r["count"] for r in kd_shards.kd_shards(same, ["doc_id"], weight_col="b", shards=5).groupBy("shard").count().collect()}
+    assert counts == dict.fromkeys(range(5), 2)  # equal rows are dealt out too
+    assert {r["shard"] for r in kd_shards.kd_shards(same, ["doc_id"], weight_col="b", shards=1).collect()} == {0}
+
+
+def test_kd_medians_by_brute_force(spark):
+    """Every split against a full sort: long common beginnings, fractions, nulls, dates and hot values."""
+    import datetime
+
+    rng = random.Random(11)
+    dims = ["source", "rate", "day"]
+    rows = [(k, "crawl-2023-" + rng.choice("aaab"), rng.choice([None, rng.random(), 0.25]), datetime.date(2020, 1, 1 + rng.randrange(20)), rng.choice([0, 1, 5, 90])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, rate double, day date, weight int").repartition(6)
+    placed, splits = kd_shards.kd_tree(df, dims, shards=7)
+    leaf = {r["doc_id"]: r["shard"] for r in placed.collect()}
+    assert len(leaf) == 400 and len(splits) == 6 and {d for _, _, d in splits} == {0, 1, 2} and splits[0] == (0, 7, 0)
+    for first, k, d in splits:
+        own = [r for r in rows if first <= leaf[r[0]] < first + k]
+        spans = [(len({r[1 + i] for r in own}) - 1) / (len({r[1 + i] for r in rows}) - 1) for i in (0, 2)]
+        have = [r[2] for r in own if r[2] is not None]
+        every = [r[2] for r in rows if r[2] is not None]
+        spans.insert(1, (max(have) - min(have)) / (max(every) - min(every)))
+        assert spans[d] == max(spans)
+        own.sort(key=lambda r: (r[1 + d] is not None, r[1 + d] if r[1 + d] is not None else 0, r[0]))
+        want, run = sum(r[4] for r in own) * (k // 2) // k, 0
+        for r in own:
+            side, run = 2 * run + r[4] >= 2 * want, run + r[4]
+            if r[4]:
+                assert (leaf[r[0]] >= first + k // 2) == side
 
 
 # ---- 3
