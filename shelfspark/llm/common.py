@@ -67,12 +67,13 @@ def blobs(column):
 
 
 class IdFilter:
-    """A Bloom filter of fixed size (_BITS bits, two probes) over bigint ids: says of an id "perhaps" or "not there".
+    """A Bloom filter (two probes) over bigint ids: says of an id "perhaps" or "not there".
 
-    It only thins what is shuffled before an exact join; when very many ids fill it, it lets all through.
+    It has 16 bits or more for each id, up to _MOST (8 MB). It only thins what is shuffled before an exact join; when
+    very many ids fill it, it lets all through.
     """
 
-    _BITS = 1 << 24
+    _LEAST, _MOST = 1 << 16, 1 << 26
     _SLICES = 8
 
     def __init__(self, shared):
@@ -80,12 +81,13 @@ class IdFilter:
 
     @classmethod
     def of(cls, df: DataFrame, col: str) -> IdFilter:
-        width, slices = cls._BITS // 8, cls._SLICES
+        size = min(cls._MOST, max(cls._LEAST, 1 << (16 * df.count()).bit_length()))
+        width, slices = size // 8, cls._SLICES
 
         def mark(batches):
-            bits = np.zeros(cls._BITS, dtype=bool)
+            bits = np.zeros(size, dtype=bool)
             for batch in batches:
-                for probe in _probes(batch.column(0).drop_null().to_numpy(zero_copy_only=False)):
+                for probe in _probes(batch.column(0).drop_null().to_numpy(zero_copy_only=False), size):
                     bits[probe] = True
             yield _packed_slices(np.packbits(bits), slices)
 
@@ -107,16 +109,16 @@ class IdFilter:
 
     def holds(self, ids: np.ndarray) -> np.ndarray:
         bits, out = self.shared.value, np.ones(len(ids), dtype=bool)
-        for probe in _probes(ids):
+        for probe in _probes(ids, 8 * len(bits)):
             out &= (bits[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8) & 1).astype(bool)
         return out
 
 
-def _probes(ids: np.ndarray):
-    x = ids.astype(np.int64).view(np.uint64)
+def _probes(ids: np.ndarray, size: int):
+    x, shift = ids.astype(np.int64).view(np.uint64), np.uint64(64 - (size.bit_length() - 1))
     for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         h = (x ^ (x >> np.uint64(31))) * np.uint64(salt)
-        yield ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64)
+        yield ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64)
 
 
 def _packed_slices(total: np.ndarray, slices: int) -> pa.RecordBatch:

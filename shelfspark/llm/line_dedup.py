@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +13,15 @@ from .common import IdFilter, blobs, checkpointed, maybe_in, plain_names, shuffl
 #: Words are counted in so many hashed buckets: a table of fixed size that gives every word a place in the order by rarity.
 BUCKETS = 1 << 18
 _SLICES = 16
-#: Postings of words that occur more often than this are dealt out as pairs of blocks.
+#: Postings of words that occur more often than this are dealt out in blocks.
 _BLOCK_LINES = 1 << 16
-_PAIRS = 1 << 20
+#: In the first round the sets that share a word are compared with so many earliest ones of them.
+_REACH = 2048
+_PAIRS = 1 << 18
 #: Sets above this size have a bitmap of 256 bits.
 _SMALL_SET = 32
-#: So many lines that are still open after a round are compared with all others by broadcast.
-_OPEN_LINES = 50_000
-_SEED = 7
+_LEVELS = 9
+_PIECE = 1 << 19
 
 
 def line_words(line: bytes) -> list[bytes]:
@@ -31,28 +29,87 @@ def line_words(line: bytes) -> list[bytes]:
     return sorted(set(line.lower().split()))
 
 
-class _Cache(dict):
-    def __missing__(self, word):
-        self[word] = h = xxhash.xxh3_64_intdigest(word, _SEED)
-        return h
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    known = _Cache()
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+class _Hasher:
+    """Two 64-bit hashes of every word in a run of bytes at once: sums of a random value for each byte (A-Z as a-z) times powers of an odd number, taken from running sums."""
+
+    def __init__(self, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.value = rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+        self.value[:, 65:91] = self.value[:, 97:123]
+        self.odd = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+        self.white = np.zeros(256, dtype=bool)
+        self.white[[9, 10, 11, 12, 13, 32]] = True
+        self.size = 0
+        self._grow(_PIECE)
+
+    def _grow(self, n: int) -> None:
+        power = lambda p: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, p, np.uint64))))
+        self.up, self.down = [power(p) for p in self.odd], [power(pow(p, -1, 1 << 64)) for p in self.odd]
+        self.size = n
+
+    def pieces(self, data: bytes):
+        """(start, stop) of pieces of at most _PIECE bytes, unless one word is longer."""
+        at = 0
+        while at < len(data):
+            stop = min(len(data), at + _PIECE)
+            if stop < len(data):
+                a = np.frombuffer(data, dtype=np.uint8, count=stop - at, offset=at)
+                gaps = np.flatnonzero(self.white[a[::-1][: 1 << 12]])
+                gaps = gaps if len(gaps) else np.flatnonzero(self.white[a[::-1]])
+                if len(gaps):
+                    stop -= int(gaps[0])
+                else:
+                    ahead = np.frombuffer(data, dtype=np.uint8, offset=stop)
+                    gaps = np.flatnonzero(self.white[ahead])
+                    stop = stop + int(gaps[0]) if len(gaps) else len(data)
+            yield at, stop
+            at = stop
+
+    def words(self, data: bytes, both: bool = True):
+        """(first hash, second hash or None, number of line feeds before) of every word, in order."""
+        out, feeds = [], 0
+        for at, stop in self.pieces(data):
+            a = np.frombuffer(data, dtype=np.uint8, count=stop - at, offset=at)
+            if len(a) > self.size:
+                self._grow(2 * len(a))
+            ink = ~self.white[a]
+            edge = np.flatnonzero(ink[1:] != ink[:-1]) + 1
+            edge = np.concatenate((np.zeros(int(ink[0]), np.int64), edge, np.full(int(ink[-1]), len(a), np.int64)))
+            start, end = edge[::2], edge[1::2]
+            hashes = []
+            for k in range(2 if both else 1):
+                run = np.zeros(len(a) + 1, dtype=np.uint64)
+                x = self.value[k][a]
+                x *= self.up[k][: len(a)]
+                np.cumsum(x, out=run[1:])
+                hashes.append((run[end] - run[start]) * self.down[k][start])
+            feed = np.cumsum(a == 10, dtype=np.int32)
+            out.append((hashes[0], hashes[-1], feed[start].astype(np.int64) + feeds))
+            feeds += int(feed[-1])
+        if not out:
+            z = np.zeros(0, dtype=np.uint64)
+            return z, z, z.astype(np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+_HASHERS: list[_Hasher] = []
+
+
+def _hasher() -> _Hasher:
+    """One for each worker."""
+    if not _HASHERS:
+        _HASHERS.append(_Hasher())
+    return _HASHERS[0]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Occurrences of the words of each bucket, over all texts; the sums of all tasks meet in slices, not in one task."""
 
     def count(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total, hasher = np.zeros(BUCKETS, dtype=np.int64), _hasher()
         for batch in sliced(batches, 0):
-            seen = Counter()
-            for text in blobs(batch.column(0)):
-                seen.update(text.lower().split())
-            at = (_hashes(list(seen)) % np.uint64(BUCKETS)).astype(np.int64)
-            total += np.bincount(at, weights=np.fromiter(seen.values(), dtype=np.float64, count=len(seen)), minlength=BUCKETS).astype(np.int64)
+            words, _, _ = hasher.words(b"\n".join(blobs(batch.column(0))), both=False)
+            total += np.bincount((words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         yield _sliced(total)
 
     def add(batches):
@@ -77,7 +134,8 @@ def _sliced(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "counts"])
 
 
-_POSTING = np.dtype([("token", "<u8"), ("id", "<u8"), ("bits", "<u8"), ("bits1", "<u8"), ("bits2", "<u8"), ("bits3", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")])
+#: flag: 1 for a line that searches in a later round, 2 for a word of which only some blocks meet.
+_POSTING = np.dtype([("token", "<u8"), ("id", "<u8"), ("bits", "<u8"), ("bits1", "<u8"), ("bits2", "<u8"), ("bits3", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("flag", "u1")])
 
 
 _LANES = ("bits", "bits1", "bits2", "bits3")
@@ -111,69 +169,109 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _in_sets(key: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
-    """The order by (owner, key)."""
-    if sets > 1 << 16:
-        return np.lexsort((key, owner))
+def line_sets(words: np.ndarray, second: np.ndarray, line: np.ndarray, counts: np.ndarray):
+    """(line, size, ids, words) of the lines with a word: their distinct words, each line's from rare to common, and 128 bits that are equal for equal sets.
+
+    The order by rarity is one for all lines: by the logarithm of the count, then by hash. Sorted are 64-bit keys of line,
+    level and leading bits of the hash; where two words of a line share a key, all is sorted in full.
+    """
+    if not len(words):
+        z = np.zeros(0, dtype=np.int64)
+        return z, z, np.zeros((0, 2), np.uint64), words
+    own = np.cumsum(np.diff(line, prepend=line[0]) != 0)
+    mixed = _mix(words)
+    bucket = (words % np.uint64(BUCKETS)).astype(np.int64)
+    level = np.minimum(16 * np.log2(counts + 1.0), (1 << _LEVELS) - 1).astype(np.uint64)[bucket]
+    bits = max(1, int(own[-1]).bit_length())
+    low = 64 - bits - _LEVELS
+    key = (own.astype(np.uint64) << np.uint64(64 - bits)) | (level << np.uint64(low)) | (mixed >> np.uint64(64 - low))
     order = np.argsort(key)
-    return order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+    key, by, o = key[order], words[order], own[order]
+    if ((key[1:] == key[:-1]) & (by[1:] != by[:-1])).any():
+        order = np.lexsort((mixed, level, own))
+        by, o = words[order], own[order]
+    new = np.concatenate(([True], (by[1:] != by[:-1]) | (o[1:] != o[:-1])))
+    by, o, other = by[new], o[new], second[order[new]]
+    size = np.bincount(o)
+    first = np.cumsum(size) - size
+    ids = np.empty((len(size), 2), dtype=np.uint64)
+    ids[:, 0] = np.add.reduceat(_mix(by + np.uint64(0x632BE59BD9B4E019)), first)
+    ids[:, 1] = np.add.reduceat(_mix(_mix(other) ^ np.uint64(0x8CB92BA72F3D8DD7)), first)
+    lines = line[np.flatnonzero(np.diff(line, prepend=line[0] - 1))]
+    return lines, size, ids, by
 
 
-def set_ids(words: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """128 bits for each set, from two sums over its words' hashes: equal for equal sets, in any order of the words."""
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    ids = np.empty((len(size), 2), dtype=np.uint64)
-    ids[:, 0] = np.add.reduceat(_mix(words + np.uint64(0x632BE59BD9B4E019)), first)
-    ids[:, 1] = np.add.reduceat(_mix(_mix(words) ^ np.uint64(0x8CB92BA72F3D8DD7)), first)
-    return ids
+def can_pair(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether a set of so many words can reach num / den with another set."""
+    return (size * den // num > size) | (-(-size * num // den) < size)
 
 
-def prefix_postings(words: np.ndarray, size: np.ndarray, ids: np.ndarray, docs: np.ndarray, lines: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The postings of the prefixes of so many sets of word hashes: the rarest n - ceil(t n) + 1 words of a set of n, at t = num / den."""
+def prefix_postings(words: np.ndarray, size: np.ndarray, ids: np.ndarray, docs: np.ndarray, lines: np.ndarray, counts: np.ndarray, num: int, den: int, searching: np.ndarray | None = None) -> np.ndarray:
+    """The postings of the prefixes of so many sets, words from rare to common: the rarest n - ceil(t n) + 1 words of a set of n, at t = num / den.
+
+    Words of several blocks: without searching, block 0 meets every block and every block itself; with it, the lines that search
+    meet every block.
+    """
     sets = len(size)
-    owner = np.repeat(np.arange(sets), size)
+    if not sets:
+        return np.empty(0, dtype=_POSTING)
+    owner, first = np.repeat(np.arange(sets), size), np.cumsum(size) - size
     # A bitmap of 64 bits, or of 4 x 64 for large sets; the xor of the four is the one of 64 bits.
     mixed = _mix(words)
-    bits = np.zeros((sets, 4), dtype=np.uint64)
-    lane = np.where(size[owner] > _SMALL_SET, (mixed >> np.uint64(56)) & np.uint64(3), np.uint64(0)).astype(np.int64)
-    np.bitwise_xor.at(bits, (owner, lane), np.uint64(1) << (mixed >> np.uint64(58)))
-    often = counts[(words % np.uint64(BUCKETS)).astype(np.int64)]
-    order = _in_sets((np.minimum(often, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (mixed >> np.uint64(24)), owner, sets)
-    first = np.cumsum(size) - size
-    place = np.arange(len(words)) - np.repeat(first, size)
-    prefix = size - -(-size * num // den) + 1
-    take = order[place < np.repeat(prefix, size)]
-    place = place[place < np.repeat(prefix, size)]
+    bit = np.uint64(1) << (mixed >> np.uint64(58))
+    lane = np.where((size > _SMALL_SET)[owner], (mixed >> np.uint64(56)) & np.uint64(3), np.uint64(0))
+    bits = [np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), first) for k in range(4)]
+    place = np.arange(len(words)) - first[owner]
+    take = np.flatnonzero(place < (size - -(-size * num // den) + 1)[owner])
     own = owner[take]
     rows = np.empty(len(take), dtype=_POSTING)
     rows["token"], rows["id"] = words[take], ids[own]
     for k, name in enumerate(_LANES):
-        rows[name] = bits[own, k]
-    rows["doc"], rows["line"], rows["size"], rows["place"] = docs[own], lines[own], size[own], place
-    blocks = 1 + often[take] // _BLOCK_LINES
-    if (blocks > 1).any():  # a line of block b meets block x under the pair (b, x), for each x
+        rows[name] = bits[k][own]
+    rows["doc"], rows["line"], rows["size"], rows["place"] = docs[own], lines[own], size[own], place[take]
+    rows["flag"] = 0 if searching is None else searching[own]
+    blocks = 1 + counts[(words[take] % np.uint64(BUCKETS)).astype(np.int64)] // _BLOCK_LINES
+    if (blocks > 1).any():
         out = [rows[blocks == 1]]
         for n in np.unique(blocks[blocks > 1]).tolist():
             hot = rows[blocks == n]
-            own_block = (hot["id"] % np.uint64(n)).astype(np.uint64)
+            own_block = hot["id"] % np.uint64(n)
+            wide = own_block == 0 if searching is None else hot["flag"] > 0
+            if searching is None:
+                hot["flag"] = 2
             for x in range(n):
-                copy = hot.copy()
-                pair = np.minimum(own_block, np.uint64(x)) * np.uint64(n) + np.maximum(own_block, np.uint64(x)) + np.uint64(1)
-                copy["token"] = _mix(hot["token"] + pair * np.uint64(0xD6E8FEB86659FD93))
+                copy = hot[wide | (own_block == np.uint64(x))]
+                copy["token"] = _mix(copy["token"] + np.uint64((n + x) * 0xD6E8FEB86659FD93 % (1 << 64)))
                 out.append(copy)
         rows = np.concatenate(out)
     return rows
 
 
-def best_candidates(rows: np.ndarray, num: int, den: int, most: int) -> tuple[np.ndarray, ...]:
+def _spans(start: np.ndarray, stop: np.ndarray):
+    """(i, j) with j from start[i] to stop[i], in pieces of about _PAIRS."""
+    n = np.maximum(stop - start, 0)
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+        k = n[at:to]
+        i = np.repeat(np.arange(at, to), k)
+        yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        at = to
+
+
+def best_candidates(rows: np.ndarray, num: int, den: int, most: int, reach: int | None = _REACH) -> tuple[np.ndarray, ...]:
     """(later doc, later line, earlier doc, earlier line, more) of the pairs of sets that share a token and pass the filters.
 
-    Of each later set the `most` pairs nearest by bitmap come; more says that there were others.
+    Of each later set the `most` pairs nearest by bitmap come; more says that there were others, or that not all earlier
+    sets were looked at: sets of a token are compared with its `reach` earliest, however many there are; without a
+    reach only the flagged ones are, with all. Sets with more but without a pair come with an earlier line -1.
     """
     rows = rows[np.lexsort((rows["line"], rows["doc"], rows["id"], rows["token"]))]
     if len(rows):  # a set is known by its first line
         new = np.ones(len(rows), dtype=bool)
-        new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["id"][1:] != rows["id"][:-1])
+        new[1:] = False
+        for name in ("token", "id", "size", *_LANES):
+            new[1:] |= rows[name][1:] != rows[name][:-1]
         rows = rows[new]
         _, group, n = np.unique(rows["token"], return_inverse=True, return_counts=True)
         rows = rows[n[group] > 1]
@@ -183,79 +281,114 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int) -> tuple[np
     rows = rows[np.lexsort((rows["size"], rows["token"]))]
     group = np.concatenate(([0], np.cumsum(rows["token"][1:] != rows["token"][:-1])))
     size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
-    key = (group << 32) + size
-    upto = np.searchsorted(key, (group << 32) + size * den // num, "right")
-    span = upto - np.arange(len(rows)) - 1
-    ends = np.cumsum(span)
+    open_ = np.zeros(len(rows), dtype=bool)
+    pieces = []
+    if reach:
+        n = np.bincount(group)
+        large = n[group] > reach
+        key = (group << 32) + size
+        if not large.all():
+            small = np.flatnonzero(~large)
+            stop = np.searchsorted(key[small], key[small] - size[small] + size[small] * den // num, "right")
+            pieces.append((small, small, np.arange(len(small)) + 1, stop))
+        if large.any():
+            at = np.flatnonzero(large)
+            order = at[np.lexsort((rows["line"][at], rows["doc"][at], group[at]))]
+            begin = np.flatnonzero(np.diff(group[order], prepend=-1))
+            rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+            open_[order[rank >= reach]] = True
+            first = np.sort(order[rank < reach])
+            pieces.append((at, first, np.searchsorted(key[first], (group[at] << 32) + -(-size[at] * num // den)), np.searchsorted(key[first], (group[at] << 32) + size[at] * den // num, "right")))
+        open_ |= rows["flag"] == 2
+    else:
+        at, key = np.flatnonzero(rows["flag"] == 1), (group << 32) + size
+        pieces.append((at, np.arange(len(rows)), np.searchsorted(key, (group[at] << 32) + -(-size[at] * num // den)), np.searchsorted(key, (group[at] << 32) + size[at] * den // num, "right")))
     kept: list[np.ndarray] = []
-    start = 0
-    while start < len(rows):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + _PAIRS, "right")))
-        n = span[start:stop]
-        i = np.repeat(np.arange(start, stop), n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        both = size[i] + size[j]
-        need = -(-both * num // (num + den))
-        ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
-        i, j, slack = i[ok], j[ok], (both - 2 * need)[ok]
-        far = _distance(rows, i, j)
-        ok = far <= slack
-        if ok.any():
-            i, j, far, slack = i[ok], j[ok], far[ok], slack[ok]
-            swap = (rows["doc"][i] > rows["doc"][j]) | ((rows["doc"][i] == rows["doc"][j]) & (rows["line"][i] > rows["line"][j]))
-            early, late = np.where(swap, j, i), np.where(swap, i, j)
-            kept.append(np.stack([rows["doc"][late], rows["line"][late], far, rows["doc"][early], rows["line"][early], np.zeros(len(early), np.int64), slack]))
-            if sum(k.shape[1] for k in kept) > 4 * _PAIRS:
-                kept = [_nearest(np.concatenate(kept, axis=1), most)]
-        start = stop
+    held, bound = 0, 2 * _PAIRS
+    for k, (left, right, start, stop) in enumerate(pieces):
+        both_ways = bool(reach) and k == 0 and left is right
+        for i, j in _spans(start, stop):
+            i, j = left[i], right[j]
+            both = size[i] + size[j]
+            need = -(-both * num // (num + den))
+            ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+            i, j, slack = i[ok], j[ok], (both - 2 * need)[ok]
+            after = (rows["doc"][i] > rows["doc"][j]) | ((rows["doc"][i] == rows["doc"][j]) & (rows["line"][i] > rows["line"][j]))
+            if both_ways:
+                i, j = np.where(after, i, j), np.where(after, j, i)
+            else:
+                i, j, slack = i[after], j[after], slack[after]
+            far = _distance(rows, i, j)
+            ok = far <= slack
+            if ok.any():
+                i, j = i[ok], j[ok]
+                kept.append(np.stack([rows["doc"][i], rows["line"][i], far[ok], rows["doc"][j], rows["line"][j], open_[i], slack[ok]]).astype(np.int64))
+                held += len(i)
+                if held > bound:
+                    kept = [_nearest(np.concatenate(kept, axis=1), most, min(2, most) if reach else most)]
+                    held = kept[0].shape[1]
+                    bound = max(2 * _PAIRS, 2 * held)
+    if open_.any():
+        at = np.flatnonzero(open_)
+        z = np.zeros(len(at), np.int64)
+        kept.append(np.stack([rows["doc"][at], rows["line"][at], z + (1 << 40), z, z - 1, z + 1, z]).astype(np.int64))
     if not sum(k.shape[1] for k in kept):
         z = np.zeros(0, dtype=np.int64)
         return z, z, z, z, z.astype(bool)
-    got = _nearest(np.concatenate(kept, axis=1), most)
+    got = _nearest(np.concatenate(kept, axis=1), most, min(2, most) if reach else most)
     return got[0], got[1], got[3], got[4], got[5].astype(bool)
 
 
-def _nearest(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Of each later line the `most` nearest pairs, or 2 where the nearest is sure enough to hold """
+def _nearest(pairs: np.ndarray, most: int, sure: int) -> np.ndarray:
+    """Of each later line the `most` nearest pairs, or `sure` where the nearest is far within the bound; rows without a pair only where there is none."""
     pairs = pairs[:, np.lexsort((pairs[4], pairs[3], pairs[2], pairs[1], pairs[0]))]
     same = (pairs[[0, 1, 3, 4], 1:] == pairs[[0, 1, 3, 4], :-1]).all(axis=0)
-    pairs = pairs[:, np.concatenate(([True], ~same))]
+    pairs = _merged(pairs, same) if same.any() else pairs
     new = np.concatenate(([True], (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])))
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate((first, [pairs.shape[1]])))
+    real = np.add.reduceat((pairs[4] >= 0).astype(np.int64), first)
     place = np.arange(pairs.shape[1]) - np.repeat(first, n)
-    take = np.where(pairs[2, first] * 5 // 4 + 2 <= pairs[6, first], min(2, most), most)
-    pairs[5] = np.repeat(np.maximum.reduceat(pairs[5], first) | (n > take), n)
-    return pairs[:, place < np.repeat(take, n)]
+    take = np.where(pairs[2, first] * 5 // 4 + 2 <= pairs[6, first], sure, most)
+    pairs[5] = np.repeat(np.maximum.reduceat(pairs[5], first) | (real > take), n)
+    return pairs[:, place < np.repeat(np.maximum(1, np.minimum(take, real)), n)]
+
+
+def _merged(pairs: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Equal pairs once, open if one of them is."""
+    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    out = pairs[:, first]
+    out[5] = np.maximum.reduceat(pairs[5], first)
+    return out
 
 
 _PLACE = np.dtype([("id", "<u8"), ("id1", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 
 
-def _postings(docs: DataFrame, counts, parts: int, num: int, den: int) -> DataFrame:
-    """(part, rows): for parts below `parts` packed postings; for the next so many the first line of each set in a slice of the input; for the last the other lines of those sets, which are removed whatever the rest holds."""
-    counts = docs.sparkSession.sparkContext.broadcast(counts)
+def line_key(doc, line):
+    """A bigint for the Bloom filter of lines."""
+    return doc ^ (line << 40)
+
+
+def _postings(docs: DataFrame, counts, parts: int, num: int, den: int, searching: IdFilter | None = None) -> DataFrame:
+    """(part, rows): for parts below `parts` packed postings; for the next so many the first line of each set in a slice of the input; for the last the other lines of those sets, which are removed whatever the rest holds.
+
+    With searching, a filter of the lines that search, the postings alone.
+    """
 
     def run(batches):
+        hasher = _hasher()
         for batch in sliced(batches, 1):
-            words, size, owners, lines = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
-                if doc is None:
-                    continue
-                for k, line in enumerate(text.lower().split(b"\n")):
-                    own = set(line.split())
-                    if own:
-                        words += own
-                        size.append(len(own))
-                        owners.append(doc)
-                        lines.append(k)
-            if not size:
+            there = [(doc, text) for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))) if doc is not None]
+            own = np.array([d for d, _ in there], dtype=np.int64)
+            # Texts stand one after the other; line feeds before a text give its first line's number.
+            before = np.concatenate(([0], np.cumsum([t.count(b"\n") + 1 for _, t in there], dtype=np.int64)))
+            lines, size, ids, words = line_sets(*hasher.words(b"\n".join([t for _, t in there])), counts.value)
+            if not len(size):
                 continue
-            words, size = _hashes(words), np.array(size)
-            ids = set_ids(words, size)
+            at = np.searchsorted(before, lines, "right") - 1
             place = np.empty(len(size), dtype=_PLACE)
-            place["id"], place["id1"], place["doc"], place["line"] = ids[:, 0], ids[:, 1], owners, lines
+            place["id"], place["id1"], place["doc"], place["line"] = ids[:, 0], ids[:, 1], own[at], lines - before[at]
             order = np.lexsort((place["line"], place["doc"], place["id1"], place["id"]))
             sorted_ = place[order]
             new = np.ones(len(order), dtype=bool)
@@ -263,12 +396,15 @@ def _postings(docs: DataFrame, counts, parts: int, num: int, den: int) -> DataFr
             firsts, again = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
             firsts[order[new]] = True
             again[order[1:]] = ~new[1:] & (sorted_["doc"][1:] == sorted_["doc"][:-1]) & (sorted_["line"][1:] == sorted_["line"][:-1])  # a repeated row
-            words = words[np.repeat(firsts, size)]
-            rows = prefix_postings(words, size[firsts], place["id"][firsts], place["doc"][firsts], place["line"][firsts], counts.value, num, den)
-            got = _dealt(rows, _mix(rows["token"]), parts, 0) + _dealt(place[firsts], place["id1"][firsts], parts, parts)
-            gone = place[~firsts & ~again]
-            if len(gone):
-                got.append((2 * parts + int(gone["id"][0] % np.uint64(parts)), _pack(gone)))
+            post = firsts & can_pair(size, num, den)
+            search = searching.holds(line_key(place["doc"][post], place["line"][post].astype(np.int64))) if searching else None
+            rows = prefix_postings(words[np.repeat(post, size)], size[post], place["id"][post], place["doc"][post], place["line"][post], counts.value, num, den, search)
+            got = _dealt(rows, _mix(rows["token"]), parts, 0)
+            if not searching:
+                got += _dealt(place[firsts], place["id1"][firsts], parts, parts)
+                gone = place[~firsts & ~again]
+                if len(gone):
+                    got.append((2 * parts + int(gone["id"][0] % np.uint64(parts)), _pack(gone)))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, rows binary")
@@ -292,8 +428,8 @@ def later_places(rows: np.ndarray) -> np.ndarray:
     return rows[later]
 
 
-def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int) -> DataFrame:
-    """Pairs to verify; lines that are removed as copies come with a null early_doc."""
+def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int, reach: int | None) -> DataFrame:
+    """Pairs to verify; lines that are removed as copies come with a null early_doc, lines without a pair that are still open with early_line -1."""
 
     def run(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -303,7 +439,7 @@ def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int)
         for p in list(held):
             rows = np.concatenate(held.pop(p))
             if p < parts:
-                got = best_candidates(rows, num, den, most)
+                got = best_candidates(rows, num, den, most, reach)
             else:
                 rows = later_places(rows) if p < 2 * parts else rows
                 nothing = pa.nulls(len(rows), pa.int64())
@@ -315,7 +451,7 @@ def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int)
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, line, words) of the wanted lines (doc, line); words are joined by spaces."""
-    by_doc = wanted.where("doc IS NOT NULL").distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    by_doc = checkpointed(wanted.where("doc IS NOT NULL").groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("lines")))
     texts = maybe_in(docs, IdFilter.of(by_doc, "doc_id"), "doc_id")
     rows = texts.join(by_doc, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "lines")
 
@@ -350,65 +486,30 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     return rows.mapInArrow(run, "doc bigint, line int, more boolean, alike boolean")
 
 
-def _search_open(docs: DataFrame, open_: list[tuple[int, int, bytes]], counts: np.ndarray, num: int, den: int) -> DataFrame:
-    """(doc, line) of the open lines (doc, line, words) with an earlier line of Jaccard num / den or more: every line that holds a word of an open line's prefix is compared with it in full."""
-    sets = [frozenset(w.split()) for _, _, w in open_]
-    by_word: dict[bytes, list[int]] = {}
-    for i, words in enumerate(sets):
-        often = counts[(_hashes(own := sorted(words)) % np.uint64(BUCKETS)).astype(np.int64)].tolist()
-        for _, w in sorted(zip(often, own))[: len(own) - -(-len(own) * num // den) + 1]:
-            by_word.setdefault(w, []).append(i)
-    shared = docs.sparkSession.sparkContext.broadcast((by_word, sets, [(d, k) for d, k, _ in open_]))
-
-    def run(batches):
-        by_word, sets, places = shared.value
-        rare = by_word.keys()
-        done: set[int] = set()
-        for batch in sliced(batches, 1):
-            for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
-                if doc is None:
-                    continue
-                text = text.lower()
-                if rare.isdisjoint(text.split()):
-                    continue
-                for k, line in enumerate(text.split(b"\n")):
-                    own = set(line.split())
-                    for i in {i for w in rare & own for i in by_word[w]} - done:
-                        common = len(own & sets[i])
-                        if (doc, k) < places[i] and common * den >= (len(own) + len(sets[i]) - common) * num:
-                            done.add(i)
-        got = sorted(places[i] for i in done)
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int32())], names=["doc", "line"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc bigint, line int")
-
-
-def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32, reach: int = _REACH) -> DataFrame:
     """(doc_id, line) of every line with an earlier line (smaller doc_id, or the same and a smaller number) whose word set has Jaccard num / den or more with its own.
 
-    Lines without a word are never removed. Lines of equal sets are found by their set's id (128 bits) alone; between
-    different sets each later one brings its `most` nearest candidates of each task (2, if the nearest is far within
-    the bound). Lines for which none of those holds though there were more stay open: up to _OPEN_LINES of them are
-    broadcast and compared with all lines that hold a word of their prefix; if there are more, all is searched again
-    with eight times as many candidates. So no candidate is lost.
+    Lines without a word are never removed. Lines of equal sets, which have Jaccard 1, are found by their set's id of 128
+    bits from two hashes of each word. Between different sets each later one brings its `most` nearest candidates of each
+    task (2, if the nearest is far within the bound) among the `reach` earliest sets of a word. Lines for which none of
+    those holds though there were more stay open and search again, now all sets that share a word of their prefix and
+    with eight times as many candidates, until none is open: so no candidate is lost, and near copies of one line cost
+    `reach` comparisons each, not as many as there are of them.
     """
     parts = shuffle_width(docs.sparkSession)
-    counts = word_counts(docs)
-    postings = _postings(docs, counts, parts, num, den)
-    found = None
+    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
+    found, searching = None, None
     while True:
-        pairs = checkpointed(_candidates(postings, parts, num, den, most).groupBy("doc", "line", "early_doc", "early_line").agg(F.max("more").alias("more")))
-        near = pairs.where("early_doc IS NOT NULL")
-        state = checkpointed(_verified(docs, near, num, den).groupBy("doc", "line").agg(F.max("alike").alias("alike"), F.max("more").alias("more")))
-        now = pairs.where("early_doc IS NULL").select("doc", "line").union(state.where("alike").select("doc", "line"))
-        found = now if found is None else found.union(now)
-        open_ = state.where("more AND NOT alike").select("doc", "line").limit(_OPEN_LINES + 1)
-        n = open_.count()
-        if 0 < n <= _OPEN_LINES:
-            left = [(r["doc"], r["line"], bytes(r["words"])) for r in _words_of(docs, open_).collect()]
-            found = found.union(_search_open(docs, left, counts, num, den))
-        if n <= _OPEN_LINES:
+        pairs = checkpointed(_candidates(_postings(docs, counts, parts, num, den, searching), parts, num, den, most, None if searching else reach).groupBy("doc", "line", "early_doc", "early_line").agg(F.max("more").alias("more")))
+        near = pairs.where("early_line >= 0")
+        seen = _verified(docs, near, num, den).union(pairs.where("early_line < 0").select("doc", "line", "more", F.lit(False)))
+        state = checkpointed(seen.groupBy("doc", "line").agg(F.max("alike").alias("alike"), F.max("more").alias("more")))
+        now = state.where("alike").select("doc", "line")
+        found = pairs.where("early_doc IS NULL").select("doc", "line").union(now) if found is None else found.union(now)
+        open_ = state.where("more AND NOT alike").select(F.col("doc").bitwiseXOR(F.shiftleft(F.col("line").cast("bigint"), 40)).alias("key"))
+        if open_.isEmpty():
             break
+        searching = IdFilter.of(open_, "key")
         most *= 8
     return found.distinct().withColumnRenamed("doc", "doc_id")
 

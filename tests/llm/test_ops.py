@@ -138,7 +138,7 @@ def test_line_dedup(spark, docs, none):
     got = by_id(line_dedup.line_dedup(docs))
     assert {i: r["text"] for i, r in got.items()} == want and got[-40]["gone"] == "g"
     assert sum(r["n_removed"] for r in got.values()) > 40
-    few = line_dedup.removed_lines(docs.select("doc_id", "text"), most=1).collect()
+    few = line_dedup.removed_lines(docs.select("doc_id", "text"), most=1, reach=2).collect()
     assert len({(r["doc_id"], r["line"]) for r in few}) == sum(r["n_removed"] for r in got.values())
     assert line_dedup.line_dedup(none).count() == 0
     odd = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "c b a A")], "doc_id bigint, text string")
@@ -158,6 +158,48 @@ def test_near_lines_by_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()} == lines_by_brute_force(rows)
 
 
+def test_word_hashes(monkeypatch):
+    """Equal hashes for equal words (A-Z as a-z), at every piece's boundary."""
+    monkeypatch.setattr(line_dedup, "_PIECE", 64)
+    rng, hasher = random.Random(4), line_dedup._Hasher()
+    for n in (0, 1, 63, 64, 65, 700, 5000):
+        data = bytes(rng.choices(b"abAB\xc3\xa9 \t\n\r\x0b\x0c", k=n)) + b"x" * (n // 2) + b"\nend"
+        one, two, feeds = hasher.words(data)
+        want = [(w, k) for k, line in enumerate(data.lower().split(b"\n")) for w in line.split()]
+        assert len(one) == len(want) and feeds.tolist() == [k for _, k in want]
+        number = {}
+        for (w, _), a, b in zip(want, one.tolist(), two.tolist()):
+            assert number.setdefault(w, (a, b)) == (a, b)
+        assert len(set(number.values())) == len(number) == len({a for a, _ in number.values()}) == len({b for _, b in number.values()})
+
+
+@pytest.mark.parametrize("blocks", [1 << 16, 20])
+def test_hot_words_of_lines(monkeypatch, blocks):
+    """Many near copies of one line: blocks and reach bound the comparisons of the first round, the second has the rest."""
+    monkeypatch.setattr(line_dedup, "_BLOCK_LINES", blocks)
+    rng = random.Random(6)
+    base = [f"t{k}" for k in range(12)]
+    lines = [" ".join([*base[: rng.choice([10, 11, 12])], f"n{k}" if k % 4 else "q " * 4 + f"m{k} o{k}"]) for k in range(300)]
+    words, second, line = line_dedup._Hasher().words("\n".join(lines).encode())
+    counts = np.bincount((words % np.uint64(line_dedup.BUCKETS)).astype(np.int64), minlength=line_dedup.BUCKETS)
+    at, size, ids, words = line_dedup.line_sets(words, second, line, counts)
+    assert size.tolist() == [len(set(x.split())) for x in lines]
+    sets = [set(x.split()) for x in lines]
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    want = {i for i in range(300) if any(alike(i, j) for j in range(i))}
+    found, searching, most, reach = set(), None, 4, 8
+    for turn in range(6):
+        rows = line_dedup.prefix_postings(words, size, ids[:, 0], np.zeros(300, np.int64), at, counts, 4, 5, searching)
+        late, early, more = (x.tolist() for x in (lambda g: (g[1], g[3], g[4]))(line_dedup.best_candidates(rows, 4, 5, most, None if turn else reach)))
+        assert turn or len(late) <= 300 * (most + 1) * (len(np.unique(rows["token"])))
+        found |= {i for i, j in zip(late, early) if j >= 0 and alike(i, j)}
+        left = {i for i, m in zip(late, more) if m} - found
+        if not left:
+            break
+        searching, most = np.isin(np.arange(300), list(left)), most * 8
+    assert turn and found == want and len(want) > 200
+
+
 # ---- 4
 
 
