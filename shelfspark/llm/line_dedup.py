@@ -102,14 +102,23 @@ def _hasher() -> _Hasher:
     return _HASHERS[0]
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Occurrences of the words of each bucket, over all texts; the sums of all tasks meet in slices, not in one task."""
+def word_counts(docs: DataFrame, num: int = 4, den: int = 5, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Over all texts, of the words of each bucket: occurrences, and how often they would stand in a line's prefix if each slice of the input ordered words by its own counts.
+
+    The second only says which words are dealt out in blocks. The sums of all tasks meet in slices, not in one task.
+    """
 
     def count(batches):
-        total, hasher = np.zeros(BUCKETS, dtype=np.int64), _hasher()
+        total, hasher = np.zeros(2 * BUCKETS, dtype=np.int64), _hasher()
         for batch in sliced(batches, 0):
-            words, _, _ = hasher.words(b"\n".join(blobs(batch.column(0))), both=False)
-            total += np.bincount((words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            words, _, line = hasher.words(b"\n".join(blobs(batch.column(0))), both=False)
+            own = np.bincount((words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            total[:BUCKETS] += own
+            _, size, _, words = line_sets(words, None, line, own)
+            first = np.cumsum(size) - size
+            long = np.where(can_pair(size, num, den), size - -(-size * num // den) + 1, 0)
+            at = np.repeat(first - np.cumsum(long) + long, long) + np.arange(long.sum())
+            total[BUCKETS:] += np.bincount((words[at] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         yield _sliced(total)
 
     def add(batches):
@@ -122,11 +131,20 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zstandard.compress(sums[k].tobytes(), 1) for k in keys], pa.binary())], names=["slice", "counts"])
 
     parts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(count, "slice int, counts binary")
-    total = np.zeros(BUCKETS, dtype=np.int64)
-    width = BUCKETS // _SLICES
+    total = np.zeros(2 * BUCKETS, dtype=np.int64)
+    width = len(total) // _SLICES
     for r in parts.repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
         total[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(zstandard.decompress(bytes(r["counts"])), dtype=np.int64)
-    return total
+    return total[:BUCKETS], total[BUCKETS:]
+
+
+class _Order:
+    """What a task must know of the counts: each bucket's level of rarity and number of blocks."""
+
+    def __init__(self, counts: np.ndarray, prefixes: np.ndarray, parts: int):
+        self.counts = counts
+        # A word is dealt out in blocks where its postings would be a good part of a task's.
+        self.blocks = 1 + prefixes // max(_BLOCK_LINES, int(prefixes.sum()) // (4 * parts))
 
 
 def _sliced(total: np.ndarray) -> pa.RecordBatch:
@@ -135,13 +153,13 @@ def _sliced(total: np.ndarray) -> pa.RecordBatch:
 
 
 #: flag: 1 for a line that searches in a later round, 2 for a word of which only some blocks meet.
-_POSTING = np.dtype([("token", "<u8"), ("id", "<u8"), ("bits", "<u8"), ("bits1", "<u8"), ("bits2", "<u8"), ("bits3", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("flag", "u1")])
-
-
+_POSTING = {"token": "<u8", "id": "<u8", "bits": "<u8", "bits1": "<u8", "bits2": "<u8", "bits3": "<u8", "doc": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "block": "<u4", "flag": "u1"}
+_PLACE = {"id": "<u8", "id1": "<u8", "doc": "<i8", "line": "<i4"}
 _LANES = ("bits", "bits1", "bits2", "bits3")
+Rows = dict[str, np.ndarray]
 
 
-def _distance(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _distance(rows: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Differing bits of the bitmaps, never more than the words in which the sets differ."""
     apart = [rows[n][i] ^ rows[n][j] for n in _LANES]
     wide = sum(np.bitwise_count(x).astype(np.int64) for x in apart)
@@ -149,18 +167,25 @@ def _distance(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.where((rows["size"][i] > _SMALL_SET) & (rows["size"][j] > _SMALL_SET), wide, narrow)
 
 
-def _pack(rows: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names), 1)
+def _at(rows: Rows, which) -> Rows:
+    return {n: c[which] for n, c in rows.items()}
 
 
-def _unpack(blob: bytes, form: np.dtype) -> np.ndarray:
+def _joined(parts: list[Rows], form: dict[str, str]) -> Rows:
+    return {n: np.concatenate([p[n] for p in parts] or [np.empty(0, form[n])]) for n in form}
+
+
+def _pack(rows: Rows) -> bytes:
+    return zstandard.compress(b"".join(c.tobytes() for c in rows.values()), 1)
+
+
+def _unpack(blob: bytes, form: dict[str, str]) -> Rows:
     data = zstandard.decompress(blob)
-    n = len(data) // form.itemsize
-    rows, at = np.empty(n, dtype=form), 0
-    for name in form.names:
-        kind = form[name]
+    n = len(data) // sum(np.dtype(k).itemsize for k in form.values())
+    rows, at = {}, 0
+    for name, kind in form.items():
         rows[name] = np.frombuffer(data, dtype=kind, count=n, offset=at)
-        at += n * kind.itemsize
+        at += rows[name].nbytes
     return rows
 
 
@@ -169,8 +194,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def line_sets(words: np.ndarray, second: np.ndarray, line: np.ndarray, counts: np.ndarray):
-    """(line, size, ids, words) of the lines with a word: their distinct words, each line's from rare to common, and 128 bits that are equal for equal sets.
+def line_sets(words: np.ndarray, second: np.ndarray | None, line: np.ndarray, counts: np.ndarray):
+    """(line, size, ids, words) of the lines with a word: their distinct words, each line's from rare to common, and (with second hashes) 128 bits that are equal for equal sets.
 
     The order by rarity is one for all lines: by the logarithm of the count, then by hash. Sorted are 64-bit keys of line,
     level and leading bits of the hash; where two words of a line share a key, all is sorted in full.
@@ -191,13 +216,16 @@ def line_sets(words: np.ndarray, second: np.ndarray, line: np.ndarray, counts: n
         order = np.lexsort((mixed, level, own))
         by, o = words[order], own[order]
     new = np.concatenate(([True], (by[1:] != by[:-1]) | (o[1:] != o[:-1])))
-    by, o, other = by[new], o[new], second[order[new]]
+    by, o = by[new], o[new]
     size = np.bincount(o)
+    lines = line[np.flatnonzero(np.diff(line, prepend=line[0] - 1))]
+    if second is None:
+        return lines, size, None, by
+    other = second[order[new]]
     first = np.cumsum(size) - size
     ids = np.empty((len(size), 2), dtype=np.uint64)
     ids[:, 0] = np.add.reduceat(_mix(by + np.uint64(0x632BE59BD9B4E019)), first)
     ids[:, 1] = np.add.reduceat(_mix(_mix(other) ^ np.uint64(0x8CB92BA72F3D8DD7)), first)
-    lines = line[np.flatnonzero(np.diff(line, prepend=line[0] - 1))]
     return lines, size, ids, by
 
 
@@ -206,45 +234,47 @@ def can_pair(size: np.ndarray, num: int, den: int) -> np.ndarray:
     return (size * den // num > size) | (-(-size * num // den) < size)
 
 
-def prefix_postings(words: np.ndarray, size: np.ndarray, ids: np.ndarray, docs: np.ndarray, lines: np.ndarray, counts: np.ndarray, num: int, den: int, searching: np.ndarray | None = None) -> np.ndarray:
-    """The postings of the prefixes of so many sets, words from rare to common: the rarest n - ceil(t n) + 1 words of a set of n, at t = num / den.
-
-    Words of several blocks: without searching, block 0 meets every block and every block itself; with it, the lines that search
-    meet every block.
-    """
+def prefix_postings(words: np.ndarray, size: np.ndarray, ids: np.ndarray, docs: np.ndarray, lines: np.ndarray, blocks: np.ndarray, num: int, den: int) -> Rows:
+    """The postings of the prefixes of so many sets, words from rare to common: the rarest n - ceil(t n) + 1 words of a set of n, at t = num / den."""
     sets = len(size)
     if not sets:
-        return np.empty(0, dtype=_POSTING)
+        return _joined([], _POSTING)
     owner, first = np.repeat(np.arange(sets), size), np.cumsum(size) - size
     # A bitmap of 64 bits, or of 4 x 64 for large sets; the xor of the four is the one of 64 bits.
     mixed = _mix(words)
     bit = np.uint64(1) << (mixed >> np.uint64(58))
     lane = np.where((size > _SMALL_SET)[owner], (mixed >> np.uint64(56)) & np.uint64(3), np.uint64(0))
     bits = [np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), first) for k in range(4)]
-    place = np.arange(len(words)) - first[owner]
-    take = np.flatnonzero(place < (size - -(-size * num // den) + 1)[owner])
-    own = owner[take]
-    rows = np.empty(len(take), dtype=_POSTING)
-    rows["token"], rows["id"] = words[take], ids[own]
-    for k, name in enumerate(_LANES):
-        rows[name] = bits[k][own]
-    rows["doc"], rows["line"], rows["size"], rows["place"] = docs[own], lines[own], size[own], place[take]
-    rows["flag"] = 0 if searching is None else searching[own]
-    blocks = 1 + counts[(words[take] % np.uint64(BUCKETS)).astype(np.int64)] // _BLOCK_LINES
-    if (blocks > 1).any():
-        out = [rows[blocks == 1]]
-        for n in np.unique(blocks[blocks > 1]).tolist():
-            hot = rows[blocks == n]
-            own_block = hot["id"] % np.uint64(n)
-            wide = own_block == 0 if searching is None else hot["flag"] > 0
-            if searching is None:
-                hot["flag"] = 2
-            for x in range(n):
-                copy = hot[wide | (own_block == np.uint64(x))]
-                copy["token"] = _mix(copy["token"] + np.uint64((n + x) * 0xD6E8FEB86659FD93 % (1 << 64)))
-                out.append(copy)
-        rows = np.concatenate(out)
-    return rows
+    long = size - -(-size * num // den) + 1
+    own = np.repeat(np.arange(sets), long)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(long) - long, long)
+    token = words[first[own] + place]
+    rows = {"token": token, "id": ids[own], **{n: bits[k][own] for k, n in enumerate(_LANES)}, "doc": docs[own], "line": lines[own], "size": size[own], "place": place, "block": np.zeros(len(own)), "flag": np.zeros(len(own))}
+    return _blocked({n: c.astype(_POSTING[n], copy=False) for n, c in rows.items()}, blocks)
+
+
+def _blocked(rows: Rows, blocks: np.ndarray, searching: np.ndarray | None = None) -> Rows:
+    """Rows of words of n blocks, in block 1 to n of their word: without searching, the first block's rows meet those of every block, the others their own; with it, the lines that search meet every block."""
+    n = blocks[(rows["token"] % np.uint64(BUCKETS)).astype(np.int64)]
+    if not (n > 1).any():
+        return rows
+    out = [_at(rows, n == 1)]
+    for k in np.unique(n[n > 1]).tolist():
+        hot = _at(rows, n == k)
+        own = hot["id"] % np.uint64(k)
+        wide = own == 0 if searching is None else searching[n == k]
+        if searching is None:
+            hot["flag"] = np.full(len(own), 2, np.uint8)
+        for x in range(k):
+            copy = _at(hot, wide | (own == np.uint64(x)))
+            copy["block"] = np.full(len(copy["id"]), x + 1, np.uint32)
+            out.append(copy)
+    return _joined(out, _POSTING)
+
+
+def _group_key(rows: Rows) -> np.ndarray:
+    """The word, or for a word of several blocks the word and the block."""
+    return np.where(rows["block"] == 0, rows["token"], _mix(rows["token"] + rows["block"].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def _spans(start: np.ndarray, stop: np.ndarray):
@@ -259,38 +289,48 @@ def _spans(start: np.ndarray, stop: np.ndarray):
         at = to
 
 
-def best_candidates(rows: np.ndarray, num: int, den: int, most: int, reach: int | None = _REACH) -> tuple[np.ndarray, ...]:
-    """(later doc, later line, earlier doc, earlier line, more) of the pairs of sets that share a token and pass the filters.
+def best_candidates(rows: Rows, num: int, den: int, most: int, reach: int | None = _REACH) -> tuple[tuple[np.ndarray, ...], Rows]:
+    """(later doc, later line, earlier doc, earlier line, more) of the pairs of sets that share a word and pass the filters; and the rows of the words of sets with more.
 
     Of each later set the `most` pairs nearest by bitmap come; more says that there were others, or that not all earlier
-    sets were looked at: sets of a token are compared with its `reach` earliest, however many there are; without a
+    sets were looked at: sets of a word are compared with its `reach` earliest, however many there are; without a
     reach only the flagged ones are, with all. Sets with more but without a pair come with an earlier line -1.
     """
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["id"], rows["token"]))]
-    if len(rows):  # a set is known by its first line
-        new = np.ones(len(rows), dtype=bool)
-        new[1:] = False
-        for name in ("token", "id", "size", *_LANES):
-            new[1:] |= rows[name][1:] != rows[name][:-1]
-        rows = rows[new]
-        _, group, n = np.unique(rows["token"], return_inverse=True, return_counts=True)
-        rows = rows[n[group] > 1]
-    if not len(rows):
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z.astype(bool)
-    rows = rows[np.lexsort((rows["size"], rows["token"]))]
-    group = np.concatenate(([0], np.cumsum(rows["token"][1:] != rows["token"][:-1])))
+    z = np.zeros(0, dtype=np.int64)
+    nothing = (z, z, z, z, z.astype(bool)), _joined([], _POSTING)
+    key = _group_key(rows)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    shared = np.concatenate(([False], same))[: len(key)]
+    shared[:-1] |= same
+    shared |= rows["flag"][order] == 2
+    rows = _at(rows, order[shared])
+    key = key[order[shared]]
+    if not len(key):
+        return nothing
+    order = np.lexsort((rows["line"], rows["doc"], rows["id"], key))
+    rows, key = _at(rows, order), key[order]
+    new = np.ones(len(key), dtype=bool)  # a set is known by its first line
+    new[1:] = key[1:] != key[:-1]
+    for name in ("id", "size", *_LANES):
+        new[1:] |= rows[name][1:] != rows[name][:-1]
+    rows, key = _at(rows, new), key[new]
+    order = np.lexsort((rows["size"], key))
+    rows, key = _at(rows, order), key[order]
+    group = np.cumsum(np.diff(key, prepend=key[0]) != 0)
+    n = np.bincount(group)[group]
+    if not (n > 1).any() and not (rows["flag"] == 2).any():
+        return nothing
     size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
-    open_ = np.zeros(len(rows), dtype=bool)
+    key = (group << 32) + size
+    low, high = (group << 32) + -(-size * num // den), (group << 32) + size * den // num
+    open_ = rows["flag"] == 2
     pieces = []
     if reach:
-        n = np.bincount(group)
-        large = n[group] > reach
-        key = (group << 32) + size
-        if not large.all():
-            small = np.flatnonzero(~large)
-            stop = np.searchsorted(key[small], key[small] - size[small] + size[small] * den // num, "right")
-            pieces.append((small, small, np.arange(len(small)) + 1, stop))
+        large = n > reach
+        small = np.flatnonzero(~large & (n > 1))
+        if len(small):
+            pieces.append((small, small, np.arange(len(small)) + 1, np.searchsorted(key[small], high[small], "right")))
         if large.any():
             at = np.flatnonzero(large)
             order = at[np.lexsort((rows["line"][at], rows["doc"][at], group[at]))]
@@ -298,15 +338,14 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int, reach: int
             rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
             open_[order[rank >= reach]] = True
             first = np.sort(order[rank < reach])
-            pieces.append((at, first, np.searchsorted(key[first], (group[at] << 32) + -(-size[at] * num // den)), np.searchsorted(key[first], (group[at] << 32) + size[at] * den // num, "right")))
-        open_ |= rows["flag"] == 2
+            pieces.append((at, first, np.searchsorted(key[first], low[at]), np.searchsorted(key[first], high[at], "right")))
     else:
-        at, key = np.flatnonzero(rows["flag"] == 1), (group << 32) + size
-        pieces.append((at, np.arange(len(rows)), np.searchsorted(key, (group[at] << 32) + -(-size[at] * num // den)), np.searchsorted(key, (group[at] << 32) + size[at] * den // num, "right")))
+        at = np.flatnonzero(rows["flag"] == 1)
+        pieces.append((at, np.arange(len(key)), np.searchsorted(key, low[at]), np.searchsorted(key, high[at], "right")))
+    sure = min(2, most) if reach else most
     kept: list[np.ndarray] = []
     held, bound = 0, 2 * _PAIRS
-    for k, (left, right, start, stop) in enumerate(pieces):
-        both_ways = bool(reach) and k == 0 and left is right
+    for left, right, start, stop in pieces:
         for i, j in _spans(start, stop):
             i, j = left[i], right[j]
             both = size[i] + size[j]
@@ -314,7 +353,7 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int, reach: int
             ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
             i, j, slack = i[ok], j[ok], (both - 2 * need)[ok]
             after = (rows["doc"][i] > rows["doc"][j]) | ((rows["doc"][i] == rows["doc"][j]) & (rows["line"][i] > rows["line"][j]))
-            if both_ways:
+            if left is right:  # each pair comes once, in either order
                 i, j = np.where(after, i, j), np.where(after, j, i)
             else:
                 i, j, slack = i[after], j[after], slack[after]
@@ -325,7 +364,7 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int, reach: int
                 kept.append(np.stack([rows["doc"][i], rows["line"][i], far[ok], rows["doc"][j], rows["line"][j], open_[i], slack[ok]]).astype(np.int64))
                 held += len(i)
                 if held > bound:
-                    kept = [_nearest(np.concatenate(kept, axis=1), most, min(2, most) if reach else most)]
+                    kept = [_nearest(np.concatenate(kept, axis=1), most, sure)]
                     held = kept[0].shape[1]
                     bound = max(2 * _PAIRS, 2 * held)
     if open_.any():
@@ -333,10 +372,15 @@ def best_candidates(rows: np.ndarray, num: int, den: int, most: int, reach: int
         z = np.zeros(len(at), np.int64)
         kept.append(np.stack([rows["doc"][at], rows["line"][at], z + (1 << 40), z, z - 1, z + 1, z]).astype(np.int64))
     if not sum(k.shape[1] for k in kept):
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z.astype(bool)
-    got = _nearest(np.concatenate(kept, axis=1), most, min(2, most) if reach else most)
-    return got[0], got[1], got[3], got[4], got[5].astype(bool)
+        return nothing
+    got = _nearest(np.concatenate(kept, axis=1), most, sure)
+    more = got[5].astype(bool)
+    lines = np.unique(line_key(got[0], got[1])[more])
+    where = np.searchsorted(lines, mine := line_key(rows["doc"], rows["line"].astype(np.int64)))
+    again = np.zeros(int(group[-1]) + 1, dtype=bool)
+    again[group[(where < len(lines)) & (lines[np.minimum(where, len(lines) - 1)] == mine)] if len(lines) else z[:0]] = True
+    again |= np.bincount(group, rows["block"], len(again)) > 0  # other blocks may have them
+    return (got[0], got[1], got[3], got[4], more), _at(rows, again[group])
 
 
 def _nearest(pairs: np.ndarray, most: int, sure: int) -> np.ndarray:
@@ -362,91 +406,114 @@ def _merged(pairs: np.ndarray, same: np.ndarray) -> np.ndarray:
     return out
 
 
-_PLACE = np.dtype([("id", "<u8"), ("id1", "<u8"), ("doc", "<i8"), ("line", "<i4")])
-
-
 def line_key(doc, line):
     """A bigint for the Bloom filter of lines."""
     return doc ^ (line << 40)
 
 
-def _postings(docs: DataFrame, counts, parts: int, num: int, den: int, searching: IdFilter | None = None) -> DataFrame:
-    """(part, rows): for parts below `parts` packed postings; for the next so many the first line of each set in a slice of the input; for the last the other lines of those sets, which are removed whatever the rest holds.
-
-    With searching, a filter of the lines that search, the postings alone.
-    """
+def _postings(docs: DataFrame, order, parts: int, num: int, den: int) -> DataFrame:
+    """(part, rows): for parts below `parts` packed postings; for the next so many the first line of each set in a slice of the input; for the last the other lines of those sets, which are removed whatever the rest holds."""
 
     def run(batches):
-        hasher = _hasher()
+        hasher, known = _hasher(), order.value
         for batch in sliced(batches, 1):
             there = [(doc, text) for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))) if doc is not None]
             own = np.array([d for d, _ in there], dtype=np.int64)
             # Texts stand one after the other; line feeds before a text give its first line's number.
             before = np.concatenate(([0], np.cumsum([t.count(b"\n") + 1 for _, t in there], dtype=np.int64)))
-            lines, size, ids, words = line_sets(*hasher.words(b"\n".join([t for _, t in there])), counts.value)
+            lines, size, ids, words = line_sets(*hasher.words(b"\n".join([t for _, t in there])), known.counts)
             if not len(size):
                 continue
             at = np.searchsorted(before, lines, "right") - 1
-            place = np.empty(len(size), dtype=_PLACE)
-            place["id"], place["id1"], place["doc"], place["line"] = ids[:, 0], ids[:, 1], own[at], lines - before[at]
-            order = np.lexsort((place["line"], place["doc"], place["id1"], place["id"]))
-            sorted_ = place[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (sorted_["id"][1:] != sorted_["id"][:-1]) | (sorted_["id1"][1:] != sorted_["id1"][:-1])
-            firsts, again = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
-            firsts[order[new]] = True
-            again[order[1:]] = ~new[1:] & (sorted_["doc"][1:] == sorted_["doc"][:-1]) & (sorted_["line"][1:] == sorted_["line"][:-1])  # a repeated row
+            place = {"id": ids[:, 0], "id1": ids[:, 1], "doc": own[at], "line": (lines - before[at]).astype(np.int32)}
+            order_ = np.lexsort((place["line"], place["doc"], place["id1"], place["id"]))
+            sorted_ = _at(place, order_)
+            same = {n: sorted_[n][1:] == sorted_[n][:-1] for n in place}
+            copy = np.concatenate(([False], same["id"] & same["id1"]))
+            again = copy & np.concatenate(([False], same["doc"] & same["line"]))  # a repeated row
+            firsts = np.zeros(len(size), dtype=bool)
+            firsts[order_[~copy]] = True
             post = firsts & can_pair(size, num, den)
-            search = searching.holds(line_key(place["doc"][post], place["line"][post].astype(np.int64))) if searching else None
-            rows = prefix_postings(words[np.repeat(post, size)], size[post], place["id"][post], place["doc"][post], place["line"][post], counts.value, num, den, search)
-            got = _dealt(rows, _mix(rows["token"]), parts, 0)
-            if not searching:
-                got += _dealt(place[firsts], place["id1"][firsts], parts, parts)
-                gone = place[~firsts & ~again]
-                if len(gone):
-                    got.append((2 * parts + int(gone["id"][0] % np.uint64(parts)), _pack(gone)))
+            rows = prefix_postings(words[np.repeat(post, size)], size[post], place["id"][post], place["doc"][post], place["line"][post], known.blocks, num, den)
+            got = _dealt(rows, _mix(_group_key(rows)), parts, 0) + _dealt(_at(place, firsts), place["id1"][firsts], parts, parts)
+            gone = _at(sorted_, copy & ~again)
+            if len(gone["id"]):
+                got.append((2 * parts + int(gone["id"][0] % np.uint64(parts)), _pack(gone)))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, rows binary")
 
 
-def _dealt(rows: np.ndarray, key: np.ndarray, parts: int, first: int) -> list[tuple[int, bytes]]:
-    part = (key % np.uint64(parts)).astype(np.int64)
+def _postings_again(held: DataFrame, order, parts: int, searching: IdFilter) -> DataFrame:
+    """(part, rows) of postings that were kept, for the lines that search: their words' postings, and those of all words in blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in blobs(batch.column(0)):
+                rows = _unpack(blob, _POSTING)
+                hot = rows["block"] > 0  # only in the own block; it is dealt out anew
+                own = rows["id"] % np.maximum(order.value.blocks[(rows["token"] % np.uint64(BUCKETS)).astype(np.int64)], 1).astype(np.uint64)
+                rows = _at(rows, ~hot | (own + np.uint64(1) == rows["block"]))
+                search = searching.holds(line_key(rows["doc"], rows["line"].astype(np.int64)))
+                rows["flag"], rows["block"] = search.astype(np.uint8), np.zeros(len(search), np.uint32)
+                rows = _blocked(rows, order.value.blocks, search)
+                key = _group_key(rows)
+                sort = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], key[sort][1:] != key[sort][:-1])))[: len(key)]
+                wanted = np.logical_or.reduceat((rows["flag"][sort] == 1) | (rows["block"][sort] > 0), first) if len(key) else np.zeros(0, bool)
+                rows = _at(rows, sort[np.repeat(wanted, np.diff(np.append(first, len(key))))])
+                if len(rows["id"]):
+                    got = _dealt(rows, _mix(_group_key(rows)), parts, 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
+
+    return held.mapInArrow(run, "part int, rows binary")
+
+
+def _dealt(rows: Rows, key: np.ndarray, parts: int, first: int) -> list[tuple[int, bytes]]:
+    part = (key % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return [(first + p, _pack(rows[order[s:e]])) for p, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
+    rows = _at(rows, order)
+    return [(first + p, _pack(_at(rows, slice(s, e)))) for p, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
 
 
-def later_places(rows: np.ndarray) -> np.ndarray:
+def later_places(rows: Rows) -> Rows:
     """The rows whose set has an earlier line."""
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["id1"], rows["id"]))]
-    new = np.ones(len(rows), dtype=bool)  # repeated rows count once
-    new[1:] = (rows["id"][1:] != rows["id"][:-1]) | (rows["doc"][1:] != rows["doc"][:-1]) | (rows["line"][1:] != rows["line"][:-1])
-    rows = rows[new]
-    later = np.zeros(len(rows), dtype=bool)
-    later[1:] = (rows["id"][1:] == rows["id"][:-1]) & (rows["id1"][1:] == rows["id1"][:-1])
-    return rows[later]
+    rows = _at(rows, np.lexsort((rows["line"], rows["doc"], rows["id1"], rows["id"])))
+    same = {n: rows[n][1:] == rows[n][:-1] for n in rows}
+    copy = np.concatenate(([False], same["id"] & same["id1"]))[: len(rows["id"])]
+    again = np.concatenate(([False], same["doc"] & same["line"]))[: len(copy)]  # repeated rows count once
+    return _at(rows, copy & ~again)
+
+
+#: Kept postings travel in pieces of so many rows.
+_CHUNK = 1 << 16
 
 
 def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int, reach: int | None) -> DataFrame:
-    """Pairs to verify; lines that are removed as copies come with a null early_doc, lines without a pair that are still open with early_line -1."""
+    """Pairs to verify; lines that are removed as copies come with a null early_doc, lines without a pair that are still open with early_line -1, and the postings of the words of open lines with null lines."""
 
     def run(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[Rows]] = {}
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held.setdefault(p, []).append(_unpack(blob.as_buffer().to_pybytes(), _POSTING if p < parts else _PLACE))
         for p in list(held):
-            rows = np.concatenate(held.pop(p))
+            rows = _joined(held.pop(p), _POSTING if p < parts else _PLACE)
             if p < parts:
-                got = best_candidates(rows, num, den, most, reach)
+                (doc, line, early, early_line, more), again = best_candidates(rows, num, den, most, reach)
             else:
-                rows = later_places(rows) if p < 2 * parts else rows
-                nothing = pa.nulls(len(rows), pa.int64())
-                got = (rows["doc"], rows["line"], nothing, nothing.cast(pa.int32()), np.zeros(len(rows), dtype=bool))
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1].astype(np.int32)), pa.array(got[2]), pa.array(got[3]).cast(pa.int32()), pa.array(got[4])], names=["doc", "line", "early_doc", "early_line", "more"])
+                rows, again = later_places(rows) if p < 2 * parts else rows, {"id": ()}
+                nothing = pa.nulls(len(rows["id"]), pa.int64())
+                doc, line, early, early_line, more = rows["doc"], rows["line"], nothing, nothing.cast(pa.int32()), np.zeros(len(rows["id"]), dtype=bool)
+            columns = [pa.array(doc), pa.array(line.astype(np.int32)), pa.array(early), pa.array(early_line).cast(pa.int32()), pa.array(more), pa.nulls(len(doc), pa.binary())]
+            names = ["doc", "line", "early_doc", "early_line", "more", "rows"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if reach:
+                kept = pa.array([_pack(_at(again, slice(s, s + _CHUNK))) for s in range(0, len(again["id"]), _CHUNK)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(kept), c.type) for c in columns[:5]], kept], names=names)
 
-    return postings.repartition(parts, "part").mapInArrow(run, "doc bigint, line int, early_doc bigint, early_line int, more boolean")
+    return postings.repartition(parts, "part").mapInArrow(run, "doc bigint, line int, early_doc bigint, early_line int, more boolean, rows binary")
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -494,23 +561,25 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32, r
     task (2, if the nearest is far within the bound) among the `reach` earliest sets of a word. Lines for which none of
     those holds though there were more stay open and search again, now all sets that share a word of their prefix and
     with eight times as many candidates, until none is open: so no candidate is lost, and near copies of one line cost
-    `reach` comparisons each, not as many as there are of them.
+    `reach` comparisons each, not as many as there are of them. For that the first round keeps the postings of the
+    words of open lines.
     """
     parts = shuffle_width(docs.sparkSession)
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
-    found, searching = None, None
+    order = docs.sparkSession.sparkContext.broadcast(_Order(*word_counts(docs, num, den), parts))
+    pairs = checkpointed(_candidates(_postings(docs, order, parts, num, den), parts, num, den, most, reach))
+    held = pairs.where("rows IS NOT NULL").select("rows")
+    found = pairs.where("doc IS NOT NULL AND early_doc IS NULL").select("doc", "line")
     while True:
-        pairs = checkpointed(_candidates(_postings(docs, counts, parts, num, den, searching), parts, num, den, most, None if searching else reach).groupBy("doc", "line", "early_doc", "early_line").agg(F.max("more").alias("more")))
-        near = pairs.where("early_line >= 0")
-        seen = _verified(docs, near, num, den).union(pairs.where("early_line < 0").select("doc", "line", "more", F.lit(False)))
+        pairs = pairs.where("early_doc IS NOT NULL").groupBy("doc", "line", "early_doc", "early_line").agg(F.max("more").alias("more"))
+        seen = _verified(docs, checkpointed(pairs.where("early_line >= 0")), num, den).union(pairs.where("early_line < 0").select("doc", "line", "more", F.lit(False)))
         state = checkpointed(seen.groupBy("doc", "line").agg(F.max("alike").alias("alike"), F.max("more").alias("more")))
-        now = state.where("alike").select("doc", "line")
-        found = pairs.where("early_doc IS NULL").select("doc", "line").union(now) if found is None else found.union(now)
+        found = found.union(state.where("alike").select("doc", "line"))
         open_ = state.where("more AND NOT alike").select(F.col("doc").bitwiseXOR(F.shiftleft(F.col("line").cast("bigint"), 40)).alias("key"))
         if open_.isEmpty():
             break
-        searching = IdFilter.of(open_, "key")
         most *= 8
+        again = _postings_again(held, order, parts, IdFilter.of(open_, "key"))
+        pairs = checkpointed(_candidates(again, parts, num, den, most, None))
     return found.distinct().withColumnRenamed("doc", "doc_id")
 
 

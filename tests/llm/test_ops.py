@@ -187,16 +187,24 @@ def test_hot_words_of_lines(monkeypatch, blocks):
     sets = [set(x.split()) for x in lines]
     alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
     want = {i for i in range(300) if any(alike(i, j) for j in range(i))}
-    found, searching, most, reach = set(), None, 4, 8
+    prefixes = np.bincount((words % np.uint64(line_dedup.BUCKETS)).astype(np.int64), minlength=line_dedup.BUCKETS)
+    known = line_dedup._Order(counts, prefixes, 1000)
+    assert (known.blocks.max() > 1) == (blocks == 20)
+    rows = line_dedup.prefix_postings(words, size, ids[:, 0], np.zeros(300, np.int64), at, known.blocks, 4, 5)
+    found, most, held = set(), 4, None
     for turn in range(6):
-        rows = line_dedup.prefix_postings(words, size, ids[:, 0], np.zeros(300, np.int64), at, counts, 4, 5, searching)
-        late, early, more = (x.tolist() for x in (lambda g: (g[1], g[3], g[4]))(line_dedup.best_candidates(rows, 4, 5, most, None if turn else reach)))
-        assert turn or len(late) <= 300 * (most + 1) * (len(np.unique(rows["token"])))
-        found |= {i for i, j in zip(late, early) if j >= 0 and alike(i, j)}
-        left = {i for i, m in zip(late, more) if m} - found
+        (_, late, _, early, more), again = line_dedup.best_candidates(rows, 4, 5, most, None if turn else 8)
+        held = again if held is None else held
+        found |= {i for i, j in zip(late.tolist(), early.tolist()) if j >= 0 and alike(i, j)}
+        left = {i for i, m in zip(late.tolist(), more.tolist()) if m} - found
         if not left:
             break
-        searching, most = np.isin(np.arange(300), list(left)), most * 8
+        most *= 8
+        own = held["id"] % known.blocks[(held["token"] % np.uint64(line_dedup.BUCKETS)).astype(np.int64)].astype(np.uint64) + np.uint64(1)
+        rows = line_dedup._at(held, (held["block"] == 0) | (held["block"] == own))
+        search = np.isin(rows["line"], list(left))
+        rows["flag"], rows["block"] = search.astype(np.uint8), np.zeros(len(search), np.uint32)
+        rows = line_dedup._blocked(rows, known.blocks, search)
     assert turn and found == want and len(want) > 200
 
 
