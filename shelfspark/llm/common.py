@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 
@@ -18,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfspark-checkpoint-"))
+    """The cluster names its shared folder in spark.checkpoint.dir; only a session within one machine may do without and gets a folder that goes with it."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="shelfspark-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -129,9 +136,9 @@ def _packed_slices(total: np.ndarray, slices: int) -> pa.RecordBatch:
 def maybe_in(df: DataFrame, ids: IdFilter, col: str, there: bool = True) -> DataFrame:
     """Rows of df whose id may be in the filter; there=False: the others, which are surely not in it (null ids too)."""
 
-    @F.pandas_udf("boolean")
-    def held(x: pd.Series) -> pd.Series:
-        return pd.Series(ids.holds(x.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("boolean")
+    def held(x: pa.Array) -> pa.Array:
+        return pa.array(ids.holds(x.to_numpy(zero_copy_only=False)))
 
     value = F.col(f"`{col}`").cast("bigint")
     test = held(F.coalesce(value, F.lit(0).cast("bigint"))) & value.isNotNull()

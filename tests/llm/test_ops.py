@@ -465,9 +465,63 @@ def test_packer_limits():
         p.add(k, np.arange(n), rng.random(n) < 0.4)
         total += n
     by = {}
-    for seq, offset, key, start, ids in p.drain(0):
-        by.setdefault(seq, []).append((offset, key, start, len(ids), ids))
-    assert sum(x[3] for v in by.values() for x in v) == total and all(sum(x[3] for x in v) <= 100 and len(v) <= 5 for v in by.values())
+    for seq, offset, key, start, ids, loss in p.drain(0):
+        by.setdefault(seq, []).append((offset, key, start, len(ids), int(loss.sum())))
+    assert sum(x[3] for v in by.values() for x in v) == total and all(sum(x[3] for x in v) <= 100 and len(v) <= 5 and sum(x[4] for x in v) <= 40 for v in by.values())
+
+
+def test_packer_by_brute_force():
+    """Every placement against the dot products of all waiting items."""
+    rng, other = np.random.default_rng(3), 0
+    limits = (100, 6, 30)
+    p, waiting = vector_packing.Packer(limits), []
+    for k in range(120):
+        n = int(rng.integers(1, 60))
+        loss = np.arange(n) >= rng.integers(0, n + 1)
+        p.add(k, np.arange(n), loss)
+        waiting.append((k, 0, n, int(loss.sum())) if loss.sum() <= 30 else None)
+    waiting = [(key, start, len(ids), int(loss.sum())) for held in p.queue.values() for key, start, ids, loss in held]
+    last, left = -1, None
+    for seq, _, key, start, ids, loss in p.drain(0):
+        left = np.array(limits, float) if seq != last else left
+        last = seq
+        own = next(w for w in waiting if w[:2] == (key, start))
+        worth = lambda w: np.array([w[2], 1, w[3]]) / limits @ (left / limits)  # noqa: E731, B023
+        fit = [w for w in waiting if (np.array([w[2], 1, w[3]]) <= left).all()]
+        assert abs(worth(own) - max(map(worth, fit or waiting))) < 1e-12 and (not fit) == (len(ids) < own[2])
+        other += bool(fit) and own[2] < max(w[2] for w in fit)
+        waiting.remove(own)
+        if len(ids) < own[2]:
+            waiting.append((key, start + len(ids), own[2] - len(ids), own[3] - int(loss.sum())))
+        left -= (len(ids), 1, loss.sum())
+    assert not waiting and other > 5  # the choice is often not the longest
+
+
+def test_many_short_texts():
+    import time
+
+    p = vector_packing.Packer((2048, 64, 2048))
+    for k in range(200_000):
+        p.add(k, np.ones(1, np.uint32))
+    began = time.time()
+    assert sum(1 for _ in p.drain(0)) == 200_000 and time.time() - began < 60
+
+
+def test_packing_of_instructions(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    asked = turns.where("role = 'user'").selectExpr("conv_id", "turn + 1 AS turn", "text AS prompt")
+    pairs = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"], "left").repartition(2).checkpoint()
+    got = vector_packing.pack(pairs, "conv_id", prompt_col="prompt", tokens=512, segments=8, loss_tokens=200).collect()
+    sums = {}
+    for r in got:
+        x = sums.setdefault(r["sequence_id"], [0, 0, 0])
+        x[0], x[1], x[2] = x[0] + r["length"], x[1] + 1, x[2] + r["loss_tokens"]
+    assert all(a <= 512 and b <= 8 and c <= 200 for a, b, c in sums.values()) and sum(c >= 193 for _, _, c in sums.values()) > len(sums) // 2
+    import public_tokenizers
+
+    n = lambda t: len(vector_packing.encode(t or "", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    rows = pairs.collect()
+    assert sum(c for _, _, c in sums.values()) == sum(n(r["text"]) + 1 for r in rows) and sum(a for a, _, _ in sums.values()) == sum(n(r["text"]) + n(r["prompt"]) + 1 for r in rows)
 
 
 def test_special_strings_and_both_encoders():
