@@ -225,7 +225,9 @@ def repeated_windows(rows: DataFrame, length: int, k: int, parts: int) -> DataFr
             return
         table_ = table_.combine_chunks()
         gram, owner, at, first, n = (table_.column(c).to_numpy() for c in ("gram", "owner", "at", "first", "n"))
-        around = np.frombuffer(b"".join(blobs(table_.column("around"))), dtype=np.uint8).reshape(-1, span + length)
+        body = table_.column("around").combine_chunks()
+        body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
+        around = np.frombuffer(body.buffers()[2], dtype=np.uint8, count=len(gram) * (span + length), offset=body.offset * (span + length)).reshape(-1, span + length)
         edge = (gram == gram[0]) | (gram == gram[-1])
         cuts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         ends = np.concatenate((cuts[1:], [len(gram)]))
@@ -237,7 +239,14 @@ def repeated_windows(rows: DataFrame, length: int, k: int, parts: int) -> DataFr
                 run.append((s, e))
                 s = e
         for s, e in run:
-            yield from settle(gram[s:e], owner[s:e], at[s:e], first[s:e], n[s:e], around[s:e], edge[s:e])
+            # Windows that hold the gram at different places are never equal, so a gram of very many windows is taken by places.
+            step = -(-(span + 1) // max(1, int(n[s:e].sum()) >> 18))
+            for low in range(0, span + 1, step):
+                begin = np.maximum(first[s:e], at[s:e] - low - step + 1)
+                held = np.maximum(0, np.minimum(first[s:e] + n[s:e] - 1, at[s:e] - low) - begin + 1)
+                rows_ = np.flatnonzero(held) + s
+                if len(rows_):
+                    yield from settle(gram[rows_], owner[rows_], at[rows_], begin[rows_ - s], held[rows_ - s], around[rows_], edge[rows_])
 
     def settle(gram, owner, at, first, n, around, edge):
         row = np.repeat(np.arange(len(gram)), n)
@@ -311,8 +320,8 @@ def merged_spans(runs: DataFrame) -> DataFrame:
     return lists.mapInArrow(join, "owner bigint, spans array<array<bigint>>")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' (id, n_bytes, n_removed, spans, kept, text): every byte of a text that a string of `length` bytes covers which also starts earlier is removed.
+def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs' (id, n_bytes, n_removed, spans, kept, text) and the columns named in keep: every byte of a text that a string of `length` bytes covers which also starts earlier is removed.
 
     Earlier: in a row of smaller id, or in the same row further left; strings are judged on the input. Equal texts are
     one class: only the row of least id is searched, the others lose all their bytes if they have `length` or more. A
@@ -323,6 +332,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "
     parts = shuffle_width(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data"))
+    more = [f"__k{i}" for i in range(len(keep))]
+    every = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, more)])
     # Copies: texts by digest; a copy's id is not searched.
     digests = base.where("id IS NOT NULL").select("id", F.unhex(F.sha2("data", 256)).alias("digest"), F.length("data").alias("n"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("of")).where("of > 1").select("digest", "owner")
@@ -372,14 +383,16 @@ def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "
                 gone.append(sum(b - a for a, b in s))
                 kept.append(b"".join(out))
                 whole.append(kept[-1].decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), batch.column(2), pa.array(kept, pa.binary()), pa.array(whole, pa.string())], names=["id", "n_bytes", "n_removed", "spans", "kept", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), batch.column(2), pa.array(kept, pa.binary()), pa.array(whole, pa.string()), *batch.columns[3:]], names=["id", "n_bytes", "n_removed", "spans", "kept", "text", *more])
 
     hit = IdFilter.of(spans, "owner")
-    touched = maybe_in(base, hit, "id").join(spans.withColumnRenamed("owner", "id"), "id", "left").select("id", "data", "spans").mapInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary, text string")
+    kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, more))
+    touched = maybe_in(every, hit, "id").join(spans.withColumnRenamed("owner", "id"), "id", "left").select("id", "data", "spans", *more)
+    touched = touched.mapInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary, text string" + kinds)
     none = F.array().cast("array<array<bigint>>")
-    rest = maybe_in(base, hit, "id", False).select("id", F.length("data").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), none.alias("spans"), F.col("data").alias("kept"), F.col("data").cast("string").alias("text"))
+    rest = maybe_in(every, hit, "id", False).select("id", F.length("data").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), none.alias("spans"), F.col("data").alias("kept"), F.col("data").cast("string").alias("text"), *more)
     out = touched.withColumn("spans", F.coalesce("spans", none)).union(rest)
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "spans", "kept", "text")
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "spans", "kept", "text", *[F.col(n).alias(c) for c, n in zip(keep, more)])
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
