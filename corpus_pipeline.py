@@ -47,12 +47,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 100 bytes that also start earlier; a document that loses all its bytes goes.
 
-    Characters cut through by a removed run are dropped with it, so texts stay UTF-8. Rows that share an id (or have
-    none) share one row's lang and source.
+    Characters cut through by a removed run are dropped with it, so texts stay UTF-8.
     """
-    kept = suffix_dedup.suffix_dedup(docs).where("n_removed < n_bytes OR n_bytes = 0").select("doc_id", "text")
-    rest = docs.select(F.col("doc_id").alias("id"), "lang", "source").dropDuplicates(["id"])
-    return _counted(kept.join(rest, F.col("doc_id").eqNullSafe(F.col("id"))))
+    kept = suffix_dedup.suffix_dedup(docs, keep=("lang", "source"))
+    return _counted(kept.where("n_removed < n_bytes OR n_bytes = 0"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage keeps is written to the checkpoint folder once and read from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
