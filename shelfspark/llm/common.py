@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 
@@ -55,6 +57,13 @@ def plain_names(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted])
 
 
+def give_back() -> None:
+    """Returns the memory that a worker has freed to the machine, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches, text_at: int, most_bytes: int = 4 << 20):
     """Record batches cut so that the binary column at text_at holds about most_bytes (one longer text alone): bounds what a Python worker holds."""
     for batch in batches:

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, blobs, checkpointed, maybe_in, plain_names, shuffle_width, sliced, table
+from .common import IdFilter, blobs, checkpointed, give_back, maybe_in, plain_names, shuffle_width, sliced, table
 
 #: Words are counted in so many hashed buckets: a table of fixed size that gives every word a place in the order by rarity.
 BUCKETS = 1 << 18
@@ -21,7 +21,10 @@ _PAIRS = 1 << 18
 #: Sets above this size have a bitmap of 256 bits.
 _SMALL_SET = 32
 _LEVELS = 9
-_PIECE = 1 << 19
+_PIECE = 1 << 18
+#: Bytes of text that a task works on at once; postings are dealt out when so many wait, more if there are very many parts.
+_SLICE = 2 << 20
+_WAIT = 1 << 17
 
 
 def line_words(line: bytes) -> list[bytes]:
@@ -110,7 +113,7 @@ def word_counts(docs: DataFrame, num: int = 4, den: int = 5, text_col: str = "te
 
     def count(batches):
         total, hasher = np.zeros(2 * BUCKETS, dtype=np.int64), _hasher()
-        for batch in sliced(batches, 0):
+        for batch in sliced(batches, 0, _SLICE):
             words, _, line = hasher.words(b"\n".join(blobs(batch.column(0))), both=False)
             own = np.bincount((words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             total[:BUCKETS] += own
@@ -120,6 +123,7 @@ def word_counts(docs: DataFrame, num: int = 4, den: int = 5, text_col: str = "te
             at = np.repeat(first - np.cumsum(long) + long, long) + np.arange(long.sum())
             total[BUCKETS:] += np.bincount((words[at] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         yield _sliced(total)
+        give_back()
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -144,7 +148,7 @@ class _Order:
     def __init__(self, counts: np.ndarray, prefixes: np.ndarray, parts: int):
         self.counts = counts
         # A word is dealt out in blocks where its postings would be a good part of a task's.
-        self.blocks = 1 + prefixes // max(_BLOCK_LINES, int(prefixes.sum()) // (4 * parts))
+        self.blocks = 1 + prefixes // max(_BLOCK_LINES, int(prefixes.sum()) // parts)
 
 
 def _sliced(total: np.ndarray) -> pa.RecordBatch:
@@ -416,7 +420,18 @@ def _postings(docs: DataFrame, order, parts: int, num: int, den: int) -> DataFra
 
     def run(batches):
         hasher, known = _hasher(), order.value
-        for batch in sliced(batches, 1):
+        posted, first, gone = [], [], []
+        most, waiting = min(max(_WAIT, 64 * parts), 8 * _WAIT), 0
+
+        def dealt():
+            rows, places, copies = _joined(posted, _POSTING), _joined(first, _PLACE), _joined(gone, _PLACE)
+            posted.clear(), first.clear(), gone.clear()
+            got = _dealt(rows, _mix(_group_key(rows)), parts, 0) + _dealt(places, places["id1"], parts, parts)
+            if len(copies["id"]):
+                got.append((2 * parts + int(copies["id"][0] % np.uint64(parts)), _pack(copies)))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
+
+        for batch in sliced(batches, 1, _SLICE):
             there = [(doc, text) for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))) if doc is not None]
             own = np.array([d for d, _ in there], dtype=np.int64)
             # Texts stand one after the other; line feeds before a text give its first line's number.
@@ -434,12 +449,16 @@ def _postings(docs: DataFrame, order, parts: int, num: int, den: int) -> DataFra
             firsts = np.zeros(len(size), dtype=bool)
             firsts[order_[~copy]] = True
             post = firsts & can_pair(size, num, den)
-            rows = prefix_postings(words[np.repeat(post, size)], size[post], place["id"][post], place["doc"][post], place["line"][post], known.blocks, num, den)
-            got = _dealt(rows, _mix(_group_key(rows)), parts, 0) + _dealt(_at(place, firsts), place["id1"][firsts], parts, parts)
-            gone = _at(sorted_, copy & ~again)
-            if len(gone["id"]):
-                got.append((2 * parts + int(gone["id"][0] % np.uint64(parts)), _pack(gone)))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
+            posted.append(prefix_postings(words[np.repeat(post, size)], size[post], place["id"][post], place["doc"][post], place["line"][post], known.blocks, num, den))
+            first.append(_at(place, firsts))
+            gone.append(_at(sorted_, copy & ~again))
+            waiting += len(posted[-1]["id"])
+            if waiting > most:
+                yield dealt()
+                waiting = 0
+        if first:
+            yield dealt()
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, rows binary")
 
@@ -486,20 +505,23 @@ def later_places(rows: Rows) -> Rows:
     return _at(rows, copy & ~again)
 
 
+#: Parts that a task works on, one after the other.
+_PARTS = 4
 #: Kept postings travel in pieces of so many rows.
 _CHUNK = 1 << 16
 
 
 def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int, reach: int | None) -> DataFrame:
-    """Pairs to verify; lines that are removed as copies come with a null early_doc, lines without a pair that are still open with early_line -1, and the postings of the words of open lines with null lines."""
+    """Pairs to verify, part by part, so that a task holds the postings of one part besides packed ones; lines that are removed as copies come with a null early_doc, lines without a pair that are still open with early_line -1, and the postings of the words of open lines with null lines."""
 
     def run(batches):
-        held: dict[int, list[Rows]] = {}
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.setdefault(p, []).append(_unpack(blob.as_buffer().to_pybytes(), _POSTING if p < parts else _PLACE))
+            for p, blob in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
+                held.setdefault(p, []).append(blob)
         for p in list(held):
-            rows = _joined(held.pop(p), _POSTING if p < parts else _PLACE)
+            form = _POSTING if p < parts else _PLACE
+            rows = _joined([_unpack(blob, form) for blob in held.pop(p)], form)
             if p < parts:
                 (doc, line, early, early_line, more), again = best_candidates(rows, num, den, most, reach)
             else:
@@ -512,8 +534,9 @@ def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int,
             if reach:
                 kept = pa.array([_pack(_at(again, slice(s, s + _CHUNK))) for s in range(0, len(again["id"]), _CHUNK)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(kept), c.type) for c in columns[:5]], kept], names=names)
+        give_back()
 
-    return postings.repartition(parts, "part").mapInArrow(run, "doc bigint, line int, early_doc bigint, early_line int, more boolean, rows binary")
+    return postings.repartition(max(1, parts // _PARTS), "part").mapInArrow(run, "doc bigint, line int, early_doc bigint, early_line int, more boolean, rows binary")
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -564,7 +587,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32, r
     `reach` comparisons each, not as many as there are of them. For that the first round keeps the postings of the
     words of open lines.
     """
-    parts = shuffle_width(docs.sparkSession)
+    parts = _PARTS * shuffle_width(docs.sparkSession)
     order = docs.sparkSession.sparkContext.broadcast(_Order(*word_counts(docs, num, den), parts))
     pairs = checkpointed(_candidates(_postings(docs, order, parts, num, den), parts, num, den, most, reach))
     held = pairs.where("rows IS NOT NULL").select("rows")
