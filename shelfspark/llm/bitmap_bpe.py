@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, plain_names, sliced, table
+from .common import arrow_map, blobs, plain_names, sliced, table
 
 #: Pre-tokens whose ids a worker remembers, and the longest that it does: bounds its memory, changes no result.
 REMEMBERED = 1 << 19
@@ -333,7 +333,7 @@ def bpe_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.binary())], names=[id_col, "ids", "decoded"])
 
     cols = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    return cols.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    return cols.transform(arrow_map, run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
 def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -353,7 +353,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     cols = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    return cols.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return cols.transform(arrow_map, run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bitmap_bpe(spark, sf_dir: str) -> DataFrame:

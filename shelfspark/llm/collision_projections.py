@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, plain_names, shuffle_width, table
+from .common import arrow_map, checkpointed, plain_names, shuffle_width, table
 from .components import components
 
 #: Wanted share of pairs just at the threshold that reach the count.
@@ -148,7 +148,7 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     key = ["dim", "label", "line", "cell"]
-    placed = classes.select("label", "v", "rep", "weight").mapInArrow(cells, f"dim int, label {kinds['label']}, line int, cell bigint, rep {kinds['rep']}, weight bigint, v array<double>")
+    placed = classes.select("label", "v", "rep", "weight").transform(arrow_map, cells, f"dim int, label {kinds['label']}, line int, cell bigint, rep {kinds['rep']}, weight bigint, v array<double>")
     # A large cell's rows are dealt to blocks; each pair of blocks is a task of its own.
     hot = placed.drop("v").groupBy(*key).count().where(F.col("count") > BLOCK).select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     placed = placed.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -202,7 +202,7 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         if held and (out := done()) is not None:
             yield out
 
-    counted = checkpointed(placed.mapInArrow(count_up, "a bigint, b bigint, n bigint"))
+    counted = checkpointed(placed.transform(arrow_map, count_up, "a bigint, b bigint, n bigint"))
     links = counted.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comps = components(counted.where("a <> b"))
     of_class = classes.join(links, "rep", "left").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")

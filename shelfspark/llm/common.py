@@ -64,6 +64,23 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of an Arrow batch between Spark and a worker, unless the session sets its own; by default Spark takes 64 MB.
+_BATCH = "4194304b"
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches and workers that give memory back; for DataFrame.transform."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == "67108864b":
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH)
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def sliced(batches, text_at: int, most_bytes: int = 4 << 20):
     """Record batches cut so that the binary column at text_at holds about most_bytes (one longer text alone): bounds what a Python worker holds."""
     for batch in batches:
@@ -117,7 +134,7 @@ class IdFilter:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1)], pa.binary())], names=["slice", "bits"])
 
         kind = "slice int, bits binary"
-        rows = df.select(F.col(col).cast("bigint")).mapInArrow(mark, kind).repartition(slices, "slice").mapInArrow(either, kind).collect()
+        rows = df.select(F.col(col).cast("bigint")).transform(arrow_map, mark, kind).repartition(slices, "slice").transform(arrow_map, either, kind).collect()
         bits = np.zeros(width, dtype=np.uint8)
         for r in rows:
             bits[r["slice"] * (width // slices) : (r["slice"] + 1) * (width // slices)] = np.frombuffer(zstandard.decompress(bytes(r["bits"])), dtype=np.uint8)

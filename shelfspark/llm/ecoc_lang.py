@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, crc_of_id, plain_names, sliced, table
+from .common import arrow_map, blobs, crc_of_id, plain_names, sliced, table
 
 #: Hashed n-gram features of each length.
 DIM = 1 << 12
@@ -142,7 +142,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     thin = rows.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20)).withColumn("__k", key)
     few = thin.withColumn("__r", F.row_number().over(Window.partitionBy(lang_col).orderBy("__k", id_col, text_col))).where(F.col("__r") <= rows_per_lang)
     texts = few.select(F.col(text_col).cast("binary").alias("t"), F.col(lang_col).alias("l"), "__k")
-    got = sorted(texts.mapInArrow(_profiles, "n binary, l string, __k bigint").collect(), key=lambda r: (r["l"], r["__k"], bytes(r["n"])))
+    got = sorted(texts.transform(arrow_map, _profiles, "n binary, l string, __k bigint").collect(), key=lambda r: (r["l"], r["__k"], bytes(r["n"])))
     return fit([bytes(r["n"]) for r in got], [r["l"] for r in got])
 
 
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Ecoc, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang), pa.array(np.where(known, score, 0.0)), pa.array(unsure & known)], names=[*cols, "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(F.col(f"`{text_col}`").cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in cols])
-    return rows.mapInArrow(run, f"{head}, lang_pred string, score double, ambiguous boolean")
+    return rows.transform(arrow_map, run, f"{head}, lang_pred string, score double, ambiguous boolean")
 
 
 def op5_ecoc_lang(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, plain_names, shuffle_width, table
+from .common import arrow_map, checkpointed, plain_names, shuffle_width, table
 
 #: Tables of nodes and partitions up to so many rows are broadcast.
 _SMALL = 100_000
@@ -43,7 +43,7 @@ def _places(df: DataFrame, group: str, order: list[str], weight: str) -> tuple[D
             last, total = g[-1], cum[-1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(g), pid, np.int32)), pa.array(cum)], names=[*batch.schema.names, "__pid", "__cum"])
 
-    out = checkpointed(ranged.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField("__cum", T.LongType())])))
+    out = checkpointed(ranged.transform(arrow_map, run, T.StructType([*df.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField("__cum", T.LongType())])))
     sums = out.groupBy("__pid", group).agg(F.max("__cum").alias("w")).collect()
     return out, sorted(((r["__pid"], r[group], r["w"]) for r in sums), key=lambda x: (x[1], x[0]))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blobs, crc_of_id, plain_names, sliced, table
+from .common import arrow_map, blobs, crc_of_id, plain_names, sliced, table
 
 #: Labelled examples of each class at most, the first by a hash of their id.
 EXAMPLES = {1: 2_048, 0: 4_096}
@@ -136,8 +136,8 @@ def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["k", "n"])
 
     total = np.zeros(n, dtype=np.int64)
-    parts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(count, "k int, n binary")
-    for r in parts.repartition(8).mapInArrow(add, "k int, n binary").collect():
+    parts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text")).transform(arrow_map, count, "k int, n binary")
+    for r in parts.repartition(8).transform(arrow_map, add, "k int, n binary").collect():
         total += np.frombuffer(zstandard.decompress(bytes(r["n"])), dtype=np.int64)
     return total[:-1], int(total[-1])
 
@@ -252,7 +252,7 @@ def counted(rows: DataFrame) -> DataFrame:
             numbers = [zstandard.compress(np.array([*c.values()], dtype=np.int64).tobytes(), 1) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(numbers, pa.binary())], names=["__id", "__y", "words", "n"])
 
-    return rows.mapInArrow(run, f"__id {kind}, __y int, words binary, n binary")
+    return rows.transform(arrow_map, run, f"__id {kind}, __y int, words binary, n binary")
 
 
 def _unpacked(words: bytes, n: bytes):
@@ -392,7 +392,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
             )
 
     cols = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    return cols.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, evidence array<bigint>, evidence_cosine array<double>")
+    return cols.transform(arrow_map, run, f"`{id_col}` {kind}, score double, predicted int, evidence array<bigint>, evidence_cosine array<double>")
 
 
 def op6_knn_toxicity(spark, sf_dir: str) -> DataFrame:

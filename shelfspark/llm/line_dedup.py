@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, blobs, checkpointed, give_back, maybe_in, plain_names, shuffle_width, sliced, table
+from .common import IdFilter, arrow_map, blobs, checkpointed, maybe_in, plain_names, shuffle_width, sliced, table
 
 #: Words are counted in so many hashed buckets: a table of fixed size that gives every word a place in the order by rarity.
 BUCKETS = 1 << 18
@@ -123,7 +123,6 @@ def word_counts(docs: DataFrame, num: int = 4, den: int = 5, text_col: str = "te
             at = np.repeat(first - np.cumsum(long) + long, long) + np.arange(long.sum())
             total[BUCKETS:] += np.bincount((words[at] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         yield _sliced(total)
-        give_back()
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -134,10 +133,10 @@ def word_counts(docs: DataFrame, num: int = 4, den: int = 5, text_col: str = "te
         keys = sorted(sums)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zstandard.compress(sums[k].tobytes(), 1) for k in keys], pa.binary())], names=["slice", "counts"])
 
-    parts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(count, "slice int, counts binary")
+    parts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text")).transform(arrow_map, count, "slice int, counts binary")
     total = np.zeros(2 * BUCKETS, dtype=np.int64)
     width = len(total) // _SLICES
-    for r in parts.repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
+    for r in parts.repartition(_SLICES, "slice").transform(arrow_map, add, "slice int, counts binary").collect():
         total[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(zstandard.decompress(bytes(r["counts"])), dtype=np.int64)
     return total[:BUCKETS], total[BUCKETS:]
 
@@ -458,9 +457,8 @@ def _postings(docs: DataFrame, order, parts: int, num: int, den: int) -> DataFra
                 waiting = 0
         if first:
             yield dealt()
-        give_back()
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, rows binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).transform(arrow_map, run, "part int, rows binary")
 
 
 def _postings_again(held: DataFrame, order, parts: int, searching: IdFilter) -> DataFrame:
@@ -485,7 +483,7 @@ def _postings_again(held: DataFrame, order, parts: int, searching: IdFilter) ->
                     got = _dealt(rows, _mix(_group_key(rows)), parts, 0)
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "rows"])
 
-    return held.mapInArrow(run, "part int, rows binary")
+    return held.transform(arrow_map, run, "part int, rows binary")
 
 
 def _dealt(rows: Rows, key: np.ndarray, parts: int, first: int) -> list[tuple[int, bytes]]:
@@ -534,9 +532,8 @@ def _candidates(postings: DataFrame, parts: int, num: int, den: int, most: int,
             if reach:
                 kept = pa.array([_pack(_at(again, slice(s, s + _CHUNK))) for s in range(0, len(again["id"]), _CHUNK)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(kept), c.type) for c in columns[:5]], kept], names=names)
-        give_back()
 
-    return postings.repartition(max(1, parts // _PARTS), "part").mapInArrow(run, "doc bigint, line int, early_doc bigint, early_line int, more boolean, rows binary")
+    return postings.repartition(max(1, parts // _PARTS), "part").transform(arrow_map, run, "doc bigint, line int, early_doc bigint, early_line int, more boolean, rows binary")
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -553,7 +550,7 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [(doc, k, b" ".join(line_words(split[k]))) for k in lines if k < len(split)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["doc", "line", "words"])
 
-    return rows.mapInArrow(run, "doc bigint, line int, words binary")
+    return rows.transform(arrow_map, run, "doc bigint, line int, words binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -573,7 +570,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
                 alike.append(common * den >= (len(x) + len(y) - common) * num)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(alike, pa.bool_())], names=["doc", "line", "more", "alike"])
 
-    return rows.mapInArrow(run, "doc bigint, line int, more boolean, alike boolean")
+    return rows.transform(arrow_map, run, "doc bigint, line int, more boolean, alike boolean")
 
 
 def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32, reach: int = _REACH) -> DataFrame:
@@ -636,7 +633,7 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     touched = touched.withColumn("text", F.col("text").cast("binary")).select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
-    touched = touched.mapInArrow(cut, f"{kinds}, n_lines bigint, n_removed bigint")
+    touched = touched.transform(arrow_map, cut, f"{kinds}, n_lines bigint, n_removed bigint")
     rest = maybe_in(docs, hit, "doc_id", False).withColumn("text", F.coalesce("text", F.lit("")))
     lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("bigint")
     return touched.union(rest.select(*[F.col(f"`{c}`") for c in docs.columns], lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, plain_names, shuffle_width, table
+from .common import arrow_map, checkpointed, plain_names, shuffle_width, table
 from .components import components
 
 _WHITE = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).transform(arrow_map, run, f"id {kind}, fp bigint")
 
 
 class BKTree:
@@ -184,7 +184,7 @@ def links(reps: DataFrame, radius: int = 2, shard_rows: int = 2048) -> DataFrame
         out = done()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.transform(arrow_map, run, "a bigint, b bigint")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, blobs, checkpointed, maybe_in, plain_names, shuffle_width, sliced, table
+from .common import IdFilter, arrow_map, blobs, checkpointed, maybe_in, plain_names, shuffle_width, sliced, table
 
 #: Bytes of the K-gram at an anchor: the leading bytes by which suffixes are dealt out.
 K = 24
@@ -148,9 +148,9 @@ def repeated_grams(docs: DataFrame, length: int, k: int, parts: int) -> DataFram
             offsets = np.concatenate((f, [stop])) - f[0]
             yield pa.RecordBatch.from_arrays([pa.array(own[f]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at[f[0] : stop]))], names=["owner", "spots"])
 
-    sent = docs.select("owner", "data").mapInArrow(send, "part int, grams binary").repartition(parts, "part")
-    answers = sent.mapInArrow(answer, "part int, spots binary").repartition(parts, "part")
-    return answers.mapInArrow(gather, "owner bigint, spots array<bigint>")
+    sent = docs.select("owner", "data").transform(arrow_map, send, "part int, grams binary").repartition(parts, "part")
+    answers = sent.transform(arrow_map, answer, "part int, spots binary").repartition(parts, "part")
+    return answers.transform(arrow_map, gather, "owner bigint, spots array<bigint>")
 
 
 def _squeeze(h: np.ndarray, own: np.ndarray, at: np.ndarray) -> bytes:
@@ -293,7 +293,7 @@ def repeated_windows(rows: DataFrame, length: int, k: int, parts: int) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), digest], names=["owner", "start", "stop", "digest"])
 
     kind = "owner bigint, start bigint, stop bigint, digest binary"
-    settled = checkpointed(ranged.select("gram", "owner", "at", "first", "n", "around").mapInArrow(bucket, kind))
+    settled = checkpointed(ranged.select("gram", "owner", "at", "first", "n", "around").transform(arrow_map, bucket, kind))
     open_ = settled.where("digest IS NOT NULL")
     least = open_.groupBy("digest").agg(F.min(F.struct("owner", "start")).alias("least"), F.count("*").alias("of")).where("of > 1")
     late = open_.join(least, "digest").where(F.struct("owner", "start") > F.col("least")).select("owner", "start", "stop")
@@ -317,7 +317,7 @@ def merged_spans(runs: DataFrame) -> DataFrame:
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.list_(pa.int64())))], names=["owner", "spans"])
 
-    return lists.mapInArrow(join, "owner bigint, spans array<array<bigint>>")
+    return lists.transform(arrow_map, join, "owner bigint, spans array<array<bigint>>")
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -366,7 +366,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "
         body = pa.Array.from_buffers(pa.binary(), len(wide), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(wide).tobytes())])
         return pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], body], names=["gram", "owner", "at", "first", "n", "around"])
 
-    rows = texts.mapInArrow(around, "gram bigint, owner bigint, at bigint, first bigint, n bigint, around binary")
+    rows = texts.transform(arrow_map, around, "gram bigint, owner bigint, at bigint, first bigint, n bigint, around binary")
     whole = copies.where(F.col("n") >= length).select(F.col("id").alias("owner"), F.lit(0).cast("bigint").alias("start"), F.col("n").cast("bigint").alias("stop"))
     spans = checkpointed(merged_spans(repeated_windows(rows, length, k, parts).union(whole)))
 
@@ -388,7 +388,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "
     hit = IdFilter.of(spans, "owner")
     kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, more))
     touched = maybe_in(every, hit, "id").join(spans.withColumnRenamed("owner", "id"), "id", "left").select("id", "data", "spans", *more)
-    touched = touched.mapInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary, text string" + kinds)
+    touched = touched.transform(arrow_map, cut, "id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary, text string" + kinds)
     none = F.array().cast("array<array<bigint>>")
     rest = maybe_in(every, hit, "id", False).select("id", F.length("data").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), none.alias("spans"), F.col("data").alias("kept"), F.col("data").cast("string").alias("text"), *more)
     out = touched.withColumn("spans", F.coalesce("spans", none)).union(rest)

@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, plain_names, sliced, table
+from .common import arrow_map, blobs, plain_names, sliced, table
 
 #: Items that wait for a place in a task: beyond so many sequences' worth, sequences are closed.
 POOL = 96
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
             yield rows(packer.drain(0))
 
     cols = docs.select(F.col(f"`{id_col}`"), *[F.col(f"`{c}`").cast("binary").alias(n) for c, n in ((text_col, "__text"), (prompt_col, "__prompt")) if c])
-    return cols.mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint")
+    return cols.transform(arrow_map, run, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint")
 
 
 def op8_vector_packing(spark, sf_dir: str) -> DataFrame:

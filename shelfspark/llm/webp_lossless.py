@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, plain_names, sliced, table
+from .common import arrow_map, blobs, plain_names, sliced, table
 
 #: Payload bytes of one image: 64 samples a row, as many rows as the format allows. Longer payloads become several images.
 ROW = 64
@@ -828,7 +828,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             texts = list(blobs(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([store(padded(t)) for t in texts], pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary").alias("__text")).transform(arrow_map, run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", pixels: bool = False) -> DataFrame:
@@ -854,7 +854,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["samples"] * pixels]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(c, t) for c, t in zip(cols, types)]], names=[*keep, *names])
 
-    return media.select(F.col(f"`{media_col}`"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, f"{head}, {kind}")
+    return media.select(F.col(f"`{media_col}`"), *[F.col(f"`{c}`") for c in keep]).transform(arrow_map, run, f"{head}, {kind}")
 
 
 def op1_webp_lossless(spark, sf_dir: str) -> DataFrame:
