@@ -21,9 +21,13 @@ EXAMPLES = {1: 2_048, 0: 4_096}
 #: Neighbours that vote, and how many of them are named as evidence.
 NEIGHBOURS = 15
 EVIDENCE = 3
-_BLOCK = 32
+_BLOCK = 64
 _COMMON = 32
 _AT_ONCE = 128
+#: Words whose numbers a worker remembers.
+_KNOWN = 1 << 19
+#: Examples that are scored first, to bound the others.
+_LEAD = 256
 _STEMS = (5, 7)
 #: Word sets with a Jaccard of this much, in hundredths, are near copies.
 _SAME = 80
@@ -87,11 +91,15 @@ class _Terms(dict):
     def __init__(self, known: dict[str, int]):
         self.numbers, self.several = known, []
 
+    def __reduce__(self):
+        return _numbered, (list(self.numbers),)
+
     def __missing__(self, word):
-        at = self.numbers.get(word)
+        get = self.numbers.get
+        at = get(word)
         if at is None:
             at = len(self.numbers) + zlib.crc32(word.encode()) % SLOTS
-        if stems := [self.numbers[t] for t in terms_of(word)[1:] if t in self.numbers]:
+        if stems := [x for n in _STEMS if len(word) > n and (x := get(word[:n] + "*")) is not None]:
             self.several.append([at, *stems])
             at = -len(self.several)
         self[word] = at
@@ -99,7 +107,7 @@ class _Terms(dict):
 
     def of(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of a text's terms, in order, and how often each comes."""
-        if len(self) > 1 << 18:
+        if len(self) > _KNOWN:
             self.clear()
             self.several.clear()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -114,13 +122,17 @@ class _Terms(dict):
         return at[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _numbered(names: list[str]) -> _Terms:
+    return _Terms({w: i for i, w in enumerate(names)})
+
+
 def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
     """Documents that hold each term, then those that hold the words of each slot, and documents with a text, over the whole table; a task sends one array of that length."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
+    shared = docs.sparkSession.sparkContext.broadcast(_numbered(terms))
     n = len(terms) + SLOTS + 1
 
     def count(batches):
-        known, total = _Terms(shared.value), np.zeros(n, dtype=np.int64)
+        known, total = shared.value, np.zeros(n, dtype=np.int64)
         for batch in sliced(batches, 0):
             for text in blobs(batch.column(0)):
                 if text:
@@ -191,7 +203,7 @@ class BlockMaxIndex:
     def _score(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
         n = self.start[cells + 1] - self.start[cells]
         at = _runs(self.start[cells], n)
-        return np.bincount(self.place[at], self.weight[at] * np.repeat(weights, n), self.n)
+        return np.bincount(self.place[at], self.weight[at] * np.repeat(weights, n), self.blocks * self.block)
 
     def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the common terms add to the cosine of each vector and place."""
@@ -206,34 +218,36 @@ class BlockMaxIndex:
         if not len(terms) or not self.n:
             return []
         base = self.common([(terms, weights)])[0] if common is None else common
-        there = terms < self.terms
-        terms, weights = terms[there], weights[there]
+        known = int(np.searchsorted(terms, self.terms))
+        terms, weights = terms[:known], weights[:known]
         n = self.first[terms + 1] - self.first[terms]
         cells, weights = _runs(self.first[terms], n), np.repeat(weights, n)
         block = self.in_block[cells]
         bound = np.bincount(block, weights * self.most[cells], self.blocks) + base.reshape(self.blocks, self.block).max(axis=1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        lead = max(1, -(-2 * k // self.block))
+        lead = min(self.blocks, max(1, _LEAD // self.block, -(-2 * k // self.block)))
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argpartition(-bound, lead - 1)[:lead]] = True
+        held = first[block]
+        scores = self._score(cells[held], weights[held]) + base
         own = None if skip is None else int(np.flatnonzero(self.order == skip)[0])
-        scores = np.zeros(self.n)
-        for turn in (order[:lead], order[lead:]):
-            kth = np.partition(scores, -k)[-k] if self.n >= k else 0.0
-            turn = turn[bound[turn] >= kth - 1e-9]
-            if len(turn):
-                chosen = np.zeros(self.blocks, dtype=bool)
-                chosen[turn] = True
-                held = chosen[block]
-                got = self._score(cells[held], weights[held]) + base[: self.n]
-                scores = np.where(np.repeat(chosen, self.block)[: self.n], got.round(12), scores)
-                if own is not None:
-                    scores[own] = 0.0
-        at = np.flatnonzero(scores > 0)
+        if own is not None:
+            scores[own] = -1.0
+        led = scores.reshape(self.blocks, self.block)[first].ravel()
+        kth = np.partition(led, -k)[-k] if len(led) >= k else 0.0
+        rest = ~first & (bound >= kth - 1e-9) & (bound > 0)
+        if rest.any():
+            held = rest[block]
+            scores += self._score(cells[held], weights[held])
+            if own is not None:
+                scores[own] = -1.0
+        scores.reshape(self.blocks, self.block)[~(first | rest)] = 0.0
+        at = np.flatnonzero(scores > max(0.0, kth - 1e-9))
+        found = scores[at].round(12)
         if len(at) > 4 * k:
-            kth = np.partition(scores[at], -k)[-k]
-            at = at[scores[at] >= kth]
-        best = sorted(((-scores[i], int(self.order[i])) for i in at.tolist()))[:k]
-        return [(-s, i) for s, i in best]
+            near = found >= np.partition(found, -k)[-k]
+            at, found = at[near], found[near]
+        best = sorted((-v, i) for v, i in zip(found.tolist(), self.order[at].tolist()) if v > 0)[:k]
+        return [(-v, i) for v, i in best]
 
 
 def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -284,13 +298,6 @@ class ToxicModel:
             own = self.labels.mean()
             self.offset += math.log(share / (1 - share)) - math.log(own / (1 - own))
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": None, "names": list(self.known.numbers)}
-
-    def __setstate__(self, state):
-        names = state.pop("names")
-        self.__dict__ |= state | {"known": _Terms({w: i for i, w in enumerate(names)})}
-
     def weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights (1 + ln tf) idf, of length 1; empty without a word."""
         weights = (1 + np.log(counts)) * self.idf[terms]
@@ -360,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts.reverse()
     chosen = chosen_terms(counts, ys)
     terms = sorted(names.keys() | chosen)
-    known = _Terms({w: i for i, w in enumerate(terms)})
+    known = _numbered(terms)
     while counts:
         got.append(known.of(counts.pop()))
     got.reverse()
