@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-import re
-import zlib
-from collections import Counter
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +22,6 @@ EVIDENCE = 3
 _BLOCK = 64
 _COMMON = 32
 _AT_ONCE = 128
-#: Words whose numbers a worker remembers.
-_KNOWN = 1 << 19
 #: Examples that are scored first, to bound the others.
 _LEAD = 256
 _STEMS = (5, 7)
@@ -39,105 +35,188 @@ SLOTS = 1 << 20
 _EQUAL = 1 - 1e-9
 #: Background weight and calibration are fitted on every (n / _TUNED)-th example, in the order of ids.
 _TUNED = 1_000
-_WORD = re.compile(r"\w+")
-
-
-def words_of(data: bytes) -> Counter:
-    """The lower-case words of a text and how often each comes."""
-    return Counter(_WORD.findall(data.decode("utf-8", "replace").lower()))
-
-
-def terms_of(word: str) -> list[str]:
-    """A word and its beginnings of 5 and 7 letters, so that forms of one stem share a term."""
-    return [word, *[word[:n] + "*" for n in _STEMS if len(word) > n]]
+#: Characters and bytes that are worked on at once.
+_PIECE = 1 << 18
+_SLICE = 2 << 20
+
+
+class _Hasher:
+    """64-bit hashes of the words of texts, and of their beginnings, all at once: sums of a random value for each character times powers of an odd number, taken from running sums."""
+
+    def __init__(self, seed: int = 11):
+        n = sys.maxunicode + 1
+        self.value = np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
+        self.letter = np.fromiter((c == "_" or c.isalnum() for c in map(chr, range(n))), dtype=bool, count=n)
+        self.size = 0
+
+    def _grow(self, n: int) -> None:
+        odd = 0x9E3779B97F4A7C15
+        self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, p, np.uint64)))) for p in (odd, pow(odd, -1, 1 << 64)))
+        self.size = n
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(number of the text, hash) of every lower-case word, and for each of _STEMS the hash of its beginning, 0 where it isn't longer."""
+        texts = [t.decode("utf-8", "replace").lower() for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        chars = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        out, at = [], 0
+        while at < len(chars):
+            a = chars[at : at + _PIECE]
+            if at + len(a) < len(chars):  # cut between words
+                gaps = np.flatnonzero(~self.letter[a[-(1 << 10) :]])
+                gaps = gaps + max(0, len(a) - (1 << 10)) if len(gaps) else np.flatnonzero(~self.letter[a])
+                if not len(gaps):  # a longer word
+                    gaps = np.flatnonzero(~self.letter[chars[at:]])
+                a = chars[at : at + (int(gaps[-1 if gaps[-1] < len(a) else 0]) + 1 if len(gaps) else len(chars))]
+            if len(a) > self.size:
+                self._grow(max(_PIECE, 2 * len(a)))
+            ink = self.letter[a]
+            edge = np.flatnonzero(ink[1:] != ink[:-1]) + 1
+            edge = np.concatenate((np.zeros(int(ink[0]), np.int64), edge, np.full(int(ink[-1]), len(a), np.int64)))
+            start, end = edge[::2], edge[1::2]
+            run = np.zeros(len(a) + 1, dtype=np.uint64)
+            np.cumsum(self.value[a] * self.up[: len(a)], out=run[1:])
+            stems = []
+            for n in _STEMS:
+                stem = _mix(((run[np.minimum(start + n, len(a))] - run[start]) * self.down[start]) ^ np.uint64(n))
+                stems.append(np.where(end - start > n, stem, np.uint64(0)))
+            out.append((np.searchsorted(ends, start + at, "right"), (run[end] - run[start]) * self.down[start], *stems))
+            at += len(a)
+        if not out:
+            z = np.zeros(0, np.uint64)
+            return z.astype(np.int64), z, [z for _ in _STEMS]
+        of, words, *stems = (np.concatenate(x) for x in zip(*out))
+        return of, words, stems
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+_HASHERS: list[_Hasher] = []
+
+
+def hasher() -> _Hasher:
+    """One for each process."""
+    if not _HASHERS:
+        _HASHERS.append(_Hasher())
+    return _HASHERS[0]
+
+
+def example_words(texts: list[bytes]) -> list[np.ndarray]:
+    """Of each text a row for each distinct word, by hash: its hash, those of its beginnings (0: none) and how often it comes."""
+    of, words, stems = hasher().words(texts)
+    cuts, out = np.searchsorted(of, np.arange(len(texts) + 1)), []
+    for s, e in zip(cuts, cuts[1:]):
+        own, at, n = np.unique(words[s:e], return_index=True, return_counts=True)
+        out.append(np.stack([own, *[x[s:e][at] for x in stems], n.astype(np.uint64)], axis=1))
+    return out
 
 
-def distinct(words: list, labels: list[int]) -> list[int]:
-    """Numbers of the word sets (or views of keys) that aren't near copies of an earlier one of these with the same label.
+def distinct(words: list[np.ndarray], labels: list[int]) -> list[int]:
+    """Numbers of the word sets (sorted hashes) that aren't near copies of an earlier one of these with the same label.
 
     Sets as near as _SAME share a word among their rarest (100 - _SAME) hundredths, so only those meet.
     """
-    held, out, by = Counter(w for s in words for w in s), [], {}
+    every, at = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True)
+    held, out, by, first = np.bincount(at, minlength=len(every)), [], {}, 0
     for i, (s, y) in enumerate(zip(words, labels)):
-        rare = sorted(s, key=lambda w: (held[w], w))[: len(s) * (100 - _SAME) // 100 + 1] or [""]
+        own = at[first : first + len(s)]
+        first += len(s)
+        rare = own[np.lexsort((own, held[own]))][: len(s) * (100 - _SAME) // 100 + 1].tolist() or [-1]
         met = {j for w in rare for j in by.get((y, w), ()) if 100 * min(len(s), len(words[j])) >= _SAME * max(len(s), len(words[j]))}
-        if not any((100 + _SAME) * len(s & words[j]) >= _SAME * (len(s) + len(words[j])) for j in met):
+        if not any((100 + _SAME) * len(np.intersect1d(s, words[j], assume_unique=True)) >= _SAME * (len(s) + len(words[j])) for j in met):
             out.append(i)
             for w in rare:
                 by.setdefault((y, w), []).append(i)
     return out
 
 
-def chosen_terms(counts: list[Counter], labels: list[int]) -> set[str]:
-    """Terms that go with a label: chi-square of 2 ln(number of terms) or more over texts that aren't near copies."""
-    seen, size, words = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}, [c.keys() for c in counts]
-    for i in distinct(words, labels):  # near copies would give chance words weight
-        size[labels[i]] += 1
-        seen[labels[i]].update({x for w in words[i] for x in terms_of(w)})
-    n1, n0 = size[1], size[0]
-    bound, out = 2 * math.log(len(seen[0]) + len(seen[1]) + 2), set()
-    for w in set(seen[0]) | set(seen[1]):
-        a, c = seen[1][w], seen[0][w]
-        b, d = n1 - a, n0 - c
-        under = (a + b) * (c + d) * (a + c) * (b + d)
-        if a + c > 1 and under and (a + b + c + d) * (a * d - b * c) ** 2 / under >= bound:
-            out.add(w)
-    return out
+def chosen_terms(examples: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    """Hashes of the terms (words and their beginnings) that go with a label: chi-square of 2 ln(number of terms) or more over texts that aren't near copies."""
+    kept = distinct([x[:, 0] for x in examples], labels)  # near copies would give chance words weight
+    held = [np.unique(x[:, :-1][x[:, :-1] > 0]) for x in (examples[i] for i in kept)]
+    size = np.bincount([labels[i] for i in kept], minlength=2)
+    terms, at = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_inverse=True)
+    label = np.repeat([labels[i] for i in kept], [len(x) for x in held]).astype(bool)
+    a, c = (np.bincount(at[k], minlength=len(terms)).astype(float) for k in (label, ~label))
+    n1, n0 = float(size[1]), float(size[0])
+    b, d = n1 - a, n0 - c
+    bound, under = 2 * math.log(int((a > 0).sum() + (c > 0).sum()) + 2), (a + b) * (c + d) * (a + c) * (b + d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return terms[(a + c > 1) & (under > 0) & ((a + b + c + d) * (a * d - b * c) ** 2 / under >= bound)]
+
+
+class Terms:
+    """Numbers of terms: a known one's place among the sorted hashes; any other word has its slot after them all."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self._derived()
+
+    def _derived(self) -> None:
+        bits = max(4, (2 * len(self.hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
+    def __len__(self) -> int:
+        return len(self.hashes)
 
-class _Terms(dict):
-    """A word's number, remembered for so many words: the word's own or, without one, its slot after them all; -1 - k if it also has known beginnings, at several[k]."""
-
-    def __init__(self, known: dict[str, int]):
-        self.numbers, self.several = known, []
-
-    def __reduce__(self):
-        return _numbered, (list(self.numbers),)
-
-    def __missing__(self, word):
-        get = self.numbers.get
-        at = get(word)
-        if at is None:
-            at = len(self.numbers) + zlib.crc32(word.encode()) % SLOTS
-        if stems := [x for n in _STEMS if len(word) > n and (x := get(word[:n] + "*")) is not None]:
-            self.several.append([at, *stems])
-            at = -len(self.several)
-        self[word] = at
-        return at
-
-    def of(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of a text's terms, in order, and how often each comes."""
-        if len(self) > _KNOWN:
-            self.clear()
-            self.several.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        n = np.fromiter(words.values(), np.int64, len(words))
-        if len(many := np.flatnonzero(at < 0)):
-            more = [self.several[-1 - k] for k in at[many].tolist()]
-            at = np.concatenate([np.delete(at, many), *more])
-            n = np.concatenate([np.delete(n, many), np.repeat(n[many], [len(x) for x in more])])
-        order = np.argsort(at, kind="stable")
-        at, n = at[order], n[order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        return at[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def _numbered(names: list[str]) -> _Terms:
-    return _Terms({w: i for i, w in enumerate(names)})
-
-
-def doc_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
+    def __getstate__(self):
+        return self.hashes
+
+    def __setstate__(self, state):
+        self.hashes = state
+        self._derived()
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The places of hashes among the known ones, -1 for others."""
+        out = np.full(len(words), -1, dtype=np.int64)
+        todo = np.flatnonzero(words > 0)
+        place = self.start[(words[todo] >> self.shift).astype(np.int64)].astype(np.int64)
+        while len(todo):
+            there = place < len(self.hashes)
+            todo, place = todo[there], place[there]
+            known, asked = self.hashes[place], words[todo]
+            hit = known == asked
+            out[todo[hit]] = place[hit]
+            on = known < asked
+            todo, place = todo[on], place[on] + 1
+        return out
+
+    def keys(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the text << 32 | number of the term, in order, and how often each comes."""
+        of, words, stems = hasher().words(texts)
+        own, at, which = np.unique(words, return_index=True, return_inverse=True)
+        number = self.numbers(own)
+        number = np.where(number < 0, len(self.hashes) + (own % np.uint64(SLOTS)).astype(np.int64), number)
+        found = [(of << 32) | number[which]]
+        for stem in stems:
+            number = self.numbers(stem[at])
+            if (number >= 0).any():
+                number = number[which]
+                found.append((of[number >= 0] << 32) | number[number >= 0])
+        return np.unique(np.concatenate(found), return_counts=True)
+
+    def of(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the numbers of its terms, in order, and how often each comes."""
+        keys, n = self.keys(texts)
+        cuts = np.searchsorted(keys, np.arange(len(texts) + 1) << 32)
+        return [(keys[s:e] & 0xFFFFFFFF, n[s:e]) for s, e in zip(cuts, cuts[1:])]
+
+
+def doc_frequencies(docs: DataFrame, terms: Terms, text_col: str = "text") -> tuple[np.ndarray, int]:
     """Documents that hold each term, then those that hold the words of each slot, and documents with a text, over the whole table; a task sends one array of that length."""
-    shared = docs.sparkSession.sparkContext.broadcast(_numbered(terms))
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
     n = len(terms) + SLOTS + 1
 
     def count(batches):
-        known, total = shared.value, np.zeros(n, dtype=np.int64)
-        for batch in sliced(batches, 0):
-            for text in blobs(batch.column(0)):
-                if text:
-                    total[known.of(words_of(text))[0]] += 1
-                    total[-1] += 1
+        total = np.zeros(n, dtype=np.int64)
+        for batch in sliced(batches, 0, _SLICE):
+            texts = [t for t in blobs(batch.column(0)) if t]
+            total[:-1] += np.bincount(shared.value.keys(texts)[0] & 0xFFFFFFFF, minlength=n - 1)
+            total[-1] += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["k", "n"])
 
     def add(batches):
@@ -256,62 +335,60 @@ def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(__id, __y, words, n) of (__id, __y, t): the words of each whole text, parted by spaces, and how often each comes, compressed."""
+    """(__id, __y, words) of (__id, __y, t): example_words of each whole text, compressed."""
     kind = rows.schema["__id"].dataType.simpleString()
 
     def run(batches):
-        for batch in sliced(batches, 2):
-            found = [words_of(t) for t in blobs(batch.column(2))]
-            words = [zstandard.compress(" ".join(c).encode(), 1) for c in found]
-            numbers = [zstandard.compress(np.array([*c.values()], dtype=np.int64).tobytes(), 1) for c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(numbers, pa.binary())], names=["__id", "__y", "words", "n"])
-
-    return rows.transform(arrow_map, run, f"__id {kind}, __y int, words binary, n binary")
+        for batch in sliced(batches, 2, _SLICE):
+            found = [zstandard.compress(x.tobytes(), 1) for x in example_words(list(blobs(batch.column(2))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["__id", "__y", "words"])
 
-
-def _unpacked(words: bytes, n: bytes):
-    return zip(zstandard.decompress(bytes(words)).decode().split(), np.frombuffer(zstandard.decompress(bytes(n)), dtype=np.int64).tolist())
+    return rows.transform(arrow_map, run, f"__id {kind}, __y int, words binary")
 
 
 class ToxicModel:
     """Terms with their inverse document frequencies, the index of examples, and the calibration of the vote."""
 
-    def __init__(self, known: _Terms, idf: np.ndarray, chosen: set[str], counts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list, share: float):
+    def __init__(self, known: Terms, idf: np.ndarray, chosen: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list, share: float):
         self.known = known
         self.labels, self.ids = np.array(labels, dtype=np.int64), ids
-        marked, terms = np.zeros(len(idf), dtype=bool), known.numbers
-        marked[[terms[w] for w in chosen]] = True
+        marked = np.zeros(len(idf), dtype=bool)
+        marked[known.numbers(chosen)] = True
+        tried = range(0, len(counts), max(1, len(counts) // _TUNED))
         best = None
         for weight in BACKGROUND:
-            self.idf = np.where(marked, idf, idf * weight)
-            vectors = [self.weighted(*c) for c in counts]
-            self.index = BlockMaxIndex(vectors, len(terms))
-            tried = range(0, len(counts), max(1, len(counts) // _TUNED))
-            votes = np.array([self.vote(self.index.search(*vectors[i], NEIGHBOURS, skip=i)) for i in tried])
+            self._indexed(np.where(marked, idf, idf * weight), counts)
+            votes = np.array([self.vote(self.index.search(*self.weighted(*counts[i]), NEIGHBOURS, skip=i)) for i in tried])
             fit = _logistic(votes, self.labels[list(tried)])
             z = (fit[0] * votes + fit[1]) * (2 * self.labels[list(tried)] - 1)
             loss = float(np.logaddexp(0, -z).mean()) if len(z) else 0.0
             if best is None or loss < best[0]:
-                best = (loss, self.idf, self.index, fit)
-        _, self.idf, self.index, (self.slope, self.offset) = best
+                best = (loss, weight, fit)
+        _, weight, (self.slope, self.offset) = best
+        self._indexed(np.where(marked, idf, idf * weight), counts)
         if 0 < self.labels.sum() < len(labels) and 0 < share < 1:  # from the sample's share of toxic rows to that of all labelled rows
             own = self.labels.mean()
             self.offset += math.log(share / (1 - share)) - math.log(own / (1 - own))
 
+    def _indexed(self, idf: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.index = None  # one index at a time
+        self.idf = idf
+        self.index = BlockMaxIndex([self.weighted(*c) for c in counts], len(self.known))
+
     def weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights (1 + ln tf) idf, of length 1; empty without a word."""
         weights = (1 + np.log(counts)) * self.idf[terms]
         norm = np.sqrt((weights * weights).sum())
         return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
 
-    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        return self.weighted(*self.known.of(words))
+    def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self.weighted(*c) for c in self.known.of(texts)]
 
     def nearest(self, texts: list[bytes]) -> list[list[tuple[float, int]]]:
         """The neighbours of each text."""
         out = []
         for k in range(0, len(texts), _AT_ONCE):
-            vectors = [self.vector(words_of(t)) for t in texts[k : k + _AT_ONCE]]
+            vectors = self.vectors(texts[k : k + _AT_ONCE])
             out += [self.index.search(*v, NEIGHBOURS, common=c) for v, c in zip(vectors, self.index.common(vectors))]
         return out
 
@@ -360,20 +437,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(few), F.col(id_col) == F.col("__id"))
     got = counted(rows.select("__id", "__y", F.col(f"`{text_col}`").cast("binary").alias("t")).dropDuplicates(["__id"])).orderBy("__id").collect()
     ys, ids = [r["__y"] for r in got], [r["__id"] for r in got]
-    counts, names = [], {}
-    while got:  # each word is held once
-        r = got.pop()
-        counts.append(Counter({names.setdefault(w, w): n for w, n in _unpacked(r["words"], r["n"])}))
-    counts.reverse()
-    chosen = chosen_terms(counts, ys)
-    terms = sorted(names.keys() | chosen)
-    known = _numbered(terms)
-    while counts:
-        got.append(known.of(counts.pop()))
-    got.reverse()
-    df, n = doc_frequencies(docs, terms, text_col)
+    examples = [np.frombuffer(zstandard.decompress(bytes(r["words"])), dtype=np.uint64).reshape(-1, len(_STEMS) + 2) for r in got]
+    del got
+    chosen = chosen_terms(examples, ys)
+    known = Terms(np.unique(np.concatenate([chosen, *[x[:, 0] for x in examples]])))
+    counts = []
+    for k, x in enumerate(examples):
+        number, n = known.numbers(x[:, :-1].T.ravel()), np.tile(x[:, -1].astype(np.int64), len(_STEMS) + 1)
+        at, first = np.unique(number[number >= 0], return_inverse=True)
+        counts.append((at, np.bincount(first, n[number >= 0], len(at)).astype(np.int64)))
+        examples[k] = None
+    df, n = doc_frequencies(docs, known, text_col)
     idf = np.log((1 + n) / (1 + df)) + 0.01
-    return ToxicModel(known, idf, chosen, got, ys, ids, sizes.get(1, 0) / max(1, sum(sizes.values())))
+    return ToxicModel(known, idf, chosen, counts, ys, ids, sizes.get(1, 0) / max(1, sum(sizes.values())))
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,7 +463,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
 
     def run(batches):
         m = shared.value
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, _SLICE):
             found = m.nearest(list(blobs(batch.column(1))))
             s = np.array([m.score(f) for f in found], dtype=np.float64)
             yield pa.RecordBatch.from_arrays(

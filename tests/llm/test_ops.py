@@ -365,14 +365,44 @@ def test_toxic_terms_behind_a_header():
     texts = [header + " ".join(rng.choice(["vile", "awful"]) if k < 40 and n == 9 else f"w{rng.randrange(900)}" for n in range(40)) for k in range(120)]
     labels = [int(k < 40) for k in range(120)]
     copies = [texts[50] + f" x{k}" for k in range(60)]  # near copies count once
-    chosen = knn_toxicity.chosen_terms([knn_toxicity.words_of(t.encode()) for t in texts + copies], labels + [0] * 60)
-    assert {"vile", "awful"} <= chosen and not any(w in chosen for w in texts[50].split()[16:])
+    chosen = set(knn_toxicity.chosen_terms(knn_toxicity.example_words([t.encode() for t in texts + copies]), labels + [0] * 60).tolist())
+    hashed = lambda w: int(knn_toxicity.hasher().words([w.encode()])[1][0])
+    assert {hashed("vile"), hashed("awful")} <= chosen and not any(hashed(w) in chosen for w in texts[50].split()[16:])
     words = [set(rng.choices(texts[k % 9].split(), k=rng.randint(0, 40))) for k in range(400)]
     kept = []
     for i, s in enumerate(words):
         if not any(labels[i % 120] == labels[j % 120] and 5 * len(s & words[j]) >= 4 * len(s | words[j]) for j in kept):
             kept.append(i)
-    assert knn_toxicity.distinct(words, [labels[i % 120] for i in range(400)]) == kept
+    number = {w: k for k, w in enumerate({w for s in words for w in s})}
+    sets = [np.array(sorted(number[w] for w in s), dtype=np.uint64) for s in words]
+    assert knn_toxicity.distinct(sets, [labels[i % 120] for i in range(400)]) == kept
+
+
+def test_terms_of_texts(monkeypatch):
+    """Numbers and counts of words and known beginnings against Python's own words, at every piece's boundary."""
+    import re
+    from collections import Counter
+
+    monkeypatch.setattr(knn_toxicity, "_PIECE", 32)
+    rng, h = random.Random(12), knn_toxicity.hasher()
+    parts = ["a", "Bcd", "été", "ÉTÉS", "İx", "σας", "ΣΑΣ", "_1", "½", "日本", " ", "  ", "\n", ".", "-", "’", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))).encode() for _ in range(60)] + [b"", b"..", b"\xff\xfeab"]
+    want = [Counter(re.findall(r"\w+", t.decode("utf-8", "replace").lower())) for t in texts]
+    of, words, stems = h.words(texts)
+    flat = [w for t in texts for w in re.findall(r"\w+", t.decode("utf-8", "replace").lower())]
+    assert of.tolist() == [k for k, c in enumerate(want) for _ in range(c.total())] and len(flat) == len(words)
+    number = dict(zip(flat, words.tolist()))
+    assert words.tolist() == [number[w] for w in flat] and len(set(number.values())) == len(number)
+    stem = {w[:n] + "*": int(x) for n, xs in zip((5, 7), stems) for w, x in zip(flat, xs) if len(w) > n}
+    assert all((int(x) == 0) == (len(w) <= n) for n, xs in zip((5, 7), stems) for w, x in zip(flat, xs)) and len(set(stem.values()) | set(number.values())) == len(stem) + len(number)
+    some = sorted(number)[::2]
+    known = knn_toxicity.Terms(np.array(sorted([number[w] for w in some] + list(stem.values())[::2]), dtype=np.uint64))
+    for c, (terms, n) in zip(want, known.of(texts)):
+        got = {int(known.hashes[t]): k for t, k in zip(terms.tolist(), n.tolist()) if t < len(known)}
+        expect = Counter({number[w]: k for w, k in c.items() if w in some})
+        for w, k in c.items():
+            expect.update({stem[w[:m] + "*"]: k for m in (5, 7) if len(w) > m and stem[w[:m] + "*"] in known.hashes})
+        assert got == expect and int(n[terms >= len(known)].sum()) == sum(k for w, k in c.items() if w not in some)
 
 
 def test_toxic_passage_far_on(spark):
@@ -381,8 +411,8 @@ def test_toxic_passage_far_on(spark):
     assert all(t.find("vile") > 1 << 16 for k, t in rows if k % 4 == 0)
     docs_ = spark.createDataFrame(rows, "doc_id bigint, text string")
     model = knn_toxicity.train(docs_, spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(24)], "doc_id bigint, toxic int"))
-    vile = model.known.numbers["vile"]
-    assert sum(vile in model.vector(knn_toxicity.words_of(t.encode()))[0] for _, t in rows) == 12
+    vile = int(model.known.numbers(knn_toxicity.hasher().words([b"vile"])[1])[0])
+    assert vile >= 0 and sum(vile in v[0] for v in model.vectors([t.encode() for _, t in rows])) == 12
     held = [i for _, i in model.index.search(np.array([vile]), np.ones(1), 24)]
     assert sorted(model.ids[i] for i in held) == [k for k in range(24) if k % 4 < 2]
 
