@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, blobs, crc_of_id, plain_names, sliced, table
+from .common import arrow_map, blobs, crc_of_id, give_back, plain_names, sliced, table
 
 #: Labelled examples of each class at most, the first by a hash of their id.
 EXAMPLES = {1: 2_048, 0: 4_096}
@@ -248,18 +248,21 @@ class BlockMaxIndex:
         heavy = np.array([t[w.argmax()] if len(t) else terms for t, w in vectors], dtype=np.int64)
         self.order = np.argsort(heavy, kind="stable")
         self.blocks = -(-self.n // block) if self.n else 0
-        term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)]).astype(np.int64)
+        term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)]).astype(np.int32)
         weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
-        place = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
-        by = np.lexsort((place, term))
+        place = np.repeat(np.arange(self.n, dtype=np.int32), [len(vectors[i][0]) for i in self.order])
+        by = np.argsort(term, kind="stable").astype(np.int32)  # places rise within a term
         self.place, self.weight, term = place[by], weight[by], term[by]
+        del place, weight, by
         held = np.bincount(term, minlength=terms)
         self.row = np.where(held * _COMMON >= max(1, self.n), np.cumsum(held * _COMMON >= max(1, self.n)) - 1, -1)
         common = self.row[term] >= 0 if len(term) else np.zeros(0, dtype=bool)
         self.filled = self.row[term[common]].astype(np.int32), self.place[common].astype(np.int32), self.weight[common]
         self.place, self.weight, term = self.place[~common].astype(np.int32), self.weight[~common], term[~common]
         # A cell is a term and a block that meet; its postings stand together, as do the cells of a term.
-        cells, start = np.unique(term * max(1, self.blocks) + self.place // block, return_index=True)
+        cell = term.astype(np.int64) * max(1, self.blocks) + self.place // block
+        start = np.flatnonzero(np.diff(cell, prepend=-1))
+        cells = cell[start]
         self.start = np.append(start, len(term)).astype(np.int32)
         self.first = np.searchsorted(cells // max(1, self.blocks), np.arange(terms + 1)).astype(np.int32)
         self._derived()
@@ -372,6 +375,7 @@ class ToxicModel:
 
     def _indexed(self, idf: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.index = None  # one index at a time
+        give_back()
         self.idf = idf
         self.index = BlockMaxIndex([self.weighted(*c) for c in counts], len(self.known))
 
@@ -447,6 +451,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at, first = np.unique(number[number >= 0], return_inverse=True)
         counts.append((at, np.bincount(first, n[number >= 0], len(at)).astype(np.int64)))
         examples[k] = None
+    del examples
+    give_back()
     df, n = doc_frequencies(docs, known, text_col)
     idf = np.log((1 + n) / (1 + df)) + 0.01
     return ToxicModel(known, idf, chosen, counts, ys, ids, sizes.get(1, 0) / max(1, sum(sizes.values())))
