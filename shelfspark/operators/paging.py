@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .tagging import tier
 
@@ -26,9 +25,10 @@ def tier_counts(files: DataFrame, thin: int = 3) -> DataFrame:
 
 def next_thin(view: DataFrame, position: int, thin: int = 3) -> DataFrame:
     """The first row below the threshold after the position in newest-first order, from the start again if there is none."""
-    placed = view.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("created_at"), "path")) - 1)
-    left = placed.where(F.col("xmp_tag_count") < thin)
-    return left.orderBy(F.col("pos") <= position, "pos").limit(1)
+    at = view.orderBy(F.desc("created_at"), "path").offset(position).limit(1).select(F.col("created_at").alias("__c"), F.col("path").alias("__p"))
+    left = view.where(F.col("xmp_tag_count") < thin).join(F.broadcast(at), F.lit(True), "left")
+    after = F.coalesce((F.col("created_at") < F.col("__c")) | ((F.col("created_at") == F.col("__c")) & (F.col("path") > F.col("__p"))), F.lit(False))
+    return left.orderBy(F.desc(after), F.desc("created_at"), "path").limit(1).drop("__c", "__p")
 
 
 def assistant_order(view: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashes import WORDS, between, distance, informative
+from ..sources.store import checkpointed
 
 
 def nearest(hashes: DataFrame, literal, within: int = 20, limit: int = 50) -> DataFrame:
@@ -36,15 +39,46 @@ def _band_value(first: int, last: int, words):
     return F.concat_ws(",", *parts)
 
 
+#: Bands of fewer bits are of no use.
+_NARROW = 8
+_BLOCK_ROWS = 4096
+
+
+def _block_pairs(rows: DataFrame, within: int, words) -> DataFrame:
+    """close_pairs by comparing each two blocks of rows in one task; a row goes to as many tasks as there are blocks."""
+    blocks = max(1, -(-rows.count() // _BLOCK_ROWS))
+    kind = rows.schema["id"].dataType.simpleString()
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, own = table.column("id").to_pylist(), table.column("own").to_numpy()
+        high = table.column("high")[0].as_py()
+        h = np.stack([table.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+        left, right = np.flatnonzero(own == table.column("low")[0].as_py()), np.flatnonzero(own == high)
+        out = []
+        for s in range(0, len(left), 256):
+            part = left[s : s + 256]
+            far = sum(np.bitwise_count(h[part, None, k] ^ h[None, right, k]).astype(np.int32) for k in range(len(words)))
+            i, j = np.nonzero(far <= within)
+            out += [(*sorted((ids[x], ids[y])), d) for x, y, d in zip(part[i].tolist(), right[j].tolist(), far[i, j].tolist()) if ids[x] != ids[y] and (len(left) != len(right) or left[0] != right[0] or ids[x] < ids[y])]
+        return pa.table({"a": pa.array([x[0] for x in out], table.schema.field("id").type), "b": pa.array([x[1] for x in out], table.schema.field("id").type), "distance": pa.array([x[2] for x in out], pa.int32())})
+
+    return dealt.groupBy("low", "high").applyInArrow(compare, f"a {kind}, b {kind}, distance int")
+
+
 def close_pairs(hashes: DataFrame, within: int, bits: int = 256, id_col: str = "path") -> DataFrame:
     """(a, b, distance), a < b, of all pairs within the distance.
 
     Two hashes that differ in d bits agree on one of d + 1 bands, so an equi-join on bands loses nothing. Rows of one
-    band value are compared only there, and a pair counts at the first band on which it agrees.
+    band value are compared only there, and a pair counts at the first band on which it agrees. Bands of fewer than
+    _NARROW bits have so few values that they tell hardly any rows apart; then all rows are compared, block by block.
     """
     words = WORDS[: -(-bits // 64)]
     cuts = bands(bits, within + 1)
     rows = hashes.where(informative()).select(F.col(id_col).alias("id"), *words)
+    if bits // (within + 1) < _NARROW:
+        return _block_pairs(rows, within, words)
     keyed = rows.select("id", *words, F.array(*[_band_value(a, b, words) for a, b in cuts]).alias("parts"))
     keyed = keyed.select("id", *words, "parts", F.posexplode("parts").alias("band", "value"))
     left = keyed.select(*[F.col(c).alias(f"l_{c}") for c in ("id", *words, "parts")], "band", "value")
@@ -56,20 +90,15 @@ def close_pairs(hashes: DataFrame, within: int, bits: int = 256, id_col: str = "
 
 def _components(pairs: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected component, by rounds of taking the least neighbour's root."""
-    spark = pairs.sparkSession
     edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).distinct()
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfspark-checkpoint-"))
-    edges = edges.checkpoint()
-    roots = edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("root")).checkpoint()
+    edges = checkpointed(edges)
+    roots = checkpointed(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("root")))
     while True:
         least = edges.join(roots.select(F.col("id").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
         step = roots.join(least, roots.id == least.x).select("id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         # A root's own root is nearer to the end still.
         own = step.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        new = step.join(own, "root").select("id", F.least("root", "further").alias("root"), "old").checkpoint()
+        new = checkpointed(step.join(own, "root").select("id", F.least("root", "further").alias("root"), "old"))
         roots = new.select("id", "root")
         if new.where("root <> old").isEmpty():
             return roots

@@ -16,13 +16,22 @@ def folder_tags(path="path") -> Column:
     return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda c: F.concat(F.lit("folder:"), F.lower(c)))
 
 
+_RELATION = r"(?s)^([^<]*)<([^<>]*)>$"
+
+
+def _stripped(col) -> Column:
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
 def canon_column(col, vocabulary: Vocabulary) -> Column:
-    """Canonical form of plain tags: trimmed, lower case, one alias hop."""
-    t = F.lower(F.trim(col))
-    if not vocabulary.aliases:
-        return t
-    table = F.create_map(*[F.lit(x) for k, v in sorted(vocabulary.aliases.items()) for x in (k, v.strip().lower())])
-    return F.coalesce(F.try_element_at(table, t), t)
+    """Canonical form of tags: trimmed, lower case, one alias hop; the parts of modifier<target> each on their own."""
+    t = F.lower(_stripped(col))
+    one = lambda x: x
+    if vocabulary.aliases:
+        table = F.create_map(*[F.lit(x) for k, v in sorted(vocabulary.aliases.items()) for x in (k, v.strip().lower())])
+        one = lambda x: F.coalesce(F.try_element_at(table, x), x)
+    modifier, target = (_stripped(F.regexp_extract(t, _RELATION, k)) for k in (1, 2))
+    return F.when((modifier != "") & (target != ""), F.concat(one(modifier), F.lit("<"), one(target), F.lit(">"))).otherwise(one(t))
 
 
 def tag_counts(tags: DataFrame) -> DataFrame:
@@ -82,7 +91,8 @@ def implied_tags(tags: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(path, tag): what each file's own tags imply and it doesn't carry itself. The closure is found on the vocabulary, so one join does."""
     spark = tags.sparkSession
     own = tags.where("source <> 'implied'").select("path", canon_column(F.col("tag"), vocabulary).alias("tag")).distinct()
-    parts = own.where(F.col("tag").rlike("^[^<]+<[^<>]+>$")).select("path", F.explode(F.array(F.trim(F.regexp_extract("tag", "^([^<]*)<", 1)), F.trim(F.regexp_extract("tag", "<([^<>]*)>$", 1)))).alias("tag")).where("tag <> ''")
+    halves = [_stripped(F.regexp_extract("tag", _RELATION, k)) for k in (1, 2)]
+    parts = own.select("path", *[h.alias(n) for h, n in zip(halves, "mt")]).where("m <> '' AND t <> ''").select("path", F.explode(F.array("m", "t")).alias("tag"))
     closure = F.broadcast(vocabulary.to_frames(spark)["closure"])
     seeds = own.union(parts).distinct()
     reached = seeds.join(closure, "tag").select("path", F.col("implied").alias("tag")).union(parts).distinct()

@@ -51,12 +51,19 @@ class Vocabulary:
 
     @classmethod
     def of(cls, aliases=None, implications=None, suggestions=None, categories=None, colors=None, broken=False) -> Vocabulary:
-        """From tables as a rule file has them: lists of targets by tag, tags by category."""
+        """From tables as a rule file has them: lists of targets by tag, tags by category.
+
+        Categories and their tags are trimmed and lower-cased; a tag in several categories is in the first by name.
+        """
 
         def flat(table):
             return frozenset((k, v) for k, vs in (table or {}).items() for v in vs)
 
-        return cls(dict(aliases or {}), flat(implications), flat(suggestions), {t: c for c, ts in (categories or {}).items() for t in ts}, dict(colors or {}), broken)
+        folded: dict[str, str] = {}
+        for category, tags in sorted((c.strip().lower(), ts) for c, ts in (categories or {}).items()):
+            for t in tags:
+                folded.setdefault(t.strip().lower(), category)
+        return cls(dict(aliases or {}), flat(implications), flat(suggestions), folded, dict(colors or {}), broken)
 
     @classmethod
     def loads(cls, text: str) -> Vocabulary:

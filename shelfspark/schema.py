@@ -15,6 +15,7 @@ TABLES = {
     "tag_history": "tag string, uses bigint",
     "rejects": "tag string, path string",
     "modes": "tag string, mode string",
+    "batches": "stream string, batch bigint",
 }
 #: Tables whose rows go with a path when it is forgotten, and those that follow a rename.
 PER_PATH = ("files", "tags", "text", "manual_text", "text_meta", "hashes", "vectors")

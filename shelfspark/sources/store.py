@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import TABLES
 
-_POINTER = "CURRENT"
+#: Pointers are numbered and never replaced: the highest one holds, so no crash leaves the store without one.
+_POINTER = "CURRENT-"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir; a session within one machine may do without the setting."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shelfspark-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def _fs(spark: SparkSession, path: str):
@@ -17,12 +34,20 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm, p
 
 
+def _newest(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """Number and name of the highest pointer; 0 without one."""
+    fs, _, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return 0, None
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    found = max((n for n in names if n.startswith(_POINTER) and n[len(_POINTER) :].isdigit()), default=None)
+    return (int(found[len(_POINTER) :]), found) if found else (0, None)
+
+
 def current(spark: SparkSession, folder: str) -> str | None:
     """The folder of the version that the pointer names."""
-    fs, jvm, p = _fs(spark, f"{folder}/{_POINTER}")
-    if not fs.exists(p):
-        return None
-    return f"{folder}/{spark.read.text(f'{folder}/{_POINTER}').first()[0]}"
+    _, name = _newest(spark, folder)
+    return f"{folder}/{spark.read.text(f'{folder}/{name}').first()[0]}" if name else None
 
 
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -38,16 +63,20 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def write_tables(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> str:
-    """All tables as a new version; readers of the old one are not disturbed."""
+    """All tables as a new version; readers of the old one are not disturbed.
+
+    The tables are written first, then a pointer under a name of its own, which one rename makes the newest. A crash
+    before that leaves the old version in force. Of two writers at once the second raises and has changed nothing.
+    """
+    number, _ = _newest(spark, folder)
     version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{version}/{name}")
-    fs, jvm, p = _fs(spark, f"{folder}/{_POINTER}.{version}")
+    fs, jvm, p = _fs(spark, f"{folder}/_new-{version}")
     out = fs.create(p, True)
     out.write(bytearray(version.encode()))
     out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{_POINTER}")
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(p, target)
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{_POINTER}{number + 1:020d}")
+    if fs.exists(target) or not fs.rename(p, target):
+        raise RuntimeError(f"another writer made version {number + 1} of {folder}")
     return version
