@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import names, text
 from .operators import audit, completion, ingest, paging, ranking, reading, similarity, tagging
-from .operators.vocabulary import Vocabulary
+from .operators.vocabulary import Vocabulary, decide, diff, merge
+from .plans import query as q
 from .plans import standin
-from .plans.catalog import in_scope
+from .plans.catalog import Catalog, in_scope, selection
 from .sources.sinks import export_rows
 
 RULES = Vocabulary.of(
@@ -107,7 +108,11 @@ SEARCHES = {
     "search_tagged_day": ("tagged_at.gte:2019-03-10", "tagged_at >= 1552176000"),
     "search_not_missing": ("-width.lt:500", "NOT (width > 0 AND width < 500)"),
     "search_bad_number": ("-size.gt:lots", "TRUE"),
-    "search_tier": ("(folder:en), tag_count.gt:0, tag_count.lt:3", f"{_has('folder:en')} AND xmp_tag_count > 0 AND xmp_tag_count < 3"),
+    "search_tier": (q.tier_query("folder:en", "thin"), f"{_has('folder:en')} AND xmp_tag_count > 0 AND xmp_tag_count < 3"),
+    "search_tier_tagged": (q.tier_query("", "tagged", 2), "xmp_tag_count >= 2"),
+    "search_juxtaposed": ("(folder:en) (tag_count.gte:1)", f"{_has('folder:en')} AND xmp_tag_count >= 1"),
+    "search_operator_ignored": ("format.gt:de", "format = 'de'"),
+    "search_quoted_tag": (q.quote_tag("quality:good"), _has("quality:good")),
 }
 
 
@@ -131,7 +136,9 @@ def all_rows(spark, sf_dir):
 
 
 def point_lookup(spark, sf_dir):
-    return _cat(spark, sf_dir).view(("tags",)).where(F.col("path").endswith("/0000007.txt")).select("path", "id", F.array_join("tags", "|").alias("tags"))
+    c = _cat(spark, sf_dir)
+    path = c.files().where("doc_id = 7").first()["path"]
+    return c.row(path).select("path", "id", F.array_join("tags", "|").alias("tags"))
 
 
 def path_by_id(spark, sf_dir):
@@ -143,12 +150,24 @@ def search_scope(spark, sf_dir):
     return _cat(spark, sf_dir).files().where(in_scope(rel, ["en", "de/src1"], ["en/src0"])).select("path")
 
 
-def search_similar(spark, sf_dir):
+def _likeness(spark, sf_dir) -> Catalog:
+    """The collection with each file's hash, that of the vector of its number."""
     c = _cat(spark, sf_dir)
-    found = c.hash_of("main/v/0000003")
-    from .functions.hashes import distance
+    own = c.table("hashes").join(c.files().select(F.col("doc_id").alias("vec_id"), F.col("path").alias("file")), "vec_id")
+    return Catalog(spark, c.tables | {"hashes": own.select(F.col("file").alias("path"), "h0", "h1", "h2", "h3")})
+
+
+def search_similar(spark, sf_dir):
+    c = _likeness(spark, sf_dir)
+    image = c.files().where("doc_id = 3").first()["path"]
+    return c.search(f"similar:{image}@22", columns=["path"])
+
 
-    return c.table("hashes").where(distance(found) <= 22).select("path", distance(found).cast("bigint").alias("distance"))
+def search_similar_order(spark, sf_dir):
+    """The 15 nearest of the files that an image and a tag find."""
+    c = _likeness(spark, sf_dir)
+    image = c.files().where("doc_id = 3").first()["path"]
+    return c.search(f"similar:{image}@40, folder:en", columns=["path"], by_similarity=True).limit(15)
 
 
 def page_newest(spark, sf_dir):
@@ -252,10 +271,9 @@ def tfidf_rank(spark, sf_dir):
 
 def holdout_measure(spark, sf_dir):
     v, pos, _ = _label_rows(spark, sf_dir)
-    hidden = pos.where(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(3)) == 0)
-    shown = pos.join(hidden, "path", "left_anti")
-    ranked = ranking.propose(v, shown, top=1 << 30, vectors=v, mode="image")
-    return ranking.holdout(ranked, hidden)
+    parts = ranking.split_hidden([r["path"] for r in pos.collect()])  # the files of one tag
+    hidden, shown = (spark.createDataFrame([[p] for p in x], "path string") for x in parts)
+    return ranking.holdout(ranking.propose(v, shown, top=1 << 30, vectors=v, mode="image"), hidden)
 
 
 def _listing(spark, sf_dir):
@@ -287,13 +305,40 @@ def forget_rows(spark, sf_dir):
     return out
 
 
-def merge_result(spark, sf_dir):
-    """A listing's new and changed files merged over the local ones."""
+def carried_texts(spark, sf_dir):
+    """Machine texts after the renames of rename_carry."""
+    text_rows = ingest.carry(_cat(spark, sf_dir).table("text"), rename_carry(spark, sf_dir))
+    return text_rows.select("path", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+def _merged(spark, sf_dir):
+    """The tables after a listing's new and changed files were scanned, and its gone ones forgotten."""
+    c = _cat(spark, sf_dir)
     local, listed = _listing(spark, sf_dir)
     change = ingest.listing_diff(local, listed)
-    fresh = listed.join(change.where("change <> 'gone'").select("path"), "path")
-    out = ingest.upsert(local, fresh).join(change.where("change = 'gone'").select("path"), "path", "left_anti")
-    return out.select("path", "size", "id")
+    f = c.files()
+    here = f.where("doc_id % 7 <> 0").select("path")
+    tables = {k: c.table(k).join(here, "path", "left_semi") for k in ("files", "tags", "text", "manual_text", "text_meta")}
+    fresh = f.drop("size", "text_in_file").join(listed.select("path", "size").join(change.where("change <> 'gone'").select("path"), "path"), "path")
+    own = F.array(F.when(F.col("doc_id") % 3 == 0, "toxic").otherwise("big<toxic>"))
+    scans = fresh.select(*[F.col(x) for x in fresh.columns if x != "doc_id"], F.col("doc_id"), F.lit(None).cast("boolean").alias("text_in_file"), own.alias("xmp_tags"), tagging.folder_tags().alias("folder_tags"),
+                         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("scan "), F.col("doc_id").cast("string"))).alias("text"), (F.col("doc_id") % 4 == 0).alias("manual"))
+    out = ingest.merge_scans(tables, scans, lambda tags: tagging.implied_tags(tags, RULES))
+    return ingest.forget(out, change.where("change = 'gone'").select("path"))
+
+
+def merge_result(spark, sf_dir):
+    return _merged(spark, sf_dir)["files"].select("path", "size", "id")
+
+
+def merge_tags(spark, sf_dir):
+    return _merged(spark, sf_dir)["tags"].select("path", "tag", "source")
+
+
+def merge_texts(spark, sf_dir):
+    out = _merged(spark, sf_dir)
+    both = [out[k].select(F.lit(k).alias("kind"), "path", F.md5(F.col("body").cast("binary")).alias("body_md5")) for k in ("text", "manual_text")]
+    return both[0].union(both[1])
 
 
 def cache_invalidation(spark, sf_dir):
@@ -371,7 +416,200 @@ def next_thin(spark, sf_dir):
     return paging.next_thin(_cat(spark, sf_dir).files(), 40, 1).select("path")
 
 
+def _related(spark, sf_dir):
+    """A tag of each file, as a hand would write it."""
+    tag = F.when(F.col("doc_id") % 4 == 0, "Big< Poisonous >").when(F.col("doc_id") % 4 == 1, "good<folder:en>").when(F.col("doc_id") % 4 == 2, "<toxic>").otherwise(" Deutsch")
+    return standin.docs(spark, sf_dir).select(standin.path_col().alias("path"), tag.alias("tag"), F.lit("xmp").alias("source"))
+
+
+def relational_canon(spark, sf_dir):
+    return _related(spark, sf_dir).select("path", tagging.canon_column(F.col("tag"), RULES).alias("tag"))
+
+
+def relational_implied(spark, sf_dir):
+    return tagging.implied_tags(_related(spark, sf_dir), RULES)
+
+
+def relational_edit(spark, sf_dir):
+    rows = _related(spark, sf_dir).select("path", F.array("tag").alias("tags"))
+    out = tagging.batch_edit(rows, ["Big<good>"], ["big<toxic>"], RULES)
+    return out.select("path", F.array_join("new_tags", "|").alias("new_tags"), "changed")
+
+
+def relational_offers(spark, sf_dir):
+    own = tagging.own_tags(_cat(spark, sf_dir).table("tags"))
+    return own.select("path", F.array_join(tagging.relational_offers(F.col("own"), "big"), "|").alias("offers"))
+
+
+def suggestion_answers(spark, sf_dir):
+    rows = _cat(spark, sf_dir).tag_sets()
+    return rows.select("path", *[F.array_join(tagging.answer_suggestion(F.col("tags"), "hide", yes), "|").alias(n) for n, yes in (("accepted", True), ("refused", False))])
+
+
+def renamed_tags(spark, sf_dir):
+    return tagging.rename_tag(_cat(spark, sf_dir).table("tags"), "toxic", "quality:good").select("path", "tag", "source")
+
+
+def deleted_tags(spark, sf_dir):
+    return tagging.rename_tag(_cat(spark, sf_dir).table("tags"), "toxic", None).select("path", "tag", "source")
+
+
+def action_requests(spark, sf_dir):
+    return tagging.act_on_requests(_cat(spark, sf_dir).table("tags"), {"toxic": "toxic done", "quality:poor": "checked"})
+
+
+def history_added(spark, sf_dir):
+    return ingest.add_counts(tag_history_counts(spark, sf_dir), spark.createDataFrame([("click", 5), ("toxic", 2)], "tag string, uses bigint"))
+
+
+def inserted_rejects(spark, sf_dir):
+    """Rejected files of a tag, of which some were rejected before."""
+    f = _cat(spark, sf_dir).files()
+    had, more = (f.where(w).select(F.lit("toxic").alias("tag"), "path") for w in ("doc_id % 6 = 0", "doc_id % 4 = 0"))
+    return ingest.insert_new(had, more, ["tag", "path"])
+
+
+def floor_counts(spark, sf_dir):
+    kept = spark.createDataFrame([("toxic", 3), ("lost", 7), ("folder:en", 1 << 40)], "tag string, count bigint")
+    return completion.remembered_counts(_cat(spark, sf_dir).table("tags"), kept)
+
+
+def foreign_completion(spark, sf_dir):
+    other = spark.createDataFrame([("toxic", 900), ("hidden in", 4), ("inner", 4)], "tag string, count bigint")
+    return completion.completion_values(_cat(spark, sf_dir).table("tags"), tag_history_counts(spark, sf_dir), RULES, ["ask me"], other)
+
+
+def assistant_page(spark, sf_dir):
+    return paging.assistant_order(_cat(spark, sf_dir).files()).limit(25).select("path")
+
+
+def group_page(spark, sf_dir):
+    """The second page of 3 content ids that several files share."""
+    rows, _, _ = paging.page(similarity.shared_ids(_cat(spark, sf_dir).files()).orderBy(F.desc("n"), "id"), 2, 3)
+    return rows.select("id", "n")
+
+
+def source_selection(spark, sf_dir):
+    chosen = {"main": {"include": ["en", "de"], "exclude": ["en/src0"]}, "other": {}, "off": {"enabled": False}}
+    return _cat(spark, sf_dir).files().where(selection(chosen)).select("path")
+
+
+def awaiting_text(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return reading.awaiting(c.files(), c.table("text_meta"), c.table("manual_text")).select("path")
+
+
+def ocr_queue_head(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    return reading.queue(c.files(), c.table("text_meta"), c.table("manual_text"), "e2", limit=7)
+
+
+def stored_readings(spark, sf_dir):
+    c = _cat(spark, sf_dir)
+    read = c.files().where("doc_id % 8 = 0").select("path", F.lit("read again").alias("body"), F.lit("e9").alias("engine"), F.lit(5.0).alias("read_at"), F.lit(0.5).alias("secs"))
+    _, meta = reading.store(c.table("text"), c.table("text_meta"), read)
+    return meta.groupBy("engine").agg(F.count("*").alias("n"), F.max("read_at").alias("last"))
+
+
+def text_precedence(spark, sf_dir):
+    """The texts that an editor, an action and an embedding pass go by."""
+    c = _cat(spark, sf_dir)
+    rows = c.files().select("path", F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).when(F.col("doc_id") % 3 == 1, F.lit("in file")).alias("file"))
+    rows = rows.join(c.table("text").select("path", F.substring("body", 1, 9).alias("machine")), "path", "left").join(c.table("manual_text").select("path", F.substring("body", 1, 9).alias("reviewed")), "path", "left")
+    return rows.select(
+        "path", reading.editor_text(F.col("reviewed"), F.col("machine"), F.col("file")).alias("editor"), reading.action_text(F.col("file"), F.col("machine")).alias("action"),
+        rows.reviewed.isNotNull().alias("had"),
+    ).withColumn("embedded", reading.already_embedded("had", "editor", "action")).drop("had")
+
+
+def fresh_artefacts(spark, sf_dir):
+    rows = _cat(spark, sf_dir).files().select("path", "mtime", (F.col("mtime") - F.col("doc_id") % 4 * 0.5).alias("made"))
+    return rows.where(reading.fresh_artefact("made", "mtime")).select("path")
+
+
+def folded_view(spark, sf_dir):
+    v = _cat(spark, sf_dir).files().select("path", "size", "created_at", "doc_id")
+    fresh = v.where("doc_id % 5 = 0").withColumn("size", F.lit(1).cast("bigint"))
+    return ingest.folded(v, fresh, v.where("doc_id % 7 = 0").select("path")).select("path", "size")
+
+
+def prefixed_files(spark, sf_dir):
+    old = _cat(spark, sf_dir).files().select(F.expr("substring(path, 6)").alias("path"), "size")
+    return ingest.with_source_prefix({"files": old}, "old")["files"]
+
+
+def cache_keys(spark, sf_dir):
+    f = _cat(spark, sf_dir).files().select(F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("x"), "path")).alias("path"))
+    return f.select("path", names.cache_key().alias("cache_key"))
+
+
+def url_names(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    back = names.percent_decode(names.percent_encode(F.concat(F.col("url"), F.lit("/ä b+c~(1)"))))
+    return pages.select("page_id", back.alias("back"), names.media_type(F.concat(F.col("url"), F.when(F.col("page_id") % 2 == 0, ".JPG").otherwise(".tar"))).alias("media_type"))
+
+
+def sniffed(spark, sf_dir):
+    heads = ["FFD8FFE0", "89504E470D0A1A0A", "524946460000000057454250", "474946383961", "0000001C66747970617669660000", "0000001C6674797069736F6D", "1A45DFA3", "00"]
+    d = standin.docs(spark, sf_dir).select("doc_id", F.get(F.array(*[F.lit(h) for h in heads]), (F.col("doc_id") % 8).cast("int")).alias("head"))
+    return d.select("doc_id", names.sniff(F.unhex("head")).alias("format"))
+
+
+def machine_blocks(spark, sf_dir):
+    """Texts with a machine's block put in, and taken apart again."""
+    body = F.concat(F.lit("own "), F.col("doc_id").cast("string"))
+    d = standin.docs(spark, sf_dir).select("doc_id", text.with_block(body, "English (machine):", F.lit(" two ")).alias("t"))
+    parts = text.split_blocks(F.col("t"))
+    return d.select("doc_id", F.array_join(F.array(*[parts[n] for n in d.select(parts.alias("p")).schema["p"].dataType.names]), "|").alias("parts"))
+
+
+OTHER_RULES = Vocabulary.of(aliases={"good": "fine", "old": "new"}, implications={"toxic": ["flagged", "bad"]}, categories={"Theme ": [" Keep"], "series": ["keep"]}, colors={"mood": "#102030"})
+
+
+def vocabulary_merge(spark, sf_dir):
+    """The rules of two vocabularies together, as lines, and the aliases on which they disagree."""
+    out, clashes = merge(RULES, OTHER_RULES)
+    return spark.createDataFrame([[x] for x in sorted(out.lines())] + [[f"clash {k}: {a} or {b}"] for k, a, b in clashes], "line string")
+
+
+def vocabulary_diff(spark, sf_dir):
+    mine, other = diff(RULES, OTHER_RULES)
+    return spark.createDataFrame([["local", x] for x in mine] + [["other", x] for x in other], "side string, line string")
+
+
+def vocabulary_rename(spark, sf_dir):
+    done = RULES.rename("toxic", "harmful")
+    return spark.createDataFrame([[x] for x in sorted(done.vocabulary.lines())], "line string")
+
+
+def vocabulary_facts(spark, sf_dir):
+    """Whether one tag implies another, and each tag's category."""
+    tags = ["toxic", "flagged", "keep", "big<toxic>", "not:toxic", "artist:me", "oc:you"]
+    rows = [[t, RULES.implies(RULES.canon(t), "review"), RULES.category_of(t) or "other"] for t in tags]
+    return spark.createDataFrame(rows, "tag string, implies_review boolean, category string")
+
+
+def sync_decisions(spark, sf_dir):
+    rows = [[a, b, c, decide(a, b, c)] for a in ("x", "y") for b in ("x", "y", None) for c in ("x", "y", "z", None)]
+    return spark.createDataFrame(rows, "local string, other string, base string, decision string")
+
+
+def query_operands(spark, sf_dir):
+    """Parts of queries: similar specs and operands, the tag under the caret."""
+    tree = q.parse("similar:a@5 || (similar:b, -similar:a)")
+    rows = [["similar", *map(str, q.similar_spec(x))] for x in ("a/b.png@12", "a@b")] + [["operand", x, ""] for x in q.similar_operands(tree)]
+    rows += [["caret", typed, str(found and found[2])] for typed in ("cat, do", "size.gt:1", "a || -bi") for found in [q.completion(typed, len(typed))]]
+    return spark.createDataFrame(rows, "kind string, a string, b string")
+
+
+_MORE = (
+    search_similar_order, carried_texts, merge_tags, merge_texts, relational_canon, relational_implied, relational_edit, relational_offers, suggestion_answers, renamed_tags, deleted_tags, action_requests, history_added,
+    inserted_rejects, floor_counts, foreign_completion, assistant_page, group_page, source_selection, awaiting_text, ocr_queue_head, stored_readings, text_precedence, fresh_artefacts, folded_view, prefixed_files, cache_keys,
+    url_names, sniffed, machine_blocks, vocabulary_merge, vocabulary_diff, vocabulary_rename, vocabulary_facts, sync_decisions, query_operands,
+)
+
 QUERIES = {
+    **{f.__name__: f for f in _MORE},
     **{k: _searcher(q) for k, (q, _) in SEARCHES.items()},
     "all_rows": all_rows, "point_lookup": point_lookup, "path_by_id": path_by_id, "search_scope": search_scope, "search_similar": search_similar, "page_newest": page_newest, "next_thin": next_thin,
     "tag_counts": lambda s, d: tagging.tag_counts(_cat(s, d).table("tags")), "hand_tag_counts": lambda s, d: tagging.hand_tag_counts(_cat(s, d).table("tags")), "shared_tags": selection_shared,
@@ -420,13 +658,72 @@ like_ AS (SELECT path, sum(weight * p) AS s FROM space JOIN proto USING (term) G
 SELECT f.path, round(coalesce(s, 0), 6) AS score FROM filled f LEFT JOIN like_ USING (path) ANTI JOIN pos USING (path)"""
 _LISTS = "local AS (SELECT * FROM files WHERE doc_id % 7 <> 0), listed AS (SELECT path, id, mtime, CASE WHEN doc_id % 13 = 0 THEN size + 1 ELSE size END AS size FROM files WHERE doc_id % 11 <> 0)"
 
+_RELATED = f"related AS (SELECT {_PATH} AS path, d.doc_id, d.lang FROM documents d)"
+_WORDS_OF = "(SELECT string_agg({e}, '|' ORDER BY {e}) FROM (SELECT DISTINCT tag FROM tags t WHERE t.path = p.path{w}))"
+_FRESH = f"""{_BASE}, {_LISTS},
+scanned AS (SELECT r.*, f.lang_ FROM (SELECT l.*, l.path AS p FROM listed_all l LEFT JOIN local o ON o.path = l.path WHERE o.path IS NULL OR o.size <> l.size OR o.mtime <> l.mtime) r JOIN (SELECT path, format AS lang_ FROM files) f ON f.path = r.path)"""
+_FRESH = _FRESH.replace("scanned AS", "listed_all AS (SELECT f.doc_id, r.* FROM listed r JOIN files f ON f.path = r.path),\nscanned AS")
+_LINES = [
+    "toxic ⇒ flagged", "flagged ⇒ review", "review ⇒ flagged", "folder:en ⇒ lang:english", "quality:good ⇒ keep", "quality:good suggests feature", "folder:en suggests quality:poor", "folder:en suggests english text",
+    "toxic suggests not:keep", "toxic suggests hide", "quality:good is a subject", "quality:poor is a subject", "toxic is a commentary", "poisonous = toxic", "good = quality:good", "deutsch = folder:de",
+]
+_OTHER_LINES = ["toxic ⇒ flagged", "toxic ⇒ bad", "keep is a series", "mood is tinted #102030", "good = fine", "old = new"]
+
+
+def _values(rows, names: str) -> str:
+    sql = lambda v: "NULL" if v is None else ("TRUE" if v is True else "FALSE" if v is False else "'" + str(v).replace("'", "''") + "'")
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(sql, r)) + ')' for r in rows)}) v({names})"
+
+
+_MORE_SQL = {
+    "search_similar_order": _sql(f"SELECT path FROM (SELECT f.path, f.created_at, bit_count(xor(h0, (SELECT h0 FROM hashes WHERE vec_id = 3))) AS far FROM files f JOIN hashes h ON h.vec_id = f.doc_id WHERE {_has('folder:en')}) WHERE far <= 40 ORDER BY far, created_at DESC, path LIMIT 15", f"{_BASE}, {_VECTORS}"),
+    "carried_texts": _sql(f"SELECT coalesce(m.new_path, t.path) AS path, md5(t.body) AS body_md5 FROM (SELECT {_PATH} AS path, CASE WHEN doc_id % 37 = 0 THEN '' ELSE text END AS body FROM documents d) t LEFT JOIN (SELECT g.p AS old_path, f.p AS new_path FROM (SELECT id, min(path) AS p FROM files WHERE doc_id % 5 = 0 GROUP BY id HAVING count(*) = 1) g JOIN (SELECT id, min('main/moved/' || CAST(doc_id AS VARCHAR)) AS p FROM files WHERE doc_id % 5 IN (0, 1) GROUP BY id HAVING count(*) = 1) f USING (id)) m ON m.old_path = t.path"),
+    "merge_tags": _sql("SELECT t.path, t.tag, t.source FROM tags t JOIN local USING (path) WHERE path IN (SELECT path FROM listed) AND path NOT IN (SELECT path FROM scanned) UNION ALL SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'toxic' ELSE 'big<toxic>' END, 'xmp' FROM scanned UNION ALL SELECT path, 'folder:' || lower(string_split(path, '/')[k]), 'folder' FROM scanned, (VALUES (2), (3)) v(k) UNION ALL SELECT path, i, 'implied' FROM scanned, (VALUES ('flagged'), ('review')) v(i) UNION ALL SELECT path, i, 'implied' FROM scanned, (VALUES ('big'), ('toxic')) v(i) WHERE doc_id % 3 <> 0 UNION ALL SELECT path, 'lang:english', 'implied' FROM scanned WHERE lang_ = 'en'", _FRESH),
+    "merge_texts": _sql("SELECT 'text' AS kind, path, md5('scan ' || CAST(doc_id AS VARCHAR)) AS body_md5 FROM scanned WHERE doc_id % 4 = 2 UNION ALL SELECT 'text', l.path, md5(CASE WHEN l.doc_id % 37 = 0 THEN '' ELSE d.text END) FROM local l JOIN documents d USING (doc_id) WHERE l.path IN (SELECT path FROM listed) AND l.path NOT IN (SELECT path FROM scanned WHERE doc_id % 4 = 2) UNION ALL SELECT 'manual_text', path, md5('scan ' || CAST(doc_id AS VARCHAR)) FROM scanned WHERE doc_id % 4 = 0 UNION ALL SELECT 'manual_text', l.path, md5(CASE WHEN l.doc_id % 50 = 0 THEN '' ELSE 'REVIEWED ' || d.text END) FROM local l JOIN documents d USING (doc_id) WHERE l.doc_id % 50 IN (0, 25) AND l.path IN (SELECT path FROM listed) AND l.path NOT IN (SELECT path FROM scanned)", _FRESH),
+    "relational_canon": f"WITH {_RELATED} SELECT path, CASE doc_id % 4 WHEN 0 THEN 'big<toxic>' WHEN 1 THEN 'quality:good<folder:en>' WHEN 2 THEN '<toxic>' ELSE 'folder:de' END AS tag FROM related",
+    "relational_implied": f"WITH {_RELATED} SELECT path, v.tag FROM related JOIN (VALUES (0, 'big'), (0, 'toxic'), (0, 'flagged'), (0, 'review'), (1, 'quality:good'), (1, 'keep'), (1, 'folder:en'), (1, 'lang:english')) v(k, tag) ON v.k = doc_id % 4",
+    "relational_edit": f"WITH {_RELATED} SELECT path, CASE doc_id % 4 WHEN 0 THEN 'big<quality:good>' WHEN 1 THEN 'big<quality:good>|quality:good<folder:en>' WHEN 2 THEN '<toxic>|big<quality:good>' ELSE 'big<quality:good>|folder:de' END AS new_tags, TRUE AS changed FROM related",
+    "relational_offers": _sql("SELECT path, " + _WORDS_OF.format(e="'big<' || tag || '>'", w=" AND source <> 'implied'") + " AS offers FROM (SELECT DISTINCT path FROM tags WHERE source <> 'implied') p"),
+    "suggestion_answers": _sql("SELECT path, (SELECT string_agg(tag, '|' ORDER BY tag) FROM (SELECT tag FROM tags t WHERE t.path = p.path UNION SELECT 'hide')) AS accepted, (SELECT string_agg(tag, '|' ORDER BY tag) FROM (SELECT tag FROM tags t WHERE t.path = p.path UNION SELECT 'not:hide')) AS refused FROM (SELECT DISTINCT path FROM tags) p"),
+    "renamed_tags": _sql("SELECT DISTINCT path, CASE WHEN source = 'xmp' AND tag = 'toxic' THEN 'quality:good' ELSE tag END AS tag, source FROM tags"),
+    "deleted_tags": _sql("SELECT path, tag, source FROM tags WHERE NOT (source = 'xmp' AND tag = 'toxic')"),
+    "action_requests": _sql("SELECT path, tag AS request, CASE tag WHEN 'toxic' THEN 'toxic done' ELSE 'checked' END AS done FROM tags WHERE tag IN ('toxic', 'quality:poor')"),
+    "history_added": "SELECT tag, CAST(sum(uses) AS BIGINT) AS uses FROM (SELECT event_type AS tag, count(*) AS uses FROM events GROUP BY event_type UNION ALL SELECT 'click', 5 UNION ALL SELECT 'toxic', 2) GROUP BY tag",
+    "inserted_rejects": _sql("SELECT 'toxic' AS tag, path FROM files WHERE doc_id % 6 = 0 OR doc_id % 4 = 0"),
+    "floor_counts": _sql("SELECT tag, CAST(max(n) AS BIGINT) AS \"count\" FROM (SELECT tag, count(DISTINCT path) AS n FROM tags GROUP BY tag UNION ALL SELECT * FROM (VALUES ('toxic', 3), ('lost', 7), ('folder:en', 1099511627776)) v(t, n)) GROUP BY tag"),
+    "foreign_completion": _sql("SELECT * FROM vals UNION ALL SELECT 'ask me', 0, TRUE UNION ALL SELECT 'hidden in', 4, FALSE UNION ALL SELECT 'inner', 4, FALSE", _VALUES),
+    "assistant_page": _sql("SELECT path FROM files ORDER BY xmp_tag_count, created_at DESC, path LIMIT 25"),
+    "group_page": _sql("SELECT id, count(*) AS n FROM files GROUP BY id HAVING count(*) > 1 ORDER BY n DESC, id LIMIT 3 OFFSET 3"),
+    "source_selection": _sql("SELECT path FROM files WHERE starts_with(path, 'main/de/') OR (starts_with(path, 'main/en/') AND NOT starts_with(path, 'main/en/src0/'))"),
+    "awaiting_text": _sql("SELECT path FROM files WHERE kind = 'image' AND doc_id % 4 = 0 AND doc_id % 50 NOT IN (0, 25)"),
+    "ocr_queue_head": _sql("SELECT path FROM files f WHERE kind = 'image' AND doc_id % 50 NOT IN (0, 25) AND NOT EXISTS (SELECT 1 FROM text_meta m WHERE m.path = f.path AND engine = 'e2') ORDER BY path LIMIT 7"),
+    "stored_readings": _sql("SELECT engine, count(*) AS n, max(read_at) AS last FROM (SELECT engine, read_at FROM text_meta m JOIN files f USING (path) WHERE doc_id % 8 <> 0 UNION ALL SELECT 'e9', 5.0 FROM files WHERE doc_id % 8 = 0) GROUP BY engine"),
+    "text_precedence": f"""WITH rows_ AS (SELECT {_PATH} AS path, CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'in file' END AS file, CASE WHEN doc_id % 37 = 0 THEN '' ELSE substr(text, 1, 9) END AS machine, CASE doc_id % 50 WHEN 0 THEN '' WHEN 25 THEN 'REVIEWED ' END AS reviewed FROM documents d),
+picked AS (SELECT path, reviewed, coalesce(reviewed, CASE WHEN machine <> '' THEN machine END, file, '') AS editor, CASE WHEN trim(coalesce(file, ''), ' ') <> '' THEN file ELSE machine END AS action FROM rows_)
+SELECT path, editor, action, reviewed IS NOT NULL OR editor IS NOT DISTINCT FROM action AS embedded FROM picked""",
+    "fresh_artefacts": _sql("SELECT path FROM files WHERE doc_id % 4 <= 2"),
+    "folded_view": _sql("SELECT path, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE size END AS size FROM files WHERE doc_id % 5 = 0 OR doc_id % 7 <> 0"),
+    "prefixed_files": _sql("SELECT 'old' || substr(path, 5) AS path, size FROM files"),
+    "cache_keys": _sql("SELECT CASE WHEN doc_id % 2 = 0 THEN path ELSE 'x' || path END AS path, 'p' || substr(CASE WHEN doc_id % 2 = 0 THEN sha256(substr(path, 6)) ELSE sha256(chr(0) || 'x' || path) END, 1, 16) AS cache_key FROM files"),
+    "url_names": "SELECT page_id, url || '/ä b+c~(1)' AS back, CASE WHEN page_id % 2 = 0 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS media_type FROM pages",
+    "sniffed": "SELECT doc_id, ['jpeg', 'png', 'webp', 'gif', 'avif', 'mp4', 'mkv', 'other'][doc_id % 8 + 1] AS format FROM documents",
+    "machine_blocks": "SELECT doc_id, 'own ' || CAST(doc_id AS VARCHAR) || '|English (machine):' || chr(10) || 'two' AS parts FROM documents",
+    "vocabulary_merge": _values([[x] for x in sorted({*_LINES, *_OTHER_LINES} - {"good = fine"})] + [["clash good: quality:good or fine"]], "line"),
+    "vocabulary_diff": _values([["local", x] for x in _LINES if x != "toxic ⇒ flagged"] + [["other", x] for x in _OTHER_LINES if x != "toxic ⇒ flagged"], "side, line"),
+    "vocabulary_rename": _values([[x.replace("toxic", "harmful")] for x in _LINES], "line"),
+    "vocabulary_facts": _values([("toxic", True, "commentary"), ("flagged", True, "other"), ("keep", False, "other"), ("big<toxic>", True, "commentary"), ("not:toxic", False, "commentary"), ("artist:me", False, "artist"), ("oc:you", False, "character")], "tag, implies_review, category"),
+    "sync_decisions": "SELECT local, other, base, CASE WHEN other IS NULL THEN 'seed' WHEN local = other THEN 'in_sync' WHEN base = other THEN 'push' WHEN base = local THEN 'pull' ELSE 'conflict' END AS decision FROM (VALUES ('x'), ('y')) a(local), (VALUES ('x'), ('y'), (NULL)) b(other), (VALUES ('x'), ('y'), ('z'), (NULL)) c(base)",
+    "query_operands": _values([("similar", "a/b.png", "12"), ("similar", "a@b", "20"), ("operand", "a", ""), ("operand", "b", ""), ("caret", "cat, do", "do"), ("caret", "size.gt:1", "None"), ("caret", "a || -bi", "bi")], "kind, a, b"),
+}
+
 ORACLES = {
+    **_MORE_SQL,
     **{k: _search(w) for k, (_, w) in SEARCHES.items()},
     "all_rows": _sql("SELECT f.path, (SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path) AS tags, length(x.text) AS text_len FROM files f JOIN texts x USING (path)"),
     "point_lookup": _sql("SELECT f.path, f.id, (SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path) AS tags FROM files f WHERE doc_id = 7"),
     "path_by_id": _sql("SELECT path FROM files WHERE starts_with(id, 'a') ORDER BY path LIMIT 1"),
     "search_scope": _sql("SELECT path FROM files WHERE (starts_with(path, 'main/en/') AND NOT starts_with(path, 'main/en/src0/')) OR starts_with(path, 'main/de/src1/')"),
-    "search_similar": _sql("SELECT path, CAST(bit_count(xor(h0, (SELECT h0 FROM hashes WHERE vec_id = 3))) AS BIGINT) AS distance FROM hashes WHERE bit_count(xor(h0, (SELECT h0 FROM hashes WHERE vec_id = 3))) <= 22", _VECTORS),
+    "search_similar": _sql("SELECT f.path FROM files f JOIN hashes h ON h.vec_id = f.doc_id WHERE bit_count(xor(h0, (SELECT h0 FROM hashes WHERE vec_id = 3))) <= 22", f"{_BASE}, {_VECTORS}"),
     "page_newest": _sql(f"SELECT path FROM files f WHERE {_has('folder:en')} ORDER BY created_at DESC, path LIMIT 60 OFFSET 60"),
     "next_thin": _sql("SELECT path FROM (SELECT path, xmp_tag_count, row_number() OVER (ORDER BY created_at DESC, path) - 1 AS pos FROM files) WHERE xmp_tag_count < 1 ORDER BY pos <= 40, pos LIMIT 1"),
     "tag_counts": _sql("SELECT tag, count(DISTINCT path) AS n FROM tags GROUP BY tag"),

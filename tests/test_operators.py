@@ -252,3 +252,79 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([(t,) for t in tags], "tag string").write.mode("append").parquet(told)
         pull.stream_tag_history(spark, told, uses, str(tmp_path / "c2")).awaitTermination()
     assert rows(pull.tag_history(spark, uses)) == [("x", 2), ("y", 2)]
+
+
+def test_store_survives_crashes(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "s")
+    table = lambda x: {"text": spark.createDataFrame([("p", x)], TABLES["text"])}
+    store.write_tables(spark, folder, table("one"))
+    (tmp_path / "s" / "v-half" / "text").mkdir(parents=True)  # died while it wrote tables
+    (tmp_path / "s" / "_new-v-half").write_text("v-half")  # died before the rename
+    assert rows(store.read_tables(spark, folder)["text"]) == [("p", "one")]
+    seen = store._newest(spark, folder)
+    store.write_tables(spark, folder, table("two"))
+    assert rows(store.read_tables(spark, folder)["text"]) == [("p", "two")]
+    monkeypatch.setattr(store, "_newest", lambda *_: seen)  # a writer that began before
+    with pytest.raises(RuntimeError):
+        store.write_tables(spark, folder, table("late"))
+    monkeypatch.undo()
+    assert rows(store.read_tables(spark, folder)["text"]) == [("p", "two")]
+
+
+def test_listing_batches(spark):
+    from shelfspark.schema import empty
+    from shelfspark.streaming import pull
+
+    schema = "path string, size bigint, mtime double, deleted boolean, arrival int"
+    first = [("a", 1, 1.0, False, 1), ("a", 2, 1.0, False, 2), ("b", 1, 5.0, False, 1), ("b", None, None, True, 1), ("c", 1, 5.0, False, 1), ("c", None, None, True, 0)]
+    turned = [pull.merged_listing(empty(spark, "files"), spark.createDataFrame(x, schema)).checkpoint() for x in (first, first[::-1])]
+    assert [rows(t.select("path", "size")) for t in turned] == [[("a", 2), ("c", 1)]] * 2
+    again = pull.merged_listing(turned[0], spark.createDataFrame(first, schema))
+    assert rows(again.select("path", "size")) == [("a", 2), ("c", 1)]
+    many = pull.merged_listing(empty(spark, "files"), spark.createDataFrame([(f"f{k}", 1, 1.0, False, 1) for k in range(100)], schema)).checkpoint()
+    gone = spark.createDataFrame([(f"f{k}", None, None, True, 2) for k in range(60)], schema)
+    assert pull.merged_listing(many, gone).count() == 100 and pull.merged_listing(many, gone, force=True).count() == 40
+
+
+def test_relational_tags_against_the_vocabulary(spark):
+    rng = random.Random(7)
+    names_ = ["cat", "kitty", "big", "huge", "animal", "pet"]
+    v = Vocabulary.of(aliases={"kitty": "cat", "huge": "big"}, implications={"cat": ["animal"], "animal": ["pet", "big<pet>"], "big<cat>": ["lion"], "pet": ["animal"]})
+    made = lambda: rng.choice([" {} ", "{}<{}>", " {} < {}>", "<{}>", "{}<>", "{}<{}<{}>>", "\t{}"]).format(*[rng.choice([str, str.upper])(rng.choice(names_)) for _ in range(3)])
+    tags = [made() for _ in range(150)]
+    df = spark.createDataFrame([(str(k), t, "xmp") for k, t in enumerate(tags)], TABLES["tags"])
+    assert [r[0] for r in df.select(tagging.canon_column(F.col("tag"), v)).collect()] == [v.canon(t) for t in tags]
+    got = {}
+    for r in tagging.implied_tags(df, v).collect():
+        got.setdefault(int(r["path"]), set()).add(r["tag"])
+    assert all(got.get(k, set()) == v.expand([t]) - {v.canon(t)} for k, t in enumerate(tags))
+
+
+def test_groups_by_brute_force(spark):
+    rng = random.Random(9)
+    values = [rng.getrandbits(64) for _ in range(6)]
+    values = [x ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 6))}) for x in values for _ in range(12)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(f"{k:03}", signed(x), 0, 0, 0) for k, x in enumerate(values)], "path string, h0 bigint, h1 bigint, h2 bigint, h3 bigint")
+    far = lambda i, j: (values[i] ^ values[j]).bit_count()
+    for within in (5, 11):
+        group = {k: {k} for k in range(len(values))}
+        for d, i, j in sorted((far(i, j), i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if far(i, j) <= within):
+            if group[i] is not group[j] and all(far(x, y) <= within for x in group[i] for y in group[j]):
+                both = group[i] | group[j]
+                group.update(dict.fromkeys(both, both))
+        got = {}
+        for r in similarity.duplicate_groups(df, within, bits=64).collect():
+            got.setdefault((r["began_at"], r["began_a"], r["began_b"]), set()).add(int(r["id"]))
+        assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in {frozenset(g) for g in group.values()} if len(g) > 1)
+
+
+def test_holdout_by_brute_force(spark):
+    rng = random.Random(3)
+    scores = {f"p{k}": round(rng.random(), 1) for k in range(130)}
+    hidden, shown = ranking.split_hidden(sorted(scores)[:30])
+    assert len(hidden) == 10 and sorted(hidden + shown) == sorted(scores)[:30] and hidden == ranking.split_hidden(sorted(scores)[:30][::-1])[0]
+    ranked = sorted((p for p in scores if p not in shown), key=lambda p: (-scores[p], p))
+    got = ranking.holdout(spark.createDataFrame([(p, scores[p]) for p in ranked], "path string, score double"), spark.createDataFrame([[p] for p in hidden], "path string"), top=20).first()
+    places = sorted(ranked.index(p) + 1 for p in hidden)
+    assert (got["scored"], got["found_50"], got["found_top"], got["median_rank"]) == (110, sum(x <= 50 for x in places), sum(x <= 20 for x in places), places[5]) and got["chance"] == round(500 / 110, 6)

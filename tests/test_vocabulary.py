@@ -59,3 +59,8 @@ def test_files_and_sync():
     merged, clashes = merge(a, c)
     assert clashes == [("x", "y", "z")] and merged.aliases == {"x": "y", "q": "r"} and ("b", "d") in merged.implications and ("b", "a") in merged.implications
     assert diff(a, c)[1] == ["b ⇒ d", "q = r", "x = z"]
+
+
+def test_categories_are_folded():
+    v = Vocabulary.loads('[categories]\nzeta = ["Cat "]\nalpha = ["cat"]\nSeries = ["x"]\n')
+    assert v.categories == {"cat": "alpha", "x": "series"}
