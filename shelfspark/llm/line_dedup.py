@@ -21,10 +21,19 @@ _PAIRS = 1 << 18
 #: Sets above this size have a bitmap of 256 bits.
 _SMALL_SET = 32
 _LEVELS = 9
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Places in the order by rarity: the logarithm of counts, in steps of a sixteenth."""
+    return np.minimum(16 * np.log2(counts + 1.0), (1 << _LEVELS) - 1).astype(np.uint16)
+
+
+#: For the counts of a slice.
+_LOW_COUNTS = levels(np.arange(1 << 16))
 _PIECE = 1 << 18
 #: Bytes of text that a task works on at once; postings are dealt out when so many wait, more if there are very many parts.
 _SLICE = 2 << 20
-_WAIT = 1 << 17
+_WAIT = 1 << 18
 
 
 def line_words(line: bytes) -> list[bytes]:
@@ -113,11 +122,11 @@ def word_counts(docs: DataFrame, num: int = 4, den: int = 5, text_col: str = "te
 
     def count(batches):
         total, hasher = np.zeros(2 * BUCKETS, dtype=np.int64), _hasher()
-        for batch in sliced(batches, 0, _SLICE):
+        for batch in sliced(batches, 0):
             words, _, line = hasher.words(b"\n".join(blobs(batch.column(0))), both=False)
             own = np.bincount((words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             total[:BUCKETS] += own
-            _, size, _, words = line_sets(words, None, line, own)
+            _, size, _, words = line_sets(words, None, line, _LOW_COUNTS[np.minimum(own, len(_LOW_COUNTS) - 1)])
             first = np.cumsum(size) - size
             long = np.where(can_pair(size, num, den), size - -(-size * num // den) + 1, 0)
             at = np.repeat(first - np.cumsum(long) + long, long) + np.arange(long.sum())
@@ -145,7 +154,7 @@ class _Order:
     """What a task must know of the counts: each bucket's level of rarity and number of blocks."""
 
     def __init__(self, counts: np.ndarray, prefixes: np.ndarray, parts: int):
-        self.counts = counts
+        self.levels = levels(counts)
         # A word is dealt out in blocks where its postings would be a good part of a task's.
         self.blocks = 1 + prefixes // max(_BLOCK_LINES, int(prefixes.sum()) // parts)
 
@@ -197,7 +206,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def line_sets(words: np.ndarray, second: np.ndarray | None, line: np.ndarray, counts: np.ndarray):
+def line_sets(words: np.ndarray, second: np.ndarray | None, line: np.ndarray, level_of: np.ndarray):
     """(line, size, ids, words) of the lines with a word: their distinct words, each line's from rare to common, and (with second hashes) 128 bits that are equal for equal sets.
 
     The order by rarity is one for all lines: by the logarithm of the count, then by hash. Sorted are 64-bit keys of line,
@@ -209,7 +218,7 @@ def line_sets(words: np.ndarray, second: np.ndarray | None, line: np.ndarray, co
     own = np.cumsum(np.diff(line, prepend=line[0]) != 0)
     mixed = _mix(words)
     bucket = (words % np.uint64(BUCKETS)).astype(np.int64)
-    level = np.minimum(16 * np.log2(counts + 1.0), (1 << _LEVELS) - 1).astype(np.uint64)[bucket]
+    level = level_of[bucket].astype(np.uint64)
     bits = max(1, int(own[-1]).bit_length())
     low = 64 - bits - _LEVELS
     key = (own.astype(np.uint64) << np.uint64(64 - bits)) | (level << np.uint64(low)) | (mixed >> np.uint64(64 - low))
@@ -420,7 +429,7 @@ def _postings(docs: DataFrame, order, parts: int, num: int, den: int) -> DataFra
     def run(batches):
         hasher, known = _hasher(), order.value
         posted, first, gone = [], [], []
-        most, waiting = min(max(_WAIT, 64 * parts), 8 * _WAIT), 0
+        most, waiting = min(max(_WAIT, 64 * parts), 4 * _WAIT), 0
 
         def dealt():
             rows, places, copies = _joined(posted, _POSTING), _joined(first, _PLACE), _joined(gone, _PLACE)
@@ -435,7 +444,7 @@ def _postings(docs: DataFrame, order, parts: int, num: int, den: int) -> DataFra
             own = np.array([d for d, _ in there], dtype=np.int64)
             # Texts stand one after the other; line feeds before a text give its first line's number.
             before = np.concatenate(([0], np.cumsum([t.count(b"\n") + 1 for _, t in there], dtype=np.int64)))
-            lines, size, ids, words = line_sets(*hasher.words(b"\n".join([t for _, t in there])), known.counts)
+            lines, size, ids, words = line_sets(*hasher.words(b"\n".join([t for _, t in there])), known.levels)
             if not len(size):
                 continue
             at = np.searchsorted(before, lines, "right") - 1
@@ -504,7 +513,7 @@ def later_places(rows: Rows) -> Rows:
 
 
 #: Parts that a task works on, one after the other.
-_PARTS = 4
+_PARTS = 2
 #: Kept postings travel in pieces of so many rows.
 _CHUNK = 1 << 16
 

@@ -182,7 +182,7 @@ def test_hot_words_of_lines(monkeypatch, blocks):
     lines = [" ".join([*base[: rng.choice([10, 11, 12])], f"n{k}" if k % 4 else "q " * 4 + f"m{k} o{k}"]) for k in range(300)]
     words, second, line = line_dedup._Hasher().words("\n".join(lines).encode())
     counts = np.bincount((words % np.uint64(line_dedup.BUCKETS)).astype(np.int64), minlength=line_dedup.BUCKETS)
-    at, size, ids, words = line_dedup.line_sets(words, second, line, counts)
+    at, size, ids, words = line_dedup.line_sets(words, second, line, line_dedup.levels(counts))
     assert size.tolist() == [len(set(x.split())) for x in lines]
     sets = [set(x.split()) for x in lines]
     alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
