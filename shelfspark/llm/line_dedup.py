@@ -21,6 +21,8 @@ _PAIRS = 1 << 18
 #: Sets above this size have a bitmap of 256 bits.
 _SMALL_SET = 32
 _LEVELS = 9
+#: Candidates to verify of a line whose nearest is far within the bound.
+_SURE = 8
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -354,7 +356,7 @@ def best_candidates(rows: Rows, num: int, den: int, most: int, reach: int | None
     else:
         at = np.flatnonzero(rows["flag"] == 1)
         pieces.append((at, np.arange(len(key)), np.searchsorted(key, low[at]), np.searchsorted(key, high[at], "right")))
-    sure = min(2, most) if reach else most
+    sure = min(_SURE, most) if reach else most
     kept: list[np.ndarray] = []
     held, bound = 0, 2 * _PAIRS
     for left, right, start, stop in pieces:
@@ -587,7 +589,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, most: int = 32, r
 
     Lines without a word are never removed. Lines of equal sets, which have Jaccard 1, are found by their set's id of 128
     bits from two hashes of each word. Between different sets each later one brings its `most` nearest candidates of each
-    task (2, if the nearest is far within the bound) among the `reach` earliest sets of a word. Lines for which none of
+    task (8, if the nearest is far within the bound) among the `reach` earliest sets of a word. Lines for which none of
     those holds though there were more stay open and search again, now all sets that share a word of their prefix and
     with eight times as many candidates, until none is open: so no candidate is lost, and near copies of one line cost
     `reach` comparisons each, not as many as there are of them. For that the first round keeps the postings of the
