@@ -646,7 +646,7 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     touched = touched.withColumn("text", F.col("text").cast("binary")).select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
     touched = touched.transform(arrow_map, cut, f"{kinds}, n_lines bigint, n_removed bigint")
     rest = maybe_in(docs, hit, "doc_id", False).withColumn("text", F.coalesce("text", F.lit("")))
-    lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("bigint")
+    lines = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     return touched.union(rest.select(*[F.col(f"`{c}`") for c in docs.columns], lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")))
 
 
