@@ -65,7 +65,7 @@ def give_back() -> None:
 
 
 #: Bytes of an Arrow batch between Spark and a worker, unless the session sets its own; by default Spark takes 64 MB.
-_BATCH = "16777216b"
+_BATCH = "4194304b"
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
