@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(16 * np.log2(counts + 1.0), (1 << _LEVELS) - 1).astype(np.uint16)
 
 
+#: Words of more bytes are hashed one by one: sums of powers of two letters can cancel in the last bits, the more the longer the word.
+_LONG = 32
 #: For the counts of a slice.
 _LOW_COUNTS = levels(np.arange(1 << 16))
 _PIECE = 1 << 18
@@ -44,7 +47,7 @@ def line_words(line: bytes) -> list[bytes]:
 
 
 class _Hasher:
-    """Two 64-bit hashes of every word in a run of bytes at once: sums of a random value for each byte (A-Z as a-z) times powers of an odd number, taken from running sums."""
+    """Two 64-bit hashes of every word in a run of bytes at once: sums of a random value for each byte (A-Z as a-z) times powers of an odd number, taken from running sums; XXH3's 128 bits for words above _LONG."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -97,6 +100,10 @@ class _Hasher:
                 x *= self.up[k][: len(a)]
                 np.cumsum(x, out=run[1:])
                 hashes.append((run[end] - run[start]) * self.down[k][start])
+            for w in np.flatnonzero(end - start > _LONG).tolist():
+                strong = xxhash.xxh3_128_intdigest(data[at + int(start[w]) : at + int(end[w])].lower())
+                for k, h in enumerate(hashes):
+                    h[w] = strong >> 64 * k & 0xFFFFFFFFFFFFFFFF
             feed = np.cumsum(a == 10, dtype=np.int32)
             out.append((hashes[0], hashes[-1], feed[start].astype(np.int64) + feeds))
             feeds += int(feed[-1])

@@ -173,6 +173,18 @@ def test_word_hashes(monkeypatch):
         assert len(set(number.values())) == len(number) == len({a for a, _ in number.values()}) == len({b for _, b in number.values()})
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 12])
+def test_words_whose_powers_cancel(spark, n):
+    """Thue-Morse words and their swaps: a sum of powers can't tell long ones apart, the line stays all the same."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+    swap = word.translate(str.maketrans("ab", "ba"))
+    one, two, _ = line_dedup._Hasher().words(f"{word} {swap} {word.upper()}".encode())
+    assert one[0] == one[2] != one[1] and two[0] == two[2] != two[1]
+    rows = [(1, word), (2, swap), (3, f"x\n{word}"), (4, swap.upper())]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
 @pytest.mark.parametrize("blocks", [1 << 16, 20])
 def test_hot_words_of_lines(monkeypatch, blocks):
     """Many near copies of one line: blocks and reach bound the comparisons of the first round, the second has the rest."""
@@ -486,6 +498,17 @@ def test_packing(docs, none):
     assert vector_packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "x", "\n" * 1_200_000, "ab" * 600_000, "a" * 700_000 + "\u00a0" * 700_000, "1 \n" * 400_000])
+def test_texts_of_one_long_run(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    got = sorted(vector_packing.pack(spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")).collect(), key=lambda r: (r["doc_id"], r["start"]))
+    assert b"".join(bytes(r["ids"]) for r in got if r["doc_id"] == 1) == np.array([*want, 1], dtype="<u4").tobytes()
+    assert [r["length"] for r in got if r["doc_id"] == 2] == [1]
+
+
 def test_packer_limits():
     rng = np.random.default_rng(2)
     p = vector_packing.Packer((100, 5, 40))
