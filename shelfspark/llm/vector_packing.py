@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import json
 from collections import deque
 from functools import lru_cache
@@ -38,11 +39,12 @@ def _slow(json_path: str):
 
 
 def encode(text: str, json_path: str, rank_path: str) -> np.ndarray:
-    """Ids of the vocabulary file json_path. The rank file holds the same vocabulary and is quicker to apply; a text with the string of a special token goes to the vocabulary file itself, which is loaded only then."""
+    """Ids of the vocabulary file json_path. The rank file holds the same vocabulary and is quicker to apply; a text with the string of a special token goes to the vocabulary file itself, which is loaded only then. So does one whose pattern the quick encoder can't match for want of stack, such as a million blanks in a row."""
     fast, special = _fast(json_path, rank_path)
-    if any(s in text for s in special):
-        return np.array(_slow(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")
-    return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    if not any(s in text for s in special):
+        with contextlib.suppress(ValueError):
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    return np.array(_slow(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 class Packer:
