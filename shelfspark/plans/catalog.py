@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashes import distance, informative
 from ..schema import TABLES, empty
 from . import query as q
-from .compiler import needs, to_column
+from .compiler import tag_test, text_test, to_column
 
 
 def newest_first(df: DataFrame) -> DataFrame:
@@ -104,20 +106,55 @@ class Catalog:
         tree = q.parse(text)
         if sources is not None:
             tree = q.resolve_sources(tree, sources)
-        wanted, similar = needs(tree), {}
+        similar = {}
         for image in q.similar_operands(tree):
             found = self.hash_of(image)
             if found is None:
                 raise q.QuerySyntaxError(f"no usable hash for {image}")
             similar[image] = F.when(informative(), distance(found))
-        base = self.view(wanted | ({"tags", "text"} & set(columns or ())))
-        hit = base.where(to_column(tree, canon, similar))
+        base, known = self._settled(tree, canon)
+        if similar:
+            base = base.join(self.table("hashes"), "path", "left")
+        hit = base.where(to_column(tree, canon, similar, known))
+        for name, rows in (("tags", self.tag_sets), ("text", self.texts)):  # of the rows found only
+            if name in (columns or ()):
+                empty_ = F.array().cast("array<string>") if name == "tags" else F.lit("")
+                hit = hit.join(rows(), "path", "left").withColumn(name, F.coalesce(name, empty_))
         if by_similarity and similar:
             first = next(iter(similar.values()))
             hit = hit.orderBy(first.asc_nulls_last(), F.desc("created_at"), F.asc("path"))
         else:
             hit = newest_first(hit)
-        return hit.select(*columns) if columns else hit
+        return hit.select(*columns) if columns else hit.select(*self.files().columns)
+
+    def _settled(self, tree, canon) -> tuple[DataFrame, dict]:
+        """Files with a flag for each distinct tag and text leaf of the tree, and the columns of those leaves.
+
+        Tags are filtered to those that a leaf asks for before they meet the files, and texts are tested where they are
+        read: only paths and flags travel, never a file's other tags or its text.
+        """
+        leaves = list(dict.fromkeys(q.walk(tree)))
+        out, known = self.files(), {}
+        asked = {t: f"__tag{k}" for k, t in enumerate(leaves) if isinstance(t, (q.Tag, q.ExactTag))}
+        if asked:
+            tests = {t: tag_test(t, canon, F.col("tag")) for t in asked}
+            rows = self.table("tags").where(reduce(or_, tests.values()))
+            flags = rows.groupBy("path").agg(*[F.bool_or(tests[t]).alias(n) for t, n in asked.items()])
+            out = out.join(flags, "path", "left")
+            known |= {t: F.col(n) for t, n in asked.items()}
+        said = {t: k for k, t in enumerate(leaves) if isinstance(t, q.Field) and t.name == "text"}
+        if said:
+            body = F.col("body")
+            blank = {t: text_test(t, F.lit("")) for t in said}
+            told = [text_test(t, body).alias(f"__text{k}") for t, k in said.items()]
+            seen = [text_test(t, body).alias(f"__seen{k}") for t, k in said.items()]
+            # A text that passes no test that a blank one fails, and fails none that it passes, says nothing.
+            odd = reduce(or_, [~text_test(t, body).eqNullSafe(blank[t]) for t in said])
+            machine = self.table("text").where(body.isNotNull() & odd).select("path", *told)
+            manual = self.table("manual_text").where(body.isNotNull()).select("path", *seen)
+            out = out.join(machine, "path", "left").join(manual, "path", "left")
+            known |= {t: F.coalesce(f"__seen{k}", f"__text{k}", blank[t]) for t, k in said.items()}
+        return out, known
 
 
 def known_tables() -> list[str]:

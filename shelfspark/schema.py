@@ -1,4 +1,4 @@
-"""Schemas of the tables of a collection: one wide row per file and tables keyed by its path."""
+"""Schemas of the tables of a collection: one wide row per file and tables keyed by its path. Formats and kinds are lower case."""
 
 from __future__ import annotations
 
