@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from itertools import combinations
+from math import comb
+
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashes import WORDS, between, distance, informative
-from ..sources.store import checkpointed
+from ..sources.store import checkpointed, settled
+from .ranks import numbered
 
 
 def nearest(hashes: DataFrame, literal, within: int = 20, limit: int = 50) -> DataFrame:
@@ -23,139 +28,237 @@ def nearest(hashes: DataFrame, literal, within: int = 20, limit: int = 50) -> Da
     return top.join(F.broadcast(count)).where("rank <= n").select("path", "distance", "rank")
 
 
-def bands(bits: int, parts: int) -> list[tuple[int, int]]:
-    cuts = [bits * i // parts for i in range(parts + 1)]
-    return list(zip(cuts, cuts[1:]))
+@dataclass(frozen=True)
+class Band:
+    """Bits first to last of a hash; of a pair within the distance, some band differs in at most `radius` bits."""
 
+    first: int
+    last: int
+    radius: int
 
-def _band_value(first: int, last: int, words):
-    """The bits from first to last of the hash as text, whatever words they span."""
-    parts = []
-    for w, name in enumerate(words):
-        a, b = max(first, 64 * w), min(last, 64 * (w + 1))
-        if a < b:
-            piece = F.shiftrightunsigned(F.col(name), a - 64 * w)
-            parts.append(piece.bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).cast("string"))
-    return F.concat_ws(",", *parts)
+    @property
+    def variants(self) -> int:
+        return sum(comb(self.last - self.first, k) for k in range(self.radius + 1))
 
+    def masks(self) -> list[int]:
+        """What turns a band's value into each of its variants."""
+        return [sum(1 << x for x in c) for k in range(self.radius + 1) for c in combinations(range(self.last - self.first), k)]
 
-#: Bands of fewer bits are of no use.
-_NARROW = 8
-_BLOCK_ROWS = 4096
 
+#: Variants of a hash, over all bands, at most.
+_VARIANTS = 20_000
 
-def _block_pairs(rows: DataFrame, within: int, words) -> DataFrame:
-    """close_pairs by comparing each two blocks of rows in one task; a row goes to as many tasks as there are blocks."""
-    blocks = max(1, -(-rows.count() // _BLOCK_ROWS))
-    kind = rows.schema["id"].dataType.simpleString()
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, own = table.column("id").to_pylist(), table.column("own").to_numpy()
-        high = table.column("high")[0].as_py()
-        h = np.stack([table.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-        left, right = np.flatnonzero(own == table.column("low")[0].as_py()), np.flatnonzero(own == high)
-        out = []
-        for s in range(0, len(left), 256):
-            part = left[s : s + 256]
-            far = sum(np.bitwise_count(h[part, None, k] ^ h[None, right, k]).astype(np.int32) for k in range(len(words)))
-            i, j = np.nonzero(far <= within)
-            out += [(*sorted((ids[x], ids[y])), d) for x, y, d in zip(part[i].tolist(), right[j].tolist(), far[i, j].tolist()) if ids[x] != ids[y] and (len(left) != len(right) or left[0] != right[0] or ids[x] < ids[y])]
-        return pa.table({"a": pa.array([x[0] for x in out], table.schema.field("id").type), "b": pa.array([x[1] for x in out], table.schema.field("id").type), "distance": pa.array([x[2] for x in out], pa.int32())})
+def bands(bits: int, within: int, rows: int) -> list[Band]:
+    """The bands and their radii that make the fewest lookups and candidates for so many distinct hashes.
 
-    return dealt.groupBy("low", "high").applyInArrow(compare, f"a {kind}, b {kind}, distance int")
+    Radii and one for each band add up to within + 1, so no pair is lost: a pair that exceeds every radius differs in
+    more bits than that. Few wide bands need many variants, many narrow ones meet many strangers. A band has up to 62 bits.
+    """
 
+    def cut(count: int) -> list[Band]:
+        spare, cuts = within + 1 - count, [bits * i // count for i in range(count + 1)]
+        return [Band(a, min(b, a + 62), spare // count + (i < spare % count)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    def cost(found: list[Band]) -> float:
+        return sum(x.variants * (1 + rows / 2.0 ** (x.last - x.first + 1)) for x in found)
+
+    plans = [cut(count) for count in range(1, min(bits, within + 1) + 1)]
+    small = [x for x in plans if sum(y.variants for y in x) <= _VARIANTS]
+    return min(small or plans[-1:], key=cost)
+
+
+def _part(band: Band, word: Callable[[int], Column]) -> Column:
+    """The bits of a band as a number, whatever words they span."""
+    out, w = F.lit(0).cast("bigint"), band.first // 64
+    for k in range(w, (band.last - 1) // 64 + 1):
+        a, b = max(band.first, 64 * k), min(band.last, 64 * (k + 1))
+        piece = F.shiftrightunsigned(word(k), a - 64 * k).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
+        out = out.bitwiseOR(F.shiftleft(piece, a - band.first))
+    return out
+
+
+def classes(hashes: DataFrame, bits: int = 256, id_col: str = "path") -> DataFrame:
+    """(words, rep, n) of the distinct informative hashes: the least id and the number of ids that have them. Nulls in a word make a hash uninformative."""
+    words = WORDS[: -(-bits // 64)]
+    return hashes.where(informative()).groupBy(*words).agg(F.min(id_col).alias("rep"), F.count("*").alias("n"))
 
-def close_pairs(hashes: DataFrame, within: int, bits: int = 256, id_col: str = "path") -> DataFrame:
-    """(a, b, distance), a < b, of all pairs within the distance.
 
-    Two hashes that differ in d bits agree on one of d + 1 bands, so an equi-join on bands loses nothing. Rows of one
-    band value are compared only there, and a pair counts at the first band on which it agrees. Bands of fewer than
-    _NARROW bits have so few values that they tell hardly any rows apart; then all rows are compared, block by block.
+def class_pairs(found: DataFrame, within: int, bits: int = 256) -> DataFrame:
+    """(a, b, n_a, n_b, distance), a < b, of all pairs of classes within the distance, by multi-index hashing.
+
+    Each hash is stored once for each band and looked up by every variant of its band's value within the band's radius,
+    so a join on (band, value) finds all pairs; a pair counts at the first band that can find it.
     """
     words = WORDS[: -(-bits // 64)]
-    cuts = bands(bits, within + 1)
-    rows = hashes.where(informative()).select(F.col(id_col).alias("id"), *words)
-    if bits // (within + 1) < _NARROW:
-        return _block_pairs(rows, within, words)
-    keyed = rows.select("id", *words, F.array(*[_band_value(a, b, words) for a, b in cuts]).alias("parts"))
-    keyed = keyed.select("id", *words, "parts", F.posexplode("parts").alias("band", "value"))
-    left = keyed.select(*[F.col(c).alias(f"l_{c}") for c in ("id", *words, "parts")], "band", "value")
-    right = keyed.select(*[F.col(c).alias(f"r_{c}") for c in ("id", *words, "parts")], "band", "value")
-    first = F.array_position(F.zip_with("l_parts", "r_parts", lambda x, y: x == y), True) - 1
-    near = left.join(right, ["band", "value"]).where("l_id < r_id").withColumn("distance", between("l_", "r_", words))
-    return near.where((F.col("distance") <= within) & (first == F.col("band"))).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "distance")
-
-
-def _components(pairs: DataFrame) -> DataFrame:
-    """(id, root): the least id of each connected component, by rounds of taking the least neighbour's root."""
-    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).distinct()
-    edges = checkpointed(edges)
-    roots = checkpointed(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("root")))
-    while True:
-        least = edges.join(roots.select(F.col("id").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
-        step = roots.join(least, roots.id == least.x).select("id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        # A root's own root is nearer to the end still.
-        own = step.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        new = checkpointed(step.join(own, "root").select("id", F.least("root", "further").alias("root"), "old"))
-        roots = new.select("id", "root")
-        if new.where("root <> old").isEmpty():
-            return roots
-
-
-def complete_linkage(pairs: list[tuple[int, int, int]], within: int) -> list[tuple[tuple[int, int, int], list[int]]]:
-    """Groups (pair that began it, members in order of joining) over all pairs (distance, i, j) within the bound, nearest first.
-
-    Two single items form a group, an item joins a group and two groups join only if all their members are close.
+    found = checkpointed(found.select("rep", "n", *words))
+    plan = bands(bits, within, found.count())
+    spark = found.sparkSession
+    parts = [_part(x, lambda k: F.col(words[k])) for x in plan]
+    stored = found.select("rep", "n", *words, F.posexplode(F.array(*parts)).alias("band", "value"))
+    masks = spark.createDataFrame([(k, m) for k, x in enumerate(plan) for m in x.masks()], "m_band int, mask bigint")  # _VARIANTS rows at most, or one a band
+    asked = stored.join(F.broadcast(masks), F.col("band") == F.col("m_band"))
+    asked = asked.select(*[F.col(c).alias(f"l_{c}") for c in ("rep", "n", *words)], "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    stored = stored.select(*[F.col(c).alias(f"r_{c}") for c in ("rep", "n", *words)], "band", "value")
+    near = asked.join(stored, ["band", "value"]).where("l_rep < r_rep").withColumn("distance", between("l_", "r_", words)).where(F.col("distance") <= within)
+    apart = lambda k: F.col(f"l_{words[k]}").bitwiseXOR(F.col(f"r_{words[k]}"))
+    first = F.array_position(F.array(*[F.bit_count(_part(x, apart)) <= x.radius for x in plan]), True) - 1
+    return near.where(first == F.col("band")).select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"), F.col("l_n").alias("n_a"), F.col("r_n").alias("n_b"), "distance")
+
+
+def members(hashes: DataFrame, found: DataFrame, bits: int = 256, id_col: str = "path") -> DataFrame:
+    """(id, rep) of the ids of classes."""
+    words = WORDS[: -(-bits // 64)]
+    return hashes.where(informative()).select(F.col(id_col).alias("id"), *words).join(found.select("rep", *words), list(words)).select("id", "rep")
+
+
+def close_pairs(hashes: DataFrame, within: int, bits: int = 256, id_col: str = "path") -> DataFrame:
+    """(a, b, distance), a < b, of all pairs of ids within the distance: class_pairs spelled out, so equal hashes give a pair for each two of them; see classes for a form that doesn't."""
+    found = checkpointed(classes(hashes, bits, id_col))
+    ids = members(hashes, found.where("n > 1"), bits, id_col)
+    ids = checkpointed(ids.union(found.where("n = 1").select(F.col("rep").alias("id"), "rep")))
+    left, right = (ids.select(F.col("id").alias(x), F.col("rep").alias(f"of_{x}")) for x in "ab")
+    apart = class_pairs(found, within, bits).select(F.col("a").alias("of_a"), F.col("b").alias("of_b"), "distance")
+    apart = apart.join(left, "of_a").join(right, "of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    same = left.join(right, (F.col("of_a") == F.col("of_b")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(0).alias("distance"))
+    return apart.union(same)
+
+
+def complete_linkage(edges: list[tuple]) -> list[tuple]:
+    """The merges (first, second, key) that the sequential rule makes, in order, of clusters with edges (x, y, size x, size y, key, whether key's first id is in x).
+
+    An edge says that all members of its two clusters are close. The least key merges first; two clusters stay joined
+    to a third only where both were.
     """
-    near: dict[int, set[int]] = {}
-    for _, i, j in pairs:
-        near.setdefault(i, set()).add(j)
-        near.setdefault(j, set()).add(i)
-    members: dict[tuple, list[int]] = {}
-    home: dict[int, tuple] = {}
-    for pair in sorted(pairs):
-        _, i, j = pair
-        a, b = home.get(i), home.get(j)
-        if a is not None and a == b:
+    size: dict = {}
+    near: dict = {}
+    for x, y, m, n, key, ax in edges:
+        size[x], size[y] = m, n
+        left, right = (x, y) if ax else (y, x)
+        near.setdefault(left, {})[right] = (key, True)
+        near.setdefault(right, {})[left] = (key, False)
+    heap = [(key, x, y) for x, ends in near.items() for y, (key, first) in ends.items() if first]
+    heapify(heap)
+    out = []
+    while heap:
+        key, x, y = heappop(heap)
+        if near.get(x, {}).get(y, (None,))[0] != key:
             continue
-        left, right = members.get(a, [i]), members.get(b, [j])
-        if not all(near[x].issuperset(right) for x in left):
-            continue
-        if a is None and b is None:
-            keep, joined = pair, [i, j]
-        elif b is None:
-            keep, joined = a, left + [j]
-        elif a is None:
-            keep, joined = b, right + [i]
-        else:
-            keep, joined = a, left + right
-            del members[b]
-        members[keep] = joined
-        home.update(dict.fromkeys(joined, keep))
-    return list(members.items())
-
-
-def duplicate_groups(hashes: DataFrame, within: int, bits: int = 256, id_col: str = "path") -> DataFrame:
-    """(group_key, size, place, id): complete-linkage groups, each settled within its connected component.
-
-    Ids rank by their order; group_key is (distance, least rank of the pair that began the group), so groups come
-    biggest first and then by key.
+        first, second = (y, x) if size[x] == 1 < size[y] else (x, y)
+        out.append((first, second, size[first], size[second], key))
+        ends, others = near.pop(second), near.pop(first)
+        near[first] = {}
+        for z in (ends.keys() | others.keys()) - {first, second}:
+            for w in (first, second):
+                near[z].pop(w, None)
+            if z in ends and z in others:
+                link, here = min(ends[z], others[z])
+                near[first][z], near[z][first] = (link, here), (link, not here)
+                heappush(heap, (link, first, z) if here else (link, z, first))
+        size[first] += size.pop(second)
+    return out
+
+
+#: When so few edges are left, one task makes the rest of the merges.
+FINISH = 50_000
+_KEY = ("d", "a", "b")
+
+
+def _merge_round(edges: DataFrame) -> DataFrame:
+    """(first, second, n_first, n_second, d, a, b) of the edges that are the least of both their clusters.
+
+    The sequential rule makes each of these merges whatever it does elsewhere: a merge of two other clusters brings no
+    edge with a lesser key than theirs.
+    """
+    key = F.struct(*_KEY)
+    ends = edges.select(F.explode(F.array("x", "y")).alias("c"), key.alias("key"))
+    least = ends.groupBy("c").agg(F.min("key").alias("key"))
+    both = least.groupBy("key").agg(F.count("*").alias("of")).where("of = 2").select("key.*")
+    chosen = edges.join(both, list(_KEY))
+    left, right = (F.when(F.col("ax"), F.col(a)).otherwise(F.col(b)) for a, b in (("x", "y"), ("y", "x")))
+    chosen = chosen.select(left.alias("l"), right.alias("r"), F.when(F.col("ax"), F.col("nx")).otherwise(F.col("ny")).alias("nl"), F.when(F.col("ax"), F.col("ny")).otherwise(F.col("nx")).alias("nr"), *_KEY)
+    turn = (F.col("nl") == 1) & (F.col("nr") > 1)  # a single one joins the group
+    pick = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a))
+    return chosen.select(pick("l", "r").alias("first"), pick("r", "l").alias("second"), pick("nl", "nr").alias("n_first"), pick("nr", "nl").alias("n_second"), *_KEY)
+
+
+def _relabelled(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """The edges between the clusters after the merges: those of which every member is close to every other."""
+    total = F.col("n_first") + F.col("n_second")
+    moves = merges.select(F.explode(F.array("first", "second")).alias("old"), F.col("first").alias("new"), total.alias("total"))
+    for c in "xy":
+        moved = moves.select(F.col("old").alias(c), F.col("new").alias(f"new_{c}"), F.col("total").alias(f"total_{c}"))
+        edges = edges.join(moved, c, "left").withColumn(f"n{c}", F.coalesce(f"total_{c}", f"n{c}")).withColumn(c, F.coalesce(f"new_{c}", c)).drop(f"new_{c}", f"total_{c}")
+    edges = edges.where("x <> y")
+    turned = F.col("x") > F.col("y")
+    pick = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
+    edges = edges.select(pick("x", "y").alias("x"), pick("y", "x").alias("y"), pick("nx", "ny").alias("nx"), pick("ny", "nx").alias("ny"), "pairs", *_KEY, (F.col("ax") != turned).alias("ax"))
+    edges = edges.groupBy("x", "y", "nx", "ny").agg(F.sum("pairs").alias("pairs"), F.min(F.struct(*_KEY, "ax")).alias("key"))
+    return edges.where("pairs = nx * ny").select("x", "y", "nx", "ny", "pairs", "key.*")
+
+
+def duplicate_groups(hashes: DataFrame, within: int, bits: int = 256, id_col: str = "path", finish: int = FINISH) -> DataFrame:
+    """(began_at, began_a, began_b, size, place, id): complete-linkage groups, those of the sequential rule.
+
+    Pairs are taken nearest first, then by id: two single ids form a group, an id joins a group and two groups join only
+    if all their members are close. A group is named by the pair that began it, place is the order of joining. Equal
+    hashes are one class from the start, as the rule has it. The rest runs in rounds of joins, in which all mutually
+    nearest clusters merge at once; no component is gathered. Only when few edges are left one task ends the work.
     """
-    pairs = close_pairs(hashes, within, bits, id_col)
-    roots = _components(pairs)
-    grouped = pairs.join(roots.withColumnRenamed("id", "a"), "a")
+    words = WORDS[: -(-bits // 64)]
     kind = hashes.schema[id_col].dataType.simpleString()
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*pdf.a, *pdf.b})
-        number = {n: k for k, n in enumerate(names)}
-        found = complete_linkage([(int(d), number[a], number[b]) for a, b, d in zip(pdf.a, pdf.b, pdf.distance)], within)
-        rows = [(key[0], names[key[1]], names[key[2]], len(ids), place, names[i]) for key, ids in found for place, i in enumerate(ids)]
-        return pd.DataFrame(rows, columns=["began_at", "began_a", "began_b", "size", "place", "id"])
-
-    return grouped.groupBy("root").applyInPandas(settle, f"began_at int, began_a {kind}, began_b {kind}, size int, place int, id {kind}")
+    found = checkpointed(classes(hashes, bits, id_col))
+    pairs = class_pairs(found, within, bits)
+    edges = checkpointed(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n_a").alias("nx"), F.col("n_b").alias("ny"), (F.col("n_a") * F.col("n_b")).alias("pairs"), F.col("distance").cast("int").alias("d"), "a", "b", F.lit(True).alias("ax")))
+    # Clusters that take part, or are a class of several: (cluster, own place, key), which follow the merges.
+    ends = edges.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
+    copies = numbered(members(hashes, found.where("n > 1"), bits, id_col), ["rep", "id"])
+    firsts = copies.groupBy("rep").agg(F.min("number").alias("at"))
+    copies = checkpointed(copies.join(firsts, "rep").select("rep", "id", (F.col("number") - F.col("at")).alias("nth")))
+    second = copies.where("nth = 1").select("rep", F.lit(0).alias("d"), F.col("rep").alias("a"), F.col("id").alias("b"))
+    nodes = ends.union(second.select("rep")).distinct().join(second, "rep", "left")
+    nodes = checkpointed(nodes.select(F.col("rep").alias("cluster"), "rep", F.lit(0).cast("bigint").alias("place"), F.when(F.col("d").isNotNull(), F.struct(*_KEY)).alias("key")))
+
+    def follow(nodes: DataFrame, merges: DataFrame) -> DataFrame:
+        began = F.when(F.col("n_first") == 1, F.struct(*_KEY))
+        moves = merges.select(F.explode(F.array(F.struct(F.col("first").alias("cluster"), F.lit(0).cast("bigint").alias("by")), F.struct(F.col("second").alias("cluster"), F.col("n_first").cast("bigint").alias("by")))).alias("m"), F.col("first").alias("into"), "n_first", *_KEY)
+        moves = moves.select("m.*", "into", began.alias("began"))
+        heads = nodes.where("cluster = rep").select(F.col("cluster").alias("into"), F.col("key").alias("old"))
+        moves = moves.join(heads, "into").select("cluster", "into", "by", F.coalesce("old", "began").alias("new"))
+        out = nodes.join(moves, "cluster", "left")
+        return out.select(F.coalesce("into", "cluster").alias("cluster"), "rep", (F.col("place") + F.coalesce("by", F.lit(0))).alias("place"), F.coalesce("new", "key").alias("key"))
+
+    left = edges.count()
+    while left > finish:
+        merges = settled(_merge_round(edges))
+        edges, nodes = settled(_relabelled(edges, merges)), settled(follow(nodes, merges))
+        left = edges.count()
+    if left:
+
+        def rest(pdf: pd.DataFrame) -> pd.DataFrame:
+            done = complete_linkage([(r.x, r.y, r.nx, r.ny, (r.d, r.a, r.b), r.ax) for r in pdf.itertuples()])
+            home, place, key, held = {}, {}, {}, {}
+            for first, second, n, _, k in done:
+                key[first] = key.get(first) or (k if n == 1 else None)
+                for c in held.pop(second, [second]):
+                    home[c], place[c] = first, place.get(c, 0) + n
+                    held.setdefault(first, [first]).append(c)
+                home.setdefault(first, first)
+            rows = [(c, home[c], place.get(c, 0), *(key.get(home[c]) or (None, None, None))) for c in home]
+            return pd.DataFrame(rows, columns=["cluster", "into", "by", "d", "a", "b"]).astype({"d": "Int32"})
+
+        moves = checkpointed(edges.groupBy(F.lit(0).alias("all")).applyInPandas(rest, f"cluster {kind}, into {kind}, by bigint, d int, a {kind}, b {kind}"))
+        heads = nodes.where("cluster = rep").select(F.col("cluster").alias("into"), F.col("key").alias("old"))
+        moves = moves.join(heads, "into").select("cluster", "into", "by", F.coalesce("old", F.when(F.col("d").isNotNull(), F.struct(*_KEY))).alias("new"))
+        nodes = nodes.join(moves, "cluster", "left").select(F.coalesce("into", "cluster").alias("cluster"), "rep", (F.col("place") + F.coalesce("by", F.lit(0))).alias("place"), F.coalesce("new", "key").alias("key"))
+
+    own = nodes.join(found.select("rep", "n", *words), "rep").where("key IS NOT NULL")
+    sizes = own.groupBy("cluster").agg(F.sum("n").alias("size"))
+    own = own.join(sizes, "cluster").select("rep", "key", "size", "place", "n")
+    single = own.where("n = 1").select("key", "size", "place", F.col("rep").alias("id"))
+    several = own.where("n > 1").join(copies, "rep").select("key", "size", (F.col("place") + F.col("nth")).alias("place"), "id")
+    out = single.union(several)
+    return out.select(F.col("key.d").alias("began_at"), F.col("key.a").alias("began_a"), F.col("key.b").alias("began_b"), F.col("size").cast("int").alias("size"), F.col("place").cast("int").alias("place"), "id")
 
 
 def duplicate_report(groups: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def stream_listing(spark: SparkSession, incoming: str, folder: str, checkpoint:
     def merge(batch: DataFrame, _: int) -> None:
         tables = read_tables(spark, folder)
         files = tables.get("files")
-        write_tables(spark, folder, tables | {"files": merged_listing(empty(spark, "files") if files is None else files, batch, force)})
+        write_tables(spark, folder, tables | {"files": merged_listing(empty(spark, "files") if files is None else files, batch, force)}, touched=batch.select("path"))
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
