@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import terms
+from ..sources.store import checkpointed
+from .ranks import numbered
 
 #: Share at which likeness to rejected files is taken off.
 REJECT_WEIGHT = 0.5
@@ -121,14 +122,31 @@ def split_hidden(members: list[str], seed: int = 0) -> tuple[list[str], list[str
     return order[:cut], order[cut:]
 
 
+def hide_third(members: DataFrame, seed: int = 0) -> DataFrame:
+    """(path, hidden) of a tag's distinct files: a third of them, one at least, are hidden, the first by the MD5 of seed and path; none of fewer than three. Unlike split_hidden no path comes to the driver."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("path")).cast("binary"))
+    placed = numbered(members.select("path").distinct().withColumn("__order", order), ["__order", "path"])
+    total = placed.agg(F.count("*").alias("n"))
+    third = F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.floor(F.col("n") / 3))).otherwise(0)
+    return placed.join(F.broadcast(total)).select("path", (F.col("number") < third).alias("hidden"))
+
+
 def holdout(ranked: DataFrame, hidden: DataFrame, top: int = 50) -> DataFrame:
-    """One row: scored, found_50, found_100, found_500, found_top, median_rank (upper; null if none), chance, of a ranking (path, score)."""
-    placed = ranked.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
-    hit = placed.join(hidden.select("path", F.lit(True).alias("hid")), "path", "left").withColumn("hid", F.coalesce("hid", F.lit(False)))
-    ranks = F.sort_array(F.collect_list(F.when(F.col("hid"), F.col("r"))))
-    n_hidden = hidden.agg(F.count("*").alias("h"))
-    found = hit.agg(
-        F.count("*").alias("scored"), *[F.count_if(F.col("hid") & (F.col("r") <= k)).alias(f"found_{name}") for k, name in ((50, "50"), (100, "100"), (500, "500"), (top, "top"))],
-        F.get(ranks, (F.size(ranks) / 2).cast("int")).cast("bigint").alias("median_rank"),
-    )
-    return found.join(F.broadcast(n_hidden)).withColumn("chance", F.round(50.0 * F.col("h") / F.greatest("scored", F.lit(1)), 6)).drop("h")
+    """One row: scored, found_50, found_100, found_500, found_top, median_rank (upper; null if none), chance, of a ranking (path, score).
+
+    Ranks come from sorted ranges, and the median is the hit in the middle place: no window over all rows, no list of ranks.
+    """
+    placed = numbered(ranked.select("path", "score"), [F.desc("score"), "path"]).select("path", (F.col("number") + 1).alias("r"))
+    hits = numbered(placed.join(hidden.select("path").distinct(), "path", "left_semi").select("r"), ["r"])
+    sizes = placed.agg(F.count("*").alias("scored")).join(hidden.agg(F.count("*").alias("h"))).join(hits.agg(F.count("*").alias("n")))
+    found = [F.count_if(F.col("r") <= k).alias(f"found_{name}") for k, name in ((50, "50"), (100, "100"), (500, "500"), (top, "top"))]
+    middle = F.max(F.when(F.col("number") == F.floor(F.col("n") / 2), F.col("r"))).alias("median_rank")
+    counts = hits.join(F.broadcast(sizes.select("n"))).agg(*found, middle)
+    return counts.join(F.broadcast(sizes)).select("scored", *[f"found_{k}" for k in ("50", "100", "500", "top")], "median_rank", F.round(50.0 * F.col("h") / F.greatest("scored", F.lit(1)), 6).alias("chance"))
+
+
+def feedback(candidates: DataFrame, shown: DataFrame, hidden: DataFrame, wrong: int = 10, **spaces) -> tuple[DataFrame, DataFrame]:
+    """(ranking, ranking after feedback) of candidates that aren't shown: the first `wrong` offers that aren't hidden members are rejected, and the rest ranked again."""
+    first = checkpointed(propose(candidates, shown, top=1 << 30, **spaces))
+    rejects = checkpointed(first.join(hidden.select("path"), "path", "left_anti").orderBy(F.desc("score"), "path").limit(wrong).select("path"))
+    return first, propose(candidates, shown, top=1 << 30, rejects=rejects, **spaces)

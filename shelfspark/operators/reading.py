@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .ranks import numbered
 
 
 def done_paths(text_meta: DataFrame, manual: DataFrame, files: DataFrame) -> DataFrame:
@@ -70,3 +73,32 @@ def action_text(file_text, machine):
 def fresh_artefact(artefact_mtime, indexed_mtime):
     """A cached artefact holds if it isn't over a second older than the file."""
     return F.col(artefact_mtime) + 1.0 >= F.col(indexed_mtime)
+
+
+#: Rows of a log that a task looks at together when it looks for runs.
+_CHUNK = 1 << 16
+
+
+def passes(log: DataFrame, by: str, order: list[str], run: int = 20, limit: int = 0) -> DataFrame:
+    """(by, attempts, errors, stopped) of each pass over a work queue, from its log (by, order, outcome): ok, error or skip.
+
+    A pass stops at the end of its first `run` errors in a row, which any other outcome interrupts, or with `limit`
+    attempts; skips are no attempts; limit 0 is none. stopped says that it was the errors. What the log holds of a pass
+    after its stop isn't counted. Runs are found in pieces of the sorted log that overlap by run - 1 rows, so a pass
+    of any length is spread over tasks. Passes without an attempt have zeros; null outcomes are skips.
+    """
+    rows = log.select(F.col(by).alias("by"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.coalesce("outcome", F.lit("skip")).alias("outcome"))
+    rows = numbered(rows, ["by", *[f"o{k}" for k in range(len(order))]]).select("by", "outcome", "number")
+    chunk = F.expr(f"number div {_CHUNK}")
+    near = F.when(F.col("number") % _CHUNK >= _CHUNK - run + 1, chunk + 1)
+    pieces = rows.select("*", F.explode(F.array_compact(F.array(chunk, near))).alias("piece"))
+    behind = Window.partitionBy("piece", "by").orderBy("number").rowsBetween(1 - run, 0)
+    ends = pieces.withColumn("bad", F.count_if(F.col("outcome") == "error").over(behind)).where(F.col("bad") == run)
+    ends = ends.groupBy("by").agg(F.min("number").alias("run_end"))
+    tried = numbered(rows.where("outcome <> 'skip'"), ["number"], "nth")
+    firsts = tried.groupBy("by").agg(F.min("nth").alias("first"))
+    last = tried.join(firsts, "by").where(F.col("nth") - F.col("first") == limit - 1).select("by", F.col("number").alias("limit_end")) if limit else firsts.select("by", F.lit(None).cast("bigint").alias("limit_end"))
+    known = rows.groupBy("by").agg(F.max("number").alias("end")).join(ends, "by", "left").join(last, "by", "left")
+    known = known.select("by", F.least("end", "run_end", "limit_end").alias("end"), (F.col("run_end").isNotNull() & (F.col("run_end") <= F.least("end", "run_end", "limit_end"))).alias("stopped"))
+    out = rows.join(known, "by").where("number <= end").groupBy("by", "stopped").agg(F.count_if(F.col("outcome") != "skip").alias("attempts"), F.count_if(F.col("outcome") == "error").alias("errors"))
+    return out.select(F.col("by").alias(by), "attempts", "errors", "stopped")

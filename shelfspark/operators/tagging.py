@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import settled
 from .vocabulary import DENIAL, Vocabulary, relation
 
 
@@ -60,20 +61,39 @@ def rule_counts(tags: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return known.join(counts, "tag", "left").select("tag", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def category_counts(tag_names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(category, n): tags of each category in the categories' order, zeros too."""
-    spark = tag_names.sparkSession
-    order = spark.createDataFrame(list(enumerate(vocabulary.category_order())), "place int, category string")
-    table = vocabulary.to_frames(spark)["categories"]
+def closure(edges: DataFrame) -> DataFrame:
+    """(tag, implied): everything that each tag of the rules (tag, to) leads to, through any number of rules; a tag doesn't imply itself.
+
+    Only pairs that the last round has found are taken a rule further, and only those not known yet stay, so cycles end;
+    a round costs as much as it finds. Null ends are left out.
+    """
+    rules = settled(edges.where("tag IS NOT NULL AND to IS NOT NULL AND tag <> to").select("tag", "to").distinct())
+    known = fresh = rules.select("tag", F.col("to").alias("implied"))
+    while not fresh.isEmpty():
+        further = fresh.join(rules.select(F.col("tag").alias("implied"), "to"), "implied").select("tag", F.col("to").alias("implied")).where("tag <> implied").distinct()
+        fresh = settled(further.join(known, ["tag", "implied"], "left_anti"))
+        known = settled(known.union(fresh))
+    return known
+
+
+def category_of(tag_names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(tag, category) of the distinct tags; denials and relational tags go by what they are about."""
+    table = vocabulary.to_frames(tag_names.sparkSession)["categories"]
     base = tag_names.select("tag").distinct()
     bare = F.regexp_replace("tag", f"^(?:{DENIAL})+", "")
     target = F.trim(F.regexp_extract("bare", "^[^<]+<([^<>]+)>$", 1))
-    keyed = base.withColumn("bare", bare).withColumn("target", F.when(target != "", target).otherwise(F.col("bare")))
-    found = keyed
+    found = base.withColumn("bare", bare).withColumn("target", F.when(target != "", target).otherwise(F.col("bare")))
     for c in ("tag", "bare", "target"):
         found = found.join(F.broadcast(table.select(F.col("tag").alias(c), F.col("category").alias(f"of_{c}"))), c, "left")
     prefix = F.when(F.col("target").startswith("artist:"), "artist").when(F.col("target").startswith("oc:"), "character")
-    found = found.select(F.coalesce("of_tag", "of_bare", "of_target", prefix, F.lit("other")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return found.select("tag", F.coalesce("of_tag", "of_bare", "of_target", prefix, F.lit("other")).alias("category"))
+
+
+def category_counts(tag_names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(category, n): tags of each category in the categories' order, zeros too."""
+    spark = tag_names.sparkSession
+    order = spark.createDataFrame(list(enumerate(vocabulary.category_order())), "place int, category string")
+    found = category_of(tag_names, vocabulary).groupBy("category").agg(F.count("*").alias("n"))
     return order.join(found, "category", "left").select("place", "category", F.coalesce("n", F.lit(0)).alias("n")).orderBy("place").drop("place")
 
 

@@ -11,7 +11,8 @@ import re
 import tomllib
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DENIAL = "not:"
 # The built-in categories in their order; others follow by name, and `other` is last.
@@ -249,3 +250,10 @@ def decide(local: str, other: str | None, base: str | None) -> str:
     if base is not None and local == base:
         return "pull"
     return "conflict"
+
+
+def decisions(local: Column, other: Column, base: Column) -> Column:
+    """decide() for columns of fingerprints."""
+    return (
+        F.when(other.isNull(), "seed").when(local == other, "in_sync").when(other == base, "push").when(local == base, "pull").otherwise("conflict")
+    )

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions import names, text
 from .operators import audit, completion, ingest, paging, ranking, reading, similarity, tagging
-from .operators.vocabulary import Vocabulary, decide, diff, merge
+from .operators.vocabulary import Vocabulary, decisions, diff, merge
 from .plans import query as q
 from .plans import standin
 from .plans.catalog import Catalog, in_scope, selection
+from .plans.postings import Postings
 from .sources.sinks import export_rows
 
 RULES = Vocabulary.of(
@@ -181,7 +182,61 @@ def selection_shared(spark, sf_dir):
 
 
 def implied_closure(spark, sf_dir):
-    return RULES.to_frames(spark)["closure"]
+    """What each client leads to, where clients point at their master and at the first client of their city."""
+    c = spark.read.parquet(f"{sf_dir}/clients.parquet")
+    first = c.where("city IS NOT NULL").groupBy("city").agg(F.min("client_id").alias("first"))
+    masters = c.select(F.col("client_id").alias("tag"), F.col("master_id").alias("to"))
+    return tagging.closure(masters.union(c.join(first, "city").select("client_id", "first")))
+
+
+def pass_outcomes(spark, sf_dir):
+    """Each user's events as the log of a pass: errors, skips (views) and attempts that went well; 3 errors in a row or 25 attempts end it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = e.select("user_id", "ts", "event_id", F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "skip").otherwise("ok").alias("outcome"))
+    return reading.passes(log, "user_id", ["ts", "event_id"], run=3, limit=25)
+
+
+#: Searches of the bitmap index.
+BITMAPS = {
+    "bitmap_and_not": ("qual*:*, -folder:en, -(toxic || quality:poor)", "(quality_good OR quality_poor) AND NOT folder_en AND NOT (toxic OR quality_poor)"),
+    "bitmap_nested": ("-(-(toxic || -folder:en) || quality:good), -(folder:de, -(quality:poor || flagged))", "NOT (NOT (toxic OR NOT folder_en) OR quality_good) AND NOT (folder_de AND NOT (quality_poor OR flagged))"),
+    "bitmap_fields": ("(toxic || size.gt:2k), -(folder:en, tag_count:0)", "(toxic OR size > 2000) AND NOT (folder_en AND xmp_tag_count = 0)"),
+}
+
+
+def _bitmap_search(query: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = _cat(spark, sf_dir)
+        return Postings.build(c).search(query, RULES.canon, c.files())
+
+    return run
+
+
+def bitmap_count(spark, sf_dir):
+    return Postings.build(_cat(spark, sf_dir)).count("-(folder:en, -quality:good) || toxic", RULES.canon)
+
+
+def hash_classes(spark, sf_dir):
+    """Distinct hashes with the number of files that have them."""
+    return similarity.classes(_cat(spark, sf_dir).table("hashes"), bits=64).select("h0", "rep", "n")
+
+
+def _wide_hashes(spark, sf_dir):
+    """256 bits of each embedding: its signs, and which of two components, 1, 7 and 20 places apart, is larger."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+    def word(step):
+        on = lambda i: F.get("embedding", i) > (F.get("embedding", (i + step) % 64) if step else F.lit(0))
+        one = F.lit(1).cast("bigint")
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, i: a.bitwiseOR(F.when(on(i), F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("bigint"))))
+
+    return e.select(F.concat(F.lit("main/v/"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("path"), *[word(s).alias(f"h{k}") for k, s in enumerate((0, 1, 7, 20))])
+
+
+def hamming_pairs_wide(spark, sf_dir):
+    """Pairs of 256-bit hashes within 84 bits."""
+    pairs = similarity.close_pairs(_wide_hashes(spark, sf_dir), 84)
+    return pairs.select("a", "b", F.col("distance").cast("bigint").alias("distance"))
 
 
 def implied_rows(spark, sf_dir):
@@ -269,13 +324,26 @@ def tfidf_rank(spark, sf_dir):
     return ranking.propose(t, pos, top=1 << 30, texts=t, mode="text")
 
 
-def holdout_measure(spark, sf_dir):
+def _parts(spark, sf_dir):
+    """All vectors, and of the files of one label those that are shown and those that are hidden."""
     v, pos, _ = _label_rows(spark, sf_dir)
-    parts = ranking.split_hidden([r["path"] for r in pos.collect()])  # the files of one tag
-    hidden, shown = (spark.createDataFrame([[p] for p in x], "path string") for x in parts)
+    parts = ranking.hide_third(pos)
+    return v, parts.where("NOT hidden").select("path"), parts.where("hidden").select("path")
+
+
+def holdout_measure(spark, sf_dir):
+    v, shown, hidden = _parts(spark, sf_dir)
     return ranking.holdout(ranking.propose(v, shown, top=1 << 30, vectors=v, mode="image"), hidden)
 
 
+def holdout_feedback(spark, sf_dir):
+    """The hold-out before and after the first 10 wrong offers were rejected."""
+    v, shown, hidden = _parts(spark, sf_dir)
+    rounds = ranking.feedback(v, shown, hidden, 10, vectors=v, mode="image")
+    one, two = (ranking.holdout(r, hidden).withColumn("round", F.lit(k)) for k, r in enumerate(rounds, 1))
+    return one.union(two)
+
+
 def _listing(spark, sf_dir):
     f = _cat(spark, sf_dir).files()
     local = f.where("doc_id % 7 <> 0").select("path", "size", "mtime", "id")
@@ -583,15 +651,20 @@ def vocabulary_rename(spark, sf_dir):
 
 
 def vocabulary_facts(spark, sf_dir):
-    """Whether one tag implies another, and each tag's category."""
-    tags = ["toxic", "flagged", "keep", "big<toxic>", "not:toxic", "artist:me", "oc:you"]
-    rows = [[t, RULES.implies(RULES.canon(t), "review"), RULES.category_of(t) or "other"] for t in tags]
-    return spark.createDataFrame(rows, "tag string, implies_review boolean, category string")
+    """Of every tag of the collection and of its denial, whether it implies another, and its category."""
+    tags = _cat(spark, sf_dir).table("tags").select("tag").distinct()
+    tags = tags.union(tags.select(F.concat(F.lit("not:"), "tag")))
+    leads = RULES.to_frames(spark)["closure"].where("implied = 'review'").select("tag", F.lit(True).alias("leads"))
+    return tagging.category_of(tags, RULES).join(F.broadcast(leads), "tag", "left").select("tag", F.coalesce("leads", F.lit(False)).alias("implies_review"), "category")
 
 
 def sync_decisions(spark, sf_dir):
-    rows = [[a, b, c, decide(a, b, c)] for a in ("x", "y") for b in ("x", "y", None) for c in ("x", "y", "z", None)]
-    return spark.createDataFrame(rows, "local string, other string, base string, decision string")
+    """What to do with each document's rules, by fingerprints of its text, its source's first text and its language's first text."""
+    d = standin.docs(spark, sf_dir).select("doc_id", "source", "lang", (F.col("n_chars") % 5).alias("local"))
+    other = d.groupBy("source").agg(F.min_by("local", "doc_id").alias("other"))
+    base = d.groupBy("lang").agg(F.min_by("local", "doc_id").alias("base"))
+    rows = d.join(other, "source").join(base, "lang").withColumn("other", F.when(F.col("doc_id") % 11 != 0, F.col("other")))
+    return rows.select("doc_id", decisions(F.col("local"), F.col("other"), F.col("base")).alias("decision"))
 
 
 def query_operands(spark, sf_dir):
@@ -611,6 +684,8 @@ _MORE = (
 QUERIES = {
     **{f.__name__: f for f in _MORE},
     **{k: _searcher(q) for k, (q, _) in SEARCHES.items()},
+    **{k: _bitmap_search(q) for k, (q, _) in BITMAPS.items()},
+    **{f.__name__: f for f in (bitmap_count, hash_classes, hamming_pairs_wide, holdout_feedback, pass_outcomes)},
     "all_rows": all_rows, "point_lookup": point_lookup, "path_by_id": path_by_id, "search_scope": search_scope, "search_similar": search_similar, "page_newest": page_newest, "next_thin": next_thin,
     "tag_counts": lambda s, d: tagging.tag_counts(_cat(s, d).table("tags")), "hand_tag_counts": lambda s, d: tagging.hand_tag_counts(_cat(s, d).table("tags")), "shared_tags": selection_shared,
     "rule_counts": lambda s, d: tagging.rule_counts(_cat(s, d).table("tags"), RULES), "category_counts": lambda s, d: tagging.category_counts(_cat(s, d).table("tags"), RULES),
@@ -711,13 +786,50 @@ SELECT path, editor, action, reviewed IS NOT NULL OR editor IS NOT DISTINCT FROM
     "vocabulary_merge": _values([[x] for x in sorted({*_LINES, *_OTHER_LINES} - {"good = fine"})] + [["clash good: quality:good or fine"]], "line"),
     "vocabulary_diff": _values([["local", x] for x in _LINES if x != "toxic ⇒ flagged"] + [["other", x] for x in _OTHER_LINES if x != "toxic ⇒ flagged"], "side, line"),
     "vocabulary_rename": _values([[x.replace("toxic", "harmful")] for x in _LINES], "line"),
-    "vocabulary_facts": _values([("toxic", True, "commentary"), ("flagged", True, "other"), ("keep", False, "other"), ("big<toxic>", True, "commentary"), ("not:toxic", False, "commentary"), ("artist:me", False, "artist"), ("oc:you", False, "character")], "tag, implies_review, category"),
-    "sync_decisions": "SELECT local, other, base, CASE WHEN other IS NULL THEN 'seed' WHEN local = other THEN 'in_sync' WHEN base = other THEN 'push' WHEN base = local THEN 'pull' ELSE 'conflict' END AS decision FROM (VALUES ('x'), ('y')) a(local), (VALUES ('x'), ('y'), (NULL)) b(other), (VALUES ('x'), ('y'), ('z'), (NULL)) c(base)",
+    "vocabulary_facts": _sql("SELECT p || tag AS tag, p = '' AND tag IN ('toxic', 'flagged') AS implies_review, CASE WHEN tag IN ('quality:good', 'quality:poor') THEN 'subject' WHEN tag = 'toxic' THEN 'commentary' ELSE 'other' END AS category FROM (SELECT DISTINCT tag FROM tags), (VALUES (''), ('not:')) v(p)"),
+    "sync_decisions": "WITH d AS (SELECT doc_id, source, lang, n_chars % 5 AS local FROM documents), r AS (SELECT doc_id, local, CASE WHEN doc_id % 11 <> 0 THEN first_value(local) OVER (PARTITION BY source ORDER BY doc_id) END AS other, first_value(local) OVER (PARTITION BY lang ORDER BY doc_id) AS base FROM d) SELECT doc_id, CASE WHEN other IS NULL THEN 'seed' WHEN local = other THEN 'in_sync' WHEN base = other THEN 'push' WHEN base = local THEN 'pull' ELSE 'conflict' END AS decision FROM r",
     "query_operands": _values([("similar", "a/b.png", "12"), ("similar", "a@b", "20"), ("operand", "a", ""), ("operand", "b", ""), ("caret", "cat, do", "do"), ("caret", "size.gt:1", "None"), ("caret", "a || -bi", "bi")], "kind, a, b"),
 }
 
+
+def _bitmap_sql(where: str) -> str:
+    names = ("quality:good", "quality:poor", "folder:en", "folder:de", "toxic", "flagged")
+    flags = ", ".join(f"{_has(n)} AS {n.replace(':', '_')}" for n in names)
+    return _sql(f"SELECT path FROM (SELECT f.*, {flags} FROM files f) WHERE {where}")
+
+
+def _holdout_sql() -> str:
+    cos = "(SELECT sum(CAST(v.embedding[CAST(p.pos AS INTEGER)] AS DOUBLE) * p.x) FROM {c} p) / sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN v.embedding]))"
+    centre = "{c}0 AS (SELECT i.i AS pos, sum(CAST(m.embedding[CAST(i.i AS INTEGER)] AS DOUBLE)) AS x FROM vecs m JOIN {m} USING (path) CROSS JOIN range(1, 65) i(i) GROUP BY i.i), {c} AS (SELECT pos, x / (SELECT sqrt(sum(x * x)) FROM {c}0) AS x FROM {c}0)"
+    ctes = [
+        "parts AS (SELECT path, row_number() OVER (ORDER BY md5('0:' || path), path) - 1 < greatest(1, (SELECT count(*) FROM vecs WHERE label = 3) // 3) AS hidden FROM vecs WHERE label = 3)",
+        "shown AS (SELECT path FROM parts WHERE NOT hidden)", centre.format(c="pos_c", m="shown"),
+        f"one AS (SELECT v.path, round({cos.format(c='pos_c')}, 6) AS score FROM vecs v ANTI JOIN shown USING (path))",
+        "wrong AS (SELECT path FROM one ANTI JOIN (SELECT path FROM parts WHERE hidden) h USING (path) ORDER BY score DESC, path LIMIT 10)", centre.format(c="neg_c", m="wrong"),
+        f"two AS (SELECT v.path, round({cos.format(c='pos_c')} - 0.5 * {cos.format(c='neg_c')}, 6) AS score FROM vecs v ANTI JOIN shown USING (path) ANTI JOIN wrong USING (path))",
+        "ranked AS (SELECT 1 AS round, path, row_number() OVER (ORDER BY score DESC, path) AS r FROM one UNION ALL SELECT 2, path, row_number() OVER (ORDER BY score DESC, path) FROM two)",
+        "hits AS (SELECT round, r, row_number() OVER (PARTITION BY round ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY round) AS n FROM ranked JOIN (SELECT path FROM parts WHERE hidden) h USING (path))",
+    ]
+    found = ", ".join(f"count(*) FILTER (r <= {k}) AS found_{n}" for k, n in ((50, "50"), (100, "100"), (500, "500"), (50, "top")))
+    return f"WITH {_VECTORS}, {', '.join(ctes)} SELECT s.scored, h.* EXCLUDE (round), round(50.0 * (SELECT count(*) FROM parts WHERE hidden) / greatest(s.scored, 1), 6) AS chance, round FROM (SELECT round, {found}, max(r) FILTER (k = n // 2) AS median_rank FROM hits GROUP BY round) h JOIN (SELECT round, count(*) AS scored FROM ranked GROUP BY round) s USING (round)"
+
+
 ORACLES = {
     **_MORE_SQL,
+    **{k: _bitmap_sql(w) for k, (_, w) in BITMAPS.items()},
+    "bitmap_count": _sql(f"SELECT count(*) AS n FROM files f WHERE NOT ({_has('folder:en')} AND NOT {_has('quality:good')}) OR {_has('toxic')}"),
+    "hash_classes": _sql("SELECT h0, min(path) AS rep, count(*) AS n FROM hashes GROUP BY h0", _VECTORS),
+    "hamming_pairs_wide": """WITH bits AS (SELECT e.vec_id, 'main/v/' || lpad(CAST(e.vec_id AS VARCHAR), 7, '0') AS path, s.s,
+  bit_or(CASE WHEN e.embedding[CAST(i.i AS INTEGER) + 1] > CASE WHEN s.s = 0 THEN 0 ELSE e.embedding[CAST((i.i + s.s) % 64 AS INTEGER) + 1] END THEN CAST(1 AS UBIGINT) << CAST(i.i AS UBIGINT) ELSE CAST(0 AS UBIGINT) END) AS h
+  FROM embeddings e CROSS JOIN range(64) i(i) CROSS JOIN (VALUES (0), (1), (7), (20)) s(s) GROUP BY ALL),
+wide AS (SELECT path, list(h ORDER BY s) AS h FROM bits GROUP BY path HAVING sum(CAST(bit_count(h) AS BIGINT)) <= 144)
+SELECT a, b, distance FROM (SELECT x.path AS a, y.path AS b, CAST(list_sum(list_transform([1, 2, 3, 4], lambda k: CAST(bit_count(xor(x.h[k], y.h[k])) AS BIGINT))) AS BIGINT) AS distance FROM wide x JOIN wide y ON x.path < y.path) WHERE distance <= 84""",
+    "holdout_feedback": _holdout_sql(),
+    "holdout_measure": f"SELECT * EXCLUDE (round) FROM ({_holdout_sql()}) WHERE round = 1",
+    "pass_outcomes": """WITH log AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'skip' ELSE 'ok' END AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+seen AS (SELECT *, count(*) FILTER (outcome = 'error') OVER (PARTITION BY user_id ORDER BY k ROWS 2 PRECEDING) AS bad, count(*) FILTER (outcome <> 'skip') OVER (PARTITION BY user_id ORDER BY k) AS tried FROM log),
+ends AS (SELECT user_id, min(k) FILTER (bad = 3) AS run_end, min(k) FILTER (tried = 25) AS limit_end, max(k) AS last FROM seen GROUP BY user_id)
+SELECT s.user_id, count(*) FILTER (outcome <> 'skip') AS attempts, count(*) FILTER (outcome = 'error') AS errors, coalesce(run_end <= least(last, coalesce(run_end, last), coalesce(limit_end, last)), FALSE) AS stopped FROM seen s JOIN ends e USING (user_id) WHERE k <= least(last, coalesce(run_end, last), coalesce(limit_end, last)) GROUP BY ALL""",
     **{k: _search(w) for k, (_, w) in SEARCHES.items()},
     "all_rows": _sql("SELECT f.path, (SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path) AS tags, length(x.text) AS text_len FROM files f JOIN texts x USING (path)"),
     "point_lookup": _sql("SELECT f.path, f.id, (SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path) AS tags FROM files f WHERE doc_id = 7"),
@@ -732,7 +844,7 @@ ORACLES = {
     "rule_counts": _sql("SELECT r.tag, count(DISTINCT t.path) AS n FROM (VALUES ('toxic'), ('flagged'), ('review'), ('folder:en'), ('lang:english'), ('quality:good'), ('keep')) r(tag) LEFT JOIN tags t USING (tag) GROUP BY r.tag"),
     "category_counts": _sql("SELECT c.category, CAST(sum(CASE WHEN k.tag IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n FROM (VALUES ('character'), ('series'), ('artist'), ('subject'), ('commentary'), ('theme'), ('format'), ('action'), ('other')) c(category) LEFT JOIN (SELECT DISTINCT tag, CASE WHEN tag IN ('quality:good', 'quality:poor') THEN 'subject' WHEN tag = 'toxic' THEN 'commentary' ELSE 'other' END AS category FROM tags) k USING (category) GROUP BY c.category"),
     "tier_counts": _sql("SELECT count(*) FILTER (xmp_tag_count = 0) AS untagged, count(*) FILTER (xmp_tag_count = 1) AS thin, count(*) FILTER (xmp_tag_count >= 2) AS tagged FROM files"),
-    "implied_closure": "WITH RECURSIVE rules(tag, too) AS (VALUES ('toxic', 'flagged'), ('flagged', 'review'), ('review', 'flagged'), ('folder:en', 'lang:english'), ('quality:good', 'keep')), walk(tag, implied) AS (SELECT tag, too FROM rules UNION SELECT w.tag, r.too FROM walk w JOIN rules r ON r.tag = w.implied) SELECT tag, implied FROM walk WHERE tag <> implied",
+    "implied_closure": "WITH RECURSIVE edges(tag, too) AS (SELECT client_id, master_id FROM clients WHERE master_id IS NOT NULL UNION SELECT c.client_id, f.first FROM clients c JOIN (SELECT city, min(client_id) AS first FROM clients WHERE city IS NOT NULL GROUP BY city) f USING (city)), walk(tag, implied) AS (SELECT tag, too FROM edges WHERE tag <> too UNION SELECT w.tag, e.too FROM walk w JOIN edges e ON e.tag = w.implied) SELECT tag, implied FROM walk WHERE tag <> implied",
     "implied_rows": _sql("SELECT path, tag FROM implied", _IMPLIED),
     "reimply_changed": _sql("SELECT path, (SELECT string_agg(tag, '|' ORDER BY tag) FROM (SELECT tag FROM own o WHERE o.path = p.path UNION SELECT tag FROM implied i WHERE i.path = p.path)) AS tags FROM (SELECT DISTINCT path FROM own) p WHERE coalesce((SELECT string_agg(tag, '|' ORDER BY tag) FROM implied i WHERE i.path = p.path), '') <> coalesce((SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) FROM tags t WHERE t.path = p.path AND t.source = 'implied'), '')", _IMPLIED),
     "suggestions_offered": _sql("SELECT DISTINCT t.path, s.s AS tag FROM tags t JOIN (VALUES ('quality:good', 'feature'), ('folder:en', 'quality:poor'), ('folder:en', 'english text'), ('toxic', 'hide')) s(t, s) ON s.t = t.tag WHERE NOT EXISTS (SELECT 1 FROM tags h WHERE h.path = t.path AND h.tag IN (s.s, 'not:' || s.s))"),

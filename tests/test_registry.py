@@ -4,7 +4,7 @@ import pytest
 from shelfspark import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings pages labels".split()
+TABLES = "events documents embeddings pages labels clients".split()
 
 
 @pytest.fixture(scope="module")
