@@ -106,6 +106,14 @@ def merge_scans(tables: dict[str, DataFrame], scans: DataFrame, expand) -> dict[
     return out
 
 
+def import_tags(tables: dict[str, DataFrame], scans: DataFrame, expand) -> dict[str, DataFrame]:
+    """The tables after scans that followed an edit of tags alone: as merge_scans, but a file's own text doesn't replace the machine's; reviewed text still counts. text_in_file goes by the scan."""
+    out = merge_scans(tables, scans.withColumn("text", F.when(F.col("manual"), F.col("text"))), expand)
+    held = scans.select("path", F.col("text").isNotNull().alias("__held"))
+    files = out["files"].join(held, "path", "left").withColumn("text_in_file", F.coalesce("__held", "text_in_file"))
+    return out | {"files": files.select(*tables["files"].columns)}
+
+
 def with_source_prefix(tables: dict[str, DataFrame], source: str = "main") -> dict[str, DataFrame]:
     """Tables of an older layout with every path moved under a source."""
     return {k: t.withColumn("path", F.concat(F.lit(source + "/"), "path")) if "path" in t.columns else t for k, t in tables.items()}

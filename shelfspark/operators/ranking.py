@@ -98,6 +98,19 @@ def propose(candidates: DataFrame, positives: DataFrame, top: int = 50, **spaces
     return rank(left, positives, **spaces).limit(top)
 
 
+def unreject(rejects: DataFrame, tag: str, paths: DataFrame) -> DataFrame:
+    """rejects (tag, path) without the paths' rows of one tag."""
+    gone = paths.select("path").distinct().withColumn("tag", F.lit(tag))
+    return rejects.join(gone, ["tag", "path"], "left_anti").select("tag", "path")
+
+
+def remember_mode(modes: DataFrame, tag: str, mode: str) -> DataFrame:
+    """modes (tag, mode) with the mode of one tag replaced."""
+    if mode not in ("image", "text", "both"):
+        raise ValueError(f"no mode {mode}")
+    return modes.where(F.col("tag") != tag).union(modes.sparkSession.createDataFrame([[tag, mode]], "tag string, mode string"))
+
+
 def shuffled(items: list[str], seed: int) -> list[str]:
     """The sorted items in a fixed random order: splitmix64 and swaps from the end."""
     mask, items = (1 << 64) - 1, sorted(items)

@@ -537,6 +537,12 @@ def inserted_rejects(spark, sf_dir):
     return ingest.insert_new(had, more, ["tag", "path"])
 
 
+def unrejected(spark, sf_dir):
+    """Rejected files after some were taken back."""
+    f = _cat(spark, sf_dir).files()
+    return ranking.unreject(inserted_rejects(spark, sf_dir), "toxic", f.where("doc_id % 4 = 0").select("path"))
+
+
 def floor_counts(spark, sf_dir):
     kept = spark.createDataFrame([("toxic", 3), ("lost", 7), ("folder:en", 1 << 40)], "tag string, count bigint")
     return completion.remembered_counts(_cat(spark, sf_dir).table("tags"), kept)
@@ -685,7 +691,7 @@ QUERIES = {
     **{f.__name__: f for f in _MORE},
     **{k: _searcher(q) for k, (q, _) in SEARCHES.items()},
     **{k: _bitmap_search(q) for k, (q, _) in BITMAPS.items()},
-    **{f.__name__: f for f in (bitmap_count, hash_classes, hamming_pairs_wide, holdout_feedback, pass_outcomes)},
+    **{f.__name__: f for f in (unrejected, bitmap_count, hash_classes, hamming_pairs_wide, holdout_feedback, pass_outcomes)},
     "all_rows": all_rows, "point_lookup": point_lookup, "path_by_id": path_by_id, "search_scope": search_scope, "search_similar": search_similar, "page_newest": page_newest, "next_thin": next_thin,
     "tag_counts": lambda s, d: tagging.tag_counts(_cat(s, d).table("tags")), "hand_tag_counts": lambda s, d: tagging.hand_tag_counts(_cat(s, d).table("tags")), "shared_tags": selection_shared,
     "rule_counts": lambda s, d: tagging.rule_counts(_cat(s, d).table("tags"), RULES), "category_counts": lambda s, d: tagging.category_counts(_cat(s, d).table("tags"), RULES),
@@ -765,6 +771,7 @@ _MORE_SQL = {
     "action_requests": _sql("SELECT path, tag AS request, CASE tag WHEN 'toxic' THEN 'toxic done' ELSE 'checked' END AS done FROM tags WHERE tag IN ('toxic', 'quality:poor')"),
     "history_added": "SELECT tag, CAST(sum(uses) AS BIGINT) AS uses FROM (SELECT event_type AS tag, count(*) AS uses FROM events GROUP BY event_type UNION ALL SELECT 'click', 5 UNION ALL SELECT 'toxic', 2) GROUP BY tag",
     "inserted_rejects": _sql("SELECT 'toxic' AS tag, path FROM files WHERE doc_id % 6 = 0 OR doc_id % 4 = 0"),
+    "unrejected": _sql("SELECT 'toxic' AS tag, path FROM files WHERE doc_id % 6 = 0 AND doc_id % 4 <> 0"),
     "floor_counts": _sql("SELECT tag, CAST(max(n) AS BIGINT) AS \"count\" FROM (SELECT tag, count(DISTINCT path) AS n FROM tags GROUP BY tag UNION ALL SELECT * FROM (VALUES ('toxic', 3), ('lost', 7), ('folder:en', 1099511627776)) v(t, n)) GROUP BY tag"),
     "foreign_completion": _sql("SELECT * FROM vals UNION ALL SELECT 'ask me', 0, TRUE UNION ALL SELECT 'hidden in', 4, FALSE UNION ALL SELECT 'inner', 4, FALSE", _VALUES),
     "assistant_page": _sql("SELECT path FROM files ORDER BY xmp_tag_count, created_at DESC, path LIMIT 25"),

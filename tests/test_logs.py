@@ -68,3 +68,27 @@ def test_feedback(spark):
     assert len(one) == 32 and {r["path"] for r in one} - {r["path"] for r in two} == set(wrong)
     place = lambda rows: sum(k for k, r in enumerate(rows) if parts.get(r["path"]))
     assert place(two) <= place(one)
+
+
+def test_rejects_and_modes(spark):
+    rejects = spark.createDataFrame([("a", "p"), ("a", "q"), ("b", "p")], "tag string, path string")
+    assert sorted(tuple(r) for r in ranking.unreject(rejects, "a", spark.createDataFrame([("p",), ("p",), ("z",)], "path string")).collect()) == [("a", "q"), ("b", "p")]
+    modes = ranking.remember_mode(spark.createDataFrame([("a", "text")], "tag string, mode string"), "b", "both")
+    assert sorted(tuple(r) for r in ranking.remember_mode(modes, "a", "image").collect()) == [("a", "image"), ("b", "both")]
+    with pytest.raises(ValueError):
+        ranking.remember_mode(modes, "a", "other")
+
+
+def test_tag_only_import(spark):
+    from shelfspark.operators import ingest
+    from shelfspark.schema import TABLES, empty
+
+    kind = TABLES["files"] + ", xmp_tags array<string>, folder_tags array<string>, text string, manual boolean"
+    scan = lambda tags, text, manual: spark.createDataFrame([("1" * 16, "main/p", "png", "image", 1, 1, 1, 1.0, 1.0, 0.0, len(tags), 1.0, None, tags, [], text, manual)], kind)
+    tables = {k: empty(spark, k) for k in TABLES} | {"text": spark.createDataFrame([("main/p", "read by a machine")], TABLES["text"])}
+    none = lambda tags: tags.where("false").select("path", "tag")
+    out = ingest.import_tags(tables, scan(["cat"], "of the file", False), none)
+    assert [tuple(r) for r in out["text"].collect()] == [("main/p", "read by a machine")] and out["files"].first()["text_in_file"] is True
+    assert [tuple(r) for r in out["tags"].collect()] == [("main/p", "cat", "xmp")]
+    out = ingest.import_tags(tables, scan(["cat"], "reviewed", True), none)
+    assert [tuple(r) for r in out["manual_text"].collect()] == [("main/p", "reviewed")]
