@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.headers import dimensions
 from ..functions.names import animated_png, content_id, sniff
 from ..operators.tagging import folder_tags
 from ..operators.vocabulary import Vocabulary
@@ -27,18 +28,18 @@ def listing(spark: SparkSession, root: str, source: str = "main") -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str, source: str = "main") -> DataFrame:
-    """Rows of the files table with folder tags, from bytes alone: pixels and embedded metadata are for the caller to join."""
+    """Rows of the files table with folder tags, from bytes alone: dimensions by the headers of images (0 for AVIF), embedded metadata is for the caller to join."""
     raw = binary(spark, root)
     path = F.concat(F.lit(source + "/"), _relative(root))
     made = F.unix_micros("modificationTime") / 1e6
     kind = F.col("format")
-    rows = raw.select(path.alias("path"), made.alias("mtime"), F.col("length").alias("size"), F.when(animated_png(F.col("content")), "apng").otherwise(sniff(F.col("content"))).alias("format"), content_id(F.col("content"), "b").alias("id"))
+    rows = raw.select(path.alias("path"), made.alias("mtime"), F.col("length").alias("size"), F.when(animated_png(F.col("content")), "apng").otherwise(sniff(F.col("content"))).alias("format"), content_id(F.col("content"), "b").alias("id"), dimensions(F.col("content")).alias("dims"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)\z", 1))
     rows = rows.withColumn("format", F.when((kind == "other") & (ext != ""), ext).otherwise(kind))
     what = F.when(F.col("format").isin("jpeg", "png", "webp", "gif", "avif", "apng"), "image").when(F.col("format").isin("mp4", "mkv"), "video").otherwise("other")
     zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
     return rows.select(
-        "id", "path", "format", what.alias("kind"), zero.alias("width"), zero.alias("height"), "size", "mtime", F.col("mtime").alias("created_at"), F.lit(0.0).alias("tagged_at"),
+        "id", "path", "format", what.alias("kind"), F.col("dims.width").alias("width"), F.col("dims.height").alias("height"), "size", "mtime", F.col("mtime").alias("created_at"), F.lit(0.0).alias("tagged_at"),
         zero.alias("xmp_tag_count"), F.col("mtime").alias("indexed_at"), F.lit(False).alias("text_in_file"), none.alias("xmp_tags"), folder_tags().alias("folder_tags"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("manual"),
     )
 
