@@ -41,3 +41,14 @@ def between(left: str, right: str, words: Sequence[str] = WORDS):
     for w in words:
         out = out + F.bit_count(F.col(left + w).bitwiseXOR(F.col(right + w)))
     return out
+
+
+def words_of(blob):
+    """struct(h0 .. h3) of 32 bytes, eight a word, the highest first; null for other lengths."""
+    word = lambda k: F.conv(F.hex(F.substring(blob, 8 * k + 1, 8)), 16, -10).cast("bigint").alias(WORDS[k])
+    return F.when(F.octet_length(blob) == 32, F.struct(*[word(k) for k in range(4)]))
+
+
+def blob_of(prefix: str = ""):
+    """The reverse: 32 bytes of a row's four words."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.col(prefix + w)), 16, "0") for w in WORDS]))

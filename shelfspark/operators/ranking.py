@@ -111,6 +111,30 @@ def remember_mode(modes: DataFrame, tag: str, mode: str) -> DataFrame:
     return modes.where(F.col("tag") != tag).union(modes.sparkSession.createDataFrame([[tag, mode]], "tag string, mode string"))
 
 
+def mode_of(modes: DataFrame, tag: str) -> str:
+    """The mode remembered for a tag; image where there is none or it is no mode."""
+    row = modes.where(F.col("tag") == tag).agg(F.max("mode")).first()
+    return row[0] if row[0] in ("image", "text", "both") else "image"
+
+
+def propose_for(tag: str, tags: DataFrame, candidates: DataFrame, vectors: DataFrame, texts: DataFrame, rejects: DataFrame, modes: DataFrame, top: int = 50, mode: str | None = None, need_vector: bool = False) -> DataFrame:
+    """The best candidates for a tag by its hand-written files, in the given mode or else the one remembered for the tag.
+
+    Files rejected for this tag are left out and count against what is like them. Raises where no file has the tag, or
+    none of them a vector that the mode needs; need_vector asks for one in mode text too.
+    """
+    mode = mode or mode_of(modes, tag)
+    if mode not in ("image", "text", "both"):
+        raise ValueError(f"no mode {mode}")
+    own = tags.where((F.col("tag") == tag) & (F.col("source") == "xmp")).select("path").distinct()
+    if own.isEmpty():
+        raise ValueError(f"no file has {tag}")
+    if (mode != "text" or need_vector) and vectors.join(own, "path", "left_semi").isEmpty():
+        raise ValueError(f"no file with {tag} has a vector")
+    against = rejects.where(F.col("tag") == tag).select("path").distinct()
+    return propose(candidates, own, top, vectors=vectors, texts=texts, rejects=None if against.isEmpty() else against, mode=mode)
+
+
 def shuffled(items: list[str], seed: int) -> list[str]:
     """The sorted items in a fixed random order: splitmix64 and swaps from the end."""
     mask, items = (1 << 64) - 1, sorted(items)

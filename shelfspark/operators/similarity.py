@@ -28,6 +28,14 @@ def nearest(hashes: DataFrame, literal, within: int = 20, limit: int = 50) -> Da
     return top.join(F.broadcast(count)).where("rank <= n").select("path", "distance", "rank")
 
 
+def nearest_report(hashes: DataFrame, literal, within: int = 20) -> DataFrame:
+    """One row (within, images, next_path, next_distance): how many are within the bound of how many, and the closest beyond it; nulls where there is none."""
+    ranked = hashes.where(informative()).select("path", distance(literal).alias("distance")).where("distance IS NOT NULL")
+    beyond = F.min(F.when(F.col("distance") > within, F.struct("distance", "path")))
+    out = ranked.agg(F.count_if(F.col("distance") <= within).alias("within"), F.count("*").alias("images"), beyond.alias("next"))
+    return out.select("within", "images", F.col("next.path").alias("next_path"), F.col("next.distance").alias("next_distance"))
+
+
 @dataclass(frozen=True)
 class Band:
     """Bits first to last of a hash; of a pair within the distance, some band differs in at most `radius` bits."""

@@ -96,6 +96,11 @@ class Catalog:
     def path_by_id(self, prefix: str) -> DataFrame:
         return self.files(False).where(F.col("id").startswith(prefix.lower())).orderBy("path").limit(1).select("path")
 
+    def blobs(self, alg: str) -> DataFrame:
+        """(path, blob) of one algorithm, in scope."""
+        rows = self.table("blobs").where(F.col("alg") == alg)
+        return (rows if self.scope is None else rows.where(self.scope)).select("path", "blob")
+
     def hash_of(self, path: str) -> tuple[int, ...] | None:
         """The informative hash of one path, else None."""
         row = self.table("hashes").where((F.col("path") == path) & informative()).first()

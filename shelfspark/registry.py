@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import registry_bytes
+from . import registry_bytes, registry_rules
 from .functions import names, text
 from .operators import audit, completion, ingest, paging, ranking, reading, similarity, tagging
 from .operators.vocabulary import Vocabulary, decisions, diff, merge
@@ -690,6 +690,7 @@ _MORE = (
 
 QUERIES = {
     **registry_bytes.QUERIES,
+    **registry_rules.QUERIES,
     **{f.__name__: f for f in _MORE},
     **{k: _searcher(q) for k, (q, _) in SEARCHES.items()},
     **{k: _bitmap_search(q) for k, (q, _) in BITMAPS.items()},
@@ -825,6 +826,7 @@ def _holdout_sql() -> str:
 
 ORACLES = {
     **registry_bytes.ORACLES,
+    **registry_rules.ORACLES,
     **_MORE_SQL,
     **{k: _bitmap_sql(w) for k, (_, w) in BITMAPS.items()},
     "bitmap_count": _sql(f"SELECT count(*) AS n FROM files f WHERE NOT ({_has('folder:en')} AND NOT {_has('quality:good')}) OR {_has('toxic')}"),

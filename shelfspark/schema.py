@@ -10,6 +10,7 @@ TABLES = {
     "text": "path string, body string",
     "manual_text": "path string, body string",
     "text_meta": "path string, engine string, read_at double, secs double",
+    "blobs": "path string, alg string, blob binary",
     "hashes": "path string, h0 bigint, h1 bigint, h2 bigint, h3 bigint",
     "vectors": "path string, vector array<float>",
     "tag_history": "tag string, uses bigint",
@@ -18,8 +19,8 @@ TABLES = {
     "batches": "stream string, batch bigint",
 }
 #: Tables whose rows go with a path when it is forgotten, and those that follow a rename.
-PER_PATH = ("files", "tags", "text", "manual_text", "text_meta", "hashes", "vectors")
-CARRIED = ("text", "text_meta", "hashes", "vectors")
+PER_PATH = ("files", "tags", "text", "manual_text", "text_meta", "blobs", "hashes", "vectors")
+CARRIED = ("text", "text_meta", "blobs", "hashes", "vectors")
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
