@@ -60,6 +60,26 @@ def already_embedded(reviewed, file_text, saved):
     return F.coalesce(F.col(reviewed), F.lit(False)) | F.col(file_text).eqNullSafe(F.col(saved))
 
 
+def saved_texts(files: DataFrame, text: DataFrame) -> DataFrame:
+    """(path, body) of the images' saved texts that aren't empty, by path."""
+    images = files.where("kind = 'image'").select("path")
+    return text.where("length(body) > 0").join(images, "path", "left_semi").select("path", "body").orderBy("path")
+
+
+def embed_work(files: DataFrame, text: DataFrame, in_file: DataFrame, source: str | None = None, limit: int = 0) -> DataFrame:
+    """(path, body) that a pass writes into files: saved texts of one source's images (None: of all), by path.
+
+    in_file (path, reviewed, file_text) says what a file holds; files that were reviewed or hold the text are skipped and
+    don't count against the limit (0: none). Files that in_file lacks hold nothing.
+    """
+    rows = saved_texts(files, text)
+    if source is not None:
+        rows = rows.where(F.col("path").startswith(source + "/"))
+    rows = rows.join(in_file.select("path", "reviewed", "file_text"), "path", "left")
+    rows = rows.where(~already_embedded("reviewed", "file_text", "body")).select("path", "body").orderBy("path")
+    return rows.limit(limit) if limit else rows
+
+
 def editor_text(reviewed, machine, file_text):
     """The text an editor starts from: the reviewed one, else the machine's if not empty, else the file's."""
     return F.coalesce(reviewed, F.when(machine != "", machine), file_text, F.lit(""))

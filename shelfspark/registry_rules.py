@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from .functions.hashes import blob_of, words_of
-from .operators import ranking, rules, similarity
+from .operators import ranking, reading, rules, similarity
 from .plans import standin
 from .plans.catalog import Catalog
+from .plans.logs import query_parts
 
 
 def _rules(spark, sf_dir, part: int):
@@ -62,7 +63,25 @@ def proposed_by_mode(spark, sf_dir):
     return ranking.propose_for("three", tags, v, v, texts, rejects, modes, top=1 << 30)
 
 
-_FUNCTIONS = (rules_merged, rules_compared, rules_renamed, similar_report, blob_words, proposed_by_mode)
+def embed_work(spark, sf_dir):
+    """The first 50 texts that are still to be written: a third of the files were reviewed, a third hold their text."""
+    c = standin.catalog(spark, sf_dir)
+    third = F.ascii(F.md5(F.col("path").cast("binary"))) % 3
+    held = c.table("text").select("path", (third == 0).alias("reviewed"), F.when(third == 1, F.col("body")).alias("file_text"))
+    return reading.embed_work(c.files(), c.table("text"), held, "main", 50).select("path", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+def query_log(spark, sf_dir):
+    """Of a query that each document stands for: whether it parses, the images it asks for and the tag at its end."""
+    d = standin.docs(spark, sf_dir).where("lang IS NOT NULL AND source IS NOT NULL")
+    near = F.concat(F.lit("similar:"), "source", F.lit("/p@"), (F.col("n_chars") % 30).cast("string"))
+    made = F.get(F.array(F.concat(near, F.lit(" || (similar:b, -similar:b)")), F.concat(F.lit("("), "lang"), F.concat("lang", F.lit(", -"), "source"), F.lit("size.gt:1")), (F.col("doc_id") % 4).cast("int"))
+    rows = d.select("doc_id", query_parts(made).alias("q"))
+    images = F.array_join(F.transform("q.similar", lambda s: F.concat(s["image"], F.lit("@"), s["bits"].cast("string"))), " ")
+    return rows.select("doc_id", "q.valid", images.alias("images"), "q.typed")
+
+
+_FUNCTIONS = (embed_work, query_log, rules_merged, rules_compared, rules_renamed, similar_report, blob_words, proposed_by_mode)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _RULES = """d AS (SELECT doc_id % 2 AS part, lang, source, 'w' || CAST(n_chars % 50 AS VARCHAR) AS word FROM documents),
@@ -78,6 +97,9 @@ FROM mine WHERE NOT (kind = 'implies' AND name = 'en' AND {known}) AND NOT (kind
 _LIKE = "SELECT 'main/v/' || lpad(CAST(e.vec_id AS VARCHAR), 7, '0') AS path, CAST(sum(CASE WHEN e.embedding[CAST(i.i AS INTEGER) + 1] > 0 THEN (CAST(1 AS BIGINT) << i.i) ELSE 0 END) AS BIGINT) AS h0, e.vec_id FROM embeddings e CROSS JOIN range(63) i(i) GROUP BY e.vec_id"
 
 ORACLES = {
+    "embed_work": "SELECT path, body_md5 FROM (SELECT 'main/' || lang || '/' || source || '/' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '.txt' AS path, md5(text) AS body_md5, doc_id FROM documents WHERE doc_id % 37 <> 0 AND length(text) > 0 AND doc_id % 10 > 1) WHERE ascii(md5(path)) % 3 = 2 ORDER BY path LIMIT 50",
+    "query_log": """SELECT doc_id, doc_id % 4 <> 1 AS valid, CASE doc_id % 4 WHEN 0 THEN source || '/p@' || CAST(n_chars % 30 AS VARCHAR) || ' b@20' ELSE '' END AS images, CASE doc_id % 4 WHEN 1 THEN lang WHEN 2 THEN source END AS typed
+FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""",
     "rules_merged": f"WITH {_RULES} SELECT coalesce(m.kind, o.kind) AS kind, coalesce(m.name, o.name) AS name, coalesce(m.target, o.target) AS target, CASE WHEN m.kind = 'alias' AND m.target <> o.target THEN o.target END AS clash FROM mine m FULL JOIN other o ON m.kind = o.kind AND m.name = o.name AND (m.kind NOT IN ('implies', 'suggests') OR m.target = o.target)",
     "rules_compared": f"WITH {_RULES} SELECT 'mine' AS side, * FROM (SELECT * FROM mine EXCEPT SELECT * FROM other) UNION ALL SELECT 'other', * FROM (SELECT * FROM other EXCEPT SELECT * FROM mine)",
     "rules_renamed": f"WITH {_RULES} SELECT * FROM (" + _RENAMED.format(new="de", known="TRUE") + " UNION ALL " + _RENAMED.format(new="english", known="FALSE") + ") WHERE NOT (kind IN ('implies', 'suggests') AND name = target)",

@@ -82,3 +82,23 @@ def test_modes(spark):
     for tag, more in (("none", {}), ("dog", {}), ("dog", {"mode": "text", "need_vector": True}), ("cat", {"mode": "smell"})):
         with pytest.raises(ValueError):
             go(tag, **more)
+
+
+def test_parts_of_queries(spark):
+    from shelfspark.plans.logs import query_parts
+
+    texts = ["similar:a@5 || (similar:b, -similar:a@9)", "(cat", "", None, "cat, -bi", "similar:x@99999999999"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "n int, t string")
+    got = [(r["valid"], [tuple(s) for s in r["similar"]] if r["similar"] is not None else None, r["typed"]) for r in df.orderBy("n").select(query_parts(df["t"]).alias("q")).select("q.*").collect()]
+    assert got == [(True, [("a", 5), ("b", 20)], None), (False, [], "cat"), (True, [], None), (None, None, None), (True, [], "bi"), (True, [("x", 2**31 - 1)], None)]
+    assert df.limit(0).select(query_parts(df["t"])).collect() == []
+
+
+def test_texts_to_write(spark):
+    from shelfspark.operators.reading import embed_work
+
+    files = spark.createDataFrame([(f"main/{p}", "image") for p in "abcde"] + [("other/x", "image"), ("main/v", "video")], "path string, kind string")
+    text = spark.createDataFrame([(p, "t") for p in ("main/a", "main/b", "main/c", "main/d", "other/x", "main/v", "main/gone")] + [("main/e", "")], TABLES["text"])
+    held = spark.createDataFrame([("main/a", True, "x"), ("main/b", False, "t"), ("main/c", None, None)], "path string, reviewed boolean, file_text string")
+    go = lambda *a: [r["path"] for r in embed_work(files, text, held, *a).collect()]
+    assert go() == ["main/c", "main/d", "other/x"] and go("main") == ["main/c", "main/d"] and go("main", 1) == ["main/c"] and go("oth") == []
