@@ -62,37 +62,51 @@ def strip_tags(col):
     return F.regexp_replace(col, "<[A-Za-z/!][^>]*>", " ")
 
 
+def _once(col, use):
+    """use(col) with col computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(col), use), 0)
+
+
 def _lines(col):
     return F.split(col, "\n", -1)
 
 
 def _no_repeats(lines):
     """Lines without those equal to the one before."""
-    return F.filter(lines, lambda x, i: (i == 0) | (F.get(lines, i - 1) != x))
+    return _once(lines, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1) != x)))
 
 
 def utf8_head(col, limit: int):
     """The longest beginning of at most so many UTF-8 bytes that ends between characters."""
-    cut = F.substring(col.cast("binary"), 1, limit)
-    # A cut character leaves up to three bytes; the first shortening that is valid UTF-8 is whole.
-    tries = [F.when(F.is_valid_utf8(t.cast("string")), t.cast("string")) for t in (F.substring(cut, 1, limit - k) for k in range(4))]
-    return F.when(F.octet_length(col) <= limit, col).otherwise(F.coalesce(*tries))
+
+    def head(whole):
+        cut = F.substring(whole.cast("binary"), 1, limit)
+        # A cut character leaves up to three bytes; the first shortening that is valid UTF-8 is whole.
+        tries = [F.when(F.is_valid_utf8(t.cast("string")), t.cast("string")) for t in (F.substring(cut, 1, limit - k) for k in range(4))]
+        return F.when(F.octet_length(whole) <= limit, whole).otherwise(F.coalesce(*tries))
+
+    return _once(col, head)
 
 
 def clean_model_text(col, limit: int = 4000):
     """Text that a model read: markup off, blanks collapsed, empty and repeated lines off; `none` and degenerate answers are empty."""
     squeezed = F.transform(_lines(strip_tags(col)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     lines = _no_repeats(F.filter(squeezed, lambda x: x != ""))
-    text = F.array_join(lines, "\n")
-    toks = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    solid = F.regexp_replace(text, r"\s", "")
-    letters = F.char_length(F.regexp_replace(solid, r"[^\p{IsAlphabetic}]", ""))
-    few_kinds = (F.size(toks) >= 8) & (F.size(F.array_distinct(toks)) * 4 < F.size(toks))
-    few_letters = letters * 10 < F.char_length(solid) * 3
-    no_word = ~F.exists(toks, lambda t: F.char_length(F.regexp_replace(t, r"[^\p{IsAlphabetic}]", "")) >= 3)
-    one_long = (F.size(toks) == 1) & (F.char_length(text) > 24)
-    bad = F.lower(text).isin("none", "none.") | few_kinds | few_letters | no_word | one_long
-    return F.when(F.coalesce(bad, F.lit(True)), "").otherwise(utf8_head(text, limit))
+
+    def sound(text, toks, solid):
+        letters = F.char_length(F.regexp_replace(solid, r"[^\p{IsAlphabetic}]", ""))
+        few_kinds = (F.size(toks) >= 8) & (F.size(F.array_distinct(toks)) * 4 < F.size(toks))
+        few_letters = letters * 10 < F.char_length(solid) * 3
+        no_word = ~F.exists(toks, lambda t: F.char_length(F.regexp_replace(t, r"[^\p{IsAlphabetic}]", "")) >= 3)
+        one_long = (F.size(toks) == 1) & (F.char_length(text) > 24)
+        bad = F.lower(text).isin("none", "none.") | few_kinds | few_letters | no_word | one_long
+        return F.when(F.coalesce(bad, F.lit(True)), "").otherwise(utf8_head(text, limit))
+
+    def parts(text):
+        toks = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+        return _once(toks, lambda t: _once(F.regexp_replace(text, r"\s", ""), lambda solid: sound(text, t, solid)))
+
+    return _once(F.array_join(lines, "\n"), parts)
 
 
 def clean_scanned_text(col, limit: int = 4000):

@@ -328,3 +328,12 @@ def test_holdout_by_brute_force(spark):
     got = ranking.holdout(spark.createDataFrame([(p, scores[p]) for p in ranked], "path string, score double"), spark.createDataFrame([[p] for p in hidden], "path string"), top=20).first()
     places = sorted(ranked.index(p) + 1 for p in hidden)
     assert (got["scored"], got["found_50"], got["found_top"], got["median_rank"]) == (110, sum(x <= 50 for x in places), sum(x <= 20 for x in places), places[5]) and got["chance"] == round(500 / 110, 6)
+
+
+def test_cleaning_computes_its_steps_once(spark):
+    """The lines and the text were computed again for each line that was compared and each rule: quadratic in lines."""
+    df = spark.createDataFrame([("\n".join(f"line  number {k // 2} <b>" for k in range(3000)) + "\n\n é" * 3,), ("",), (None,), ("x" * 5000 + " y zz",)], "t string")
+    out = df.select(text.clean_model_text(F.col("t"), 1 << 30).alias("c"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[A-Za-z/!]") == 1 and plan.count("array_join(") <= 1
+    assert [r.c for r in out.collect()] == ["\n".join(f"line number {k}" for k in range(1500)) + "\né", "", "", "x" * 5000 + " y zz"]
